@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "hourcast.plans.q_features",
     "hourcast.plans.q_metrics",
+    "hourcast.plans.q_align",
 ]
 
 
