@@ -104,7 +104,10 @@ def linear_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("city
     """P23 linear: interpolate between the previous and next non-NULL values,
     weighted by ``pos`` (e.g. epoch seconds); ends stay NULL."""
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    # "next non-NULL" as a running frame over the reversed order: Spark
+    # evaluates running frames incrementally, while a frame ending at
+    # UNBOUNDED FOLLOWING is recomputed for every row (quadratic per key).
+    after = Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = []
     for c in df.columns:
         if c not in cols:
@@ -112,8 +115,8 @@ def linear_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("city
             continue
         pv = F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(c).alias("v"))),
                     ignorenulls=True).over(before)
-        nx = F.first(F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(c).alias("v"))),
-                     ignorenulls=True).over(after)
+        nx = F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(c).alias("v"))),
+                    ignorenulls=True).over(after)
         span = (nx["p"] - pv["p"]).cast("double")
         interp = pv["v"] + (nx["v"] - pv["v"]) * F.try_divide((F.col(pos) - pv["p"]).cast("double"), span)
         out.append(F.coalesce(F.col(c), interp).alias(c))

@@ -8,6 +8,7 @@ MODULES = [
     "hourcast.plans.q_features",
     "hourcast.plans.q_metrics",
     "hourcast.plans.q_align",
+    "hourcast.plans.q_quality",
 ]
 
 
