@@ -9,6 +9,7 @@ MODULES = [
     "hourcast.plans.q_metrics",
     "hourcast.plans.q_align",
     "hourcast.plans.q_quality",
+    "hourcast.plans.q_sources",
 ]
 
 
