@@ -20,10 +20,17 @@ from hourcast.functions.time import from_unix, hour_bucket_unix
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str = "first") -> DataFrame:
     """One row per key — the first (or last) by ``order``; remaining
-    columns break ties deterministically."""
+    orderable columns break ties deterministically."""
     rest = [c for c in df.columns if c not in keys and c not in order]
-    s = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest]).alias("_r")
-    agg = F.min(s) if keep == "first" else F.max(s)
+    types = dict(df.dtypes)
+    if not any("map<" in types[c] for c in rest):
+        s = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])
+        agg = F.min(s) if keep == "first" else F.max(s)
+        return df.groupBy(*keys).agg(agg.alias("_r")).select(*keys, *[F.col(f"_r.{c}") for c in list(order) + rest])
+    # map columns are not orderable: rank by the orderable columns, carry all
+    ordk = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest if "map<" not in types[c]])
+    val = F.struct(*[F.col(c) for c in list(order) + rest])
+    agg = F.min_by(val, ordk) if keep == "first" else F.max_by(val, ordk)
     return df.groupBy(*keys).agg(agg.alias("_r")).select(*keys, *[F.col(f"_r.{c}") for c in list(order) + rest])
 
 

@@ -10,6 +10,7 @@ MODULES = [
     "hourcast.plans.q_align",
     "hourcast.plans.q_quality",
     "hourcast.plans.q_sources",
+    "hourcast.plans.q_store",
 ]
 
 
