@@ -58,6 +58,40 @@ def lead_columns(w: WindowSpec, col: str, horizons: Iterable[int],
 
 
 # W2-W5 ----------------------------------------------------------------------
+# Fixed-point path: integer running sums per key, window sums as differences
+# of running sums. Running frames are evaluated incrementally (O(1) per row)
+# whereas a bounded ROWS frame is re-aggregated for every row (O(w)); with
+# integers the subtraction is exact, so nothing is lost. min/max keep the
+# sliding frame. Stage 1 (``rolling_stage1``) must be projected first; the
+# stage-2 expressions reuse the same window spec, so no extra sort is planned.
+C_, N_, S_, Q_ = "__c_{col}", "__n_{col}", "__s_{col}", "__q_{col}"
+DEC = "decimal(19,0)"
+
+
+def rolling_stage1(w: WindowSpec, cols: Iterable[str], decimals: int) -> list[Column]:
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    scale = float(10 ** decimals)
+    out = []
+    for c in cols:
+        v = F.rint(F.col(c) * F.lit(scale)).cast("long")
+        out += [v.alias(C_.format(col=c)),
+                F.count(v).over(run).alias(N_.format(col=c)),
+                F.coalesce(F.sum(v).over(run), F.lit(0).cast("long")).alias(S_.format(col=c)),
+                # squares overflow a long on long series: keep them in decimal(38,0)
+                F.coalesce(F.sum(v.cast(DEC) * v.cast(DEC)).over(run), F.lit(0).cast("decimal(38,0)"))
+                .alias(Q_.format(col=c))]
+    return out
+
+
+def stage1_names(cols: Iterable[str]) -> list[str]:
+    return [t.format(col=c) for c in cols for t in (C_, N_, S_, Q_)]
+
+
+def _windowed(w: WindowSpec, run_col: str, size: int) -> Column:
+    r = F.col(run_col)
+    return r - F.coalesce(F.lag(r, size).over(w), F.lit(0))
+
+
 def rolling_stat(w: WindowSpec, col: str, size: int, stat: str,
                  min_periods: int = 1, decimals: int | None = None) -> Column:
     f = _frame(w, size)
@@ -65,19 +99,22 @@ def rolling_stat(w: WindowSpec, col: str, size: int, stat: str,
     if decimals is None or stat in ("min", "max"):
         agg = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}[stat]
         val = agg(x).over(f)
+        n = F.count(x).over(f)
     else:
         scale = float(10 ** decimals)
-        c = F.round(x * F.lit(scale)).cast("long")
-        n = F.count(c).over(f)
-        s = F.sum(c).over(f)
+        n = _windowed(w, N_.format(col=col), size)
+        s = _windowed(w, S_.format(col=col), size)
         if stat == "mean":
             val = F.when(n > 0, s.cast("double") / (F.lit(scale) * n))
         else:
-            ss = F.sum(c * c).over(f)
-            val = F.when(n > 1, F.sqrt((n * ss - s * s).cast("double")
+            ss = _windowed(w, Q_.format(col=col), size)
+            nd, sd = n.cast(DEC), s.cast(DEC)
+            val = F.when(n > 1, F.sqrt((nd * ss - sd * sd).cast("double")
                                        / (F.lit(scale * scale) * n * (n - F.lit(1)))))
     if min_periods > 1:
-        val = F.when(F.count(x).over(f) >= min_periods, val)
+        if decimals is not None:
+            n = _windowed(w, N_.format(col=col), size)
+        val = F.when(n >= min_periods, val)
     return val
 
 
@@ -85,7 +122,8 @@ def rolling_columns(w: WindowSpec, cols: Iterable[str], windows: Iterable[int],
                     stats: Sequence[str] = STATS, min_periods: int | None = 1,
                     decimals: int | None = None,
                     name: str = "{col}_rolling_{stat}_{w}h") -> list[Column]:
-    """``min_periods=None`` means "the window size" (pandas ``rolling(w)``)."""
+    """``min_periods=None`` means "the window size" (pandas ``rolling(w)``).
+    With ``decimals`` the frame must carry :func:`rolling_stage1` columns."""
     out = []
     for c in cols:
         for size in windows:
@@ -95,6 +133,19 @@ def rolling_columns(w: WindowSpec, cols: Iterable[str], windows: Iterable[int],
     return out
 
 
+def with_rolling(df: DataFrame, series: "Series", cols: Sequence[str], windows: Sequence[int],
+                 stats: Sequence[str] = STATS, min_periods: int | None = 1, decimals: int | None = None,
+                 keep: Sequence[str] | None = None, extra: Sequence[Column] = ()) -> DataFrame:
+    """Project ``keep`` columns, ``extra`` window expressions and the rolling
+    statistics over one window spec (two projections when fixed-point)."""
+    w = series.window()
+    keep = list(keep if keep is not None else df.columns)
+    src = df
+    if decimals is not None:
+        src = df.select("*", *rolling_stage1(w, cols, decimals))
+    return src.select(*keep, *extra, *rolling_columns(w, cols, windows, stats, min_periods, decimals))
+
+
 # W6 / W9 ----------------------------------------------------------------------
 def diff_columns(w: WindowSpec, cols: Iterable[str], periods: Iterable[int],
                  name: str = "{col}_diff_{p}h") -> list[Column]:
@@ -161,7 +212,8 @@ def features_a(df: DataFrame, preset: PresetA | None = None, series: Series = Se
     lag, roll, chg = p.resolve(df.columns)
     w = series.window()
     base = [F.col(c) for c in df.columns]
-    padded = df.select(*base, *pad_columns(w, chg))
+    stage1 = rolling_stage1(w, roll, decimals) if decimals is not None else []
+    padded = df.select(*base, *pad_columns(w, chg), *stage1)
     cols = [F.col(c) for c in df.columns]
     if calendar:
         cols += calendar_columns(F.col(series.order[0]), "a")
@@ -195,7 +247,8 @@ def features_b(df: DataFrame, preset: PresetB | None = None, series: Series = Se
     p = preset or PresetB()
     t = p.target
     w = series.window()
-    padded = df.select(*[F.col(c) for c in df.columns], *pad_columns(w, [t]))
+    stage1 = rolling_stage1(w, [t], decimals) if decimals is not None else []
+    padded = df.select(*[F.col(c) for c in df.columns], *pad_columns(w, [t]), *stage1)
     cols = [F.col(c) for c in df.columns]
     if calendar:
         cols += calendar_columns(F.col(series.order[0]), "b")

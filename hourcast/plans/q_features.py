@@ -63,18 +63,16 @@ _roll_a_cols = ["pm2_5", "pm10", "temp", "humidity"]
    + ", ".join(f"{sg.rolling(c, w, s, W, 1, 2)} AS {c}_rolling_{s}_{w}h"
                for c in _roll_a_cols for w in A.rolling_windows for s in fx.STATS) + " FROM obs")
 def rolling_a(spark, sf):
-    w = fx.Series().window()
-    return views.obs(spark, sf).select(*KEYS, *fx.rolling_columns(w, _roll_a_cols, A.rolling_windows,
-                                                                   min_periods=1, decimals=2))
+    return fx.with_rolling(views.obs(spark, sf), fx.Series(), _roll_a_cols, A.rolling_windows,
+                           min_periods=1, decimals=2, keep=KEYS)
 
 
 @q("rolling_b", f"WITH {sg.obs_cte()} SELECT city, timestamp, "
    + ", ".join(f"{sg.rolling('aqi', w, s, W, w, 0)} AS aqi_rolling_{s}_{w}h"
                for w in B.windows for s in fx.STATS) + " FROM obs")
 def rolling_b(spark, sf):
-    w = fx.Series().window()
-    return views.obs(spark, sf).select(*KEYS, *fx.rolling_columns(w, ["aqi"], B.windows,
-                                                                   min_periods=None, decimals=0))
+    return fx.with_rolling(views.obs(spark, sf), fx.Series(), ["aqi"], B.windows,
+                           min_periods=None, decimals=0, keep=KEYS)
 
 
 # W6, W7 -----------------------------------------------------------------------
@@ -212,3 +210,21 @@ def _full_b_sql():
 @q("features_full_b", _full_b_sql())
 def features_full_b(spark, sf):
     return _round_trig(fx.features_b(views.obs(spark, sf), decimals=0))
+
+
+# Long series (bench): lineitem per supplier, 64 rolling + 28 lag columns ----------
+_LONG_COLS = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+_LONG_W = sg.win(("series",), views.LONG_ORDER)
+
+
+@q("long_series_features", "WITH src AS (SELECT l_suppkey AS series, l_shipdate AS timestamp, l_orderkey, l_linenumber, "
+   "l_partkey, " + ", ".join(_LONG_COLS) + " FROM lineitem) SELECT series, l_orderkey, l_linenumber, l_partkey, "
+   + ", ".join([f"{sg.lag(c, k, _LONG_W)} AS {c}_lag_{k}h" for c in _LONG_COLS for k in A.lag_hours]
+               + [f"{sg.rolling(c, w, s, _LONG_W, 1, 2)} AS {c}_rolling_{s}_{w}h"
+                  for c in _LONG_COLS for w in A.rolling_windows for s in fx.STATS]) + " FROM src")
+def long_series_features(spark, sf):
+    s = fx.Series(keys=("series",), order=views.LONG_ORDER)
+    li = views.long_series(spark, sf)
+    return fx.with_rolling(li, s, _LONG_COLS, A.rolling_windows, fx.STATS, 1, 2,
+                           keep=["series", "l_orderkey", "l_linenumber", "l_partkey"],
+                           extra=fx.lag_columns(s.window(), _LONG_COLS, A.lag_hours))

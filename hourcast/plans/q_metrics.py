@@ -66,10 +66,9 @@ def sequences(spark, sf):
 def baseline_frame(spark, sf):
     """Observations with the moving-average baseline and the forward targets."""
     o = views.obs(spark, sf)
-    w = fx.Series().window()
-    return o.select("city", "timestamp", "pm2_5",
-                    *fx.rolling_columns(w, ["pm2_5"], [24], ["mean"], 1, 2),
-                    *fx.lead_columns(w, "pm2_5", HORIZONS))
+    s = fx.Series()
+    return fx.with_rolling(o, s, ["pm2_5"], [24], ["mean"], 1, 2, keep=["city", "timestamp", "pm2_5"],
+                           extra=fx.lead_columns(s.window(), "pm2_5", HORIZONS))
 
 
 def _baseline_sql_frame():
