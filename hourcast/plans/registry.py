@@ -11,6 +11,7 @@ MODULES = [
     "hourcast.plans.q_quality",
     "hourcast.plans.q_sources",
     "hourcast.plans.q_store",
+    "hourcast.plans.q_ml",
 ]
 
 
