@@ -12,6 +12,7 @@ MODULES = [
     "hourcast.plans.q_sources",
     "hourcast.plans.q_store",
     "hourcast.plans.q_ml",
+    "hourcast.plans.q_stream",
 ]
 
 
