@@ -154,12 +154,25 @@ def diff_columns(w: WindowSpec, cols: Iterable[str], periods: Iterable[int],
 
 # W7 -------------------------------------------------------------------------
 PAD = "__pad_{col}"
+CARRY = "__carry_{col}"
 
 
-def pad_columns(w: WindowSpec, cols: Iterable[str]) -> list[Column]:
-    """Forward-filled copies (last non-NULL so far) used by percent change."""
+def pad_columns(w: WindowSpec, cols: Iterable[str], df: DataFrame | None = None) -> list[Column]:
+    """Forward-filled copies (last non-NULL so far) used by percent change.
+
+    When ``df`` carries a ``__carry_{col}`` column (set by the halo-blocked
+    path, :mod:`hourcast.operators.halo`) it fills rows whose window
+    partition holds no earlier non-NULL value: the series continues before
+    the partition starts."""
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return [F.last(c, ignorenulls=True).over(run).alias(PAD.format(col=c)) for c in cols]
+    have = set(df.columns) if df is not None else set()
+    out = []
+    for c in cols:
+        v = F.last(c, ignorenulls=True).over(run)
+        if CARRY.format(col=c) in have:
+            v = F.coalesce(v, F.col(CARRY.format(col=c)))
+        out.append(v.alias(PAD.format(col=c)))
+    return out
 
 
 def pct_change_columns(w: WindowSpec, cols: Iterable[str], periods: Iterable[int],
@@ -177,7 +190,7 @@ def pct_change_columns(w: WindowSpec, cols: Iterable[str], periods: Iterable[int
 def with_pct_change(df: DataFrame, series: Series, cols: Sequence[str], periods: Sequence[int],
                     name: str = "{col}_pct_change_{p}h") -> DataFrame:
     w = series.window()
-    padded = df.select("*", *pad_columns(w, cols))
+    padded = df.select("*", *pad_columns(w, cols, df))
     return padded.select(*[F.col(c) for c in df.columns], *pct_change_columns(w, cols, periods, name))
 
 
@@ -213,7 +226,7 @@ def features_a(df: DataFrame, preset: PresetA | None = None, series: Series = Se
     w = series.window()
     base = [F.col(c) for c in df.columns]
     stage1 = rolling_stage1(w, roll, decimals) if decimals is not None else []
-    padded = df.select(*base, *pad_columns(w, chg), *stage1)
+    padded = df.select(*base, *pad_columns(w, chg, df), *stage1)
     cols = [F.col(c) for c in df.columns]
     if calendar:
         cols += calendar_columns(F.col(series.order[0]), "a")
@@ -248,7 +261,7 @@ def features_b(df: DataFrame, preset: PresetB | None = None, series: Series = Se
     t = p.target
     w = series.window()
     stage1 = rolling_stage1(w, [t], decimals) if decimals is not None else []
-    padded = df.select(*[F.col(c) for c in df.columns], *pad_columns(w, [t]), *stage1)
+    padded = df.select(*[F.col(c) for c in df.columns], *pad_columns(w, [t], df), *stage1)
     cols = [F.col(c) for c in df.columns]
     if calendar:
         cols += calendar_columns(F.col(series.order[0]), "b")

@@ -228,3 +228,42 @@ def long_series_features(spark, sf):
     return fx.with_rolling(li, s, _LONG_COLS, A.rolling_windows, fx.STATS, 1, 2,
                            keep=["series", "l_orderkey", "l_linenumber", "l_partkey"],
                            extra=fx.lag_columns(s.window(), _LONG_COLS, A.lag_hours))
+
+
+# Halo-blocked twins (§4.3.2): same results as the queries above, computed per
+# (key, block) so one hot key is spread over many tasks. Blocks are sized from
+# the data (largest key / cores), so at test scale every key spans several.
+def _long_build(frame, s):
+    return fx.with_rolling(frame, s, _LONG_COLS, A.rolling_windows, fx.STATS, 1, 2,
+                           keep=["series", "l_orderkey", "l_linenumber", "l_partkey", "_core"],
+                           extra=fx.lag_columns(s.window(), _LONG_COLS, A.lag_hours))
+
+
+@q("long_series_blocked", ORACLE["long_series_features"])
+def long_series_blocked(spark, sf):
+    from hourcast.operators import halo
+    s = fx.Series(keys=("series",), order=views.LONG_ORDER)
+    back = max(max(A.lag_hours), max(A.rolling_windows) - 1)
+    buckets = [F.col("timestamp"), F.floor(F.col("l_orderkey") / F.lit(1024))]
+    return halo.blocked(views.long_series(spark, sf), _long_build, s, back, 0, buckets)
+
+
+def _change_b_build(frame, s):
+    w = s.window()
+    padded = frame.select("*", *fx.pad_columns(w, ["value"], frame))
+    cols = []
+    for p in B.periods:
+        cols += fx.diff_columns(w, ["value"], [p], name="{col}_change_{p}h")
+        cols += fx.pct_change_columns(w, ["value"], [p])
+    return padded.select("city", "event_id", "_core", *cols)
+
+
+@q("change_b_blocked", ORACLE["change_b"])
+def change_b_blocked(spark, sf):
+    """change_b over raw events (5 keys, NULL gaps) on the blocked path: the
+    forward fill behind percent change crosses blocks via carried values."""
+    from hourcast.operators import halo
+    s = fx.Series(keys=("city",), order=("timestamp", "event_id"))
+    buckets = [F.date_trunc("minute", F.col("timestamp"))]
+    return halo.blocked(views.raw_series(spark, sf), _change_b_build, s, max(B.periods), 0, buckets,
+                        pad_cols=["value"])
