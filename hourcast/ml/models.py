@@ -72,28 +72,37 @@ def elastic_net(alpha: float = 1.0, l1_ratio: float = 0.5, stats: LabelStats | N
     return LinearRegression(regParam=reg, elasticNetParam=(a / reg) if reg else 0.0, standardization=False, maxIter=200)
 
 
+# Per-task memory for a tree learner's split statistics. Spark's default
+# (256 MB) times the concurrent tasks of an executor can exceed its heap with
+# ~190 features and deep trees; a smaller bound only means more node groups
+# per pass over the (cached) training rows, the trees are the same.
+TREE_MEM_MB = 32
+
+
 def random_forest(n_estimators: int = 100, max_depth: int = 10, min_samples_leaf: int = 2, seed: int = 42,
                   **_) -> Estimator:
     return RandomForestRegressor(numTrees=n_estimators, maxDepth=max_depth, minInstancesPerNode=min_samples_leaf,
-                                 featureSubsetStrategy="all", seed=seed)
+                                 featureSubsetStrategy="all", seed=seed, maxMemoryInMB=TREE_MEM_MB)
 
 
 def gradient_boosting(n_estimators: int = 100, max_depth: int = 5, learning_rate: float = 0.1, seed: int = 42,
                       **_) -> Estimator:
-    return GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, seed=seed)
+    return GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, seed=seed,
+                        maxMemoryInMB=TREE_MEM_MB)
 
 
 def xgboost_style(n_estimators: int = 500, max_depth: int = 6, learning_rate: float = 0.05, subsample: float = 0.8,
                   colsample: float = 0.8, seed: int = 42, **_) -> Estimator:
     """Row and column subsampling (Spark samples columns per node)."""
     return GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample,
-                        featureSubsetStrategy=str(colsample), seed=seed)
+                        featureSubsetStrategy=str(colsample), seed=seed, maxMemoryInMB=TREE_MEM_MB)
 
 
 def lightgbm_style(n_estimators: int = 500, max_depth: int = 6, learning_rate: float = 0.05, seed: int = 42,
                    validation_col: str | None = None, **_) -> Estimator:
     """Early stopping on a validation slice (``validationIndicatorCol``)."""
-    g = GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, seed=seed)
+    g = GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, seed=seed,
+                     maxMemoryInMB=TREE_MEM_MB)
     if validation_col:
         g = g.setValidationIndicatorCol(validation_col).setValidationTol(0.01)
     return g
