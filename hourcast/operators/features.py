@@ -87,6 +87,64 @@ def stage1_names(cols: Iterable[str]) -> list[str]:
     return [t.format(col=c) for c in cols for t in (C_, N_, S_, Q_)]
 
 
+# Rolling min/max on the same path: a base-4 sparse table. Level s holds the
+# min (max) of the last s rows; level 4s = least of four lagged level-s values.
+# A window of w rows is then least(...) of at most four lagged values of the
+# largest level <= w (ranges may overlap). Offset lookups are O(1) per row,
+# whereas a bounded ROWS frame re-aggregates its whole buffer for every row.
+# least/greatest skip NULLs like min/max; lags before the partition start are
+# NULL, which truncates the frame exactly as ROWS n PRECEDING does.
+MM_ = "__{op}{s}_{col}"
+_MM_FN = {"min": F.least, "max": F.greatest}
+
+
+def _levels(top: int) -> list[int]:
+    lv = [1]
+    while lv[-1] * 4 <= top:
+        lv.append(lv[-1] * 4)
+    return lv
+
+
+def _level_col(op: str, s: int, col: str) -> str:
+    return col if s == 1 else MM_.format(op=op, s=s, col=col)
+
+
+def minmax_stages(w: WindowSpec, cols: Iterable[str], windows: Iterable[int],
+                  stats: Sequence[str] = STATS) -> list[list[Column]]:
+    """Level columns, one list per projection (each level lags the previous)."""
+    ops = [o for o in ("min", "max") if o in stats]
+    lv = _levels(max(windows, default=1))
+    stages = []
+    for prev, s in zip(lv, lv[1:]):
+        stages.append([_MM_FN[o](F.col(_level_col(o, prev, c)),
+                                 *[F.lag(_level_col(o, prev, c), j * prev).over(w) for j in (1, 2, 3)])
+                       .alias(_level_col(o, s, c)) for c in cols for o in ops])
+    return stages
+
+
+def _minmax(w: WindowSpec, col: str, size: int, op: str) -> Column:
+    s = _levels(size)[-1]
+    src = _level_col(op, s, col)
+    offs = sorted({j * s for j in range(-(-size // s) - 1)} | {size - s})
+    terms = [F.col(src) if o == 0 else F.lag(src, o).over(w) for o in offs]
+    return terms[0] if len(terms) == 1 else _MM_FN[op](*terms)
+
+
+def rolling_prep(df: DataFrame, w: WindowSpec, cols: Sequence[str], windows: Sequence[int],
+                 stats: Sequence[str] = STATS, decimals: int | None = None,
+                 first: Sequence[Column] = ()) -> DataFrame:
+    """The projections the fixed-point path needs before ``rolling_columns``
+    (running sums and min/max levels), plus ``first`` extra columns. Every
+    projection uses the same window spec: no extra exchange or sort."""
+    if decimals is None:
+        return df.select("*", *first) if first else df
+    stages = minmax_stages(w, cols, windows, stats)
+    out = df.select("*", *first, *rolling_stage1(w, cols, decimals), *(stages[0] if stages else []))
+    for st in stages[1:]:
+        out = out.select("*", *st)
+    return out
+
+
 def _windowed(w: WindowSpec, run_col: str, size: int) -> Column:
     r = F.col(run_col)
     return r - F.coalesce(F.lag(r, size).over(w), F.lit(0))
@@ -96,7 +154,10 @@ def rolling_stat(w: WindowSpec, col: str, size: int, stat: str,
                  min_periods: int = 1, decimals: int | None = None) -> Column:
     f = _frame(w, size)
     x = F.col(col)
-    if decimals is None or stat in ("min", "max"):
+    if decimals is not None and stat in ("min", "max"):
+        val = _minmax(w, col, size, stat)
+        n = _windowed(w, N_.format(col=col), size)
+    elif decimals is None:
         agg = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}[stat]
         val = agg(x).over(f)
         n = F.count(x).over(f)
@@ -123,7 +184,7 @@ def rolling_columns(w: WindowSpec, cols: Iterable[str], windows: Iterable[int],
                     decimals: int | None = None,
                     name: str = "{col}_rolling_{stat}_{w}h") -> list[Column]:
     """``min_periods=None`` means "the window size" (pandas ``rolling(w)``).
-    With ``decimals`` the frame must carry :func:`rolling_stage1` columns."""
+    With ``decimals`` the frame must come from :func:`rolling_prep`."""
     out = []
     for c in cols:
         for size in windows:
@@ -140,9 +201,7 @@ def with_rolling(df: DataFrame, series: "Series", cols: Sequence[str], windows:
     statistics over one window spec (two projections when fixed-point)."""
     w = series.window()
     keep = list(keep if keep is not None else df.columns)
-    src = df
-    if decimals is not None:
-        src = df.select("*", *rolling_stage1(w, cols, decimals))
+    src = rolling_prep(df, w, cols, windows, stats, decimals)
     return src.select(*keep, *extra, *rolling_columns(w, cols, windows, stats, min_periods, decimals))
 
 
@@ -224,9 +283,7 @@ def features_a(df: DataFrame, preset: PresetA | None = None, series: Series = Se
     p = preset or PresetA()
     lag, roll, chg = p.resolve(df.columns)
     w = series.window()
-    base = [F.col(c) for c in df.columns]
-    stage1 = rolling_stage1(w, roll, decimals) if decimals is not None else []
-    padded = df.select(*base, *pad_columns(w, chg, df), *stage1)
+    padded = rolling_prep(df, w, roll, p.rolling_windows, STATS, decimals, first=pad_columns(w, chg, df))
     cols = [F.col(c) for c in df.columns]
     if calendar:
         cols += calendar_columns(F.col(series.order[0]), "a")
@@ -260,8 +317,7 @@ def features_b(df: DataFrame, preset: PresetB | None = None, series: Series = Se
     p = preset or PresetB()
     t = p.target
     w = series.window()
-    stage1 = rolling_stage1(w, [t], decimals) if decimals is not None else []
-    padded = df.select(*[F.col(c) for c in df.columns], *pad_columns(w, [t], df), *stage1)
+    padded = rolling_prep(df, w, [t], p.windows, STATS, decimals, first=pad_columns(w, [t], df))
     cols = [F.col(c) for c in df.columns]
     if calendar:
         cols += calendar_columns(F.col(series.order[0]), "b")

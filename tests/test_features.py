@@ -104,3 +104,22 @@ def test_one_window_node_plan(spark):
     f = fx.features_b(hourly_frame(spark), decimals=0)
     plan = f._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1
+
+
+def test_sparse_minmax_equals_frames(spark):
+    """Fixed-point min/max (sparse table of lags) == bounded ROWS frames, for
+    window sizes on and off the level boundaries, NULL runs and 3 keys."""
+    n = 150
+    df = spark.range(n).crossJoin(spark.createDataFrame([("a",), ("b",), ("c",)], "city string")).select(
+        (F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id"))).alias("timestamp"),
+        "city",
+        F.when(F.col("id").between(20, 40) | (F.col("id") % 9 == 0), F.lit(None))
+         .otherwise(F.round(F.rand(5) * 100, 2)).alias("x"))
+    sizes = [1, 2, 5, 16, 17, 63, 65]
+    s = fx.Series()
+    fast = fx.with_rolling(df, s, ["x"], sizes, ("min", "max"), 1, 2, keep=["city", "timestamp"])
+    slow = fx.with_rolling(df, s, ["x"], sizes, ("min", "max"), 1, None, keep=["city", "timestamp"])
+    key = ["city", "timestamp"]
+    a = {tuple(r[k] for k in key): r.asDict() for r in fast.collect()}
+    b = {tuple(r[k] for k in key): r.asDict() for r in slow.collect()}
+    assert a == b and len(a) == 3 * n
