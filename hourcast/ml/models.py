@@ -138,10 +138,30 @@ def moving_average_prediction(df: DataFrame, window: int = 24, base: str = "pm2_
 
 
 # M13, M15 -----------------------------------------------------------------------
+class InsufficientData(ValueError):
+    """P25: too few usable rows to train; the caller skips the run."""
+
+
+MIN_ROWS, MIN_VALID = 100, 10
+
+
 def prepare(df: DataFrame, features: Sequence[str], label: str, test_size: float = 0.2,
-            scale: bool = True, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+            scale: bool = True, keep: Sequence[str] = (), min_rows: int = MIN_ROWS,
+            min_valid: int = MIN_VALID) -> tuple[DataFrame, DataFrame]:
     """P11 + M2 + A21 + M1: chronological split, population-std scaling
-    fitted on train, assembled train/test frames (train persisted)."""
+    fitted on train, assembled train/test frames (train persisted).
+
+    P25 guards: fewer than ``min_rows`` rows with a label, or fewer than
+    ``min_valid`` complete rows, raise ``InsufficientData`` (checked by one
+    aggregate before anything is fitted)."""
+    if label not in df.columns:                      # checked before dropping rows
+        raise InsufficientData(f"label {label} missing")
+    complete = F.col(label).isNotNull()
+    for c in features:
+        complete = complete & F.col(c).isNotNull()
+    n_lab, n_ok = df.agg(F.count(F.col(label)), F.count(F.when(complete, 1))).first()
+    if n_lab < min_rows or n_ok < min_valid:
+        raise InsufficientData(f"{n_lab} labelled / {n_ok} complete rows")
     # one reliable checkpoint of the wide feature frame: every later action
     # (count, scaler fit, assemble) starts from it instead of the window plan
     base = cut_lineage(df.where(F.col(label).isNotNull()).dropna(subset=list(features)))
@@ -165,7 +185,16 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, names: Sequence[str],
         p = m.transform(test).select(*keep, F.lit(n).alias("model"), F.col(LABEL).alias("y"),
                                      F.col(PRED).alias("yhat"))
         preds = p if preds is None else preds.unionByName(p)
-    return fitted, mx.evaluate(preds, ["model"])
+    nz = F.create_map(*[x for n, m in fitted.items() for x in (F.lit(n), F.lit(nonzero_count(m)))])
+    return fitted, mx.evaluate(preds, ["model"]).withColumn("n_nonzero", nz[F.col("model")])
+
+
+def nonzero_count(model) -> int:
+    """Features a model uses (non-zero coefficients, or non-zero
+    importances for trees)."""
+    if hasattr(model, "coefficients"):
+        return int(model.coefficients.numNonzeros())
+    return int(model.featureImportances.numNonzeros())
 
 
 def cv_folds(df: DataFrame, features: Sequence[str], label: str, names: Sequence[str], n_splits: int = 3,

@@ -197,3 +197,23 @@ def status_by_city(data: DataFrame, cities: DataFrame, ts: str = "timestamp") ->
 
 def profile_columns(df: DataFrame) -> list[Column]:
     return [F.col(c) for c in df.columns]
+
+
+def safe_corr(a: str, b: str) -> Column:
+    """Pairwise-complete Pearson correlation that is NULL (instead of an ANSI
+    divide-by-zero error) when either column is constant."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x = F.when(both, F.col(a).cast("double"))
+    y = F.when(both, F.col(b).cast("double"))
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
+def top_by_corr(df: DataFrame, target: str, features: Sequence[str], k: int = 50, digits: int = 6) -> DataFrame:
+    """T5 + W16: the ``k`` features with the largest absolute correlation to
+    ``target`` (ties by name); constant features (NULL/NaN correlation) are
+    left out. One aggregate over the frame, then a rank over the feature list."""
+    feats = [f for f in features if f in df.columns and f != target]
+    wide = df.agg(*[F.round(safe_corr(f, target), digits).alias(f"{f}__corr") for f in feats])
+    c = _stack(wide, feats, ["corr"], "feature").where(F.col("corr").isNotNull() & ~F.isnan("corr"))
+    w = Window.orderBy(F.abs("corr").desc(), F.col("feature"))       # one row per feature
+    return c.select("feature", "corr", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)

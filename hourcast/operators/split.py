@@ -88,3 +88,26 @@ def sequences(df: DataFrame, features: Sequence[str], label: str, length: int,
     seq = F.collect_list(F.struct(*[F.col(c) for c in features])).over(w)
     out = df.select(*keys, *order, seq.alias("sequence"), F.col(label).alias("label"))
     return out.where(F.size("sequence") == length)
+
+
+def dense_ids(df: DataFrame, order: Sequence[str], col: str = "row_id") -> DataFrame:
+    """``col`` = 0..n-1 in ``order`` (a unique key), without a window
+    over the whole frame.
+
+    A range-partitioned sort spreads the rows (a hot timestamp included, as the
+    order is unique) over all partitions; ``monotonically_increasing_id`` right
+    after the sort is (partition << 33) + position in partition. Per-partition
+    counts (one row per partition, so bounded by the partition count) give each
+    partition's offset. The sorted frame is checkpointed so that its sampled
+    range bounds, and therefore the ids, survive recomputation after a lost
+    executor.
+    """
+    from hourcast.session import cut_lineage
+    s = cut_lineage(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    pid = F.shiftright(F.col("_mid"), 33)
+    counts = s.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
+    offs = counts.select("_pid", (F.sum("_n").over(run) - F.col("_n")).alias("_off"))
+    j = s.join(F.broadcast(offs), pid == F.col("_pid"))
+    rid = F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid"), 33)
+    return j.select(*[F.col(c) for c in df.columns], rid.alias(col))

@@ -172,9 +172,8 @@ def interactions(spark, sf):
 
 
 # Full presets ----------------------------------------------------------------
-def _full_a_sql():
+def _full_a_select():
     lag_c, roll_c, chg_c = A.resolve(["pm2_5", "pm10", "temp", "humidity", "wind_speed", "pressure"])
-    pads = ", ".join(f"{sg.pad(c, W)} AS pad_{c}" for c in chg_c)
     sel = ["city", "timestamp", "unix_time", "n", "pm2_5", "pm10", "temp", "humidity", "wind_speed",
            "wind_deg", "pressure", "clouds", "visibility", "aqi"]
     sel += sg.calendar_sql("timestamp", "a")
@@ -186,6 +185,17 @@ def _full_a_sql():
         sel += [f"{sg.pct('pad_' + c, p, W)} AS {c}_pct_change_{p}h" for p in A.change_periods]
     sel += _INTER_SQL[:5] + [f"pressure - {sg.lag('pressure', 3, W)} AS pressure_gradient"]
     sel += [f"{sg.lead('pm2_5', h, W)} AS target_{h}h" for h in A.horizons]
+    return sel, chg_c
+
+
+def full_a_names() -> list[str]:
+    """Output column names of features_full_a, in order."""
+    return [e.rsplit(" AS ", 1)[1] if " AS " in e else e for e in _full_a_select()[0]]
+
+
+def _full_a_sql():
+    sel, chg_c = _full_a_select()
+    pads = ", ".join(f"{sg.pad(c, W)} AS pad_{c}" for c in chg_c)
     return f"WITH {sg.obs_cte()}, padded AS (SELECT *, {pads} FROM obs) SELECT {', '.join(sel)} FROM padded"
 
 

@@ -128,3 +128,70 @@ def progress(spark, sf):
     p = al.progress(_done_days(spark, sf))
     return p.select("city", F.col("total_records").cast("long").alias("total_records"), "days_completed",
                     F.date_format("last_date", "yyyy-MM-dd").alias("last_date"))
+
+
+# S19 / S20 / T5 --------------------------------------------------------------------
+def _fg_sql():
+    from hourcast.plans.q_features import ORACLE as FO
+    return (f"fa AS ({FO['features_full_a']}), "
+            "fg AS (SELECT * FROM fa WHERE COLUMNS(*) IS NOT NULL)")
+
+
+def _selectable():
+    """Preset-A feature columns (rule a) minus the row count and the raw index."""
+    from types import SimpleNamespace
+
+    from hourcast.operators.features import feature_columns
+    from hourcast.plans.q_features import full_a_names
+    return [c for c in feature_columns(SimpleNamespace(columns=full_a_names()), "a") if c not in ("n", "aqi")]
+
+
+def feature_group_df(spark, sf):
+    from hourcast.plans.q_features import features_full_a
+    return st.feature_group_rows(features_full_a(spark, sf))
+
+
+_SEASONS = ["season_winter", "season_spring", "season_summer", "season_fall"]
+
+
+@q("feature_group_load", f"""WITH {_fg_sql()}
+SELECT CAST(row_number() OVER (ORDER BY timestamp, city) - 1 AS BIGINT) AS observation_id, timestamp AS event_time,
+  * REPLACE ({', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in _SEASONS)})
+FROM fg""")
+def feature_group_load(spark, sf):
+    return feature_group_df(spark, sf)
+
+
+@q("feature_select_top50", f"""WITH {_fg_sql()},
+c AS (SELECT ROUND(CORR(CAST(COLUMNS({'[' + ', '.join(repr(c) for c in _selectable()) + ']'}) AS DOUBLE), target_24h), 6) FROM fg),
+u AS (UNPIVOT c ON COLUMNS(*) INTO NAME feature VALUE corr),
+r AS (SELECT feature, corr, row_number() OVER (ORDER BY ABS(corr) DESC, feature) AS rank
+      FROM u WHERE corr IS NOT NULL AND NOT isnan(corr))
+SELECT feature, corr, rank FROM r WHERE rank <= 50""")
+def feature_select_top50(spark, sf):
+    """S20 view of the feature group with ``target_24h`` as label; T5 keeps
+    the 50 features most correlated with it."""
+    from hourcast.operators import quality as qa
+    from hourcast.plans.q_features import features_full_a
+    fg = features_full_a(spark, sf).na.drop(how="any")
+    return qa.top_by_corr(fg, "target_24h", _selectable(), 50)
+
+
+# P18 / P26 -------------------------------------------------------------------------
+@q("lookback_7d", f"""WITH {sg.obs_cte()},
+m AS (SELECT city, MAX(timestamp) AS newest FROM obs GROUP BY city)
+SELECT obs.* FROM obs JOIN m USING (city) WHERE obs.timestamp >= m.newest - INTERVAL 7 DAY""")
+def lookback_7d(spark, sf):
+    return st.lookback_rows(views.obs(spark, sf), 7)
+
+
+# P26 allow-list: the models the serving tier lists (the log's second model is not on it)
+ALLOWED_MODELS = ["persistence", "moving_average", "ridge", "lasso", "elastic_net", "random_forest",
+                  "gradient_boosting", "xgboost", "lightgbm"]
+
+
+@q("models_listing", f"""WITH {_REG_SQL}
+SELECT model_name, version, row_number() OVER (PARTITION BY model_name ORDER BY version DESC) AS recency
+FROM reg WHERE model_name IN ({', '.join(repr(m) for m in ALLOWED_MODELS)})""")
+def models_listing(spark, sf):
+    return st.list_models(registry_df(spark, sf), ALLOWED_MODELS)

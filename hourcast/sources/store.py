@@ -137,13 +137,58 @@ def latest_versions(registry: DataFrame) -> DataFrame:
     return keep_one(registry, ["model_name"], ["version"], "last")
 
 
-def list_models(registry: DataFrame) -> DataFrame:
-    """Models with their versions, newest first."""
+def list_models(registry: DataFrame, allow: Sequence[str] | None = None) -> DataFrame:
+    """Models with their versions, newest first; P26: only the names in
+    ``allow`` (a filter applied before the window, so it prunes early)."""
+    if allow is not None:
+        registry = registry.where(F.col("model_name").isin(list(allow)))
     w = Window.partitionBy("model_name").orderBy(F.col("version").desc())
     return registry.select("model_name", "version", F.row_number().over(w).alias("recency"))
 
 
+# per-key tables (one row per city) are broadcast below this many rows
+KEY_TABLE_BROADCAST_MAX = 1_000_000
+
+
+def lookback_rows(df: DataFrame, days: int = 7, keys: Sequence[str] = ("city",), ts: str = "timestamp",
+                  city: str | None = None) -> DataFrame:
+    """The last ``days`` of every key, relative to that key's newest row.
+
+    With ``city`` given this is the single-city serving read: an equality
+    filter plus a range filter on literals, both pushed to the scan. For all
+    keys, the per-key newest timestamp is a grouped max (map-side combined,
+    one row per key); it is broadcast when its counted size is below
+    ``KEY_TABLE_BROADCAST_MAX`` and shuffle-joined otherwise."""
+    if city is not None:
+        one = df.where(F.col(keys[0]) == F.lit(city))
+        newest = one.agg(F.max(ts)).first()[0]
+        if newest is None:
+            return one
+        return one.where(F.col(ts) >= F.lit(newest) - F.expr(f"INTERVAL {int(days)} DAYS"))
+    newest = df.groupBy(*keys).agg(F.max(ts).alias("_newest"))
+    n = newest.count()
+    newest = F.broadcast(newest) if n <= KEY_TABLE_BROADCAST_MAX else newest
+    j = df.join(newest, list(keys))
+    return j.where(F.col(ts) >= F.col("_newest") - F.expr(f"INTERVAL {int(days)} DAYS")).select(*df.columns)
+
+
 def latest_rows(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timestamp") -> DataFrame:
     """The most recent row of every key (grouped max over a struct led by
     the timestamp: combines map-side, no per-key sort)."""
     return keep_one(df, list(keys), [ts], "last")
+
+
+def feature_group_rows(df: DataFrame, order: Sequence[str] = ("timestamp", "city"), id_col: str = "observation_id",
+                       time_col: str = "timestamp") -> DataFrame:
+    """Rows ready for a feature group keyed by a dense ``id_col``.
+
+    Rows with any NULL or NaN (lag warm-up, missing targets) are dropped, the
+    id is 0..n-1 in ``order`` (exact, no whole-frame window: ``dense_ids``),
+    ``event_time`` copies ``time_col`` and booleans become 0/1 integers. The
+    city column is kept: with several cities it is part of the row's identity.
+    """
+    from hourcast.operators.split import dense_ids
+    clean = df.na.drop(how="any")
+    clean = clean.select(*[F.col(c).cast("int").alias(c) if t == "boolean" else F.col(c) for c, t in clean.dtypes])
+    ided = dense_ids(clean, list(order), id_col)
+    return ided.select(id_col, F.col(time_col).alias("event_time"), *clean.columns)
