@@ -213,7 +213,14 @@ def top_by_corr(df: DataFrame, target: str, features: Sequence[str], k: int = 50
     ``target`` (ties by name); constant features (NULL/NaN correlation) are
     left out. One aggregate over the frame, then a rank over the feature list."""
     feats = [f for f in features if f in df.columns and f != target]
-    wide = df.agg(*[F.round(safe_corr(f, target), digits).alias(f"{f}__corr") for f in feats])
-    c = _stack(wide, feats, ["corr"], "feature").where(F.col("corr").isNotNull() & ~F.isnan("corr"))
+    # long form (feature, x, y): a compact plan of three aggregates grouped by
+    # feature name, combined map-side to one row per feature and partition
+    long = df.select(F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in feats]) \
+        .unpivot("_y", feats, "feature", "_x")
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    x, y = F.when(both, F.col("_x")), F.when(both, F.col("_y"))
+    corr = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+    c = long.groupBy("feature").agg(F.round(corr, digits).alias("corr")) \
+        .where(F.col("corr").isNotNull() & ~F.isnan("corr"))
     w = Window.orderBy(F.abs("corr").desc(), F.col("feature"))       # one row per feature
     return c.select("feature", "corr", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
