@@ -159,11 +159,16 @@ def blocked(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], seri
 def skew_safe(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], series: Series, back: int,
               fwd: int, buckets: Sequence[Column], pad_cols: Sequence[str] = (),
               block_rows: int | None = None) -> DataFrame:
-    """Plain ``build`` when the largest key fits one block, the blocked path
-    otherwise. The decision reads only the per-(key, bucket) counts."""
+    """Plain ``build`` when no key is larger than a fair task share (rows /
+    parallelism, at least one block, at most ``MAX_BLOCK_ROWS``): one window
+    per key is then balanced. A key above it (a hot key, or a few keys holding
+    everything) takes the blocked path. The decision reads only the
+    per-(key, bucket) counts."""
     lay = layout(df, series, buckets)
+    par = df.sparkSession.sparkContext.defaultParallelism
     if block_rows is None:
-        block_rows = auto_block_rows(lay, back + fwd, df.sparkSession.sparkContext.defaultParallelism)
-    if lay.max_key_rows <= block_rows:
+        block_rows = auto_block_rows(lay, back + fwd, par)
+    fair = math.ceil(lay.rows / max(1, par))
+    if lay.max_key_rows <= min(MAX_BLOCK_ROWS, max(block_rows, fair)):
         return build(df.withColumn("_core", F.lit(True)), series).drop("_core")
     return blocked(df, build, series, back, fwd, buckets, pad_cols, block_rows, lay)

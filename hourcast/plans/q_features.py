@@ -109,16 +109,15 @@ _RAW_W = sg.win(("city",), ("timestamp", "event_id"))
 @q("change_b", _change_sql(sg.RAW_CTE.replace("raw AS", "src AS", 1), ["value"], B.periods, _RAW_W,
                            ["city", "event_id"], "{col}_change_{p}h"))
 def change_b(spark, sf):
-    """Preset-B change on raw events with NULL gaps: pct change pads first."""
+    """Preset-B change on raw events with NULL gaps: pct change pads first.
+    Raw events have few keys, so the plan is chosen from per-(key, minute)
+    counts: one window per key while every key fits a block, else the
+    halo-blocked plan (``change_b_blocked`` forces the latter)."""
+    from hourcast.operators import halo
     s = fx.Series(keys=("city",), order=("timestamp", "event_id"))
-    w = s.window()
-    r = views.raw_series(spark, sf)
-    padded = r.select("*", *fx.pad_columns(w, ["value"]))
-    cols = []
-    for p in B.periods:
-        cols += fx.diff_columns(w, ["value"], [p], name="{col}_change_{p}h")
-        cols += fx.pct_change_columns(w, ["value"], [p])
-    return padded.select("city", "event_id", *cols)
+    buckets = [F.date_trunc("minute", F.col("timestamp"))]
+    return halo.skew_safe(views.raw_series(spark, sf), _change_b_build, s, max(B.periods), 0, buckets,
+                          pad_cols=["value"])
 
 
 # W8 ---------------------------------------------------------------------------
@@ -233,11 +232,16 @@ _LONG_W = sg.win(("series",), views.LONG_ORDER)
                + [f"{sg.rolling(c, w, s, _LONG_W, 1, 2)} AS {c}_rolling_{s}_{w}h"
                   for c in _LONG_COLS for w in A.rolling_windows for s in fx.STATS]) + " FROM src")
 def long_series_features(spark, sf):
+    """One window per supplier while every supplier fits a block (decided from
+    per-(key, bucket) counts); a hot supplier switches to the blocked plan."""
+    from hourcast.operators import halo
     s = fx.Series(keys=("series",), order=views.LONG_ORDER)
-    li = views.long_series(spark, sf)
-    return fx.with_rolling(li, s, _LONG_COLS, A.rolling_windows, fx.STATS, 1, 2,
-                           keep=["series", "l_orderkey", "l_linenumber", "l_partkey"],
-                           extra=fx.lag_columns(s.window(), _LONG_COLS, A.lag_hours))
+    back = max(max(A.lag_hours), max(A.rolling_windows) - 1)
+    return halo.skew_safe(views.long_series(spark, sf), _long_build, s, back, 0, _long_buckets())
+
+
+def _long_buckets():
+    return [F.col("timestamp"), F.floor(F.col("l_orderkey") / F.lit(1024))]
 
 
 # Halo-blocked twins (§4.3.2): same results as the queries above, computed per
@@ -254,8 +258,7 @@ def long_series_blocked(spark, sf):
     from hourcast.operators import halo
     s = fx.Series(keys=("series",), order=views.LONG_ORDER)
     back = max(max(A.lag_hours), max(A.rolling_windows) - 1)
-    buckets = [F.col("timestamp"), F.floor(F.col("l_orderkey") / F.lit(1024))]
-    return halo.blocked(views.long_series(spark, sf), _long_build, s, back, 0, buckets)
+    return halo.blocked(views.long_series(spark, sf), _long_build, s, back, 0, _long_buckets())
 
 
 def _change_b_build(frame, s):

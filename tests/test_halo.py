@@ -79,3 +79,16 @@ def test_skew_safe_small_keys_plain(spark):
                          pad_cols=["aqi"], block_rows=1000)
     assert "_core" not in out.columns
     assert _rows(out) == _rows(fx.features_b(df, decimals=0))
+
+
+def test_skew_safe_auto_hot_key_equals_plain(spark):
+    """Automatic choice (no block size given): the hot key exceeds a fair task
+    share, so the blocked plan runs; results equal the plain windows."""
+    df = skewed_frame(spark)
+
+    def build(frame, s):
+        return fx.features_b(frame, series=s, decimals=0)
+
+    out = halo.skew_safe(df, build, fx.Series(), 24, 72, [F.date_trunc("day", F.col("timestamp"))],
+                         pad_cols=["aqi"])
+    assert _rows(out) == _rows(fx.features_b(df, decimals=0))
