@@ -73,6 +73,22 @@ def align_inner(weather: DataFrame, pollution: DataFrame, keys: Sequence[str] =
     return j.withColumn(unix, F.unix_seconds(F.col("timestamp").cast("timestamp")))
 
 
+# Preferred column order of a merged weather + pollution row
+MERGED_ORDER = ["datetime", "unix_time", "hour_ts",
+                "temp", "feels_like", "humidity", "pressure", "wind_speed", "wind_deg",
+                "clouds", "visibility", "dew_point", "uvi",
+                "aqi", "pm2_5", "pm10", "no2", "so2", "co", "o3", "nh3", "no"]
+
+
+def order_present(df: DataFrame, preferred: Sequence[str] = tuple(MERGED_ORDER),
+                  keys: Sequence[str] = ("city", "timestamp")) -> DataFrame:
+    """P13 + P14: keep ``keys`` then the ``preferred`` columns that exist, in
+    that order; anything else (join suffixes, helpers) is dropped. A pure
+    projection: Catalyst prunes the dropped columns from the scans."""
+    have = set(df.columns)
+    return df.select(*[k for k in keys if k in have], *[c for c in preferred if c in have and c not in keys])
+
+
 def align_outer(weather: DataFrame, pollution: DataFrame, keys: Sequence[str] = ("city", "timestamp"),
                 weather_wins: Sequence[str] = ("unix_time",)) -> DataFrame:
     """Record merge — union of columns, full outer on the keys; for

@@ -72,7 +72,11 @@ def layout(df: DataFrame, series: Series, buckets: Sequence[Column]) -> Layout:
 def auto_block_rows(lay: Layout, halo: int, parallelism: int) -> int:
     """Spread the largest key over every core, blocks of at least four halos
     (replication overhead <= 25%) and at most MAX_BLOCK_ROWS rows."""
-    want = math.ceil(lay.max_key_rows / max(1, parallelism))
+    return block_rows_for(lay.max_key_rows, halo, parallelism)
+
+
+def block_rows_for(max_key_rows: int, halo: int, parallelism: int) -> int:
+    want = math.ceil(max_key_rows / max(1, parallelism))
     return int(min(MAX_BLOCK_ROWS, max(4 * halo, 1, want)))
 
 
@@ -164,11 +168,15 @@ def skew_safe(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], se
     per key is then balanced. A key above it (a hot key, or a few keys holding
     everything) takes the blocked path. The decision reads only the
     per-(key, bucket) counts."""
-    lay = layout(df, series, buckets)
+    # per-key counts only: the scan reads just the key columns and the
+    # aggregate combines map-side to one row per key and partition
+    st = df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("n")) \
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("r"), F.coalesce(F.max("n"), F.lit(0)).alias("m")).first()
+    rows, max_key = int(st["r"]), int(st["m"])
     par = df.sparkSession.sparkContext.defaultParallelism
     if block_rows is None:
-        block_rows = auto_block_rows(lay, back + fwd, par)
-    fair = math.ceil(lay.rows / max(1, par))
-    if lay.max_key_rows <= min(MAX_BLOCK_ROWS, max(block_rows, fair)):
+        block_rows = block_rows_for(max_key, back + fwd, par)
+    fair = math.ceil(rows / max(1, par))
+    if max_key <= min(MAX_BLOCK_ROWS, max(block_rows, fair)):
         return build(df.withColumn("_core", F.lit(True)), series).drop("_core")
-    return blocked(df, build, series, back, fwd, buckets, pad_cols, block_rows, lay)
+    return blocked(df, build, series, back, fwd, buckets, pad_cols, block_rows)

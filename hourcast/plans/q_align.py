@@ -50,6 +50,19 @@ def align_inner(spark, sf):
     return al.align_inner(views.weather_feed(spark, sf), views.pollution_feed(spark, sf))
 
 
+_ORDERED = [c for c in al.MERGED_ORDER if c in ["unix_time"] + WCOLS + PCOLS]
+
+
+@q("align_inner_ordered", f"""WITH {FEEDS},
+j AS (SELECT w.city, w.timestamp, {', '.join('w.' + c for c in WCOLS)}, {', '.join('p.' + c for c in PCOLS)},
+        CAST(epoch(w.timestamp) AS BIGINT) AS unix_time
+      FROM w JOIN p ON w.city = p.city AND w.timestamp = p.timestamp)
+SELECT city, timestamp, {', '.join(_ORDERED)} FROM j""")
+def align_inner_ordered(spark, sf):
+    """J2 then P13/P14: suffix columns dropped, preferred column order."""
+    return al.order_present(al.align_inner(views.weather_feed(spark, sf), views.pollution_feed(spark, sf)))
+
+
 @q("align_outer", f"""WITH {FEEDS}
 SELECT COALESCE(w.city, p.city) AS city, COALESCE(w.timestamp, p.timestamp) AS timestamp,
   COALESCE(w.unix_time, p.unix_time) AS unix_time, {', '.join('w.' + c for c in WCOLS)}, {', '.join('p.' + c for c in PCOLS)}

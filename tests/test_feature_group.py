@@ -78,3 +78,11 @@ def test_prepare_guards_and_nonzero(spark):
     tr, te = ml.prepare(df.withColumnRenamed("y", ml.LABEL), ["x1", "x2", "z"], ml.LABEL, scale=False)
     _, m = ml.train_and_evaluate(tr, te, ["lasso"])
     assert m.first()["n_nonzero"] <= 2
+
+
+def test_order_present_keeps_keys_then_preferred(spark):
+    from hourcast.operators import align as al
+    df = spark.createDataFrame([("a", 1, 2.0, 3.0, 4.0, 5.0)],
+                               "city string, timestamp int, pm10 double, temp_x double, temp double, aqi double")
+    out = al.order_present(df)
+    assert out.columns == ["city", "timestamp", "temp", "aqi", "pm10"]
