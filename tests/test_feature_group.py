@@ -86,3 +86,11 @@ def test_order_present_keeps_keys_then_preferred(spark):
                                "city string, timestamp int, pm10 double, temp_x double, temp double, aqi double")
     out = al.order_present(df)
     assert out.columns == ["city", "timestamp", "temp", "aqi", "pm10"]
+
+
+def test_city_coordinates_case_insensitive_left_join(spark):
+    from hourcast.operators import align as al
+    obs = spark.createDataFrame([("Lahore", 1), ("KARACHI", 2), ("Quetta", 3)], "city string, v int")
+    dim = spark.createDataFrame([("lahore", 31.5, 74.3), ("Karachi", 24.9, 67.0)], "city string, lat double, lon double")
+    got = {r["city"]: (r["lat"], r["lon"]) for r in al.city_coordinates(obs, dim).collect()}
+    assert got == {"Lahore": (31.5, 74.3), "KARACHI": (24.9, 67.0), "Quetta": (None, None)}
