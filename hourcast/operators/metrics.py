@@ -76,6 +76,17 @@ def exact_mean(c: str) -> Column:
     return F.sum(F.col(c).cast("decimal(18,2)")).cast("double") / F.count(c)
 
 
+def next_day_log(obs: DataFrame, models: dict) -> DataFrame:
+    """Prediction log of next-day models: at hour t, model ``name`` predicts
+    column ``models[name]`` for the following day (target date = date(t) + 1)."""
+    td = F.date_add(F.to_date("timestamp"), 1).alias("target_date")
+    out = None
+    for name, col in models.items():
+        f = obs.select("city", td, F.col(col).alias("predicted_aqi"), F.lit(name).alias("model_used"))
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
 def daily_predictions(log: DataFrame, exact: bool = True) -> DataFrame:
     """A1: mean predicted value per (city, model, target date)."""
     m = exact_mean("predicted_aqi") if exact else F.avg("predicted_aqi")

@@ -150,11 +150,11 @@ def pred_log(spark, sf):
     """Prediction log derived from observations: at hour t the persistence
     model predicts pm2_5 and the 'hourly_max' model predicts pm10 for the next
     day (target date = date(t) + 1)."""
-    o = views.obs(spark, sf)
-    td = F.date_add(F.to_date("timestamp"), 1).alias("target_date")
-    return (o.select("city", td, F.col("pm2_5").alias("predicted_aqi"), F.lit("persistence").alias("model_used"))
-            .unionByName(o.select("city", td, F.col("pm10").alias("predicted_aqi"),
-                                  F.lit("hourly_max").alias("model_used"))))
+    return mx.next_day_log(views.obs(spark, sf), LOG_MODELS)
+
+
+# the two next-day models of the derived prediction log: name -> predicted column
+LOG_MODELS = {"persistence": "pm2_5", "hourly_max": "pm10"}
 
 
 _LOG_SQL = f"""{sg.obs_cte()},

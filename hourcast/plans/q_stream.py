@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hourcast.operators import features as fx
 from hourcast.plans import sqlgen as sg
 from hourcast.plans.q_features import _full_b_sql
+from hourcast.plans.q_metrics import _LOG_SQL
 from hourcast.streaming import jobs
 
 QUERIES: dict = {}
@@ -58,3 +59,19 @@ def stream_alerts(spark, sf):
         return spark.read.parquet(job.alerts).select("city", F.date_format("day", "yyyy-MM-dd").alias("day"),
                                                      "max_value", "level")
     return jobs.with_scratch(spark, go)
+
+
+@q("stream_accuracy", f"WITH {_LOG_SQL} SELECT city, strftime(target_date, '%Y-%m-%d') AS target_date, "
+   "model_used, predicted, actual FROM h")
+def stream_accuracy(spark, sf):
+    """The accuracy history kept current by the micro-batch job equals
+    the batch accuracy history over the whole observation frame."""
+    from hourcast.plans.q_metrics import LOG_MODELS
+
+    def go(d):
+        job = jobs.FeatureStreamJob(spark, d, monitor_models=LOG_MODELS)
+        job.run(jobs.file_stream(spark, sf, "events.parquet"))
+        h = job.monitor.read("accuracy")
+        return h.select("city", F.date_format("target_date", "yyyy-MM-dd").alias("target_date"),
+                        "model_used", "predicted", "actual")
+    return jobs.with_scratch(spark, go)

@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 from hourcast.functions.scalars import alert_level
 from hourcast.functions.time import hour_bucket
 from hourcast.operators import features as fx
-from hourcast.session import checkpoint_dir
+from hourcast.operators import metrics as mx
+from hourcast.session import checkpoint_dir, cut_lineage
 from hourcast.sources import views
 from hourcast.sources.store import FeatureStore
 
@@ -70,8 +71,12 @@ class FeatureStreamJob:
     feature store (upsert) + alerts, one micro-batch at a time."""
 
     def __init__(self, spark: SparkSession, root: str, preset: fx.PresetB | None = None,
-                 history_hours: int = 24 * 7, alert_col: str = "pm10"):
+                 history_hours: int = 24 * 7, alert_col: str = "pm10", monitor_models: dict | None = None,
+                 actual_col: str = "pm2_5"):
         self.spark, self.root = spark, root.rstrip("/")
+        self.monitor_models, self.actual_col = monitor_models, actual_col
+        self.monitor = FeatureStore(spark, f"{self.root}/monitor", keys=("city", "model_used", "target_date"),
+                                    ts="target_date")
         self.preset = preset or fx.PresetB()
         self.history_hours = history_hours
         self.alert_col = alert_col
@@ -100,12 +105,34 @@ class FeatureStreamJob:
         else:
             frame = hours
         feats = fx.features_b(frame, self.preset, decimals=0)
-        new = feats.join(touched, ["city", "timestamp"], "left_semi")
+        # the history read above comes from the obs partitions the upsert below
+        # replaces: cut the lineage first (reliable checkpoint), so later
+        # actions and retries never re-read overwritten files
+        new = cut_lineage(feats.join(touched, ["city", "timestamp"], "left_semi"))
+        hours = cut_lineage(hours)
         self.store.upsert(hours, "obs")                                               # R3 idempotent
         self.store.upsert(new, "features")
         a = new.groupBy("city", F.to_date("timestamp").alias("day")).agg(F.max(self.alert_col).alias("max_value")) \
             .withColumn("level", alert_level("max_value")).where(F.col("level") != "OK")
         a.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(self.alerts)   # R7
+        if self.monitor_models:
+            self.track_accuracy(dates)                                                # R6
+
+    def track_accuracy(self, dates) -> None:
+        """Keep the daily accuracy history current. A batch that touched
+        days D changes actuals of D and next-day predictions for D + 1, so
+        only target dates D and D + 1 are recomputed, from the stored
+        observations of D - 1 .. D + 1 (date partitions pruned), and upserted
+        on (city, model, target date)."""
+        import datetime as dt
+        day = dt.timedelta(days=1)
+        targets = sorted(set(dates) | {d + day for d in dates})
+        obs = (self.spark.read.parquet(self.store.path("obs"))
+               .where(F.col("date").between(F.lit(min(dates) - day), F.lit(max(dates) + day))).drop("date"))
+        in_t = F.col("target_date").isin(targets)
+        pdl = mx.daily_predictions(mx.next_day_log(obs, self.monitor_models)).where(in_t)
+        ad = mx.daily_actuals(obs, self.actual_col).where(in_t)
+        self.monitor.upsert(mx.accuracy_history(pdl, ad), "accuracy")
 
     def run(self, source: DataFrame, ckpt: str | None = None):
         ck = ckpt or f"{self.root}/_checkpoint"
