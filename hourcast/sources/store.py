@@ -45,6 +45,9 @@ class FeatureStore:
     def path(self, group: str) -> str:
         return f"{self.root}/{group}"
 
+    def exists(self, group: str) -> bool:
+        return _exists(self.spark, self.path(group))
+
     def read(self, group: str, start=None, end=None, schema: T.StructType | None = None) -> DataFrame:
         """Inclusive time range; a missing group reads as empty."""
         p = self.path(group)

@@ -22,7 +22,7 @@ from __future__ import annotations
 import uuid
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,31 +93,76 @@ class FeatureStreamJob:
         dates = [r[0] for r in raw.select("date").distinct().collect()]              # few per batch
         landed = spark.read.parquet(self.landed).where(F.col("date").isin(dates)).drop("date")
         hours = views.hourly_from_events(landed).join(touched, ["city", "timestamp"], "left_semi")
-        lo = hours.agg(F.min("timestamp")).first()[0]
-        if lo is None:
+        if hours.isEmpty():
             return
-        hist = self.store.read("obs", start=None)
-        if hist.columns:
-            start = F.lit(lo) - F.make_dt_interval(hours=F.lit(self.history_hours))
-            hist = hist.where(F.col("timestamp") >= start).select(*hours.columns) \
-                .join(touched, ["city", "timestamp"], "left_anti")
-            frame = hist.unionByName(hours)
-        else:
-            frame = hours
+        frame = self.refresh_frame(hours, touched)
         feats = fx.features_b(frame, self.preset, decimals=0)
         # the history read above comes from the obs partitions the upsert below
         # replaces: cut the lineage first (reliable checkpoint), so later
         # actions and retries never re-read overwritten files
-        new = cut_lineage(feats.join(touched, ["city", "timestamp"], "left_semi"))
+        new = cut_lineage(self.refresh_band(feats))
         hours = cut_lineage(hours)
         self.store.upsert(hours, "obs")                                               # R3 idempotent
         self.store.upsert(new, "features")
-        a = new.groupBy("city", F.to_date("timestamp").alias("day")).agg(F.max(self.alert_col).alias("max_value")) \
+        a = new.join(touched, ["city", "timestamp"], "left_semi") \
+            .groupBy("city", F.to_date("timestamp").alias("day")).agg(F.max(self.alert_col).alias("max_value")) \
             .withColumn("level", alert_level("max_value")).where(F.col("level") != "OK")
         a.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(self.alerts)   # R7
         if self.monitor_models:
             self.track_accuracy(dates)                                                # R6
 
+    def bounds(self) -> tuple[int, int]:
+        """Rows a feature looks back (lags, rolling, changes) and ahead (targets)."""
+        p = self.preset
+        return max(max(p.lags), max(p.windows) - 1, max(p.periods)), max(p.horizons)
+
+    def refresh_frame(self, hours: DataFrame, touched: DataFrame) -> DataFrame:
+        """The stored rows of the touched cities around the new hours, plus the
+        new hours (marked ``_new``). The date range doubles until every city
+        has ``back + fwd`` rows before its first new hour and after its last
+        one (band rows need ``back`` rows of history and ``fwd`` rows of
+        future), or reaches the ends of the store, so the refresh band below
+        is exact even for late data and sparse series."""
+        import datetime as dt
+        back, fwd = self.bounds()
+        new = hours.withColumn("_new", F.lit(True))
+        if not self.store.exists("obs"):
+            return new
+        rng = touched.groupBy("city").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+        lo, hi = rng.agg(F.min("_first"), F.max("_last")).first()
+        stored = self.spark.read.parquet(self.store.path("obs")).join(rng.select("city"), "city", "left_semi")
+        smin, smax = stored.agg(F.min("date"), F.max("date")).first()
+        days = max(1, self.history_hours // 24)
+        while True:
+            a, b = lo.date() - dt.timedelta(days=days), hi.date() + dt.timedelta(days=days)
+            hist = (stored.where(F.col("date").between(F.lit(a), F.lit(b))).drop("date")
+                    .select(*hours.columns).join(touched, ["city", "timestamp"], "left_anti")
+                    .withColumn("_new", F.lit(False)))
+            c = hist.join(rng, "city").groupBy("city").agg(
+                F.count(F.when(F.col("timestamp") < F.col("_first"), 1)).alias("b"),
+                F.count(F.when(F.col("timestamp") > F.col("_last"), 1)).alias("a")).collect()
+            got = {r["city"]: r for r in c}
+            cities = [r[0] for r in rng.select("city").collect()]              # touched cities: few per batch
+            ok_b = smin is None or a <= smin or all(got.get(x) is not None and got[x]["b"] >= back + fwd for x in cities)
+            ok_a = smax is None or b >= smax or all(got.get(x) is not None and got[x]["a"] >= back + fwd for x in cities)
+            if ok_b and ok_a:
+                return hist.unionByName(new)
+            days *= 2
+
+    def refresh_band(self, feats: DataFrame) -> DataFrame:
+        """Rows whose features the new hours can change: from ``fwd`` rows
+        before the first new row to ``back`` rows after the last one, per city."""
+        back, fwd = self.bounds()
+        w = Window.partitionBy("city").orderBy("timestamp")
+        whole = Window.partitionBy("city")
+        pos = F.row_number().over(w)
+        f = feats.withColumn("_pos", pos)
+        first = F.min(F.when(F.col("_new"), F.col("_pos"))).over(whole)
+        last = F.max(F.when(F.col("_new"), F.col("_pos"))).over(whole)
+        f = f.withColumn("_a", first).withColumn("_z", last)
+        return f.where((F.col("_pos") >= F.col("_a") - fwd) & (F.col("_pos") <= F.col("_z") + back)) \
+            .drop("_pos", "_a", "_z", "_new")
+
     def track_accuracy(self, dates) -> None:
         """Keep the daily accuracy history current. A batch that touched
         days D changes actuals of D and next-day predictions for D + 1, so

@@ -5,7 +5,6 @@ equal the batch computation over all events."""
 import os
 
 import pyarrow as pa
-import pytest
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -50,8 +49,6 @@ def test_stream_accuracy_with_late_batches(spark, tmpdir_path):
     assert _rows(job.monitor.read("accuracy").select(*cols)) == _rows(exp)
 
 
-@pytest.mark.xfail(strict=True, reason="open: a batch refreshes features of its own hours only; earlier rows "
-                   "do not get leads that arrive later, and later rows keep lags computed before late data")
 def test_stream_features_with_late_batches(spark, tmpdir_path):
     job, obs = _run(spark, tmpdir_path)
     feats = fx.features_b(obs, decimals=0)
