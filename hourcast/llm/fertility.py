@@ -47,7 +47,13 @@ def piece_cache(path: str):
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())], bool)
-        _CACHES[path] = (wordcache.ChunkIds(lambda xs: sp.encode(xs, num_threads=1)), byte)
+
+        def encode(chunks):
+            got = sp.encode(chunks, num_threads=1)
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum())), n
+
+        _CACHES[path] = (wordcache.PieceIds(encode), byte)
     return _CACHES[path]
 
 
@@ -92,8 +98,7 @@ def base_counts(col: pa.Array) -> tuple[common.Words, dict]:
 def fertility(col: pa.Array, path: str, word_chars: np.ndarray) -> dict:
     """Measures over the words of each text (0 tokens: all zero)."""
     cache, byte = piece_cache(path)
-    flat = pc.replace_substring(col, "\n", " ")
-    ids, n = wordcache.encode_texts(flat, cache, False)
+    ids, n = wordcache.encode_texts(col, cache, "words")
     row = np.repeat(np.arange(len(n)), n)
     fall = np.bincount(row, weights=byte[ids], minlength=len(n))
     key = np.sort(row.astype(np.int64) << 32 | ids.astype(np.int64))

@@ -26,7 +26,6 @@ from hourcast.session import cut_lineage
 
 CAPACITY = 2048
 GROUP_PIECES = 20_000
-#: a new sequence is opened only if it beats every open one by more than this
 _CACHES: dict = {}
 
 
@@ -70,12 +69,12 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
 
     def run(batches):
         from hourcast.llm import common as c, packing as p, wordcache as w
+        tok = w.load_tokenizer(path)
         if path not in p._CACHES:
-            tok = w.load_tokenizer(path)
-            p._CACHES[path] = w.ChunkIds(lambda xs: [e.ids for e in tok.encode_batch_fast(xs, add_special_tokens=False)])
+            p._CACHES[path] = w.PieceIds(w.words_encoder(tok))
         cache = p._CACHES[path]
         for b in c.slices(batches, "text"):
-            ids, n = w.encode_texts(pc.fill_null(b.column(1), ""), cache, False)
+            ids, n = w.encode_exact(pc.fill_null(b.column(1), ""), cache, tok, "split", r"<\|")
             cols = p.cut(ids, n, end_id, capacity)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),

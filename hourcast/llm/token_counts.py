@@ -134,7 +134,7 @@ class RankMerger:
         if len(plain) == len(parts):
             text = self.normal("\n".join(parts))
         else:
-            text = "\n".join(self.normal(p) for p in parts)
+            text = "\n".join([self.normal(p) for p in parts])
         found = self.words.findall(text)
         col = pa.array(found, pa.large_string())
         coded = col.dictionary_encode()
