@@ -19,7 +19,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hourcast.llm import common, wordcache
@@ -155,24 +154,6 @@ def document(shard: dict, i: int, lo: int = 0, hi: int | None = None) -> np.ndar
     return np.array(out[lo - skipped:hi - skipped], np.uint32)
 
 
-def encode(col: pa.Array, cache, tok) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, tokens per text); exact for every text."""
-    hard = pc.match_substring_regex(col, AWKWARD).to_numpy(zero_copy_only=False)
-    if not hard.any():
-        return wordcache.encode_texts(col, cache, True)
-    easy = np.flatnonzero(~hard)
-    ids, n = wordcache.encode_texts(col.take(pa.array(easy)), cache, True) if len(easy) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-    whole = [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(col.take(pa.array(np.flatnonzero(hard))).to_pylist(), add_special_tokens=False)]
-    count = np.zeros(len(col), np.int64)
-    count[easy] = n
-    count[hard] = [len(w) for w in whole]
-    out = np.empty(int(count.sum()), np.uint32)
-    of = np.repeat(hard, count)
-    out[~of] = ids
-    out[of] = np.concatenate(whole) if whole else ids[:0]
-    return out, count
-
-
 def write(docs: DataFrame, out_dir: str, path: str, end_id: int = 2, vocab: int = 50_257,
           id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
     """Write every document's ids (plus the end id), in ascending id order
@@ -191,10 +172,10 @@ def write(docs: DataFrame, out_dir: str, path: str, end_id: int = 2, vocab: int
         from hourcast.llm import common as c, repair as r, wordcache as w
         tok = w.load_tokenizer(path)
         if path not in r._CACHES:
-            r._CACHES[path] = w.ChunkIds(lambda xs: [e.ids for e in tok.encode_batch_fast(xs, add_special_tokens=False)])
+            r._CACHES[path] = w.PieceIds(w.bytes_encoder(tok))
         part, no, before = TaskContext.get().partitionId(), 0, 0
         for b in c.slices(batches, "text", shard_bytes):
-            ids, n = r.encode(b.column(1), r._CACHES[path], tok)
+            ids, n = w.encode_exact(b.column(1), r._CACHES[path], tok, "bytes", r.AWKWARD)
             ids = np.insert(ids, np.cumsum(n), np.uint32(end_id))
             s = r.compress(ids, n + 1, vocab)
             one = lambda v, t: pa.array([v], t)
