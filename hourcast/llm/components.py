@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(new)
         # every larger neighbour of u goes to the smallest of u's neighbourhood
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _hang(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        large = _hang(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         # u and its smaller neighbours go to the smallest of them
         small = _hang(large)
         now = cut_lineage(small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")),

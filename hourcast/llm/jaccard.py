@@ -36,8 +36,11 @@ from hourcast.llm.components import components
 from hourcast.session import cut_lineage
 
 U64 = np.uint64
-#: cells of the frequency table, 2^CELL_BITS bytes when broadcast
-CELL_BITS = 22
+#: cells of the frequency table, 2^CELL_BITS bytes (32 MB) when broadcast. A
+#: cell's count bounds the frequency of its tokens from above, so the more
+#: cells, the rarer are the tokens in the prefixes and the smaller are the
+#: families; the result does not depend on it
+CELL_BITS = 25
 CELL_BLOCK = 1 << 16
 #: bits of the filter that picks family members on the second read
 FILTER_BITS = 1 << 24
@@ -54,30 +57,33 @@ def frequency_classes(texts: DataFrame, k: int) -> bytes:
 
     def count(batches):
         from hourcast.llm import common as c, jaccard as j
-        cells = np.zeros(1 << j.CELL_BITS, np.int64)
+        cells = np.zeros(1 << j.CELL_BITS, np.uint16)
         for b in c.slices(batches, "text"):
             _, _, h = c.shingles(c.Words(b.column(0)), k)
-            cells += np.bincount(j.cell_of(h), minlength=len(cells))
+            at, n = np.unique(j.cell_of(h), return_counts=True)
+            cells[at] = np.minimum(cells[at] + n, 65535)
         for i in range(len(cells) // j.CELL_BLOCK):
             part = cells[i * j.CELL_BLOCK:(i + 1) * j.CELL_BLOCK]
             at = np.flatnonzero(part)
             if len(at):
+                step = np.diff(at, prepend=0)  # small numbers, which compress
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
-                     pa.array([part[at].astype(np.uint32).tobytes()], pa.binary())], names=["block", "at", "n"])
+                    [pa.array([i], pa.int32()), pa.array([step.astype(np.uint8 if step.max() < 256 else np.uint16).tobytes()], pa.binary()),
+                     pa.array([part[at].tobytes()], pa.binary())], names=["block", "step", "n"])
 
     def add(batches):
         from hourcast.llm import jaccard as j
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, at, n in zip(*(b.column(x).to_pylist() for x in range(3))):
+            for i, step, n in zip(*(b.column(x).to_pylist() for x in range(3))):
                 part = total.setdefault(i, np.zeros(j.CELL_BLOCK, np.int64))
-                part[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+                n = np.frombuffer(n, np.uint16)
+                part[np.cumsum(np.frombuffer(step, np.uint8 if len(step) == len(n) else np.uint16), dtype=np.int64)] += n
         for i, part in total.items():
             cls = np.floor(4 * np.log2(np.maximum(part, 1))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([cls.tobytes()], pa.binary())], names=["block", "cls"])
 
-    got = (texts.mapInArrow(count, "block int, at binary, n binary").repartition((1 << CELL_BITS) // CELL_BLOCK, "block")
+    got = (texts.mapInArrow(count, "block int, step binary, n binary").repartition(64, "block")
            .mapInArrow(add, "block int, cls binary").collect())
     table = bytearray(1 << CELL_BITS)  # fixed size, whatever the corpus
     for r in got:
@@ -101,6 +107,11 @@ def token_sets(col, k: int, classes: np.ndarray):
     return n, off, tok, *sums
 
 
+def order_key(tok: np.ndarray, order: int) -> np.ndarray:
+    """Order B (1) or C (2): the class as it is, another hash below it."""
+    return common.mix(tok, 4 + order) >> U64(8) | tok & U64(0xFF << 56)
+
+
 def prefix_length(n, num: int, den: int):
     """Tokens that must hold a common one: n - ceil(t n) + 1 (none if empty)."""
     return np.where(n > 0, n - -(-num * n // den) + 1, 0)
@@ -149,7 +160,7 @@ def linked(rid: np.ndarray, block: np.ndarray, sets: list[np.ndarray], num: int,
         return o[order], start, count, np.searchsorted(o, np.arange(m + 1)), c
 
     orders = []
-    for key in (None, common.mix(tok, 5) >> U64(8) | tok & U64(0xFF << 56), common.mix(tok, 6)):
+    for key in (None, order_key(tok, 1), order_key(tok, 2)):
         if key is None:
             keep = shared & (place < p[owner])  # order A: as stored
         else:
@@ -249,11 +260,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     base = cut_lineage(src.mapInArrow(sets, f"id {kind}, n long, f1 long, f2 long, prefix array<long>")) \
         .withColumn("rid", F.monotonically_increasing_id())  # fixed: the rows are on disk
     classes = base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("rid"))
-    reps = base.join(classes.select("rid"), "rid")
-    rows = reps.select(F.explode("prefix").alias("tok"), "n", "rid")
+    rows = base.join(classes.select("rid"), "rid").select(F.explode("prefix").alias("tok"), "n", "rid")
     stars = rows.repartition("tok").sortWithinPartitions("tok", "n", "rid").mapInArrow(_hubs(num, den), "a long, b long")
     family = components(stars).withColumnRenamed("node", "rid").withColumnRenamed("component", "family")
-    members = cut_lineage(family.join(reps.select("rid", "id", "n", "f1", "f2"), "rid"))
+    members = cut_lineage(family.join(base.select("rid", "id", "n", "f1", "f2"), "rid"))
 
     # whole sets of the members: a bitmap of fixed size picks the rows to hash
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
