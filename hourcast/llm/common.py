@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: text bytes that one numpy step works on, whatever the Arrow batch size
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 U64 = np.uint64
 

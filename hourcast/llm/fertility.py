@@ -36,14 +36,14 @@ MAX_REPEAT_PERCENT = 20
 #: tokens say nothing
 MIN_TOKENS = 20
 
-_CACHES: dict = {}
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 
 
 def piece_cache(path: str):
     """(chunk ids cache, is-byte-piece flags) of a sentencepiece model."""
-    if path not in _CACHES:
+
+    def make():
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())], bool)
@@ -53,8 +53,9 @@ def piece_cache(path: str):
             n = np.fromiter(map(len, got), np.int64, len(got))
             return np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum())), n
 
-        _CACHES[path] = (wordcache.PieceIds(encode), byte)
-    return _CACHES[path]
+        return wordcache.PieceIds(encode), byte
+
+    return wordcache.live(("pieces", path), make)
 
 
 def _per_row(mask_at: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -26,7 +26,6 @@ from hourcast.session import cut_lineage
 
 CAPACITY = 2048
 GROUP_PIECES = 20_000
-_CACHES: dict = {}
 
 
 def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -69,10 +68,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
 
     def run(batches):
         from hourcast.llm import common as c, packing as p, wordcache as w
-        tok = w.load_tokenizer(path)
-        if path not in p._CACHES:
-            p._CACHES[path] = w.PieceIds(w.words_encoder(tok))
-        cache = p._CACHES[path]
+        tok, cache = w.tokenizer_cache(path, w.words_encoder)
         for b in c.slices(batches, "text"):
             ids, n = w.encode_exact(pc.fill_null(b.column(1), ""), cache, tok, "split", r"<\|")
             cols = p.cut(ids, n, end_id, capacity)

@@ -41,7 +41,6 @@ SHARD_FIELDS = (
 #: string: such texts are encoded whole, not by chunks
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 AWKWARD = _WS + _WS + "|" + _WS + r"\z|<\|"
-_CACHES: dict = {}
 
 
 def compress(ids: np.ndarray, doc_tokens: np.ndarray, vocab: int, min_count: int = MIN_COUNT) -> dict:
@@ -170,12 +169,10 @@ def write(docs: DataFrame, out_dir: str, path: str, end_id: int = 2, vocab: int
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_type
         from hourcast.llm import common as c, repair as r, wordcache as w
-        tok = w.load_tokenizer(path)
-        if path not in r._CACHES:
-            r._CACHES[path] = w.PieceIds(w.bytes_encoder(tok))
+        tok, cache = w.tokenizer_cache(path, w.bytes_encoder)
         part, no, before = TaskContext.get().partitionId(), 0, 0
         for b in c.slices(batches, "text", shard_bytes):
-            ids, n = w.encode_exact(b.column(1), r._CACHES[path], tok, "bytes", r.AWKWARD)
+            ids, n = w.encode_exact(b.column(1), cache, tok, "bytes", r.AWKWARD)
             ids = np.insert(ids, np.cumsum(n), np.uint32(end_id))
             s = r.compress(ids, n + 1, vocab)
             one = lambda v, t: pa.array([v], t)

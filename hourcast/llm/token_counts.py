@@ -155,7 +155,7 @@ class RankMerger:
 class CountCache:
     """chunk -> tokens, at most ``limit`` remembered."""
 
-    def __init__(self, merger: RankMerger, limit: int = wordcache.LIMIT):
+    def __init__(self, merger: RankMerger, limit: int = 300_000):
         self.merger, self.limit, self.at = merger, limit, {}
 
     def counts(self, chunks: list[str]) -> np.ndarray:
@@ -177,9 +177,6 @@ def count_column(col: pa.Array, cache: CountCache) -> np.ndarray:
     return ends[last] - ends[last - per]
 
 
-_MERGERS: dict[str, CountCache] = {}
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row, without a shuffle.
@@ -190,10 +187,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     common.ship(docs.sparkSession)
 
     def run(batches):
-        from hourcast.llm import common as c, token_counts as t
-        if path not in t._MERGERS:
-            t._MERGERS[path] = t.CountCache(t.RankMerger(path))
-        cache = t._MERGERS[path]
+        from hourcast.llm import common as c, token_counts as t, wordcache as w
+        cache = w.live(("counts", path), lambda: t.CountCache(t.RankMerger(path)))
         for b in c.slices(batches, "text"):
             col = pc.fill_null(b.column(1), "")
             n = t.count_column(col, cache)

@@ -17,11 +17,12 @@ import pyarrow.compute as pc
 
 from hourcast.llm.common import mix, text_bytes
 
-LIMIT = 2_000_000
+LIMIT = 700_000
 #: chunks that one call to the tokenizer takes
 JOINED = 500
 
-_TOKENIZERS: dict = {}
+#: what one worker process keeps; the objects of one operator at a time
+_LIVE: dict = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,13 +30,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def live(key, make):
+    """The worker's object for ``key``, made on first use; the one of another
+    key is dropped, so that workers which serve several operators hold one."""
+    if key not in _LIVE:
+        _LIVE.clear()
+        _LIVE[key] = make()
+    return _LIVE[key]
+
+
 def load_tokenizer(path: str):
-    """A tokenizers.Tokenizer, loaded once per worker process."""
-    if path not in _TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
+
+
+def tokenizer_cache(path: str, encoder):
+    """(tokenizer, PieceIds) of a tokenizers file."""
+
+    def make():
+        tok = load_tokenizer(path)
+        return tok, PieceIds(encoder(tok))
+
+    return live(("ids", path), make)
 
 
 def _split_joined(tok, chunks: list[str], glue: str, mark: int) -> tuple[np.ndarray, np.ndarray]:
