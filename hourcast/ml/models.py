@@ -165,15 +165,21 @@ def prepare(df: DataFrame, features: Sequence[str], label: str, test_size: float
     # one reliable checkpoint of the wide feature frame: every later action
     # (count, scaler fit, assemble) starts from it instead of the window plan
     base = cut_lineage(df.where(F.col(label).isNotNull()).dropna(subset=list(features)))
-    s = sp.chrono_split(base, test_size)
+    s = cut_lineage(sp.chrono_split(base, test_size))
     if scale:
-        params = scl.fit_standard(s.where(F.col("split") == "train"), features)
-        s = scl.transform(s, params)
+        s, features = scale_varying(s, s.where(F.col("split") == "train"), features)
     tr = assemble(s.where(F.col("split") == "train"), features, label, keep).persist()  # the one cache
     te = assemble(s.where(F.col("split") == "test"), features, label, keep)
     return tr, te
 
 
+def scale_varying(df: DataFrame, train: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` scaled by the training rows, and the features that vary there:
+    constant ones carry nothing and make the linear solvers singular."""
+    params = {c: (m, s) for c, (m, s) in scl.fit_complete(train, features).items() if s > 0}
+    return scl.transform(df, params), [c for c in features if c in params]
+
+
 def train_and_evaluate(train: DataFrame, test: DataFrame, names: Sequence[str], params: dict | None = None,
                        keep: Sequence[str] = ()) -> tuple[dict, DataFrame]:
     """Fit every named model; metrics of all models in one aggregate."""
@@ -197,43 +203,57 @@ def nonzero_count(model) -> int:
     return int(model.featureImportances.numNonzeros())
 
 
-def cv_folds(df: DataFrame, features: Sequence[str], label: str, names: Sequence[str], n_splits: int = 3,
-             scale_linear: bool = True, params: dict | None = None) -> DataFrame:
-    """M17 + A23: expanding-window CV; per-fold metrics then mean and
-    population std per model. Scaling (fit on each fold's train part) only
-    for linear models."""
+def cv_runs(df: DataFrame, features: Sequence[str], label: str, runs: Sequence[tuple[str, str, dict]],
+            n_splits: int = 3, scale_linear: bool = True) -> DataFrame:
+    """Expanding-window CV of runs (tag, model name, parameters); one row per
+    tag with the mean and population std of its fold metrics. Each fold is
+    split, scaled (on its train part, linear models only) and assembled once,
+    whatever the number of runs."""
     base = cut_lineage(df.where(F.col(label).isNotNull()).dropna(subset=list(features)))
     folded = cut_lineage(sp.ts_folds(base, n_splits))
-    per_fold = None
+    rows, schema = [], None
     for k in range(n_splits):
         tr_raw, te_raw = sp.fold_frame(folded, k)
-        for n in names:
-            tr, te = tr_raw, te_raw
-            if scale_linear and n in LINEAR:
-                p = scl.fit_standard(tr, features)
-                tr, te = scl.transform(tr, p), scl.transform(te, p)
-            a_tr, a_te = assemble(tr, features, label), assemble(te, features, label)
-            m = get_estimator(n, label_stats(a_tr), **(params or {}).get(n, {})).fit(a_tr)
+        ready: dict = {}
+        for tag, name, params in runs:
+            kind = scale_linear and name in LINEAR
+            if kind not in ready:
+                tr, te, used = tr_raw, te_raw, features
+                if kind:
+                    tr, used = scale_varying(tr_raw, tr_raw, features)
+                    te, _ = scale_varying(te_raw, tr_raw, features)
+                a_tr = assemble(tr, used, label).persist()
+                ready[kind] = (a_tr, assemble(te, used, label).persist(), label_stats(a_tr))
+            a_tr, a_te, stats = ready[kind]
+            m = get_estimator(name, stats, **params).fit(a_tr)
             ev = mx.evaluate(m.transform(a_te).select(F.col(LABEL).alias("y"), F.col(PRED).alias("yhat")), []) \
-                .select(F.lit(n).alias("model"), F.lit(k).alias("fold"), "*")
-            per_fold = ev if per_fold is None else per_fold.unionByName(ev)
-    return per_fold.groupBy("model").agg(
+                .select(F.lit(tag).alias("model"), F.lit(k).alias("fold"), "*")
+            schema = ev.schema
+            rows.append(ev.first())  # one metric row per run and fold
+        for a_tr, a_te, _ in ready.values():
+            a_tr.unpersist()
+            a_te.unpersist()
+    return df.sparkSession.createDataFrame(rows, schema).groupBy("model").agg(
         F.count(F.lit(1)).alias("folds"),
         F.avg("rmse").alias("rmse_mean"), F.stddev_pop("rmse").alias("rmse_std"),
         F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"),
         F.avg("r2").alias("r2_mean"))
 
 
+def cv_folds(df: DataFrame, features: Sequence[str], label: str, names: Sequence[str], n_splits: int = 3,
+             scale_linear: bool = True, params: dict | None = None) -> DataFrame:
+    """M17 + A23: expanding-window CV of the named models."""
+    return cv_runs(df, features, label, [(n, n, (params or {}).get(n, {})) for n in names], n_splits, scale_linear)
+
+
 def tune(df: DataFrame, features: Sequence[str], label: str, name: str, grid: Sequence[dict],
          n_splits: int = 3) -> DataFrame:
     """Parameter grid x expanding folds; one row per combination with
     its mean fold RMSE, ranked."""
-    rows = None
-    for i, g in enumerate(grid):
-        r = cv_folds(df, features, label, [name], n_splits, params={name: g}) \
-            .select(F.lit(i).alias("combo"), F.lit(str(sorted(g.items()))).alias("params"), "rmse_mean", "mae_mean")
-        rows = r if rows is None else rows.unionByName(r)
-    return mx.rank_models(rows, "rmse_mean")
+    got = cv_runs(df, features, label, [(str(i), name, g) for i, g in enumerate(grid)], n_splits)
+    text = F.create_map(*[x for i, g in enumerate(grid) for x in (F.lit(str(i)), F.lit(str(sorted(g.items()))))])
+    return mx.rank_models(got.select(F.col("model").cast("int").alias("combo"), text[F.col("model")].alias("params"),
+                                     "rmse_mean", "mae_mean"), "rmse_mean")
 
 
 def stack(df: DataFrame, features: Sequence[str], label: str, base_models: Sequence[str], key: Sequence[str],
@@ -246,8 +266,10 @@ def stack(df: DataFrame, features: Sequence[str], label: str, base_models: Seque
     oof = None
     for k in range(n_splits):
         tr, te = sp.fold_frame(folded, k)
-        a_tr = assemble(tr, features, label)
-        a_te = assemble(te.withColumn("_fold", F.lit(k)), features, label, keep=[*key, "_fold"])
+        te, _ = scale_varying(te, tr, features)
+        tr, used = scale_varying(tr, tr, features)
+        a_tr = assemble(tr, used, label)
+        a_te = assemble(te.withColumn("_fold", F.lit(k)), used, label, keep=[*key, "_fold"])
         cols = None
         for n in base_models:
             m = get_estimator(n, label_stats(a_tr)).fit(a_tr)

@@ -68,9 +68,11 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int | Non
         else:
             scale = float(10 ** decimals)
             v = F.round(x * F.lit(scale)).cast("long")
-            n, s1, s2 = F.count(v), F.sum(v), F.sum(v * v)
+            # n * sum of squares outgrows bigint near 40,000 rows of pressures
+            d = v.cast("decimal(18,0)")
+            n, s1, s2 = F.count(v), F.sum(d).cast("decimal(38,0)"), F.sum(d * d).cast("decimal(38,0)")
             mean = s1.cast("double") / (F.lit(scale) * n)
-            std = F.when(n > 1, F.sqrt((n * s2 - s1 * s1).cast("double")
+            std = F.when(n > 1, F.sqrt((n.cast("decimal(38,0)") * s2 - s1 * s1).cast("double")
                                        / (F.lit(scale * scale) * n * (n - F.lit(1)))))
         q = F.percentile(v, probs) if exact else F.percentile_approx(v, [0.25, 0.5, 0.75], 100000)
         aggs += [F.count(x).alias(f"{c}__count"), mean.alias(f"{c}__mean"), std.alias(f"{c}__std"),

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +28,26 @@ def fit_standard(df: DataFrame, cols: Sequence[str], decimals: int | None = None
         else:
             scale = float(10 ** decimals)
             v = F.round(F.col(c) * F.lit(scale)).cast("long")
-            n, s, ss = F.count(v), F.sum(v), F.sum(v * v)
+            d = v.cast("decimal(18,0)")  # n * sum of squares outgrows bigint
+            n, s, ss = F.count(v), F.sum(d).cast("decimal(38,0)"), F.sum(d * d).cast("decimal(38,0)")
             aggs += [(s.cast("double") / (F.lit(scale) * n)).alias(f"{c}__m"),
-                     (F.sqrt((n * ss - s * s).cast("double")) / (F.lit(scale) * n)).alias(f"{c}__s")]
+                     (F.sqrt((n.cast("decimal(38,0)") * ss - s * s).cast("double")) / (F.lit(scale) * n)).alias(f"{c}__s")]
     row = df.agg(*aggs).first()
     return {c: (row[f"{c}__m"], (row[f"{c}__s"] or 1.0) if row[f"{c}__s"] != 0 else 1.0) for c in cols}
 
 
+def fit_complete(df: DataFrame, cols: Sequence[str]) -> dict:
+    """Mean and population std of columns without NULLs, in one vector
+    aggregate instead of two per column. Constant columns get scale 0, so
+    callers can leave them out."""
+    vec = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(df.select(*[F.col(c).cast("double") for c in cols]))
+    r = vec.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).first()["s"]
+    n = max(int(r["count"]), 1)
+    # rounding may leave a trace of variance in a constant column
+    return {c: (float(m), 0.0 if v <= 1e-18 * max(1.0, m * m) else (float(v) * (n - 1) / n) ** 0.5)
+            for c, m, v in zip(cols, r["mean"], r["variance"])}
+
+
 def fit_robust(df: DataFrame, cols: Sequence[str]) -> dict:
     """Median and IQR with linearly interpolated quartiles (A22); IQR 0 -> 1."""
     row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c)

@@ -12,6 +12,7 @@ from hourcast.ml import models as ml
 from hourcast.ml import score as sc
 from hourcast.operators import features as fx
 from hourcast.operators import scale as scl
+from hourcast.session import cut_lineage
 from hourcast.sources import views
 
 QUERIES: dict = {}
@@ -27,7 +28,20 @@ def q(name):
     return deco
 
 
+_FRAMES: dict = {}
+
+
 def feature_frame(spark, sf):
+    """The feature frame and its feature names: checkpointed once per
+    session and directory, shared by every model query."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FRAMES:
+        f, feats = _feature_frame(spark, sf)
+        _FRAMES[key] = (cut_lineage(f), feats)
+    return _FRAMES[key]
+
+
+def _feature_frame(spark, sf):
     f = fx.features_a(views.obs(spark, sf), decimals=2)
     feats = [c for c in fx.feature_columns(f, "a") if c not in ("n", "aqi")]
     return f.select(*[F.col(c).cast("int").alias(c) if c.startswith("season_") else F.col(c) for c in f.columns]), feats
@@ -72,11 +86,10 @@ def stacking(spark, sf):
 
 
 def _fitted_ridge(spark, sf):
-    from hourcast.session import cut_lineage
     f, feats = feature_frame(spark, sf)
-    f = cut_lineage(f)
     base = f.where(F.col(LABEL).isNotNull()).dropna(subset=feats)
-    params = scl.fit_standard(base, feats)
+    params = {c: p for c, p in scl.fit_complete(base, feats).items() if p[1] > 0}  # constant features carry nothing
+    feats = [c for c in feats if c in params]
     a = ml.assemble(scl.transform(base, params), feats, LABEL)
     model = ml.ridge(1.0, ml.label_stats(a)).fit(a)
     return f, feats, params, model
@@ -119,9 +132,7 @@ def permutation(spark, sf):
 
 @q("lime")
 def lime(spark, sf):
-    from hourcast.session import cut_lineage
     f, feats = feature_frame(spark, sf)
-    f = cut_lineage(f)
     top = ["pm2_5", "pm10", "temp", "humidity", "pm2_5_lag_1h", "pm2_5_lag_24h", "pm2_5_rolling_mean_24h",
            "pm2_5_diff_1h", "hour_sin", "hour_cos"]
     base = f.where(F.col(LABEL).isNotNull()).dropna(subset=top)

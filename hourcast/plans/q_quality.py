@@ -141,14 +141,14 @@ def shape_stats(spark, sf):
 
 
 # S21 ------------------------------------------------------------------------------
-@q("status_by_city", f"""WITH {sg.obs_cte('pe', 'WHERE event_id % 2 = 0')},
+@q("status_by_city", f"""WITH {sg.obs_cte('pe')},
 c AS (SELECT DISTINCT event_type AS city FROM events),
 g AS (SELECT city, COUNT(*) AS records, MIN(timestamp) AS first_ts, MAX(timestamp) AS last_ts FROM pe GROUP BY city)
 SELECT c.city, COALESCE(g.records, 0) > 0 AS exists, COALESCE(g.records, 0) AS records, g.first_ts, g.last_ts
 FROM g RIGHT JOIN c ON g.city = c.city""")
 def status_by_city(spark, sf):
     cities = views.table(spark, sf, "events").select(F.col("event_type").alias("city")).distinct()
-    return qa.status_by_city(views.pollution_feed(spark, sf), cities)
+    return qa.status_by_city(views.obs(spark, sf), cities)
 
 
 # P23 / P24 ------------------------------------------------------------------------

@@ -31,16 +31,15 @@ _FOLDED = ["pm2_5", "pm10", "temp", "humidity", "wind_speed", "wind_deg", "press
 
 
 @q("fold_unfold_map", f"""WITH {sg.obs_cte()}
-SELECT city, timestamp, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS ts_text, {len(_FOLDED)} AS n_features,
+SELECT city, timestamp, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS ts_text, 9 AS n_features,
   {', '.join(_FOLDED)} FROM obs""")
 def fold_unfold_map(spark, sf):
     from hourcast.functions.time import iso_text
     o = views.obs(spark, sf).select("city", "timestamp", *_FOLDED)
     folded = cl.fold_map(o, ["city", "timestamp"])                     # P16
-    back = cl.unfold_map(folded, _FOLDED)                              # P17
-    return back.select("city", "timestamp", iso_text(F.col("timestamp")).alias("ts_text"),   # P15
-                       F.size(F.col("features")).alias("n_features") if "features" in back.columns
-                       else F.lit(len(_FOLDED)).alias("n_features"), *_FOLDED)
+    counted = folded.withColumn("n_features", F.size("features"))
+    back = cl.unfold_map(counted, _FOLDED)                             # P17
+    return back.select("city", "timestamp", iso_text(F.col("timestamp")).alias("ts_text"), "n_features", *_FOLDED)   # P15
 
 
 @q("latest_row", f"""WITH {sg.obs_cte()}
@@ -69,21 +68,15 @@ reg AS (SELECT model_used AS model_name, strftime(target_date, '%Y%m%d') || '_00
           AVG(ABS(predicted - actual)) AS mae, SQRT(AVG((predicted - actual) * (predicted - actual))) AS rmse
         FROM h GROUP BY model_used, target_date),
 latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY version DESC) AS rn
-           FROM reg) WHERE rn = 1),
-prev AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY version DESC) AS rn
-           FROM reg) WHERE rn = 2)"""
+           FROM reg WHERE mae IS NOT NULL) WHERE rn = 1)"""
 
 
 @q("registry_latest", f"""WITH {_REG_SQL}
-SELECT model_name, version, ROUND(mae, 6) AS mae, ROUND(rmse, 6) AS rmse FROM prev""")
+SELECT model_name, version, ROUND(mae, 6) AS mae, ROUND(rmse, 6) AS rmse FROM latest""")
 def registry_latest(spark, sf):
-    """Latest *scored* version per model: the newest day has no actuals yet,
-    so the registry is read as of the previous version (T3 twice)."""
-    reg = registry_df(spark, sf)
-    newest = st.latest_versions(reg).select("model_name", F.col("version").alias("_newest"))
-    prev = st.latest_versions(reg.join(newest, "model_name").where(F.col("version") < F.col("_newest"))
-                              .drop("_newest"))
-    return prev.select("model_name", "version", F.round(F.col("metrics")["mae"], 6).alias("mae"),
+    """Newest version per model that has been scored against actuals."""
+    newest = st.latest_versions(registry_df(spark, sf).where(F.col("metrics")["mae"].isNotNull()))
+    return newest.select("model_name", "version", F.round(F.col("metrics")["mae"], 6).alias("mae"),
                        F.round(F.col("metrics")["rmse"], 6).alias("rmse"))
 
 
@@ -93,7 +86,7 @@ acc AS (SELECT model_used AS model_name,
     THEN GREATEST(0.0, 100.0 - 100.0 * AVG(CASE WHEN actual > 0 THEN ABS(predicted - actual) / actual END)) END AS accuracy
   FROM h GROUP BY model_used)
 SELECT p.model_name, p.version, ROUND(p.mae, 6) AS mae, ROUND(acc.accuracy, 6) AS accuracy
-FROM prev p LEFT JOIN acc ON p.model_name = acc.model_name""")
+FROM latest p LEFT JOIN acc ON p.model_name = acc.model_name""")
 def leaderboard(spark, sf):
     reg = registry_latest(spark, sf)
     acc = mx.accuracy_score(history_df(spark, sf), by=["model_used"]).select(
@@ -102,21 +95,25 @@ def leaderboard(spark, sf):
 
 
 # J5 / A26 -------------------------------------------------------------------------
-_DAYS_SQL = f"""{sg.obs_cte()}, {sg.obs_cte('pe', 'WHERE event_id % 2 = 0')},
-wanted AS (SELECT DISTINCT city, CAST(timestamp AS DATE) AS day FROM obs),
-done AS (SELECT city, CAST(timestamp AS DATE) AS day, COUNT(*) AS records FROM pe GROUP BY 1, 2 HAVING COUNT(*) >= 20)"""
+_DAYS_SQL = f"""{sg.obs_cte()},
+span AS (SELECT MIN(CAST(timestamp AS DATE)) AS lo, MAX(CAST(timestamp AS DATE)) + 1 AS hi FROM obs),
+wanted AS (SELECT DISTINCT city, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM obs, span),
+done AS (SELECT city, CAST(timestamp AS DATE) AS day, COUNT(*) AS records FROM obs GROUP BY 1, 2)"""
 
 
 def _done_days(spark, sf):
-    pe = views.pollution_feed(spark, sf)
-    return (pe.groupBy("city", F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("records"))
-            .where(F.col("records") >= 20))
+    """Every processed day of every city, however few its records."""
+    return views.obs(spark, sf).groupBy("city", F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("records"))
 
 
 @q("resume_anti", f"""WITH {_DAYS_SQL}
 SELECT city, strftime(day, '%Y-%m-%d') AS day FROM wanted ANTI JOIN done USING (city, day)""")
 def resume_anti(spark, sf):
-    wanted = views.obs(spark, sf).select("city", F.to_date("timestamp").alias("day")).distinct()
+    """Days from the first to the day after the last that a city still lacks."""
+    o = views.obs(spark, sf).select("city", F.to_date("timestamp").alias("day"))
+    span = o.agg(F.min("day").alias("lo"), F.date_add(F.max("day"), 1).alias("hi"))  # one row
+    wanted = o.select("city").distinct().join(F.broadcast(span)).select(
+        "city", F.explode(F.expr("sequence(lo, hi, interval 1 day)")).alias("day"))
     r = al.resume_days(wanted, _done_days(spark, sf))
     return r.select("city", F.date_format("day", "yyyy-MM-dd").alias("day"))
 

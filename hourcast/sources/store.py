@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a staging folder that this module wrote."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class FeatureStore:
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str] = ("timestamp", "city"),
                  ts: str = "timestamp"):
@@ -66,11 +74,17 @@ class FeatureStore:
         """Overwrite the whole group."""
         df.withColumn("date", F.to_date(self.ts)).write.mode("overwrite").partitionBy("date").parquet(self.path(group))
 
-    def upsert(self, updates: DataFrame, group: str, keys: Sequence[str] | None = None) -> None:
-        """Last write wins on ``keys`` (default (timestamp, city))."""
+    def upsert(self, updates: DataFrame, group: str, keys: Sequence[str] | None = None,
+               arrival: str | None = None) -> None:
+        """Last write wins on ``keys`` (default (timestamp, city)), also
+        among the rows of one update: by the ``arrival`` column, or else in
+        the order of the frame's rows."""
         keys = list(keys or self.keys)
         p = self.path(group)
-        upd = updates.withColumn("date", F.to_date(self.ts)).withColumn("_version", F.lit(1))
+        came = F.col(arrival).cast("long") if arrival else F.monotonically_increasing_id()
+        upd = updates.withColumn("_came", came)
+        upd = keep_one(upd, keys, ["_came"], "last").select(*updates.columns) \
+            .withColumn("date", F.to_date(self.ts)).withColumn("_version", F.lit(1))
         if not _exists(self.spark, p):
             upd.drop("_version").write.mode("overwrite").partitionBy("date").parquet(p)
             return
@@ -82,6 +96,7 @@ class FeatureStore:
         merged.write.mode("overwrite").partitionBy("date").parquet(stage)
         (self.spark.read.parquet(stage).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(p))
+        _delete(self.spark, stage)
 
     def upsert_time_only(self, updates: DataFrame, group: str) -> None:
         """The local-store variant deduping on the timestamp alone."""
@@ -99,7 +114,11 @@ def first_nonempty(readers) -> DataFrame:
     for r in readers:
         try:
             df = r()
-        except Exception:  # missing path / table: next candidate
+        except FileNotFoundError:
+            continue
+        except AnalysisException as e:  # only a missing path or table leads to the next candidate
+            if e.getCondition() not in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
+                raise
             continue
         if df is not None and not df.isEmpty():
             return df

@@ -87,11 +87,14 @@ class FeatureStreamJob:
     def process(self, batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         raw = batch.withColumn("date", F.to_date("ts"))
-        raw.write.mode("append").partitionBy("date").parquet(self.landed)            # land (append)
+        # land: a replayed epoch overwrites what it wrote before
+        raw.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("date", "epoch").parquet(self.landed)
         touched = raw.select(F.col("event_type").alias("city"), hour_bucket(F.col("ts")).alias("timestamp")) \
             .distinct()
         dates = [r[0] for r in raw.select("date").distinct().collect()]              # few per batch
-        landed = spark.read.parquet(self.landed).where(F.col("date").isin(dates)).drop("date")
+        landed = spark.read.parquet(self.landed).where(F.col("date").isin(dates)).drop("date", "epoch") \
+            .dropDuplicates(["event_id"])
         hours = views.hourly_from_events(landed).join(touched, ["city", "timestamp"], "left_semi")
         if hours.isEmpty():
             return
@@ -107,7 +110,8 @@ class FeatureStreamJob:
         a = new.join(touched, ["city", "timestamp"], "left_semi") \
             .groupBy("city", F.to_date("timestamp").alias("day")).agg(F.max(self.alert_col).alias("max_value")) \
             .withColumn("level", alert_level("max_value")).where(F.col("level") != "OK")
-        a.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(self.alerts)   # R7
+        a.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("epoch").parquet(self.alerts)                                # R7
         if self.monitor_models:
             self.track_accuracy(dates)                                                # R6
 

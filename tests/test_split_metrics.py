@@ -71,3 +71,20 @@ def test_sequences(spark):
     assert s.count() == 7
     r = s.orderBy("timestamp").first()
     assert len(r["sequence"]) == 3
+
+
+def test_integer_sums_do_not_overflow(spark):
+    from hourcast.operators import quality as qa
+    from hourcast.operators import scale as scl
+    df = spark.range(1_000_000).select((F.lit(1000.0) + F.col("id") % 50).alias("pressure"))
+    got = {r[0]: r for r in qa.describe(df, ["pressure"], decimals=2).collect()}
+    assert len(got) == 1
+    m, s = scl.fit_standard(df, ["pressure"], decimals=2)["pressure"]
+    assert abs(m - 1024.5) < 1e-9 and abs(s - ((50 ** 2 - 1) / 12) ** 0.5) < 1e-9
+
+
+def test_vector_scaler_finds_constant_columns(spark):
+    from hourcast.operators import scale as scl
+    df = spark.range(101).select(F.col("id").cast("double").alias("x"), F.lit(3.7).alias("c"))
+    p = scl.fit_complete(df, ["x", "c"])
+    assert p["x"][0] == 50.0 and abs(p["x"][1] - ((101 ** 2 - 1) / 12) ** 0.5) < 1e-9 and p["c"][1] == 0.0

@@ -56,3 +56,20 @@ def test_prediction_log_append(spark, tmpdir_path):
     st.append_predictions(log, tmpdir_path + "/log")
     st.append_predictions(log, tmpdir_path + "/log")
     assert spark.read.parquet(tmpdir_path + "/log").count() == 2
+
+
+def test_upsert_dedupes_first_write_and_keeps_last_arrival(spark, tmpdir_path):
+    fs = st.FeatureStore(spark, tmpdir_path)
+    fs.upsert(_rows(spark, [(0, 9.0), (0, 1.0)]).coalesce(1), "g")
+    assert [r["aqi"] for r in fs.read("g").collect()] == [1.0]
+    late = _rows(spark, [(0, 5.0), (0, 7.0)]).withColumn("seq", F.when(F.col("aqi") == 5.0, 2).otherwise(1))
+    fs.upsert(late, "h", arrival="seq")
+    assert [r["aqi"] for r in fs.read("h").collect()] == [5.0]
+
+
+def test_first_nonempty_keeps_real_errors(spark, tmpdir_path):
+    import pytest
+    ok = _rows(spark, [(0, 1.0)])
+    assert st.first_nonempty([lambda: spark.read.parquet(tmpdir_path + "/none"), lambda: ok]).count() == 1
+    with pytest.raises(ZeroDivisionError):
+        st.first_nonempty([lambda: 1 / 0, lambda: ok])

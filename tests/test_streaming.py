@@ -56,3 +56,14 @@ def test_stream_features_with_late_batches(spark, tmpdir_path):
     trig = [c for c in feats.columns if c.endswith("_sin") or c.endswith("_cos")]
     r9 = lambda d: d.select(*[F.round(c, 9).alias(c) if c in trig else F.col(c) for c in d.columns])
     assert _rows(r9(got)) == _rows(r9(feats))
+
+
+def test_replayed_batch_changes_nothing(spark, tmpdir_path):
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    job = jobs.FeatureStreamJob(spark, os.path.join(tmpdir_path, "job"))
+    state = []
+    for _ in range(2):
+        job.process(ev, 0)
+        state.append((spark.read.parquet(job.landed).count(), spark.read.parquet(job.alerts).count(),
+                      _rows(job.store.read("obs").select("city", "timestamp", "n"))))
+    assert state[0] == state[1]
