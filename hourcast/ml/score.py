@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourcast.functions.scalars import aqi_category, alert_level, current_aqi, health_advisory
+from hourcast.functions.scalars import aqi_category, alert_level, current_aqi, health_advisory, pm25_to_aqi
 from hourcast.operators import clean as cl
 from hourcast.operators import scale as scl
 from hourcast.sources.store import latest_rows
@@ -17,9 +17,11 @@ from hourcast.sources.store import latest_rows
 
 def score_latest(features: DataFrame, model, feature_names: Sequence[str], model_name: str,
                  scale_params: dict | None = None, keys: Sequence[str] = ("city",),
-                 current: str = "aqi") -> DataFrame:
+                 current: str = "aqi", concentration: bool = False) -> DataFrame:
     """One prediction record per key from its most recent feature row.
-    Missing expected features become 0 (P9), NULLs become 0 (P8)."""
+    Missing expected features become 0 (P9), NULLs become 0 (P8).
+    ``concentration``: the model predicts PM2.5, which becomes the index
+    before it is named and classified as one."""
     latest = latest_rows(features, keys)                                        # P19
     aligned = cl.align_features(latest, feature_names, keep=[*keys, "timestamp", current])
     aligned = cl.fill_zero(aligned, list(feature_names))
@@ -27,6 +29,8 @@ def score_latest(features: DataFrame, model, feature_names: Sequence[str], model
         aligned = scl.transform(aligned, {k: v for k, v in scale_params.items() if k in feature_names})
     vec = VectorAssembler(inputCols=list(feature_names), outputCol="features").transform(aligned)
     p = model.transform(vec)
+    if concentration:
+        p = p.withColumn("prediction", pm25_to_aqi(F.round(F.greatest(F.col("prediction"), F.lit(0.0)), 1)).cast("double"))
     return p.select(*keys, "timestamp", current_aqi(current).alias("current_aqi"),
                     F.col("prediction").alias("predicted_aqi_24h"),
                     aqi_category(F.col("prediction")).alias("category"),
@@ -40,7 +44,10 @@ def forecast_days(scored: DataFrame, days: int = 3, seed: int | None = 42, sprea
     category uses the unfloored value. ``seed=None`` -> no noise."""
     e = scored.select(*keys, "timestamp", "predicted_aqi_24h", "model_used",
                       F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day"))
-    noise = (F.rand(seed) * F.lit(2 * spread) - F.lit(spread)) if seed is not None else F.lit(0.0)
+    # drawn from the row's key, so retries and other partitionings agree
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("day").cast("string"),
+                                                F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(2 ** 32))
+    noise = (draw * F.lit(2 * spread) - F.lit(spread)) if seed is not None else F.lit(0.0)
     raw = F.col("predicted_aqi_24h") + noise * (F.col("day") - F.lit(1))
     e = e.withColumn("_raw", raw)
     return e.select(*keys, "day", F.date_format(F.date_add(F.to_date("timestamp"), F.col("day")), "yyyy-MM-dd")

@@ -98,13 +98,13 @@ def _fitted_ridge(spark, sf):
 @q("score_latest")
 def score_latest(spark, sf):
     f, feats, params, model = _fitted_ridge(spark, sf)
-    return sc.score_latest(f, model, feats, "ridge", params)
+    return sc.score_latest(f, model, feats, "ridge", params, concentration=True)
 
 
 @q("forecast_3d")
 def forecast_3d(spark, sf):
     f, feats, params, model = _fitted_ridge(spark, sf)
-    return sc.forecast_days(sc.score_latest(f, model, feats, "ridge", params), 3, seed=42)
+    return sc.forecast_days(sc.score_latest(f, model, feats, "ridge", params, concentration=True), 3, seed=42)
 
 
 @q("explain_top8")
