@@ -1,61 +1,96 @@
 """Chronological splits, expanding folds and sequence windows.
 
 Positions are chronological over the whole frame: order by ``order`` then
-``tiebreak``. Computing a global row number with ``Window.orderBy`` would pull
-every row into one task, so positions are derived from per-timestamp counts:
-
-1. count rows per timestamp (map-side partial aggregation: tiny shuffle);
-2. running sum over that small per-timestamp table gives each timestamp's
-   first position;
-3. a timestamp whose row range contains a cut ("boundary hour") is the only
-   place where rows need an individual rank; there are at most ``len(cuts)``
-   of them, ranked by a window partitioned by timestamp over just those rows.
-
-The driver only sees the row count and the boundary timestamps.
+``tiebreak``. A global row number with ``Window.orderBy`` would pull every row
+into one task, so the cuts are turned into boundary timestamps first:
+
+1. rows per timestamp (map-side combined), range-partitioned in order and
+   checkpointed;
+2. one total per partition (bounded by the partition count) tells the driver
+   which partition holds each cut; only there a running sum, one window per
+   partition, finds the timestamp that holds it;
+3. rows are labelled by comparing their timestamp with those literals. Only
+   the rows of a timestamp that a cut divides need a rank of their own.
+
+The driver sees partition totals and one boundary per cut.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# per-timestamp table rows broadcast below this size; above it a shuffle join
-BROADCAST_MAX_ROWS = 2_000_000
-
+from hourcast.session import cut_lineage
 
-def _count_before(cuts: Sequence[int], pos: Column) -> Column:
-    """Number of cuts <= pos (segment index)."""
-    arr = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    return F.size(F.filter(arr, lambda c: c <= pos))
+@dataclass(frozen=True)
+class Boundary:
+    """The order values (as text) that hold a cut, and how many of their rows
+    come before it."""
+    values: tuple
+    before: int
 
 
-def segment_by_position(df: DataFrame, cuts: Sequence[int], order: Sequence[str] = ("timestamp",),
+def boundaries(df: DataFrame, cuts: Callable[[int], Sequence[int]], order: Sequence[str]) -> list[Boundary]:
+    """Where the positions ``cuts(rows)`` lie; those outside the frame's
+    positions have no boundary (before it: at its first row)."""
+    names = [f"_t{i}" for i in range(len(order))]
+    per = cut_lineage(df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).orderBy(*order)
+                      .withColumn("_mid", F.monotonically_increasing_id()))
+    pid = F.shiftright(F.col("_mid"), 33)
+    totals = sorted((r[0], r[1]) for r in per.groupBy(pid).agg(F.sum("_n")).collect())   # one per partition
+    n = sum(t for _, t in totals)
+    wanted, at = [], 0
+    todo = sorted(max(0, int(c)) for c in cuts(n))
+    for part, total in totals:
+        wanted += [(part, c - at, c) for c in todo if at <= c < at + total]
+        at += total
+    if not wanted:
+        return []
+    run = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    held = per.withColumn("_pid", pid).where(F.col("_pid").isin(sorted({p for p, _, _ in wanted}))) \
+        .withColumn("_end", F.sum("_n").over(run)).withColumn("_start", F.col("_end") - F.col("_n"))
+    hit = F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.lit(c).cast("long").alias("c")) for p, c, _ in wanted])
+    held = held.select(*[F.col(o).cast("string").alias(t) for o, t in zip(order, names)], F.explode(F.filter(
+        hit, lambda w: (w["p"] == F.col("_pid")) & (w["c"] >= F.col("_start")) & (w["c"] < F.col("_end")))).alias("_w"), "_start")
+    rows = held.select(*names, (F.col("_w.c") - F.col("_start")).alias("_k")).collect()      # one per cut
+    return [Boundary(tuple(r[t] for t in names), int(r["_k"])) for r in rows]
+
+
+def segment_by_position(df: DataFrame, cuts: Callable[[int], Sequence[int]], order: Sequence[str] = ("timestamp",),
                         tiebreak: Sequence[str] = ("city",), col: str = "segment") -> DataFrame:
-    """Add ``col`` = number of ``cuts`` <= the row's chronological position."""
-    cuts = sorted(int(c) for c in cuts)
-    per = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    hours = per.select(*order, (F.sum("_n").over(run) - F.col("_n")).alias("_start"), "_n")
-    inside = F.exists(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"),
-                      lambda c: (c > F.col("_start")) & (c < F.col("_start") + F.col("_n")))
-    hours = hours.select(*order, "_start", inside.alias("_split"))
-    n_hours = per.count()
-    h = F.broadcast(hours) if n_hours <= BROADCAST_MAX_ROWS else hours
-    j = df.join(h, on=list(order), how="inner")
-    whole = j.where(~F.col("_split")).withColumn(col, _count_before(cuts, F.col("_start")))
+    """Add ``col`` = number of ``cuts(rows)`` <= the row's chronological
+    position (0-based; NULL order values come first). Rows that a timestamp's
+    cut divides are ranked by ``tiebreak`` among that timestamp's rows."""
+    found = boundaries(df, cuts, order)
+    types = dict(df.dtypes)
+    here = F.struct(*[F.col(o).alias(o) for o in order])
+
+    def place(b: Boundary) -> Column:
+        return F.struct(*[F.lit(v).cast(types[o]).alias(o) for o, v in zip(order, b.values)])
+
+    def total(terms: list[Column]) -> Column:
+        return sum((t.cast("int") for t in terms), F.lit(0))
+
+    split = [b for b in found if b.before]
+    plain = df.withColumn(col, total([here > place(b) if b.before else here >= place(b) for b in found]))
+    if not split:
+        return plain
+    divided = reduce(lambda x, y: x | y, [here == place(b) for b in split])
     rank = F.row_number().over(Window.partitionBy(*order).orderBy(*tiebreak)) - F.lit(1)
-    parted = j.where(F.col("_split")).withColumn(col, _count_before(cuts, F.col("_start") + rank))
-    return whole.unionByName(parted).drop("_start", "_split")
+    parted = df.where(divided).withColumn("_rank", rank)
+    parted = parted.withColumn(col, total([(here > place(b)) | ((here == place(b)) & (F.col("_rank") >= F.lit(b.before)))
+                                           for b in found])).drop("_rank")
+    return plain.where(~divided).unionByName(parted)
 
 
 def chrono_split(df: DataFrame, test_size: float = 0.2, order: Sequence[str] = ("timestamp",),
                  tiebreak: Sequence[str] = ("city",), col: str = "split") -> DataFrame:
     """M2: first ``int(n * (1 - test_size))`` rows -> 'train', rest -> 'test'."""
-    n = df.count()
-    cut = int(n * (1 - test_size))
-    seg = segment_by_position(df, [cut], order, tiebreak, "_seg")
+    seg = segment_by_position(df, lambda n: [int(n * (1 - test_size))], order, tiebreak, "_seg")
     return seg.withColumn(col, F.when(F.col("_seg") == 0, F.lit("train")).otherwise(F.lit("test"))).drop("_seg")
 
 
@@ -70,11 +105,19 @@ def ts_folds(df: DataFrame, n_splits: int = 3, order: Sequence[str] = ("timestam
              tiebreak: Sequence[str] = ("city",), col: str = "test_fold") -> DataFrame:
     """Add ``test_fold``: the fold whose test block holds the row (0..k-1), or
     -1 for rows only ever used for training. Fold i trains on test_fold < i."""
-    n = df.count()
-    seg = segment_by_position(df, fold_cuts(n, n_splits), order, tiebreak, "_seg")
+    seg = segment_by_position(df, lambda n: fold_cuts(n, n_splits), order, tiebreak, "_seg")
     return seg.withColumn(col, (F.col("_seg") - F.lit(1)).cast("int")).drop("_seg")
 
 
+def contiguous_folds(df: DataFrame, k: int = 5, order: Sequence[str] = ("timestamp",),
+                     tiebreak: Sequence[str] = ("city",), col: str = "test_fold") -> DataFrame:
+    """M6/M7: ``col`` = 0..k-1, k consecutive runs of rows; the first n % k of
+    them hold one row more."""
+    def cuts(n: int) -> list[int]:
+        return [i * (n // k) + min(i, n % k) for i in range(1, k)]
+    return segment_by_position(df, cuts, order, tiebreak, col)
+
+
 def fold_frame(folded: DataFrame, fold: int, col: str = "test_fold") -> tuple[DataFrame, DataFrame]:
     """(train, test) frames of one fold."""
     return folded.where(F.col(col) < fold), folded.where(F.col(col) == fold)
@@ -102,7 +145,6 @@ def dense_ids(df: DataFrame, order: Sequence[str], col: str = "row_id") -> DataF
     range bounds, and therefore the ids, survive recomputation after a lost
     executor.
     """
-    from hourcast.session import cut_lineage
     s = cut_lineage(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("_mid"), 33)
     counts = s.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
