@@ -11,12 +11,14 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourcast.functions.scalars import explainable
-from hourcast.operators import metrics as mx
+from hourcast.ml.models import RAW
+from hourcast.operators.split import dense_ids
+from hourcast.session import cut_lineage
 
 
 def importance_frame(spark: SparkSession, pairs: Sequence[tuple[str, float]]) -> DataFrame:
@@ -55,63 +57,79 @@ def linear_shap(df: DataFrame, features: Sequence[str], coefficients: Sequence[f
 
 
 def background_sample(df: DataFrame, key: Sequence[str], n: int = 100, seed: int = 42) -> DataFrame:
-    """N rows without replacement, reproducible (hash order; the limit
-    is the sampling operator itself)."""
-    return df.orderBy(F.xxhash64(*[F.col(c) for c in key], F.lit(seed)), *key).limit(n)
-
-
-def permutation_importance(df: DataFrame, model, features: Sequence[str], label: str, key: Sequence[str],
-                           which: Sequence[str], seed: int = 42, buckets: int = 64) -> DataFrame:
-    """M23 for any model: RMSE increase when one feature's values are
-    permuted. The permutation is done inside random hash buckets (a shuffle
-    by bucket, ranked twice), so no global ordering is needed."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    base_in = df.select(*key, *features, F.col(label).cast("double").alias("y"))
-
-    def rmse(d):
-        p = model.transform(asm.transform(d)).select("y", F.col("prediction").alias("yhat"))
-        return mx.evaluate(p, []).select("rmse")
-
-    base = rmse(base_in).withColumn("feature", F.lit(None).cast("string"))
-    out = None
-    b = (F.abs(F.xxhash64(*[F.col(c) for c in key], F.lit(seed))) % buckets).alias("_b")
-    for c in which:
-        d = base_in.select("*", b)
-        w_key = Window.partitionBy("_b").orderBy(*key)
-        w_rnd = Window.partitionBy("_b").orderBy(F.xxhash64(*[F.col(k) for k in key], F.lit(seed + 1)), *key)
-        src = d.select("_b", F.row_number().over(w_rnd).alias("_r"), F.col(c).alias("_v"))
-        dst = d.withColumn("_r", F.row_number().over(w_key)).drop(c)
-        perm = dst.join(src, ["_b", "_r"]).withColumnRenamed("_v", c).drop("_b", "_r")
-        r = rmse(perm.select(*key, *features, "y")).withColumn("feature", F.lit(c))
-        out = r if out is None else out.unionByName(r)
-    b0 = base.first()["rmse"]
-    return out.select("feature", (F.col("rmse") - F.lit(b0)).alias("rmse_increase"))
-
-
-def lime(instances: DataFrame, model, features: Sequence[str], key: Sequence[str], stds: dict,
-         n_samples: int = 200, width: float = 0.75, seed: int = 42) -> DataFrame:
-    """Per-instance local linear surrogate on Gaussian perturbations
-    (explode + randn), weighted by an exponential kernel on the scaled
-    distance; returns mean |weight| per feature over the instances. Each
-    surrogate fit sees only its instance's n_samples rows (bounded)."""
-    pert = instances.select(*key, *features, F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("_s"))
-    cols, dist = [], F.lit(0.0)
-    for i, c in enumerate(features):
-        sd = float(stds.get(c) or 1.0)
-        z = F.randn(seed + i)
-        cols.append((F.col(c) + z * F.lit(sd)).alias(c))
-        dist = dist + z * z
-    p = pert.select(*key, "_s", *cols, F.sqrt(dist).alias("_d"))
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    scored = model.transform(asm.transform(p)).select(*key, *features, "_d", F.col("prediction").alias("_y"))
-    kw = float(width * np.sqrt(len(features)))
+    """N rows without replacement, reproducible (order of the key's md5;
+    the limit is the sampling operator itself)."""
+    return df.orderBy(F.md5(_key_text(key, seed)), *key).limit(n)
+
+
+def _key_text(key: Sequence[str], *more) -> Column:
+    return F.concat_ws("|", *[F.col(k).cast("string") for k in key], *[F.lit(str(m)) for m in more])
+
+
+def permutation_importance(vec: DataFrame, model, features: Sequence[str], label: str, key: Sequence[str],
+                           seed: int = 42) -> DataFrame:
+    """M23 for any pipeline over ``RAW``: the RMSE increase of every feature
+    when its values are permuted over all rows.
+
+    Rows are put in a random order drawn from their keys (md5, so retries and
+    other engines draw the same); each takes the feature's value from the row
+    before it, the first from the last. One join on the dense position serves
+    every feature; the (row, feature) variants are made and scored on the fly
+    and only their metric sums are shuffled."""
+    d = vec.where(F.col(label).isNotNull()).select(
+        *key, vector_to_array(RAW).alias("_x"), F.col(label).cast("double").alias("y"), F.md5(_key_text(key, seed)).alias("_h"))
+    placed = cut_lineage(dense_ids(d, ["_h", *key], "_i"))
+    n = placed.count()
+    donor = placed.select(((F.col("_i") + 1) % F.lit(max(n, 1))).alias("_i"), F.col("_x").alias("_z"))
+    # variant -1 leaves the row as it is
+    each = placed.join(donor, "_i").select("y", "_x", "_z", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))).alias("_j"))
+    swapped = F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.element_at("_z", i + 1)).otherwise(v))
+    scored = model.transform(each.select("_j", "y", array_to_vector(swapped).alias(RAW)))
+    e = F.col("y") - F.col("prediction")
+    rmse = scored.groupBy("_j").agg(F.sqrt(F.avg(e * e)).alias("rmse"))        # one row per feature
+    base = rmse.where(F.col("_j") < 0).select(F.col("rmse").alias("_base"))
+    names = F.array(*[F.lit(f) for f in features])
+    return rmse.where(F.col("_j") >= 0).join(F.broadcast(base)).select(
+        F.element_at(names, F.col("_j") + 1).alias("feature"), (F.col("rmse") - F.col("_base")).alias("rmse_increase"))
+
+
+def _normal(key: Sequence[str], sample: Column, i: Column, seed: int) -> Column:
+    """A standard normal draw from (key, sample, feature, seed)."""
+    def uniform(salt: int) -> Column:
+        h = F.xxhash64(*[F.col(k) for k in key], sample, i, F.lit(seed), F.lit(salt))
+        return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(2 ** 53))
+    return F.sqrt(F.lit(-2.0) * F.log(uniform(1))) * F.cos(F.lit(2 * np.pi) * uniform(2))
+
+
+def lime(instances: DataFrame, model, features: Sequence[str], key: Sequence[str], stds: Sequence[float],
+         n_samples: int = 500, top: int = 10, seed: int = 42) -> DataFrame:
+    """Per instance (a row with the ``RAW`` vector of all features) a
+    local linear surrogate of the pipeline on Gaussian perturbations, weighted
+    by an exponential kernel on the scaled distance. The ``top`` strongest
+    features of each instance are reported; the result is their mean |weight|
+    (per std of the feature) over the instances that report them. Each
+    surrogate sees only its instance's ``n_samples`` rows (bounded); draws come
+    from the key, so a retry makes the same ones."""
+    pert = instances.select(*key, vector_to_array(RAW).alias("_x"), F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("_s")) \
+        .repartition(*key, "_s")
+    z = F.transform("_x", lambda v, i: _normal(key, F.col("_s"), i, seed))
+    pert = pert.withColumn("_z", z)
+    sd = F.array(*[F.lit(float(v)) for v in stds])
+    moved = F.transform("_x", lambda v, i: v + F.element_at("_z", i + 1) * F.element_at(sd, i + 1))
+    scored = model.transform(pert.withColumn(RAW, array_to_vector(moved))).select(*key, "_z", F.col("prediction").alias("_y"))
+    use = [i for i, v in enumerate(stds) if v > 0]
+    names = [features[i] for i in use]
+    width = 0.75 * np.sqrt(len(use))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[list(features)].to_numpy(dtype=float)
-        x = np.column_stack([np.ones(len(x)), x])
-        w = np.sqrt(np.exp(-(pdf["_d"].to_numpy() ** 2) / (kw ** 2)))
-        coef, *_ = np.linalg.lstsq(x * w[:, None], pdf["_y"].to_numpy() * w, rcond=None)
-        return pd.DataFrame({"feature": list(features), "weight": coef[1:]})
+        x = np.stack(pdf["_z"].to_numpy())[:, use]
+        y = pdf["_y"].to_numpy(dtype=float)
+        w = np.sqrt(np.exp(-(x ** 2).sum(axis=1) / width ** 2))
+        x = x - np.average(x, axis=0, weights=w)
+        y = y - np.average(y, weights=w)
+        coef = np.linalg.solve((x * w[:, None]).T @ x + np.eye(x.shape[1]), (x * w[:, None]).T @ y)
+        best = np.argsort(-np.abs(coef), kind="stable")[:top]
+        return pd.DataFrame({"feature": [names[i] for i in best], "weight": coef[best]})
 
     local = scored.groupBy(*key).applyInPandas(fit, "feature string, weight double")
     return local.groupBy("feature").agg(F.avg(F.abs("weight")).alias("mean_abs_weight"), F.count(F.lit(1)).alias("n"))

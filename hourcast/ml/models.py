@@ -1,15 +1,18 @@
 """Regressors on Spark ML.
 
-Training data stays distributed: features are assembled into a vector
-column, the train split is persisted once and every estimator is a Spark ML
-job. Metrics of all models are computed by one grouped aggregate over the
-union of their predictions. The driver only loops over the (small) list of
-estimators, folds and parameter combinations.
+Training data stays distributed: the complete rows become one checkpointed
+frame of feature vectors, shared by every horizon, fold, parameter set and
+model. Scaling is a pair of Spark ML stages, so a fitted model is one
+``PipelineModel`` that can be written and read again. The driver only holds
+the (small) list of fits, a few of which run at the same time, and one metric
+row of each.
 
 Parameter mapping to the reference's scikit-learn objectives (Spark's
 ``LinearRegression`` scales the label by its std internally):
 
-* ridge(alpha):        regParam = alpha * sd(y) / n, elasticNetParam = 0
+* ridge(alpha):        regParam = alpha * sd(y) / n, elasticNetParam = 0; the
+                       direct solver (up to 4,096 features) divides by the
+                       population sd, so that one is used
 * lasso(alpha):        regParam = alpha, elasticNetParam = 1
 * elastic(alpha, l1):  A = alpha*l1, B = alpha*(1-l1); regParam = A + B*sd(y),
                        elasticNetParam = A / regParam
@@ -20,12 +23,16 @@ with ``standardization=False`` (the features are scaled beforehand) and
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 from typing import Callable, Sequence
 
-from pyspark.ml import Estimator
-from pyspark.ml.feature import VectorAssembler
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml.feature import ElementwiseProduct, VectorAssembler, VectorSlicer
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourcast.operators import metrics as mx
@@ -34,6 +41,7 @@ from hourcast.operators import split as sp
 from hourcast.session import cut_lineage
 
 LABEL, FEATURES, PRED = "label", "features", "prediction"
+RAW, HELD_BACK = "raw_features", "held_back"
 
 
 def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -49,16 +57,17 @@ def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[
 class LabelStats:
     n: int
     sd: float
+    sd_pop: float = 1.0
 
 
 def label_stats(train: DataFrame, label: str = LABEL) -> LabelStats:
-    r = train.agg(F.count(label).alias("n"), F.stddev_samp(label).alias("sd")).first()
-    return LabelStats(int(r["n"]), float(r["sd"] or 1.0))
+    r = train.agg(F.count(label).alias("n"), F.stddev_samp(label).alias("sd"), F.stddev_pop(label).alias("pop")).first()
+    return LabelStats(int(r["n"]), float(r["sd"] or 1.0), float(r["pop"] or 1.0))
 
 
 # M5-M12, M14 --------------------------------------------------------------------
 def ridge(alpha: float = 1.0, stats: LabelStats | None = None, **_) -> Estimator:
-    reg = alpha * stats.sd / stats.n if stats else alpha
+    reg = alpha * stats.sd_pop / stats.n if stats else alpha
     return LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10)
 
 
@@ -72,40 +81,33 @@ def elastic_net(alpha: float = 1.0, l1_ratio: float = 0.5, stats: LabelStats | N
     return LinearRegression(regParam=reg, elasticNetParam=(a / reg) if reg else 0.0, standardization=False, maxIter=200)
 
 
-# Per-task memory for a tree learner's split statistics. Spark's default
-# (256 MB) times the concurrent tasks of an executor can exceed its heap with
-# ~190 features and deep trees; a smaller bound only means more node groups
-# per pass over the (cached) training rows, the trees are the same.
-TREE_MEM_MB = 32
-
-
 def random_forest(n_estimators: int = 100, max_depth: int = 10, min_samples_leaf: int = 2, seed: int = 42,
-                  **_) -> Estimator:
+                  memory_mb: int = 256, **_) -> Estimator:
+    """``memory_mb`` (all tree models): what a task may use for split
+    statistics; less means more passes over the rows and the same trees."""
     return RandomForestRegressor(numTrees=n_estimators, maxDepth=max_depth, minInstancesPerNode=min_samples_leaf,
-                                 featureSubsetStrategy="all", seed=seed, maxMemoryInMB=TREE_MEM_MB)
+                                 featureSubsetStrategy="all", seed=seed, maxMemoryInMB=memory_mb)
 
 
 def gradient_boosting(n_estimators: int = 100, max_depth: int = 5, learning_rate: float = 0.1, seed: int = 42,
-                      **_) -> Estimator:
+                      memory_mb: int = 256, **_) -> Estimator:
     return GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, seed=seed,
-                        maxMemoryInMB=TREE_MEM_MB)
+                        maxMemoryInMB=memory_mb)
 
 
 def xgboost_style(n_estimators: int = 500, max_depth: int = 6, learning_rate: float = 0.05, subsample: float = 0.8,
-                  colsample: float = 0.8, seed: int = 42, **_) -> Estimator:
+                  colsample: float = 0.8, seed: int = 42, memory_mb: int = 256, **_) -> Estimator:
     """Row and column subsampling (Spark samples columns per node)."""
     return GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample,
-                        featureSubsetStrategy=str(colsample), seed=seed, maxMemoryInMB=TREE_MEM_MB)
+                        featureSubsetStrategy=str(colsample), seed=seed, maxMemoryInMB=memory_mb)
 
 
 def lightgbm_style(n_estimators: int = 500, max_depth: int = 6, learning_rate: float = 0.05, seed: int = 42,
-                   validation_col: str | None = None, **_) -> Estimator:
+                   validation_col: str | None = None, memory_mb: int = 256, **_) -> Estimator:
     """Early stopping on a validation slice (``validationIndicatorCol``)."""
-    g = GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, seed=seed,
-                     maxMemoryInMB=TREE_MEM_MB)
-    if validation_col:
-        g = g.setValidationIndicatorCol(validation_col).setValidationTol(0.01)
-    return g
+    early = {"validationIndicatorCol": validation_col, "validationTol": 0.01} if validation_col else {}
+    return GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, seed=seed,
+                        maxMemoryInMB=memory_mb, **early)
 
 
 FACTORY: dict[str, Callable[..., Estimator]] = {
@@ -145,16 +147,12 @@ class InsufficientData(ValueError):
 MIN_ROWS, MIN_VALID = 100, 10
 
 
-def prepare(df: DataFrame, features: Sequence[str], label: str, test_size: float = 0.2,
-            scale: bool = True, keep: Sequence[str] = (), min_rows: int = MIN_ROWS,
-            min_valid: int = MIN_VALID) -> tuple[DataFrame, DataFrame]:
-    """P11 + M2 + A21 + M1: chronological split, population-std scaling
-    fitted on train, assembled train/test frames (train persisted).
-
-    P25 guards: fewer than ``min_rows`` rows with a label, or fewer than
-    ``min_valid`` complete rows, raise ``InsufficientData`` (checked by one
-    aggregate before anything is fitted)."""
-    if label not in df.columns:                      # checked before dropping rows
+def guard(df: DataFrame, features: Sequence[str], label: str, min_rows: int = MIN_ROWS,
+          min_valid: int = MIN_VALID) -> None:
+    """P25: fewer than ``min_rows`` rows with a label, or fewer than
+    ``min_valid`` complete rows, raise ``InsufficientData`` (one aggregate,
+    before anything is fitted)."""
+    if label not in df.columns:
         raise InsufficientData(f"label {label} missing")
     complete = F.col(label).isNotNull()
     for c in features:
@@ -162,10 +160,135 @@ def prepare(df: DataFrame, features: Sequence[str], label: str, test_size: float
     n_lab, n_ok = df.agg(F.count(F.col(label)), F.count(F.when(complete, 1))).first()
     if n_lab < min_rows or n_ok < min_valid:
         raise InsufficientData(f"{n_lab} labelled / {n_ok} complete rows")
-    # one reliable checkpoint of the wide feature frame: every later action
-    # (count, scaler fit, assemble) starts from it instead of the window plan
+
+
+def vectors(df: DataFrame, features: Sequence[str], labels: Sequence[str],
+            keep: Sequence[str] = ("city", "timestamp")) -> DataFrame:
+    """P11 + M1: the rows with every feature, as one vector column beside the
+    labels, checkpointed once for all fits."""
+    d = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in features if c not in keep],
+                  *[F.col(c).cast("double").alias(f"_y_{c}") for c in labels]).dropna(subset=list(features))
+    return cut_lineage(VectorAssembler(inputCols=list(features), outputCol=RAW).transform(d)
+                       .select(*keep, RAW, *[F.col(f"_y_{c}").alias(c) for c in labels]))
+
+
+def scaler(train: DataFrame, features: Sequence[str]) -> tuple[list[Transformer], list[str]]:
+    """A21 as stages from ``RAW`` to ``FEATURES``: features that vary in
+    ``train``, divided by their population std. Constant ones carry nothing
+    and make the linear solvers singular; centring only moves the intercept,
+    which no model here penalises."""
+    s = train.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(RAW)).alias("s")).first()["s"]
+    n = max(int(s["count"]), 1)
+    use = [i for i, (m, v) in enumerate(zip(s["mean"], s["variance"])) if v > 1e-18 * max(1.0, m * m)]
+    sd = [(float(s["variance"][i]) * (n - 1) / n) ** 0.5 for i in use]
+    return [VectorSlicer(inputCol=RAW, outputCol="_varying", indices=use),
+            ElementwiseProduct(inputCol="_varying", outputCol=FEATURES, scalingVec=Vectors.dense([1.0 / x for x in sd]))], \
+        [features[i] for i in use]
+
+
+def at_once(tasks: Sequence[Callable], parallelism: int) -> list:
+    """Run independent fits, a few at a time; results in order."""
+    own = inheritable_thread_target(SparkSession.getActiveSession())
+    with ThreadPool(max(1, min(parallelism, len(tasks) or 1))) as pool:
+        return pool.map(lambda t: t(), [own(t) for t in tasks])
+
+
+def fit(name: str, train: DataFrame, stages: Sequence[Transformer], stats: LabelStats, params: dict | None = None,
+        scaled: bool = True) -> PipelineModel:
+    """Scaler stages and the fitted model as one pipeline. A
+    ``held_back`` column marks the slice for early stopping (M12)."""
+    params = dict(params or {})
+    if name == "lightgbm" and HELD_BACK in train.columns:
+        params.setdefault("validation_col", HELD_BACK)
+    est = get_estimator(name, stats, **params)
+    if not scaled:
+        return PipelineModel([est.setFeaturesCol(RAW).fit(train)])
+    return PipelineModel([*stages, est.fit(train)])
+
+
+def vector_split(vec: DataFrame, label: str, test_size: float = 0.2, held_back: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """M2 on a vector frame: (train, test); the last ``held_back`` of the
+    train rows are marked for early stopping, never the test rows (Q15)."""
+    d = vec.where(F.col(label).isNotNull()).withColumn(LABEL, F.col(label))
+
+    def cuts(n: int) -> list[int]:
+        cut = int(n * (1 - test_size))
+        return [int(cut * (1 - held_back)), cut]
+    s = sp.segment_by_position(d, cuts, col="_seg")
+    return s.where(F.col("_seg") < 2).withColumn(HELD_BACK, F.col("_seg") == 1).drop("_seg"), \
+        s.where(F.col("_seg") == 2).drop("_seg")
+
+
+def train_grid(df: DataFrame, features: Sequence[str], labels: dict, names: Sequence[str], params: dict | None = None,
+               parallelism: int = 4) -> tuple[dict, DataFrame]:
+    """Every model for every label ({tag: label column}): the
+    fitted pipelines by (tag, model) and one metric row of each."""
+    for label in labels.values():
+        if label not in df.columns:
+            raise InsufficientData(f"label {label} missing")
+    vec = vectors(df, features, list(dict.fromkeys(labels.values())))
+    names_, tasks, frames = [], [], []
+
+    def prepared(tag, label):
+        tr, te = vector_split(vec, label)
+        stages, _ = scaler(tr, features)
+        tr = PipelineModel(stages).transform(tr).drop("_varying").persist()
+        stats = label_stats(tr)
+        if stats.n < MIN_VALID:
+            raise InsufficientData(f"{stats.n} complete rows for {label}")
+        return tag, tr, te, stages, stats
+
+    def run(tag, name, tr, te, stages, stats):
+        m = fit(name, tr, stages, stats, (params or {}).get(name))
+        ev = mx.evaluate(m.transform(te).select(F.col(LABEL).alias("y"), F.col(PRED).alias("yhat")), []) \
+            .select(F.lit(tag).alias("horizon"), F.lit(name).alias("model"), "*",
+                    F.lit(nonzero_count(m.stages[-1])).alias("n_nonzero"))
+        return m, ev.first(), ev.schema
+
+    frames = at_once([lambda t=t, l=l: prepared(t, l) for t, l in labels.items()], parallelism)
+    for tag, tr, te, stages, stats in frames:
+        for n in names:
+            names_.append((tag, n))
+            tasks.append(lambda a=(tag, n, tr, te, stages, stats): run(*a))
+    got = at_once(tasks, parallelism)
+    for _, tr, *_ in frames:
+        tr.unpersist()
+    return {k: m for k, (m, _, _) in zip(names_, got)}, \
+        df.sparkSession.createDataFrame([r for _, r, _ in got], got[0][2])
+
+
+def whole(features: Sequence[str], pipeline: PipelineModel) -> PipelineModel:
+    """The pipeline with its assembler in front: from feature columns to
+    predictions (invalid rows raise)."""
+    return PipelineModel([VectorAssembler(inputCols=list(features), outputCol=RAW), *pipeline.stages])
+
+
+def raw_weights(pipeline: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
+    """(feature, coefficient per unit of the unscaled feature) of a linear pipeline."""
+    cut, scale, model = pipeline.stages[-3:]
+    return [(features[i], float(w) * float(s)) for i, w, s in
+            zip(cut.getIndices(), model.coefficients.toArray(), scale.getScalingVec())]
+
+
+def save_models(fitted: dict, path: str) -> None:
+    """Every pipeline under ``path``/<model>."""
+    for name, m in fitted.items():
+        m.write().overwrite().save(f"{path}/{name}")
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def prepare(df: DataFrame, features: Sequence[str], label: str, test_size: float = 0.2,
+            scale: bool = True, keep: Sequence[str] = (), min_rows: int = MIN_ROWS,
+            min_valid: int = MIN_VALID) -> tuple[DataFrame, DataFrame]:
+    """P11 + M2 + A21 + M1: chronological split, population-std scaling
+    fitted on train, assembled train/test frames (train persisted) behind the
+    P25 guards."""
+    guard(df, features, label, min_rows, min_valid)
     base = cut_lineage(df.where(F.col(label).isNotNull()).dropna(subset=list(features)))
-    s = cut_lineage(sp.chrono_split(base, test_size))
+    s = sp.chrono_split(base, test_size)
     if scale:
         s, features = scale_varying(s, s.where(F.col("split") == "train"), features)
     tr = assemble(s.where(F.col("split") == "train"), features, label, keep).persist()  # the one cache
@@ -182,7 +305,7 @@ def scale_varying(df: DataFrame, train: DataFrame, features: Sequence[str]) -> t
 
 def train_and_evaluate(train: DataFrame, test: DataFrame, names: Sequence[str], params: dict | None = None,
                        keep: Sequence[str] = ()) -> tuple[dict, DataFrame]:
-    """Fit every named model; metrics of all models in one aggregate."""
+    """M15 on prepared frames: metrics of all models in one aggregate."""
     stats = label_stats(train)
     fitted, preds = {}, None
     for n in names:
@@ -204,36 +327,36 @@ def nonzero_count(model) -> int:
 
 
 def cv_runs(df: DataFrame, features: Sequence[str], label: str, runs: Sequence[tuple[str, str, dict]],
-            n_splits: int = 3, scale_linear: bool = True) -> DataFrame:
-    """Expanding-window CV of runs (tag, model name, parameters); one row per
-    tag with the mean and population std of its fold metrics. Each fold is
-    split, scaled (on its train part, linear models only) and assembled once,
-    whatever the number of runs."""
-    base = cut_lineage(df.where(F.col(label).isNotNull()).dropna(subset=list(features)))
-    folded = cut_lineage(sp.ts_folds(base, n_splits))
-    rows, schema = [], None
-    for k in range(n_splits):
-        tr_raw, te_raw = sp.fold_frame(folded, k)
-        ready: dict = {}
-        for tag, name, params in runs:
-            kind = scale_linear and name in LINEAR
-            if kind not in ready:
-                tr, te, used = tr_raw, te_raw, features
-                if kind:
-                    tr, used = scale_varying(tr_raw, tr_raw, features)
-                    te, _ = scale_varying(te_raw, tr_raw, features)
-                a_tr = assemble(tr, used, label).persist()
-                ready[kind] = (a_tr, assemble(te, used, label).persist(), label_stats(a_tr))
-            a_tr, a_te, stats = ready[kind]
-            m = get_estimator(name, stats, **params).fit(a_tr)
-            ev = mx.evaluate(m.transform(a_te).select(F.col(LABEL).alias("y"), F.col(PRED).alias("yhat")), []) \
-                .select(F.lit(tag).alias("model"), F.lit(k).alias("fold"), "*")
-            schema = ev.schema
-            rows.append(ev.first())  # one metric row per run and fold
-        for a_tr, a_te, _ in ready.values():
-            a_tr.unpersist()
-            a_te.unpersist()
-    return df.sparkSession.createDataFrame(rows, schema).groupBy("model").agg(
+            n_splits: int = 3, scale_linear: bool = True, contiguous: bool = False,
+            parallelism: int = 4) -> DataFrame:
+    """Cross-validation of runs (tag, model name, parameters); one row per tag
+    with the mean and population std of its fold metrics. Folds expand over
+    time, or are ``contiguous`` (train on all the others). Each fold is split
+    and scaled (on its train part, for linear models) once, whatever the
+    number of runs."""
+    vec = vectors(df, features, [label])
+    d = vec.where(F.col(label).isNotNull()).withColumn(LABEL, F.col(label))
+    folded = cut_lineage(sp.contiguous_folds(d, n_splits) if contiguous else sp.ts_folds(d, n_splits))
+    fold = F.col("test_fold")
+
+    def prepared(k):
+        tr = folded.where(fold != k if contiguous else fold < k)
+        stages, _ = scaler(tr, features)
+        both = PipelineModel(stages)
+        tr = both.transform(tr).drop("_varying").persist()
+        return k, tr, folded.where(fold == k), stages, label_stats(tr)
+
+    def run(tag, name, params, k, tr, te, stages, stats):
+        m = fit(name, tr, stages, stats, params, scaled=name in LINEAR and scale_linear)
+        ev = mx.evaluate(m.transform(te).select(F.col(LABEL).alias("y"), F.col(PRED).alias("yhat")), []) \
+            .select(F.lit(tag).alias("model"), F.lit(k).alias("fold"), "*")
+        return ev.first(), ev.schema
+
+    frames = at_once([lambda k=k: prepared(k) for k in range(n_splits)], parallelism)
+    got = at_once([lambda a=(*r, *f): run(*a) for f in frames for r in runs], parallelism)
+    for _, tr, *_ in frames:
+        tr.unpersist()
+    return df.sparkSession.createDataFrame([r for r, _ in got], got[0][1]).groupBy("model").agg(
         F.count(F.lit(1)).alias("folds"),
         F.avg("rmse").alias("rmse_mean"), F.stddev_pop("rmse").alias("rmse_std"),
         F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"),
@@ -246,36 +369,49 @@ def cv_folds(df: DataFrame, features: Sequence[str], label: str, names: Sequence
     return cv_runs(df, features, label, [(n, n, (params or {}).get(n, {})) for n in names], n_splits, scale_linear)
 
 
-def tune(df: DataFrame, features: Sequence[str], label: str, name: str, grid: Sequence[dict],
-         n_splits: int = 3) -> DataFrame:
-    """Parameter grid x expanding folds; one row per combination with
-    its mean fold RMSE, ranked."""
-    got = cv_runs(df, features, label, [(str(i), name, g) for i, g in enumerate(grid)], n_splits)
-    text = F.create_map(*[x for i, g in enumerate(grid) for x in (F.lit(str(i)), F.lit(str(sorted(g.items()))))])
-    return mx.rank_models(got.select(F.col("model").cast("int").alias("combo"), text[F.col("model")].alias("params"),
-                                     "rmse_mean", "mae_mean"), "rmse_mean")
+def tune(df: DataFrame, features: Sequence[str], label: str, grids: dict[str, Sequence[dict]], n_splits: int = 3,
+         contiguous: bool = False) -> DataFrame:
+    """M18 ({model: parameter sets}); with ``contiguous`` folds M6 / M7: one row
+    per model and set with its mean fold metrics, ranked within the model by
+    mean R2."""
+    combos = [(n, g) for n, grid in grids.items() for g in grid]
+    got = cv_runs(df, features, label, [(str(i), n, g) for i, (n, g) in enumerate(combos)], n_splits,
+                  contiguous=contiguous)
+    names = df.sparkSession.createDataFrame([(str(i), n, str(sorted(g.items()))) for i, (n, g) in enumerate(combos)],
+                                            "combo string, name string, params string")
+    w = Window.partitionBy("name").orderBy(F.col("r2_mean").desc(), "combo")
+    return got.withColumnRenamed("model", "combo").join(names, "combo") \
+        .select(F.col("name").alias("model"), "params", "rmse_mean", "mae_mean", "r2_mean",
+                F.row_number().over(w).alias("rank"))
 
 
 def stack(df: DataFrame, features: Sequence[str], label: str, base_models: Sequence[str], key: Sequence[str],
-          n_splits: int = 3, meta_alpha: float = 1.0) -> DataFrame:
+          n_splits: int = 3, meta_alpha: float = 1.0, params: dict | None = None, parallelism: int = 4) -> DataFrame:
     """Out-of-fold predictions of the base models (each fold predicted by
-    models trained on earlier rows), joined by key, then a ridge meta-model
-    trained on all but the last fold and evaluated on it."""
-    base = cut_lineage(df.where(F.col(label).isNotNull()).dropna(subset=list(features)))
-    folded = cut_lineage(sp.ts_folds(base, n_splits))
-    oof = None
-    for k in range(n_splits):
+    models trained on earlier rows), then a ridge meta-model trained on all
+    but the last fold and evaluated on it."""
+    vec = vectors(df, features, [label], keep=key)
+    folded = cut_lineage(sp.ts_folds(vec.where(F.col(label).isNotNull()).withColumn(LABEL, F.col(label)), n_splits))
+
+    def prepared(k):
         tr, te = sp.fold_frame(folded, k)
-        te, _ = scale_varying(te, tr, features)
-        tr, used = scale_varying(tr, tr, features)
-        a_tr = assemble(tr, used, label)
-        a_te = assemble(te.withColumn("_fold", F.lit(k)), used, label, keep=[*key, "_fold"])
-        cols = None
-        for n in base_models:
-            m = get_estimator(n, label_stats(a_tr)).fit(a_tr)
-            p = m.transform(a_te).select(*key, "_fold", F.col(LABEL).alias(LABEL), F.col(PRED).alias(f"p_{n}"))
-            cols = p if cols is None else cols.join(p.drop(LABEL, "_fold"), list(key))
-        oof = cols if oof is None else oof.unionByName(cols)
+        stages, _ = scaler(tr, features)
+        tr = PipelineModel(stages).transform(tr).drop("_varying").persist()
+        return tr, te, stages, label_stats(tr)
+
+    frames = at_once([lambda k=k: prepared(k) for k in range(n_splits)], parallelism)
+    fitted = at_once([lambda a=(n, f[0], f[2], f[3]): fit(*a, (params or {}).get(a[0]), scaled=a[0] in LINEAR)
+                      for f in frames for n in base_models], parallelism)
+    oof = None
+    for k, (_, te, _, _) in enumerate(frames):
+        out = te.withColumn("_fold", F.lit(k))
+        for n, m in zip(base_models, fitted[k * len(base_models):]):
+            out = m.transform(out).withColumnRenamed(PRED, f"p_{n}").select(*te.columns, "_fold", *[
+                c for c in out.columns if c.startswith("p_")], f"p_{n}")
+        oof = out if oof is None else oof.unionByName(out)
+    oof = cut_lineage(oof.select(*key, "_fold", LABEL, *[f"p_{n}" for n in base_models]))
+    for tr, *_ in frames:
+        tr.unpersist()
     meta_feats = [f"p_{n}" for n in base_models]
     mtr = assemble(oof.where(F.col("_fold") < n_splits - 1), meta_feats, LABEL)
     mte = assemble(oof.where(F.col("_fold") == n_splits - 1), meta_feats, LABEL)
@@ -286,21 +422,18 @@ def stack(df: DataFrame, features: Sequence[str], label: str, base_models: Seque
 
 
 def horizon_grid(df: DataFrame, features: Sequence[str], horizons: Sequence[int], names: Sequence[str],
-                 target_fmt: str = "target_{h}h") -> DataFrame:
+                 target_fmt: str = "target_{h}h", params: dict | None = None, parallelism: int = 4) -> DataFrame:
     """Every model for every horizon, long-form results."""
-    out = None
-    for h in horizons:
-        tr, te = prepare(df, features, target_fmt.format(h=h))
-        _, m = train_and_evaluate(tr, te, names)
-        m = m.select(F.lit(h).alias("horizon"), "*")
-        out = m if out is None else out.unionByName(m)
-        tr.unpersist()
-    return out
+    return train_grid(df, features, {h: target_fmt.format(h=h) for h in horizons}, names, params, parallelism)[1]
 
 
 def importances(model, features: Sequence[str]) -> list[tuple[str, float]]:
-    """Feature importances (trees) or absolute coefficients (linear): one
-    small list, bounded by the number of features."""
+    """Feature importances (trees) or absolute coefficients (linear, per std)
+    of a model or pipeline: one small list, bounded by the feature count."""
+    if isinstance(model, PipelineModel):
+        cut = [s for s in model.stages if isinstance(s, VectorSlicer)]
+        features = [features[i] for i in cut[0].getIndices()] if cut else features
+        model = model.stages[-1]
     if hasattr(model, "featureImportances"):
         v = model.featureImportances.toArray()
     else:

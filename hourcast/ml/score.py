@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,27 +16,41 @@ from hourcast.operators import scale as scl
 from hourcast.sources.store import latest_rows
 
 
+#: reading shown in a prediction record -> feature column
+RECORD = {"temperature": "temp", "humidity": "humidity", "pm2_5": "pm2_5", "pm10": "pm10", "co": "co", "o3": "o3",
+          "no2": "no2", "so2": "so2", "wind_speed": "wind_speed", "clouds": "clouds"}
+
+
 def score_latest(features: DataFrame, model, feature_names: Sequence[str], model_name: str,
                  scale_params: dict | None = None, keys: Sequence[str] = ("city",),
                  current: str = "aqi", concentration: bool = False) -> DataFrame:
     """One prediction record per key from its most recent feature row.
     Missing expected features become 0 (P9), NULLs become 0 (P8).
     ``concentration``: the model predicts PM2.5, which becomes the index
-    before it is named and classified as one."""
+    before it is named and classified as one. The record carries the
+    reading it was made from; quantities that the frame lacks are NULL, a
+    missing reading counts as 0 (P8). ``timestamp`` is the time of that
+    reading."""
     latest = latest_rows(features, keys)                                        # P19
-    aligned = cl.align_features(latest, feature_names, keep=[*keys, "timestamp", current])
-    aligned = cl.fill_zero(aligned, list(feature_names))
+    shown = {name: c for name, c in RECORD.items() if c in latest.columns}
+    latest = latest.select("*", *[F.col(c).cast("double").alias(f"_r_{name}") for name, c in shown.items()])
+    held = [f"_r_{name}" for name in shown]
+    aligned = cl.align_features(latest, feature_names, keep=[*keys, "timestamp", current, *held])
+    aligned = cl.fill_zero(aligned, [*feature_names, *held])
     if scale_params:
         aligned = scl.transform(aligned, {k: v for k, v in scale_params.items() if k in feature_names})
-    vec = VectorAssembler(inputCols=list(feature_names), outputCol="features").transform(aligned)
-    p = model.transform(vec)
+    if isinstance(model, PipelineModel):
+        p = model.transform(aligned)
+    else:
+        p = model.transform(VectorAssembler(inputCols=list(feature_names), outputCol="features").transform(aligned))
     if concentration:
         p = p.withColumn("prediction", pm25_to_aqi(F.round(F.greatest(F.col("prediction"), F.lit(0.0)), 1)).cast("double"))
     return p.select(*keys, "timestamp", current_aqi(current).alias("current_aqi"),
                     F.col("prediction").alias("predicted_aqi_24h"),
                     aqi_category(F.col("prediction")).alias("category"),
                     health_advisory(F.col("prediction")).alias("health_advisory"),
-                    F.lit(model_name).alias("model_used"))
+                    F.lit(model_name).alias("model_used"),
+                    *[(F.col(f"_r_{name}") if name in shown else F.lit(None).cast("double")).alias(name) for name in RECORD])
 
 
 def forecast_days(scored: DataFrame, days: int = 3, seed: int | None = 42, spread: float = 10.0,

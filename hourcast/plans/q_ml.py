@@ -1,29 +1,36 @@
-"""Model training, CV, scoring and explanation queries (M5-M26). Model
-fitting has no SQL equivalent, so these carry no oracle SQL (rows-only
-check); the data preparation they share is oracle-checked elsewhere
-(features_full_a, split_chrono, scale_standard, baseline_metrics)."""
+"""Model training, CV, scoring and explanation queries (M5-M26). Fitting on
+all features has no SQL equivalent (rows-only check); the ``*_closed_form``
+queries run the same code on two features, where ridge has one. The data
+preparation is oracle-checked elsewhere (features_full_a, split_chrono,
+scale_standard, baseline_metrics)."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hourcast.ml import explain as ex
 from hourcast.ml import models as ml
 from hourcast.ml import score as sc
 from hourcast.operators import features as fx
-from hourcast.operators import scale as scl
-from hourcast.session import cut_lineage
+from hourcast.operators import metrics as mx
+from hourcast.plans import sqlgen as sg
+from hourcast.session import checkpoint_dir, cut_lineage
 from hourcast.sources import views
 
 QUERIES: dict = {}
-ORACLE: dict = {}  # model fitting: rows-only checks
+ORACLE: dict = {}
 LABEL = "target_24h"
 KEY = ["city", "timestamp"]
 
 
-def q(name):
+def q(name, sql=None):
     def deco(fn):
         QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
         return fn
     return deco
 
@@ -47,102 +54,190 @@ def _feature_frame(spark, sf):
     return f.select(*[F.col(c).cast("int").alias(c) if c.startswith("season_") else F.col(c) for c in f.columns]), feats
 
 
-def _single(name):
+#: ensemble sizes of the registered grid queries; the operators default to
+#: the full ones (100 and 500 trees)
+SMALL = {"random_forest": {"n_estimators": 20, "max_depth": 5}, "gradient_boosting": {"n_estimators": 10, "max_depth": 3},
+         "xgboost": {"n_estimators": 10, "max_depth": 3}, "lightgbm": {"n_estimators": 10, "max_depth": 3}}
+
+
+def _single(name, params=None):
     def run(spark, sf):
         f, feats = feature_frame(spark, sf)
-        tr, te = ml.prepare(f, feats, LABEL)
-        _, m = ml.train_and_evaluate(tr, te, [name])
-        return m
+        _, m = ml.train_grid(f, feats, {24: LABEL}, [name], {name: params or {}}, parallelism=8)
+        return m.drop("horizon")
     return run
 
 
-for _n, _q in [("ridge", "ridge"), ("lasso", "lasso"), ("elastic_net", "elastic_net"),
-               ("random_forest", "forest"), ("gradient_boosting", "gbt")]:
-    QUERIES[_q] = _single(_n)
+for _n, _q, _p in [("ridge", "ridge", {}), ("lasso", "lasso", {}), ("elastic_net", "elastic_net", {}),
+                   ("random_forest", "forest", {}), ("gradient_boosting", "gbt", {}),
+                   ("xgboost", "xgboost", {"n_estimators": 30}), ("lightgbm", "lightgbm", {"n_estimators": 30})]:
+    QUERIES[_q] = _single(_n, _p)
 
 
 @q("horizon_grid")
 def horizon_grid(spark, sf):
     f, feats = feature_frame(spark, sf)
-    return ml.horizon_grid(f, feats, fx.PresetA().horizons, ["ridge", "lasso"])
+    return ml.horizon_grid(f, feats, fx.PresetA().horizons, list(ml.FACTORY), params=SMALL, parallelism=8)
+
+
+@q("train_save_best")
+def train_save_best(spark, sf):
+    """All models, each pipeline written, read back and evaluated
+    again; ``best`` marks the lowest RMSE, ``same`` that the read one agrees."""
+    f, feats = feature_frame(spark, sf)
+    fitted, m = ml.train_grid(f, feats, {24: LABEL}, list(ml.FACTORY), SMALL, parallelism=8)
+    where = f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    ml.save_models({n: x for (_, n), x in fitted.items()}, where)
+    _, te = ml.vector_split(ml.vectors(f, feats, [LABEL]), LABEL)
+    again = None
+    for _, n in fitted:
+        p = ml.load_model(f"{where}/{n}").transform(te).select(F.lit(n).alias("model"), F.col(ml.LABEL).alias("y"),
+                                                               F.col(ml.PRED).alias("yhat"))
+        again = p if again is None else again.unionByName(p)
+    again = mx.evaluate(again, ["model"]).select("model", F.col("rmse").alias("read_rmse"))
+    return m.join(again, "model").select(
+        "model", "rmse", "mae", "r2", "n_nonzero", (F.abs(F.col("rmse") - F.col("read_rmse")) < 1e-9).alias("same"),
+        (F.col("rmse") == F.min("rmse").over(Window.partitionBy())).alias("best"))
 
 
 @q("ts_cv")
 def ts_cv(spark, sf):
     f, feats = feature_frame(spark, sf)
-    return ml.cv_folds(f, feats, LABEL, ["ridge", "lasso", "elastic_net"], 3)
+    return ml.cv_folds(f, feats, LABEL, ["ridge", "random_forest", "gradient_boosting", "xgboost", "lightgbm"], 3, params=SMALL)
+
+
+@q("alpha_grid")
+def alpha_grid(spark, sf):
+    """M6, M7: the alpha grids of ridge and lasso on five contiguous folds."""
+    f, feats = feature_frame(spark, sf)
+    return ml.tune(f, feats, LABEL, {"ridge": [{"alpha": a} for a in (0.01, 0.1, 1.0, 10.0, 100.0)],
+                                     "lasso": [{"alpha": a} for a in (0.001, 0.01, 0.1, 1.0)]}, 5, contiguous=True)
 
 
 @q("tuning")
 def tuning(spark, sf):
     f, feats = feature_frame(spark, sf)
-    return ml.tune(f, feats, LABEL, "ridge", [{"alpha": a} for a in (0.01, 0.1, 1.0, 10.0, 100.0)])
+    return ml.tune(f, feats, LABEL, {
+        "ridge": [{"alpha": a} for a in (0.01, 0.1, 1.0, 10.0, 100.0)],
+        "random_forest": [{"n_estimators": 10, "max_depth": d} for d in (3, 5)],
+        "gradient_boosting": [{"n_estimators": 10, "max_depth": 3, "learning_rate": r} for r in (0.05, 0.1, 0.2)]})
 
 
 @q("stacking")
 def stacking(spark, sf):
     f, feats = feature_frame(spark, sf)
-    return ml.stack(f, feats, LABEL, ["ridge", "lasso"], KEY)
+    return ml.stack(f, feats, LABEL, ["random_forest", "gradient_boosting", "ridge"], KEY, params=SMALL, parallelism=8)
 
 
 def _fitted_ridge(spark, sf):
+    """Feature frame, feature names, vector frame, and the ridge pipeline over
+    all complete rows."""
     f, feats = feature_frame(spark, sf)
-    base = f.where(F.col(LABEL).isNotNull()).dropna(subset=feats)
-    params = {c: p for c, p in scl.fit_complete(base, feats).items() if p[1] > 0}  # constant features carry nothing
-    feats = [c for c in feats if c in params]
-    a = ml.assemble(scl.transform(base, params), feats, LABEL)
-    model = ml.ridge(1.0, ml.label_stats(a)).fit(a)
-    return f, feats, params, model
+    vec = ml.vectors(f, feats, [LABEL])
+    d = vec.where(F.col(LABEL).isNotNull()).withColumn(ml.LABEL, F.col(LABEL))
+    return f, feats, vec, _ridge_on(d, feats)
+
+
+def _ridge_on(d, feats):
+    stages, _ = ml.scaler(d, feats)
+    return ml.fit("ridge", ml.PipelineModel(stages).transform(d), stages, ml.label_stats(d))
 
 
 @q("score_latest")
 def score_latest(spark, sf):
-    f, feats, params, model = _fitted_ridge(spark, sf)
-    return sc.score_latest(f, model, feats, "ridge", params, concentration=True)
+    f, feats, _, model = _fitted_ridge(spark, sf)
+    return sc.score_latest(f, ml.whole(feats, model), feats, "ridge", concentration=True)
 
 
 @q("forecast_3d")
 def forecast_3d(spark, sf):
-    f, feats, params, model = _fitted_ridge(spark, sf)
-    return sc.forecast_days(sc.score_latest(f, model, feats, "ridge", params, concentration=True), 3, seed=42)
+    return sc.forecast_days(score_latest(spark, sf), 3, seed=42)
 
 
 @q("explain_top8")
 def explain_top8(spark, sf):
-    f, feats, params, model = _fitted_ridge(spark, sf)
     from hourcast.sources.store import latest_rows
+    f, feats, _, model = _fitted_ridge(spark, sf)
     imp = ex.importance_frame(spark, ml.importances(model, feats))
     return ex.top_drivers(latest_rows(f, ["city"]), imp, ["city"], 8)
 
 
 @q("shap_linear")
 def shap_linear(spark, sf):
-    f, feats, params, model = _fitted_ridge(spark, sf)
-    base = scl.transform(f.dropna(subset=feats), params)
-    return ex.linear_shap(base, feats, model.coefficients.toArray().tolist())
+    f, feats, _, model = _fitted_ridge(spark, sf)
+    names, weights = zip(*ml.raw_weights(model, feats))
+    return ex.linear_shap(f.dropna(subset=feats), names, weights)
 
 
 @q("permutation")
 def permutation(spark, sf):
-    f, feats, params, model = _fitted_ridge(spark, sf)
-    base = scl.transform(f.where(F.col(LABEL).isNotNull()).dropna(subset=feats), params)
-    top = [n for n, _ in sorted(ml.importances(model, feats), key=lambda t: -t[1])[:8]]
-    return ex.permutation_importance(base, model, feats, LABEL, KEY, top)
+    """Every feature's RMSE increase."""
+    _, feats, vec, model = _fitted_ridge(spark, sf)
+    return ex.permutation_importance(vec, model, feats, LABEL, KEY)
 
 
 @q("lime")
 def lime(spark, sf):
-    f, feats = feature_frame(spark, sf)
-    top = ["pm2_5", "pm10", "temp", "humidity", "pm2_5_lag_1h", "pm2_5_lag_24h", "pm2_5_rolling_mean_24h",
-           "pm2_5_diff_1h", "hour_sin", "hour_cos"]
-    base = f.where(F.col(LABEL).isNotNull()).dropna(subset=top)
-    a = ml.assemble(base, top, LABEL)
-    model = ml.ridge(1.0, ml.label_stats(a)).fit(a)
-    stds = base.agg(*[F.stddev_samp(c).alias(c) for c in top]).first().asDict()
-    inst = ex.background_sample(base.select(*KEY, *top), KEY, 50)
-    return ex.lime(inst, model, top, KEY, stds)
+    """The fitted model over all its features; 50 instances, 10 features of each."""
+    _, feats, vec, model = _fitted_ridge(spark, sf)
+    s = vec.select(ml.Summarizer.std(F.col(ml.RAW)).alias("s")).first()["s"]
+    return ex.lime(ex.background_sample(vec, KEY, 50), model, feats, KEY, list(s))
 
 
-@q("background_sample")
+@q("background_sample", f"""WITH {sg.obs_cte()}
+SELECT * FROM obs ORDER BY md5(city || '|' || CAST(timestamp AS VARCHAR) || '|42'), city, timestamp LIMIT 100""")
 def background_sample(spark, sf):
     return ex.background_sample(views.obs(spark, sf), KEY, 100)
+
+
+# Ridge on two features: the closed form is SQL ------------------------------------
+TWO = ["pm2_5", "temp"]
+_TWO_SQL = f"""{sg.obs_cte()},
+f AS (SELECT city, timestamp, pm2_5, temp, LEAD(pm2_5, 24) OVER (PARTITION BY city ORDER BY timestamp) AS y FROM obs),
+t AS (SELECT * FROM f WHERE y IS NOT NULL AND pm2_5 IS NOT NULL AND temp IS NOT NULL),
+m AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n, AVG(pm2_5) AS m1, stddev_pop(pm2_5) AS s1, AVG(temp) AS m2, stddev_pop(temp) AS s2,
+  AVG(y) AS my, corr(pm2_5, temp) AS r, covar_pop(pm2_5, y) / stddev_pop(pm2_5) AS c1, covar_pop(temp, y) / stddev_pop(temp) AS c2 FROM t),
+b AS (SELECT *, n * ((n + 1) * c1 - n * r * c2) / ((n + 1) * (n + 1) - n * r * n * r) / s1 AS w1,
+  n * ((n + 1) * c2 - n * r * c1) / ((n + 1) * (n + 1) - n * r * n * r) / s2 AS w2 FROM m)"""
+
+
+def _two(spark, sf):
+    o = views.obs(spark, sf)
+    f = o.select(*KEY, *TWO, *fx.lead_columns(fx.Series().window(), "pm2_5", [24]))
+    vec = ml.vectors(f, TWO, [LABEL])
+    d = vec.where(F.col(LABEL).isNotNull()).withColumn(ml.LABEL, F.col(LABEL))
+    return o, vec, _ridge_on(d, TWO)
+
+
+@q("ridge_closed_form", f"""WITH {_TWO_SQL}
+SELECT city, timestamp, ROUND(my + w1 * (pm2_5 - m1) + w2 * (temp - m2), 4) AS predicted FROM obs, b""")
+def ridge_closed_form(spark, sf):
+    """A ridge pipeline is written, read back and applied."""
+    o, _, model = _two(spark, sf)
+    where = f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    ml.save_models({"ridge": ml.whole(TWO, model)}, where)
+    p = ml.load_model(f"{where}/ridge").transform(o.select(*KEY, *TWO))
+    return p.select(*KEY, F.round(ml.PRED, 4).alias("predicted"))
+
+
+@q("shap_closed_form", f"""WITH {_TWO_SQL}
+SELECT feature, ROUND(v, 6) AS mean_abs_shap FROM (
+  SELECT 'pm2_5' AS feature, AVG(ABS(w1 * (pm2_5 - o1))) AS v FROM obs, b, (SELECT AVG(pm2_5) AS o1 FROM obs) GROUP BY 1
+  UNION ALL SELECT 'temp', AVG(ABS(w2 * (temp - o2))) FROM obs, b, (SELECT AVG(temp) AS o2 FROM obs))""")
+def shap_closed_form(spark, sf):
+    o, _, model = _two(spark, sf)
+    names, weights = zip(*ml.raw_weights(model, TWO))
+    return ex.linear_shap(o, names, weights).select("feature", F.round("mean_abs_shap", 6).alias("mean_abs_shap"))
+
+
+@q("permutation_closed_form", f"""WITH {_TWO_SQL},
+h AS (SELECT *, row_number() OVER (ORDER BY md5(city || '|' || CAST(timestamp AS VARCHAR) || '|42'), city, timestamp) - 1 AS i,
+  COUNT(*) OVER () AS c FROM t),
+d AS (SELECT h.y, h.pm2_5 AS x1, h.temp AS x2, z.pm2_5 AS z1, z.temp AS z2 FROM h JOIN h z ON h.i = (z.i + 1) % z.c),
+e AS (SELECT SQRT(AVG((y - my - w1 * (x1 - m1) - w2 * (x2 - m2)) ** 2)) AS e0,
+  SQRT(AVG((y - my - w1 * (z1 - m1) - w2 * (x2 - m2)) ** 2)) AS e1,
+  SQRT(AVG((y - my - w1 * (x1 - m1) - w2 * (z2 - m2)) ** 2)) AS e2 FROM d, b)
+SELECT 'pm2_5' AS feature, ROUND(e1 - e0, 6) AS rmse_increase FROM e UNION ALL SELECT 'temp', ROUND(e2 - e0, 6) FROM e""")
+def permutation_closed_form(spark, sf):
+    _, vec, model = _two(spark, sf)
+    return ex.permutation_importance(vec, model, TWO, LABEL, KEY).select("feature", F.round("rmse_increase", 6).alias("rmse_increase"))
