@@ -141,15 +141,10 @@ def unix_to_hour(df: DataFrame, unix: str = "unix_time") -> DataFrame:
 
 def city_coordinates(df: DataFrame, dim: DataFrame, city: str = "city") -> DataFrame:
     """Case-insensitive city -> (lat, lon) through a small dimension: one
-    row per configured city, broadcast after its counted size is checked
-    (shuffle join above the bound)."""
+    row per configured city (AQE broadcasts it when its bytes are small)."""
     d = dim.select(F.lower(F.col("city")).alias("_ck"), "lat", "lon")
-    d = F.broadcast(d) if d.count() <= DIM_BROADCAST_MAX_ROWS else d
     return df.join(d, F.lower(F.col(city)) == F.col("_ck"), "left").drop("_ck")
 
 
-DIM_BROADCAST_MAX_ROWS = 1_000_000
-
-
 def prefer(cols: Sequence[Column]) -> Column:
     return F.coalesce(*cols)

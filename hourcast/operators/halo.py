@@ -18,9 +18,9 @@ the minute of the timestamp) and fine enough that one bucket of the hottest
 key fits a task. Everything big is partitioned by (key, bucket) or
 (key, block), so the work spreads evenly however skewed the keys are.
 
-Small tables (bucket starts, block carries) are broadcast only below
-``BROADCAST_MAX_ROWS``, a bound checked from counts before planning;
-above it they are joined by shuffle.
+Small tables (bucket starts, block carries) carry no broadcast hint: AQE
+broadcasts them when their measured bytes are small. Otherwise the join
+shuffles on the key the next window needs anyway.
 """
 
 from __future__ import annotations
@@ -34,24 +34,19 @@ from pyspark.sql import functions as F
 
 from hourcast.operators.features import CARRY, Series
 
-BROADCAST_MAX_ROWS = 2_000_000
 MAX_BLOCK_ROWS = 1 << 20
+MIN_HOT_ROWS = 1 << 16   # one task sorts so many rows in well under a second: no key below is split
 HELPERS = ("_pos", "_block", "_core")
 
 
 @dataclass(frozen=True)
 class Layout:
     counts: DataFrame       # rows per (key, bucket)
-    buckets: int            # rows of ``counts``
     keys: int
     rows: int
     max_key_rows: int
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_MAX_ROWS else df
-
-
 def _bucketed(df: DataFrame, buckets: Sequence[Column]) -> tuple[DataFrame, list[str]]:
     names = [f"_bk{i}" for i in range(len(buckets))]
     return df.select("*", *[b.alias(n) for b, n in zip(buckets, names)]), names
@@ -62,11 +57,10 @@ def layout(df: DataFrame, series: Series, buckets: Sequence[Column]) -> Layout:
     keys = list(series.keys)
     d, names = _bucketed(df, buckets)
     counts = d.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
-    per_key = counts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("nb"))
-    st = per_key.agg(F.coalesce(F.sum("nb"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("k"),
-                     F.coalesce(F.sum("n"), F.lit(0)).alias("r"),
-                     F.coalesce(F.max("n"), F.lit(0)).alias("m")).first()
-    return Layout(counts, int(st["b"]), int(st["k"]), int(st["r"]), int(st["m"]))
+    st = counts.groupBy(*keys).agg(F.sum("_n").alias("n")).agg(
+        F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("r"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("m")).first()
+    return Layout(counts, int(st["k"]), int(st["r"]), int(st["m"]))
 
 
 def auto_block_rows(lay: Layout, halo: int, parallelism: int) -> int:
@@ -90,7 +84,7 @@ def positions(df: DataFrame, series: Series, buckets: Sequence[Column], lay: Lay
                                F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     rank = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*series.order)) - F.lit(1)
     ranked = d.select("*", rank.alias("_rk"))
-    return ranked.join(_small(starts, lay.buckets), [*keys, *names]) \
+    return ranked.join(starts, [*keys, *names]) \
         .select(*df.columns, (F.col("_start") + F.col("_rk")).cast("long").alias(pos))
 
 
@@ -151,9 +145,8 @@ def blocked(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], seri
     p = positions(df, series, buckets, lay)
     h = with_halo(p, back, fwd, block_rows)
     if pad_cols:
-        n_blocks = lay.rows // block_rows + lay.keys       # upper bound of rows in the carry table
         carry = carry_table(p, series, pad_cols, back, block_rows)
-        h = h.join(_small(carry, n_blocks), [*keys, "_block"], "left") \
+        h = h.join(carry, [*keys, "_block"], "left") \
             .select(*h.columns, *[CARRY.format(col=c) for c in pad_cols])
     out = build(h, Series(keys=(*keys, "_block"), order=series.order))
     drop = [*HELPERS, *[CARRY.format(col=c) for c in pad_cols]]
@@ -162,10 +155,10 @@ def blocked(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], seri
 
 def skew_safe(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], series: Series, back: int,
               fwd: int, buckets: Sequence[Column], pad_cols: Sequence[str] = (),
-              block_rows: int | None = None) -> DataFrame:
+              block_rows: int | None = None, floor: int = MIN_HOT_ROWS) -> DataFrame:
     """Plain ``build`` when no key is larger than a fair task share (rows /
-    parallelism, at least one block, at most ``MAX_BLOCK_ROWS``): one window
-    per key is then balanced. A key above it (a hot key, or a few keys holding
+    parallelism, at least one block or ``floor`` rows, at most
+    ``MAX_BLOCK_ROWS``): one window per key is then balanced. A key above it (a hot key, or a few keys holding
     everything) takes the blocked path. The decision reads only the
     per-(key, bucket) counts."""
     # per-key counts only: the scan reads just the key columns and the
@@ -177,6 +170,6 @@ def skew_safe(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], se
     if block_rows is None:
         block_rows = block_rows_for(max_key, back + fwd, par)
     fair = math.ceil(rows / max(1, par))
-    if max_key <= min(MAX_BLOCK_ROWS, max(block_rows, fair)):
+    if max_key <= min(MAX_BLOCK_ROWS, max(block_rows, fair, floor)):
         return build(df.withColumn("_core", F.lit(True)), series).drop("_core")
     return blocked(df, build, series, back, fwd, buckets, pad_cols, block_rows)

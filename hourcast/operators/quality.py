@@ -4,20 +4,23 @@ Every per-column statistic is an aggregate expression, so one ``agg`` over
 the frame yields all of them (partial aggregation on the executors, one row
 to the driver); ``stack`` then turns the wide result into long form.
 
-Exact percentiles use Spark's ``percentile`` aggregate, whose state is a
-value -> count map: memory grows with the number of *distinct* values per
-column (small for fixed-resolution sensor data), not with the row count.
-For continuous columns with unbounded distinct values pass
-``exact=False`` to use the bounded-memory ``percentile_approx`` sketch.
+Exact quantiles come from counts per value in range partitions
+(:func:`quantiles`): no task holds a column's values. ``exact=False`` uses
+the ``percentile_approx`` sketch instead.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourcast.operators.features import Series
+from hourcast.operators.halo import skew_safe
+from hourcast.session import cut_lineage
+
 # Validated ranges (min, max, unit)
 VALID_RANGES = {
     "temp": (-50, 60, "°C"),
@@ -51,6 +54,48 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return _stack(wide, cols, ["nulls", "pct"])
 
 
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75)) -> dict[str, list]:
+    """Exact, linearly interpolated quantiles of the non-NULL values of each
+    column (doubles; None where there are none).
+
+    Counts per (column, value), map-side combined, are range-partitioned in
+    order and checkpointed; one total per partition and column tells which
+    partition holds each wanted order statistic, and only there a running sum
+    finds it. No task holds a column's values; the driver sees the totals and
+    two values per quantile."""
+    cols = list(cols)
+    item = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]))
+    u = df.select(item.alias("_u")).select("_u.c", "_u.v").where(F.col("v").isNotNull())
+    per = cut_lineage(u.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).orderBy("c", "v")
+                      .withColumn("_mid", F.monotonically_increasing_id()))
+    per = per.withColumn("p", F.shiftright(F.col("_mid"), 33))
+    totals = sorted((r["c"], r["p"], r["t"]) for r in per.groupBy("c", "p").agg(F.sum("n").alias("t")).collect())
+    size = {c: sum(t for k, _, t in totals if k == c) for c in range(len(cols))}
+    ranks = {c: sorted({r for q in probs for r in (math.floor((n - 1) * q), math.ceil((n - 1) * q))}) for c, n in size.items() if n}
+    wanted, at = [], dict.fromkeys(size, 0)
+    for c, p, t in totals:
+        wanted += [(c, p, r - at[c], r) for r in ranks[c] if at[c] <= r < at[c] + t]
+        at[c] += t
+    if not wanted:
+        return {c: [None] * len(probs) for c in cols}
+    hits = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(p).cast("long").alias("p"), F.lit(k).cast("long").alias("k"),
+                              F.lit(r).cast("long").alias("r")) for c, p, k, r in wanted])
+    end = F.sum("n").over(Window.partitionBy("p", "c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    held = per.where(F.col("p").isin(sorted({p for _, p, _, _ in wanted}))).withColumn("e", end)
+    held = held.select("c", "v", F.explode(F.filter(hits, lambda h: (h["c"] == F.col("c")) & (h["p"] == F.col("p"))
+                                                    & (h["k"] >= F.col("e") - F.col("n")) & (h["k"] < F.col("e")))).alias("h"))
+    value = {(r["c"], r["r"]): r["v"] for r in held.select("c", "v", "h.r").collect()}       # two per quantile
+    out = {}
+    for i, c in enumerate(cols):
+        out[c] = [None] * len(probs)
+        for j, q in enumerate(probs if size[i] else ()):
+            at_ = (size[i] - 1) * q
+            lo, hi = math.floor(at_), math.ceil(at_)
+            a, b = value[i, lo], value[i, hi]
+            out[c][j] = a if lo == hi or a == b else (hi - at_) * a + (at_ - lo) * b
+    return out
+
+
 def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int | None = 2, exact: bool = True,
              decimals: int | None = None) -> DataFrame:
     """Count, mean, std (sample), min, 25/50/75 % (linear), max.
@@ -58,8 +103,11 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int | Non
     ``decimals``: fixed-point inputs; mean, std and quartiles are computed on
     exact integers (independent of summation order)."""
     cols = [c for c in (cols or DESCRIBE_COLS) if c in df.columns]
-    aggs = []
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    aggs, probs = [], [0.25, 0.5, 0.75]
+    if exact:
+        whole = df if decimals is None else df.select(*[F.round(F.col(c).cast("double") * F.lit(float(10 ** decimals)))
+                                                        .alias(c) for c in cols])
+        exact_q = quantiles(whole, cols, probs)
     for c in cols:
         x = F.col(c).cast("double")
         if decimals is None:
@@ -74,7 +122,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int | Non
             mean = s1.cast("double") / (F.lit(scale) * n)
             std = F.when(n > 1, F.sqrt((n.cast("decimal(38,0)") * s2 - s1 * s1).cast("double")
                                        / (F.lit(scale * scale) * n * (n - F.lit(1)))))
-        q = F.percentile(v, probs) if exact else F.percentile_approx(v, [0.25, 0.5, 0.75], 100000)
+        q = F.array(*[F.lit(e).cast("double") for e in exact_q[c]]) if exact else F.percentile_approx(v, probs, 100000)
         aggs += [F.count(x).alias(f"{c}__count"), mean.alias(f"{c}__mean"), std.alias(f"{c}__std"),
                  F.min(x).alias(f"{c}__min"),
                  (F.transform(q, lambda e: e.cast("double") / F.lit(scale)) if scale else q).alias(f"{c}__q"),
@@ -121,8 +169,9 @@ def coverage(df: DataFrame, ts: str = "timestamp", by: Sequence[str] = ("city",)
 def gaps(df: DataFrame, unix: str = "unix_time", keys: Sequence[str] = ("city",), step: int = 3600) -> DataFrame:
     """W10 + A17: consecutive-row gaps: =, > and < the step; max and mean of
     the large ones in hours."""
-    w = Window.partitionBy(*keys).orderBy(unix)
-    d = df.select(*keys, (F.col(unix) - F.lag(unix, 1).over(w)).alias("_gap")).where(F.col("_gap").isNotNull())
+    d = skew_safe(df.select(*keys, unix), lambda f, s: f.select(
+        *keys, "_core", (F.col(unix) - F.lag(unix, 1).over(s.window())).alias("_gap")),
+        Series(tuple(keys), (unix,)), 1, 0, [F.floor(F.col(unix) / F.lit(86400))]).where(F.col("_gap").isNotNull())
     big = F.when(F.col("_gap") > step, F.col("_gap"))
     return d.groupBy(*keys).agg(
         F.count(F.when(F.col("_gap") == step, 1)).alias("normal"),
@@ -154,12 +203,11 @@ def boxplot(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """Quartiles, IQR, whiskers (most extreme values within 1.5 IQR) and
     outlier count per column. Two aggregate passes: the quartiles come back
     to the driver as one metric row and become literals of the second."""
-    q = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-                 .alias(c) for c in cols]).first()
+    q = quantiles(df, cols)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        q1, med, q3 = (q[c] or [None, None, None])
+        q1, med, q3 = q[c]
         if q1 is None:
             lo = hi = F.lit(None).cast("double")
         else:
@@ -178,8 +226,9 @@ def boxplot(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
 def shape_stats(df: DataFrame, col: str, keys: Sequence[str] = ("city",), order: str = "timestamp",
                 digits: int = 6) -> DataFrame:
     """Lag-1 autocorrelation and (bias-adjusted) skewness per key."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    x = df.select(*keys, F.col(col).alias("_x"), F.lag(col, 1).over(w).alias("_l"))
+    x = skew_safe(df.select(*keys, order, col), lambda f, s: f.select(
+        *keys, "_core", F.col(col).alias("_x"), F.lag(col, 1).over(s.window()).alias("_l")),
+        Series(tuple(keys), (order,)), 1, 0, [F.date_trunc("day", F.col(order))])
     n = F.count("_x")
     g1 = F.skewness("_x")
     adj = g1 * F.sqrt(n * (n - F.lit(1))) / (n - F.lit(2))
@@ -197,19 +246,6 @@ def status_by_city(data: DataFrame, cities: DataFrame, ts: str = "timestamp") ->
                     F.coalesce(F.col("records"), F.lit(0)).alias("records"), "first_ts", "last_ts")
 
 
-def profile_columns(df: DataFrame) -> list[Column]:
-    return [F.col(c) for c in df.columns]
-
-
-def safe_corr(a: str, b: str) -> Column:
-    """Pairwise-complete Pearson correlation that is NULL (instead of an ANSI
-    divide-by-zero error) when either column is constant."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x = F.when(both, F.col(a).cast("double"))
-    y = F.when(both, F.col(b).cast("double"))
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-
-
 def top_by_corr(df: DataFrame, target: str, features: Sequence[str], k: int = 50, digits: int = 6) -> DataFrame:
     """T5 + W16: the ``k`` features with the largest absolute correlation to
     ``target`` (ties by name); constant features (NULL/NaN correlation) are

@@ -19,6 +19,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourcast.operators.quality import quantiles
+
 
 def fit_standard(df: DataFrame, cols: Sequence[str], decimals: int | None = None) -> dict:
     aggs = []
@@ -50,13 +52,10 @@ def fit_complete(df: DataFrame, cols: Sequence[str]) -> dict:
 
 def fit_robust(df: DataFrame, cols: Sequence[str]) -> dict:
     """Median and IQR with linearly interpolated quartiles (A22); IQR 0 -> 1."""
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c)
-                   for c in cols]).first()
     out = {}
-    for c in cols:
-        q1, med, q3 = row[c]
-        iqr = q3 - q1
-        out[c] = (med, iqr if iqr != 0 else 1.0)
+    for c, (q1, med, q3) in quantiles(df, cols).items():
+        iqr = (q3 or 0.0) - (q1 or 0.0)
+        out[c] = (med or 0.0, iqr if iqr != 0 else 1.0)
     return out
 
 

@@ -127,9 +127,13 @@ def sequences(df: DataFrame, features: Sequence[str], label: str, length: int,
               keys: Sequence[str] = ("city",), order: Sequence[str] = ("timestamp",)) -> DataFrame:
     """At each row i >= length, the previous ``length`` feature rows as an
     array of structs plus label y[i]; rows without a full history are dropped."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-length, -1)
-    seq = F.collect_list(F.struct(*[F.col(c) for c in features])).over(w)
-    out = df.select(*keys, *order, seq.alias("sequence"), F.col(label).alias("label"))
+    from hourcast.operators.features import Series
+    from hourcast.operators.halo import skew_safe
+
+    def build(f: DataFrame, s: Series) -> DataFrame:
+        seq = F.collect_list(F.struct(*[F.col(c) for c in features])).over(s.window().rowsBetween(-length, -1))
+        return f.select(*keys, *order, "_core", seq.alias("sequence"), F.col(label).alias("label"))
+    out = skew_safe(df, build, Series(tuple(keys), tuple(order)), length, 0, [F.date_trunc("day", F.col(order[0]))])
     return out.where(F.size("sequence") == length)
 
 

@@ -198,9 +198,28 @@ def _full_a_sql():
     return f"WITH {sg.obs_cte()}, padded AS (SELECT *, {pads} FROM obs) SELECT {', '.join(sel)} FROM padded"
 
 
+def _days():
+    return [F.date_trunc("day", F.col("timestamp"))]
+
+
+def preset_a(df):
+    """Preset A, split by blocks where a city is hot."""
+    from hourcast.operators import halo
+    back = max(*A.lag_hours, *A.rolling_windows, *A.change_periods, 3)
+    return halo.skew_safe(df, lambda f, s: fx.features_a(f, series=s, decimals=2), fx.Series(), back, max(A.horizons),
+                          _days(), pad_cols=A.resolve(df.columns)[2])
+
+
+def preset_b(df):
+    from hourcast.operators import halo
+    back = max(*B.lags, *B.windows, *B.periods)
+    return halo.skew_safe(df, lambda f, s: fx.features_b(f, series=s, decimals=0), fx.Series(), back, max(B.horizons),
+                          _days(), pad_cols=[B.target])
+
+
 @q("features_full_a", _full_a_sql())
 def features_full_a(spark, sf):
-    return _round_trig(fx.features_a(views.obs(spark, sf), decimals=2))
+    return _round_trig(preset_a(views.obs(spark, sf)))
 
 
 def _full_b_sql():
@@ -218,7 +237,7 @@ def _full_b_sql():
 
 @q("features_full_b", _full_b_sql())
 def features_full_b(spark, sf):
-    return _round_trig(fx.features_b(views.obs(spark, sf), decimals=0))
+    return _round_trig(preset_b(views.obs(spark, sf)))
 
 
 # Long series (bench): lineitem per supplier, 64 rolling + 28 lag columns ----------

@@ -17,6 +17,7 @@ from hourcast.ml import score as sc
 from hourcast.operators import features as fx
 from hourcast.operators import metrics as mx
 from hourcast.plans import sqlgen as sg
+from hourcast.plans.q_features import preset_a
 from hourcast.session import checkpoint_dir, cut_lineage
 from hourcast.sources import views
 
@@ -49,7 +50,7 @@ def feature_frame(spark, sf):
 
 
 def _feature_frame(spark, sf):
-    f = fx.features_a(views.obs(spark, sf), decimals=2)
+    f = preset_a(views.obs(spark, sf))
     feats = [c for c in fx.feature_columns(f, "a") if c not in ("n", "aqi")]
     return f.select(*[F.col(c).cast("int").alias(c) if c.startswith("season_") else F.col(c) for c in f.columns]), feats
 

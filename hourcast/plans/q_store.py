@@ -1,9 +1,11 @@
 """Store, registry and progress queries (P16-P17, P19, S17-S18, T3, J5, J7,
-A26) with their oracle SQL. Queries are pure transformations; file I/O of
-the store is covered by the tests."""
+A26) with their oracle SQL. The ``*_roundtrip`` queries write under the shared
+checkpoint folder and return what they read back."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hourcast.operators import align as al
@@ -11,6 +13,7 @@ from hourcast.operators import clean as cl
 from hourcast.operators import metrics as mx
 from hourcast.plans import sqlgen as sg
 from hourcast.plans.q_metrics import _LOG_SQL, history_df
+from hourcast.session import checkpoint_dir
 from hourcast.sources import store as st
 from hourcast.sources import views
 
@@ -192,3 +195,67 @@ SELECT model_name, version, row_number() OVER (PARTITION BY model_name ORDER BY
 FROM reg WHERE model_name IN ({', '.join(repr(m) for m in ALLOWED_MODELS)})""")
 def models_listing(spark, sf):
     return st.list_models(registry_df(spark, sf), ALLOWED_MODELS)
+
+
+# Round trips -----------------------------------------------------------------------
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@q("store_upsert_roundtrip", """WITH e AS (SELECT event_type AS city, date_trunc('hour', ts) AS timestamp, event_id, value FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY city, timestamp ORDER BY event_id % 2 DESC, event_id DESC) AS rn FROM e)
+SELECT city, timestamp, event_id, value FROM r
+WHERE rn = 1 AND timestamp >= (SELECT MIN(timestamp) + INTERVAL 1 DAY FROM e)""")
+def store_upsert_roundtrip(spark, sf):
+    """Readings with many rows per (hour, city) arrive in two loads;
+    the later load wins, and within a load the later arrival. Read from the
+    second day on."""
+    from hourcast.functions.time import hour_bucket
+    e = views.table(spark, sf, "events").select(F.col("event_type").alias("city"), hour_bucket(F.col("ts")).alias("timestamp"),
+                                                "event_id", "value")
+    store = st.FeatureStore(spark, _folder(spark, "store"))
+    for parity in (0, 1):
+        store.upsert(e.where(F.col("event_id") % 2 == parity), "readings", arrival="event_id")
+    got = store.read("readings")
+    first = got.agg(F.min("timestamp")).first()[0]
+    return store.read("readings") if first is None else got.where(
+        F.col("timestamp") >= F.lit(str(first)).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
+
+
+@q("csv_roundtrip", f"""WITH {sg.obs_cte()} SELECT * FROM obs""")
+def csv_roundtrip(spark, sf):
+    """S14 then S8, behind the ordered fallback S9: the first candidate is missing."""
+    o = views.obs(spark, sf)
+    where = _folder(spark, "csv")
+    st.write_csv(o, where)
+    return st.first_nonempty([lambda: st.read_csv(spark, f"{where}-absent", o.schema),
+                              lambda: st.read_csv(spark, where, o.schema)])
+
+
+@q("prediction_log_roundtrip", f"""WITH {sg.obs_cte()},
+d AS (SELECT city, CAST(timestamp AS DATE) AS target_date, CAST(MAX(aqi) AS DOUBLE) AS predicted_aqi FROM obs GROUP BY 1, 2)
+SELECT city, strftime(target_date, '%Y-%m-%d') AS target_date, predicted_aqi, m AS model_used
+FROM d, (VALUES ('persistence'), ('ridge')) t(m)""")
+def prediction_log_roundtrip(spark, sf):
+    """Two appends to the log."""
+    d = views.obs(spark, sf).groupBy("city", F.to_date("timestamp").alias("target_date")).agg(F.max("aqi").alias("predicted_aqi"))
+    where = _folder(spark, "log")
+    for model in ("persistence", "ridge"):
+        st.append_predictions(d.withColumn("model_used", F.lit(model)), where)
+    return spark.read.schema(st.PREDICTION_LOG).parquet(where).withColumn("target_date", F.date_format("target_date", "yyyy-MM-dd"))
+
+
+@q("outlook_json_roundtrip", f"""WITH {sg.obs_cte()},
+l AS (SELECT city, MAX(timestamp) AS timestamp, CAST(arg_max(aqi, timestamp) AS DOUBLE) AS aqi FROM obs GROUP BY city)
+SELECT city, aqi AS now_aqi, CAST(d AS BIGINT) AS day, strftime(CAST(timestamp AS DATE) + CAST(d AS INTEGER), '%Y-%m-%d') AS date,
+  aqi AS predicted_aqi FROM l, generate_series(1, 3) t(d)""")
+def outlook_json_roundtrip(spark, sf):
+    """One nested document per city, written as JSON and unfolded again."""
+    from hourcast.ml import score as sc
+    now = st.latest_rows(views.obs(spark, sf)).select(
+        "city", "timestamp", F.col("aqi").cast("double").alias("predicted_aqi_24h"), F.lit("persistence").alias("model_used"))
+    where = _folder(spark, "json")
+    st.write_nested_json(sc.outlook_document(now, sc.forecast_days(now, 3, seed=None)), where)
+    back = spark.read.json(where)
+    return back.select("city", F.col("current_prediction.predicted_aqi_24h").alias("now_aqi"), F.explode("forecasts").alias("f")) \
+        .select("city", "now_aqi", "f.day", "f.date", "f.predicted_aqi")

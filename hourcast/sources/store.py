@@ -168,10 +168,6 @@ def list_models(registry: DataFrame, allow: Sequence[str] | None = None) -> Data
     return registry.select("model_name", "version", F.row_number().over(w).alias("recency"))
 
 
-# per-key tables (one row per city) are broadcast below this many rows
-KEY_TABLE_BROADCAST_MAX = 1_000_000
-
-
 def lookback_rows(df: DataFrame, days: int = 7, keys: Sequence[str] = ("city",), ts: str = "timestamp",
                   city: str | None = None) -> DataFrame:
     """The last ``days`` of every key, relative to that key's newest row.
@@ -179,8 +175,7 @@ def lookback_rows(df: DataFrame, days: int = 7, keys: Sequence[str] = ("city",),
     With ``city`` given this is the single-city serving read: an equality
     filter plus a range filter on literals, both pushed to the scan. For all
     keys, the per-key newest timestamp is a grouped max (map-side combined,
-    one row per key); it is broadcast when its counted size is below
-    ``KEY_TABLE_BROADCAST_MAX`` and shuffle-joined otherwise."""
+    one row per key), which AQE broadcasts when its bytes are small."""
     if city is not None:
         one = df.where(F.col(keys[0]) == F.lit(city))
         newest = one.agg(F.max(ts)).first()[0]
@@ -188,8 +183,6 @@ def lookback_rows(df: DataFrame, days: int = 7, keys: Sequence[str] = ("city",),
             return one
         return one.where(F.col(ts) >= F.lit(newest) - F.expr(f"INTERVAL {int(days)} DAYS"))
     newest = df.groupBy(*keys).agg(F.max(ts).alias("_newest"))
-    n = newest.count()
-    newest = F.broadcast(newest) if n <= KEY_TABLE_BROADCAST_MAX else newest
     j = df.join(newest, list(keys))
     return j.where(F.col(ts) >= F.col("_newest") - F.expr(f"INTERVAL {int(days)} DAYS")).select(*df.columns)
 

@@ -90,5 +90,5 @@ def test_skew_safe_auto_hot_key_equals_plain(spark):
         return fx.features_b(frame, series=s, decimals=0)
 
     out = halo.skew_safe(df, build, fx.Series(), 24, 72, [F.date_trunc("day", F.col("timestamp"))],
-                         pad_cols=["aqi"])
+                         pad_cols=["aqi"], floor=1)
     assert _rows(out) == _rows(fx.features_b(df, decimals=0))

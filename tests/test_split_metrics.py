@@ -88,3 +88,55 @@ def test_vector_scaler_finds_constant_columns(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("x"), F.lit(3.7).alias("c"))
     p = scl.fit_complete(df, ["x", "c"])
     assert p["x"][0] == 50.0 and abs(p["x"][1] - ((101 ** 2 - 1) / 12) ** 0.5) < 1e-9 and p["c"][1] == 0.0
+
+
+def test_quantiles_match_numpy(spark):
+    import numpy as np
+    from hourcast.operators import quality as qa
+    rows = [(float((i * 37) % 101) / 4, None if i % 3 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double").withColumn("empty", F.lit(None).cast("double"))
+    got = qa.quantiles(df.repartition(5), ["a", "b", "empty"], [0.0, 0.25, 0.5, 0.9, 1.0])
+    for i, c in enumerate(["a", "b"]):
+        vals = [r[i] for r in rows if r[i] is not None]
+        assert np.allclose(got[c], np.quantile(vals, [0.0, 0.25, 0.5, 0.9, 1.0]))
+    assert got["empty"] == [None] * 5
+
+
+def test_split_of_empty_and_hot_timestamp(spark):
+    """An empty frame stays empty; a cut inside one timestamp with most rows
+    leaves exactly the wanted number of rows before it, in tie-break order."""
+    empty = _frame(spark, 0)
+    assert sp.chrono_split(empty).count() == 0
+    df = spark.range(100).select(
+        F.when(F.col("id") < 10, F.lit(1)).when(F.col("id") < 95, F.lit(2)).alias("timestamp"),
+        F.format_string("c%03d", F.col("id")).alias("city")).repartition(6)
+    got = sp.chrono_split(df).orderBy(F.col("timestamp").asc_nulls_first(), "city").collect()
+    assert [r["split"] for r in got] == ["train"] * 80 + ["test"] * 20
+
+
+def test_contiguous_folds(spark):
+    got = sp.contiguous_folds(_frame(spark, 13), 5).orderBy("timestamp").select("test_fold").collect()
+    assert [r[0] for r in got] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 4, 4]
+
+
+def test_pipeline_saved_and_permuted(spark, tmpdir_path):
+    """A saved pipeline predicts the same; only features that the target
+    depends on gain RMSE when permuted; LIME ranks the same feature first."""
+    from hourcast.ml import explain as ex
+    from hourcast.ml import models as ml
+    df = _frame(spark, 400).select("timestamp", "city", F.monotonically_increasing_id().alias("i")) \
+        .select("timestamp", "city", (F.xxhash64("timestamp", F.lit(1)) % 100).cast("double").alias("x1"),
+                (F.xxhash64("timestamp", F.lit(2)) % 100).cast("double").alias("x2"), F.lit(3.0).alias("flat"))
+    df = df.withColumn("y", F.col("x1") * 2 + 5)
+    feats = ["x1", "x2", "flat"]
+    fitted, m = ml.train_grid(df, feats, {1: "y"}, ["ridge", "lightgbm"], {"lightgbm": {"n_estimators": 3}})
+    assert {r["model"] for r in m.collect()} == {"ridge", "lightgbm"}
+    model = fitted[1, "ridge"]
+    ml.save_models({"ridge": ml.whole(feats, model)}, tmpdir_path)
+    again = ml.load_model(f"{tmpdir_path}/ridge").transform(df).agg(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+    assert again < 2.0
+    vec = ml.vectors(df, feats, ["y"])
+    gain = {r["feature"]: r["rmse_increase"] for r in ex.permutation_importance(vec, model, feats, "y", ["city", "timestamp"]).collect()}
+    assert gain["x1"] > 50 and abs(gain["x2"]) < 1 and gain["flat"] == 0.0
+    local = ex.lime(ex.background_sample(vec, ["city", "timestamp"], 3), model, feats, ["city", "timestamp"], [58.0, 58.0, 0.0], 200)
+    assert local.orderBy(F.col("mean_abs_weight").desc()).first()["feature"] == "x1"
