@@ -57,8 +57,8 @@ def _feature_frame(spark, sf):
 
 #: ensemble sizes of the registered grid queries; the operators default to
 #: the full ones (100 and 500 trees)
-SMALL = {"random_forest": {"n_estimators": 20, "max_depth": 5}, "gradient_boosting": {"n_estimators": 10, "max_depth": 3},
-         "xgboost": {"n_estimators": 10, "max_depth": 3}, "lightgbm": {"n_estimators": 10, "max_depth": 3}}
+SMALL = {"random_forest": {"n_estimators": 10, "max_depth": 4}, "gradient_boosting": {"n_estimators": 5, "max_depth": 3},
+         "xgboost": {"n_estimators": 5, "max_depth": 3}, "lightgbm": {"n_estimators": 5, "max_depth": 3}}
 
 
 def _single(name, params=None):
