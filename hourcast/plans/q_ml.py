@@ -59,18 +59,21 @@ def _feature_frame(spark, sf):
 #: the full ones (100 and 500 trees)
 SMALL = {"random_forest": {"n_estimators": 10, "max_depth": 4}, "gradient_boosting": {"n_estimators": 5, "max_depth": 3},
          "xgboost": {"n_estimators": 5, "max_depth": 3}, "lightgbm": {"n_estimators": 5, "max_depth": 3}}
+#: split statistics per task, for several fits at a time in a small heap
+MEMORY = {"memory_mb": 32}
+SMALL = {name: {**params, **MEMORY} for name, params in SMALL.items()}
 
 
 def _single(name, params=None):
     def run(spark, sf):
         f, feats = feature_frame(spark, sf)
-        _, m = ml.train_grid(f, feats, {24: LABEL}, [name], {name: params or {}}, parallelism=8)
+        _, m = ml.train_grid(f, feats, {24: LABEL}, [name], {name: {**(params or {}), **MEMORY}}, parallelism=8)
         return m.drop("horizon")
     return run
 
 
 for _n, _q, _p in [("ridge", "ridge", {}), ("lasso", "lasso", {}), ("elastic_net", "elastic_net", {}),
-                   ("random_forest", "forest", {}), ("gradient_boosting", "gbt", {}),
+                   ("random_forest", "forest", {"n_estimators": 30}), ("gradient_boosting", "gbt", {"n_estimators": 30}),
                    ("xgboost", "xgboost", {"n_estimators": 30}), ("lightgbm", "lightgbm", {"n_estimators": 30})]:
     QUERIES[_q] = _single(_n, _p)
 
@@ -120,8 +123,8 @@ def tuning(spark, sf):
     f, feats = feature_frame(spark, sf)
     return ml.tune(f, feats, LABEL, {
         "ridge": [{"alpha": a} for a in (0.01, 0.1, 1.0, 10.0, 100.0)],
-        "random_forest": [{"n_estimators": 10, "max_depth": d} for d in (3, 5)],
-        "gradient_boosting": [{"n_estimators": 10, "max_depth": 3, "learning_rate": r} for r in (0.05, 0.1, 0.2)]})
+        "random_forest": [{"n_estimators": 10, "max_depth": d, **MEMORY} for d in (3, 5)],
+        "gradient_boosting": [{"n_estimators": 10, "max_depth": 3, "learning_rate": r, **MEMORY} for r in (0.05, 0.1, 0.2)]})
 
 
 @q("stacking")
