@@ -352,6 +352,16 @@ def test_fertility_keeps_clean_drops_junk(spark):
     assert kept[1] >= 0.995 * total[1] and kept.get(0, 0) <= 0.1 * total[0]
 
 
+def test_fertility_measures_alone_drop_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = fertility.rate(docs, path(queries.PIECE_BPE), symbols=False).join(labels, "doc_id").where("not base_failed") \
+        .groupBy("quality").agg({"*": "count", "kept": "count_if"}).collect()
+    share = {r.quality: r["count_if(kept)"] / r["count(1)"] for r in got}
+    print(got)
+    assert share[1] >= 0.995 and share[0] <= 0.2
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", "", None
