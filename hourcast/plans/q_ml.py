@@ -55,33 +55,35 @@ def _feature_frame(spark, sf):
     return f.select(*[F.col(c).cast("int").alias(c) if c.startswith("season_") else F.col(c) for c in f.columns]), feats
 
 
-#: ensemble sizes of the registered grid queries; the operators default to
-#: the full ones (100 and 500 trees)
-SMALL = {"random_forest": {"n_estimators": 10, "max_depth": 4}, "gradient_boosting": {"n_estimators": 5, "max_depth": 3},
-         "xgboost": {"n_estimators": 5, "max_depth": 3}, "lightgbm": {"n_estimators": 5, "max_depth": 3}}
-#: split statistics per task, for several fits at a time in a small heap
+#: split statistics per task, for several fits at a time in a small heap;
+#: it bounds memory and changes no tree. Everything else is the operators' own
 MEMORY = {"memory_mb": 32}
-SMALL = {name: {**params, **MEMORY} for name, params in SMALL.items()}
+TREES = {name: MEMORY for name in ("random_forest", "gradient_boosting", "xgboost", "lightgbm")}
+#: The declared space. An unlimited depth is Spark's largest, 30; a
+#: smallest node to split has no counterpart in Spark's trees
+SPACE = {
+    "random_forest": [{"n_estimators": n, "max_depth": d, **MEMORY} for n in (100, 200, 300, 500) for d in (5, 10, 15, 20, 30)],
+    "gradient_boosting": [{"n_estimators": n, "learning_rate": r, "max_depth": d, **MEMORY}
+                          for n in (100, 200, 300) for r in (0.01, 0.05, 0.1, 0.2) for d in (3, 5, 7, 10)]}
 
 
-def _single(name, params=None):
+def _single(name):
     def run(spark, sf):
         f, feats = feature_frame(spark, sf)
-        _, m = ml.train_grid(f, feats, {24: LABEL}, [name], {name: {**(params or {}), **MEMORY}}, parallelism=8)
+        _, m = ml.train_grid(f, feats, {24: LABEL}, [name], TREES, parallelism=8)
         return m.drop("horizon")
     return run
 
 
-for _n, _q, _p in [("ridge", "ridge", {}), ("lasso", "lasso", {}), ("elastic_net", "elastic_net", {}),
-                   ("random_forest", "forest", {"n_estimators": 30}), ("gradient_boosting", "gbt", {"n_estimators": 30}),
-                   ("xgboost", "xgboost", {"n_estimators": 30}), ("lightgbm", "lightgbm", {"n_estimators": 30})]:
-    QUERIES[_q] = _single(_n, _p)
+for _n, _q in [("ridge", "ridge"), ("lasso", "lasso"), ("elastic_net", "elastic_net"), ("random_forest", "forest"),
+               ("gradient_boosting", "gbt"), ("xgboost", "xgboost"), ("lightgbm", "lightgbm")]:
+    QUERIES[_q] = _single(_n)
 
 
 @q("horizon_grid")
 def horizon_grid(spark, sf):
     f, feats = feature_frame(spark, sf)
-    return ml.horizon_grid(f, feats, fx.PresetA().horizons, list(ml.FACTORY), params=SMALL, parallelism=8)
+    return ml.horizon_grid(f, feats, fx.PresetA().horizons, list(ml.FACTORY), params=TREES, parallelism=8)
 
 
 @q("train_save_best")
@@ -89,7 +91,7 @@ def train_save_best(spark, sf):
     """All models, each pipeline written, read back and evaluated
     again; ``best`` marks the lowest RMSE, ``same`` that the read one agrees."""
     f, feats = feature_frame(spark, sf)
-    fitted, m = ml.train_grid(f, feats, {24: LABEL}, list(ml.FACTORY), SMALL, parallelism=8)
+    fitted, m = ml.train_grid(f, feats, {24: LABEL}, list(ml.FACTORY), TREES, parallelism=8)
     where = f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
     ml.save_models({n: x for (_, n), x in fitted.items()}, where)
     _, te = ml.vector_split(ml.vectors(f, feats, [LABEL]), LABEL)
@@ -107,7 +109,7 @@ def train_save_best(spark, sf):
 @q("ts_cv")
 def ts_cv(spark, sf):
     f, feats = feature_frame(spark, sf)
-    return ml.cv_folds(f, feats, LABEL, ["ridge", "random_forest", "gradient_boosting", "xgboost", "lightgbm"], 3, params=SMALL)
+    return ml.cv_folds(f, feats, LABEL, ["ridge", "random_forest", "gradient_boosting", "xgboost", "lightgbm"], 3, params=TREES)
 
 
 @q("alpha_grid")
@@ -121,16 +123,13 @@ def alpha_grid(spark, sf):
 @q("tuning")
 def tuning(spark, sf):
     f, feats = feature_frame(spark, sf)
-    return ml.tune(f, feats, LABEL, {
-        "ridge": [{"alpha": a} for a in (0.01, 0.1, 1.0, 10.0, 100.0)],
-        "random_forest": [{"n_estimators": 10, "max_depth": d, **MEMORY} for d in (3, 5)],
-        "gradient_boosting": [{"n_estimators": 10, "max_depth": 3, "learning_rate": r, **MEMORY} for r in (0.05, 0.1, 0.2)]})
+    return ml.tune(f, feats, LABEL, {"ridge": [{"alpha": a} for a in (0.01, 0.1, 1.0, 10.0, 100.0)], **SPACE})
 
 
 @q("stacking")
 def stacking(spark, sf):
     f, feats = feature_frame(spark, sf)
-    return ml.stack(f, feats, LABEL, ["random_forest", "gradient_boosting", "ridge"], KEY, params=SMALL, parallelism=8)
+    return ml.stack(f, feats, LABEL, ["random_forest", "gradient_boosting", "ridge"], KEY, params=TREES, parallelism=8)
 
 
 def _fitted_ridge(spark, sf):
