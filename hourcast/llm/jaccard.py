@@ -20,9 +20,11 @@ Steps, each linear in its input:
 4. The members of families are read again, with their whole sets, and each
    family is cut into blocks of bounded size; each pair of blocks is one
    group. Inside it candidates pass orders A, B and C and the size bound,
-   and are verified by exact overlap unless already connected. Only links
-   that connect something new leave the task.
-5. Components of the links, widened to all members of the classes.
+   and are verified by exact overlap. What leaves the task are the links that
+   connect something new, and each member's number of links; where no numbers
+   are asked for, pairs that are already connected are not verified.
+5. Components of the links and sums of the numbers, widened to all members of
+   the classes.
 """
 
 from __future__ import annotations
@@ -139,9 +141,12 @@ def _hubs(num, den):
     return run
 
 
-def linked(rid: np.ndarray, block: np.ndarray, sets: list[np.ndarray], num: int, den: int, cross: bool) -> list[tuple[int, int]]:
+def linked(rid: np.ndarray, block: np.ndarray, sets: list[np.ndarray], num: int, den: int, cross: bool,
+           size: np.ndarray | None = None):
     """Links that connect a group's members; sets ascend in order A. cross:
-    only pairs of different blocks are compared."""
+    only pairs of different blocks are compared. size: rows per member; with
+    it every candidate is verified, and the result is (links, linked rows of
+    each member)."""
     m = len(rid)
     n = np.array([len(s) for s in sets], np.int64)
     p = prefix_length(n, num, den)
@@ -182,9 +187,9 @@ def linked(rid: np.ndarray, block: np.ndarray, sets: list[np.ndarray], num: int,
         return np.bincount(members[at], minlength=m)
 
     root = np.arange(m)  # component label of each member
-    out = []
+    out, rows = [], np.zeros(m, np.int64)
     for x in range(m):
-        cand = (root != root[x]) & (den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x]))
+        cand = (root != root[x] if size is None else np.arange(m) > x) & (den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x]))
         if cross:
             cand &= block != block[x]
         for ix in orders:
@@ -194,14 +199,19 @@ def linked(rid: np.ndarray, block: np.ndarray, sets: list[np.ndarray], num: int,
         if not cand.any():
             continue
         both = hits(full, x)
-        for y in np.flatnonzero(cand & (den * both >= num * (n[x] + n - both))).tolist():
-            if root[y] != root[x]:
-                out.append((int(rid[x]), int(rid[y])))
-                root[root == root[y]] = root[x]
-    return out
+        found = np.flatnonzero(cand & (den * both >= num * (n[x] + n - both)))
+        if size is not None:
+            rows[x] += size[found].sum()
+            rows[found] += size[x]
+        while len(found := found[root[found] != root[x]]):
+            out.append((int(rid[x]), int(rid[found[0]])))
+            root[root == root[found[0]]] = root[x]
+    return out if size is None else (out, rows)
 
 
-def _verify(num, den):
+def _verify(num, den, count):
+    """Rows (a, b, null) are links, rows (a, null, n) numbers of linked rows."""
+
     def run(batches):
         from hourcast.llm import jaccard as j
         key, group = None, []
@@ -209,21 +219,28 @@ def _verify(num, den):
         def flush():
             rid = np.array([g[0] for g in group], np.int64)
             blk = np.array([g[1] for g in group], np.int64)
-            found = j.linked(rid, blk, [g[2] for g in group], num, den, key[1] != key[2]) if len(group) > 1 else []
-            if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if len(group) < 2:
+                return
+            size = np.array([g[3] for g in group], np.int64) if count else None
+            found = j.linked(rid, blk, [g[2] for g in group], num, den, key[1] != key[2], size)
+            found, rows = found if count else (found, np.zeros(len(rid), np.int64))
+            some = rows > 0
+            if found or some.any():
+                a, b = zip(*found) if found else ((), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*a, *rid[some].tolist()], pa.int64()), pa.array([*b, *[None] * int(some.sum())], pa.int64()),
+                     pa.array([*[None] * len(a), *rows[some].tolist()], pa.int64())], names=["a", "b", "n"])
 
         for b in batches:
             keys = list(zip(*(b.column(i).to_pylist() for i in range(3))))
-            rids, blks, toks = b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5)
+            rids, blks, toks, sizes = b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5), b.column(6).to_numpy()
             for i, k in enumerate(keys):
                 if k != key:
                     if group:
                         yield from flush()
                     key, group = k, []
                 if not group or group[-1][0] != rids[i]:  # a repeated row of one member
-                    group.append((int(rids[i]), int(blks[i]), toks[i].values.to_numpy().view(U64)))
+                    group.append((int(rids[i]), int(blks[i]), toks[i].values.to_numpy().view(U64), int(sizes[i])))
         if group:
             yield from flush()
 
@@ -231,9 +248,11 @@ def _verify(num, den):
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) per row; component_id is the smallest id
-    reachable over links num/den <= J.
+                       text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """(id, n_shingles, component_id, n_links) per row; component_id is the
+    smallest id reachable over links num/den <= J, n_links the number of other
+    rows that the row itself links with. Without ``count_links`` the column
+    is left out, and only links that connect something new are looked for.
 
     Null, empty or wordless text: size 0, linked with nothing. Repeated rows
     are documents of their own (equal sets link). Null ids take part; a
@@ -259,11 +278,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     base = cut_lineage(src.mapInArrow(sets, f"id {kind}, n long, f1 long, f2 long, prefix array<long>")) \
         .withColumn("rid", F.monotonically_increasing_id())  # fixed: the rows are on disk
-    classes = base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("rid"))
+    classes = base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("rid"), F.min_by("id", "rid").alias("id"), F.count("*").alias("size"))
     rows = base.join(classes.select("rid"), "rid").select(F.explode("prefix").alias("tok"), "n", "rid")
     stars = rows.repartition("tok").sortWithinPartitions("tok", "n", "rid").mapInArrow(_hubs(num, den), "a long, b long")
     family = components(stars).withColumnRenamed("node", "rid").withColumnRenamed("component", "family")
-    members = cut_lineage(family.join(base.select("rid", "id", "n", "f1", "f2"), "rid"))
+    members = cut_lineage(family.join(classes, "rid"))
 
     # whole sets of the members: a bitmap of fixed size picks the rows to hash
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
@@ -295,24 +314,33 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     cut = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("blocks"))
     sized = members.join(cut, "family").withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("blocks")))
     full = whole.alias("w").join(sized.alias("s"), F.expr("w.id <=> s.id and w.n = s.n and w.f1 = s.f1 and w.f2 = s.f2")) \
-        .select("family", "blocks", "blk", "rid", "tokens")
-    dealt = full.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "blk", "rid", "tokens") \
-        .select("family", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "rid", "blk", "tokens") \
+        .select("family", "blocks", "blk", "rid", "tokens", "size")
+    dealt = full.select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "blk", "rid", "tokens", "size") \
+        .select("family", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "rid", "blk", "tokens", "size") \
         .repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "rid")
-    links = components(dealt.mapInArrow(_verify(num, den), "a long, b long"))
-
-    keyed = base.select("id", "n", "f1", "f2", "rid").join(classes.withColumnRenamed("rid", "rep"), ["n", "f1", "f2"], "left") \
-        .join(links.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("id", "n", F.coalesce("component", "rep", "rid").alias("component"))
+    found = dealt.mapInArrow(_verify(num, den, count_links), "a long, b long, n long")
+    found = cut_lineage(found) if count_links else found
+    links = components(found.where("b is not null").select("a", "b"))
+
+    keyed = base.select("id", "n", "f1", "f2", "rid") \
+        .join(classes.select("n", "f1", "f2", F.col("rid").alias("rep"), "size"), ["n", "f1", "f2"], "left") \
+        .join(links.withColumnRenamed("node", "rep"), "rep", "left")
+    extra = []
+    if count_links:
+        rows = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
+        keyed = keyed.join(rows, "rep", "left")
+        extra = [(F.coalesce(F.col("size") - 1, F.lit(0)) + F.coalesce("linked", F.lit(0))).alias("n_links")]  # copies link too
+    keyed = keyed.select("id", "n", F.coalesce("component", "rep", "rid").alias("component"), *extra)
     least = keyed.groupBy("component").agg(F.min("id").alias("component_id"))
-    return keyed.join(least, "component").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return keyed.join(least, "component").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
+                                                  *["n_links"] * count_links)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their near copies: of each component the row
     with the smallest id stays. Rows that repeat an id with the same text
     fold into one; documents without words and rows with a null id stay."""
-    found = cut_lineage(jaccard_components(docs, k, num, den, id_col, text_col))
+    found = cut_lineage(jaccard_components(docs, k, num, den, id_col, text_col, count_links=False))
     drop = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = docs.join(drop, id_col, "left_anti").select(docs.columns)
     again = found.groupBy(id_col).count().where(f"count > 1 and {id_col} is not null").select(id_col)

@@ -132,6 +132,24 @@ def test_jaccard_brute(spark, docs, edges, k, num):
     assert got == brute_components(rows, k, num, 100)
 
 
+@pytest.mark.parametrize("block", [None, 300])
+def test_jaccard_number_of_links(spark, docs, edges, block, monkeypatch):
+    if block:  # families of several blocks
+        monkeypatch.setattr(jaccard, "BLOCK_TOKENS", block)
+    base = " ".join(f"v{i}" for i in range(90)).split()
+    near = [(1000 + i, " ".join(base[:j] + [f"n{i}"] + base[j + 1:])) for i, j in enumerate(range(0, 90, 6))]
+    near += [(2000 + i, t) for i, (_, t) in enumerate(near[:3])] + [(3000, " ".join(base)), (3001, " ".join(base[:-1]))]
+    rows = [tuple(r) for r in docs.select("doc_id", "text").limit(60).collect()] + EDGES + near
+    sets = [shingle_set(t, 3) for _, t in rows]
+    want = Counter()
+    for i, (d, _) in enumerate(rows):
+        both = [len(sets[i] & x) for x in sets]
+        want[d, sum(j != i and b > 0 and 100 * b >= 90 * (len(sets[i]) + len(x) - b) for j, (b, x) in enumerate(zip(both, sets)))] += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_links) for r in jaccard.jaccard_components(frame, 3, 90, 100).collect()) == want
+    assert max(n for _, n in want) > 3
+
+
 def test_jaccard_blocks(monkeypatch):
     rng = np.random.default_rng(3)
     base = np.sort(rng.integers(0, 1 << 62, 200).astype(np.uint64))
