@@ -110,8 +110,10 @@ def token_sets(col, k: int, classes: np.ndarray):
 
 
 def order_key(tok: np.ndarray, order: int) -> np.ndarray:
-    """Order B (1) or C (2): the class as it is, another hash below it."""
-    return common.mix(tok, 4 + order) >> U64(8) | tok & U64(0xFF << 56)
+    """Order B (1): the class as it is, another hash below it. Order C (2): a
+    plain hash."""
+    key = common.mix(tok, 4 + order)
+    return key >> U64(8) | tok & U64(0xFF << 56) if order == 1 else key
 
 
 def prefix_length(n, num: int, den: int):

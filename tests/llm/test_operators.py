@@ -132,6 +132,15 @@ def test_jaccard_brute(spark, docs, edges, k, num):
     assert got == brute_components(rows, k, num, 100)
 
 
+def test_jaccard_orders():
+    rng = np.random.default_rng(4)
+    tok = np.arange(4000, dtype=np.uint64) % np.uint64(7) << np.uint64(56) | rng.integers(0, 1 << 56, 4000).astype(np.uint64)
+    b, c = (tok[np.argsort(jaccard.order_key(tok, o))] >> np.uint64(56) for o in (1, 2))
+    assert (np.diff(b.astype(int)) >= 0).all()  # by class
+    assert abs(np.corrcoef(np.arange(4000), c.astype(float))[0, 1]) < 0.1  # not by class
+    assert all(len(np.unique(jaccard.order_key(tok, o))) == len(np.unique(tok)) for o in (1, 2))
+
+
 @pytest.mark.parametrize("block", [None, 300])
 def test_jaccard_number_of_links(spark, docs, edges, block, monkeypatch):
     if block:  # families of several blocks
