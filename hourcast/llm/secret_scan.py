@@ -42,6 +42,10 @@ _ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#([0-9]+);|&#[x
 #: 16 base64 characters hold 12 bytes, the shortest secret ("token=abcdef")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
 BASE64_URL = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
+#: lines of base64 (MIME, PEM, base64 -w): full ones of one length, then the
+#: rest; the breaks are no part of the payload
+WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}[\x20\t]*\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}")
+_BREAK = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
 PACKED = re.compile("\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY|\xfd7zXZ\x00|\\(\xb5/\xfd")
 MAGIC = (b"\x1f\x8b\x08", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
 
@@ -145,66 +149,77 @@ def _unicode(run: str):
     return "".join(text), s, e
 
 
-def _unpack(raw: bytes):
-    """Windows of a compressed payload's content; none if it is not one."""
+def _decompressor(raw: bytes):
+    """A decompressor for what the bytes open, or None."""
     if raw[:3] == MAGIC[0]:
-        d = zlib.decompressobj(31)
-    elif raw[:3] == b"BZh":
-        d = bz2.BZ2Decompressor()
-    elif raw[:6] == MAGIC[6]:
-        d = lzma.LZMADecompressor()
-    elif raw[:4] == MAGIC[7]:
+        return zlib.decompressobj(31)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == MAGIC[6]:
+        return lzma.LZMADecompressor()
+    if raw[:4] == MAGIC[7]:
         import zstandard
-        d = None
-    elif raw[:2] in MAGIC[1:5]:
-        d = zlib.decompressobj()
-    else:
-        return
-    if d is None:
-        import io
-        reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw))
-        step = lambda data: reader.read(WINDOW)
-        left = lambda: True
-    else:
-        def step(data):
-            return d.decompress(data, WINDOW)
-
-        def left():
-            return not d.eof
-    tail, data = b"", raw
-    while True:
+        return zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+    if raw[:2] in MAGIC[1:5]:
+        return zlib.decompressobj()
+    return None
+
+
+def _unpack(raw: bytes):
+    """Windows of a compressed payload's content; none if it is not one.
+    Streams that follow one another (gzip members and the like) are one
+    content."""
+    tail, data, d = b"", raw, _decompressor(raw)
+    while d is not None:
         try:
-            got = step(data)
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError) as ex:  # damaged: what came before stays
-            del ex
+            if hasattr(d, "decompress"):
+                got = d.decompress(data, WINDOW)
+                data = getattr(d, "unconsumed_tail", b"")
+            else:
+                got = d.read(WINDOW)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):  # damaged: what came before stays
             return
         except Exception as ex:  # zstandard.ZstdError has no common base
             if type(ex).__name__ != "ZstdError":
                 raise
             return
-        data = d.unconsumed_tail if isinstance(d, type(zlib.decompressobj())) else b""
-        if not got:
-            return
-        yield tail + got
-        tail = got[-OVERLAP:]
-        if not left():
+        if got:
+            yield tail + got
+            tail = (tail + got)[-OVERLAP:]
+        if getattr(d, "eof", False):
+            data = d.unused_data
+            d = _decompressor(data)
+        elif not got:
             return
 
 
 def _texts(raw: bytes):
-    """What a payload says: unpacked windows, or the text itself."""
+    """What a payload says: unpacked windows, or the bytes themselves."""
+    found = False
     if raw.startswith(MAGIC):
-        found = False
         for w in _unpack(raw):
             found = True
-            yield w.decode("utf-8") if _readable(w) else w.decode("latin-1")
-        if found:
-            return
-    if _readable(raw):
+            yield from _read(w)
+    if not found:
+        yield from _read(raw)
+
+
+def _read(raw: bytes):
+    """The bytes as text: as UTF-8, or else byte by byte; and as UTF-16 where
+    that has zero bytes to show."""
+    try:
         yield raw.decode("utf-8")
+    except UnicodeDecodeError:
+        yield raw.decode("latin-1")
+    if raw.count(0) * 8 >= len(raw) or raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        for kind in ("utf-16-le", "utf-16-be"):
+            for at in (0, 1):  # a window may cut a character
+                yield raw[at:].decode(kind, "replace")
 
 
-def _readable(raw: bytes) -> bool:
+def _plain(raw: bytes) -> bool:
+    """Whether a decoded run is plainly text, so that runs inside it are no
+    other payloads."""
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
@@ -231,21 +246,42 @@ def _unwrapped(layer: Layer):
     if ("\\" in t or "&#" in t) and (got := _in_place(layer, UNICODE, _unicode)):
         yield got
     runs = {(m.start(), m.end()) for p in (BASE64, BASE64_URL) for m in p.finditer(t)}
+    if "\n" in t:
+        runs |= {r for m in WRAPPED.finditer(t) for r in _blocks(t, m.start(), m.end())}
     read = -1  # a run inside one that could be read is not another
     for s, e in sorted(runs, key=lambda r: (r[0], -r[1])):
-        raw = _base64(t[s:e]) if e > read else None
+        raw = _base64(_BREAK.sub("", t[s:e])) if e > read else None
         if raw:
+            # lines that only look like a block may still be runs of their own
+            if "\n" not in t[s:e] and (_plain(raw) or raw.startswith(MAGIC)):
+                read = max(read, e)
             for text in _texts(raw):
                 yield Layer(text, depth=layer.depth + 1, whole=layer.span(s, e))
-                read = max(read, e)
     if layer.depth:
         for m in PACKED.finditer(t):
             end = m.start()
             n = re.compile("[\x00-\xff]+").match(t, m.start())
             end = n.end()
             for w in _unpack(t[m.start():end].encode("latin-1")):
-                yield Layer(w.decode("utf-8") if _readable(w) else w.decode("latin-1"), depth=layer.depth + 1,
-                            whole=layer.span(m.start(), end))
+                for text in _read(w):
+                    yield Layer(text, depth=layer.depth + 1, whole=layer.span(m.start(), end))
+
+
+def _blocks(t: str, start: int, end: int):
+    """(start, end) of the wrapped payloads in lines of base64 characters: a
+    block's lines are as long as its first one, but for a shorter last line."""
+    lines, at = [], start
+    for m in [*_BREAK.finditer(t, start, end), None]:
+        lines.append((at, m.start() if m else end))
+        at = m.end() if m else end
+    i = 0
+    while i < len(lines):
+        j, size = i, lines[i][1] - lines[i][0]
+        while j + 1 < len(lines) and t[lines[j][1] - 1] != "=" and lines[j][1] - lines[j][0] == size and lines[j + 1][1] - lines[j + 1][0] <= size:
+            j += 1
+        if j > i:
+            yield lines[i][0], lines[j][1]
+        i = j + 1
 
 
 def scan(text: str) -> list[tuple[int, int, int, int]]:

@@ -84,6 +84,21 @@ def test_secret_layers():
     assert secret_scan.scan(b64(b64(b64(b"nothing to see in here").encode()).encode())) == []
 
 
+def test_secret_layers_on_weak_signs():
+    s = b'token = "abcdef123456"'
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    noise = bytes(range(1, 9)) * 600
+    for raw in (noise + s, b"caf\xe9 " + s, s + "\u00e9".encode()[:1], s.decode().encode("utf-16"), s.decode().encode("utf-16-be"),
+                gzip.compress(b"none here ") + gzip.compress(s), gzip.compress(s.decode().encode("utf-16-le"))):
+        run = b64(raw)
+        assert (2, 2 + len(run), 0, 1) in secret_scan.scan("x " + run + " z"), raw[-40:]
+    for width, brk in ((64, "\n"), (76, "\r\n"), (76, "\n  ")):
+        for raw in (b"q" * (width * 3 // 4 - 9) + b" " + s + b" " + b"r " * 60, gzip.compress(np.random.default_rng(1).bytes(200) + b" " + s)):
+            run = b64(raw)
+            run = brk.join(run[i:i + width] for i in range(0, len(run), width))
+            assert (2, 2 + len(run), 0, 1) in secret_scan.scan("x\n" + run + "\nz"), (width, brk)
+
+
 # 2 ------------------------------------------------------------------------------
 def test_chat(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", None), (2, 0, "user", None), (None, 0, None, "x"),
