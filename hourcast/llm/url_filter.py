@@ -3,7 +3,8 @@
 A rule names a host (with all its subdomains) and a path prefix; the longest
 fitting rule decides. URLs that no rule fits are judged by boosted trees on
 lexical features: lengths, depth, digit share, character entropy, parameter
-counts, and block rates per host suffix. The trees learn from the URLs that
+counts, and block rates per host suffix (last label, last two labels), which
+are those of all labelled rows. The trees learn from the distinct URLs that
 rules label, at most ``max_train`` of them, chosen by a hash of the URL. All
 of it is DataFrame expressions and Spark ML.
 """
@@ -54,7 +55,12 @@ def with_rules(urls: DataFrame, rules=RULES) -> DataFrame:
 
 
 NUMBERS = ("url_len", "host_len", "path_len", "depth", "labels", "digit_share", "upper_share", "symbol_share", "entropy", "params", "query_len",
-           "has_fragment", "extension_len", "secure", "last_digits", "first_segment_len", "suffix_rate")
+           "has_fragment", "extension_len", "secure", "last_digits", "first_segment_len", "suffix_rate", "site_rate")
+
+
+def suffixed(urls: DataFrame) -> DataFrame:
+    """Adds the last label of the host and its last two."""
+    return urls.withColumns({"suffix": F.substring_index("host", ".", -1), "site": F.substring_index("host", ".", -2)})
 
 
 def lexical(urls: DataFrame) -> DataFrame:
@@ -76,7 +82,7 @@ def lexical(urls: DataFrame) -> DataFrame:
         "secure": u.startswith("https:").cast("int"), "last_digits": F.length(F.regexp_replace(last, "[^0-9]", "")),
         "first_segment_len": F.length(F.regexp_extract("path", "^/([^/]*)", 1)),
     }
-    out = urls.withColumn("suffix", F.substring_index("host", ".", -1))
+    out = suffixed(urls)
     return out.withColumns({k: v.cast("double") for k, v in cols.items()})
 
 
@@ -85,18 +91,24 @@ class Judge:
 
     def __init__(self, ruled: DataFrame, max_train: int = MAX_TRAIN, seed: int = 7):
         pool = ruled.where("ruled is not null").select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
-        sample = cut_lineage(lexical(pool.orderBy(F.xxhash64("url"), "url").limit(max_train)))
-        rows, blocked = sample.agg(F.count("*"), F.sum("label")).first()
+        # smoothed block rates per suffix over all labelled rows
+        counts = cut_lineage(suffixed(pool).groupBy("suffix", "site").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")))
+        rows, blocked = counts.agg(F.sum("n"), F.sum("blocked")).first()
+        rows = rows or 0
         self.model, self.rate = None, (blocked or 0.0) / max(rows, 1)
-        # smoothed block rate per suffix: no more rows than the sample has
-        self.suffix = cut_lineage(sample.groupBy("suffix").agg(((F.sum("label") + 5 * self.rate) / (F.count("*") + 5)).alias("suffix_rate")))
+        self.suffix = cut_lineage(counts.groupBy("suffix").agg(((F.sum("blocked") + 5 * self.rate) / (F.sum("n") + 5)).alias("suffix_rate")))
+        self.site = cut_lineage(counts.join(self.suffix, "suffix").select(
+            "site", ((F.col("blocked") + 5 * F.col("suffix_rate")) / (F.col("n") + 5)).alias("site_rate")))
+        sample = cut_lineage(lexical(pool.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(max_train)))
         self.assembler = VectorAssembler(inputCols=list(NUMBERS), outputCol="features")
         if rows and 0 < blocked < rows:  # else there is nothing to tell apart
             self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, labelCol="label").fit(
                 self.assembler.transform(self._rated(sample)).select("features", "label"))
 
     def _rated(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.suffix), "suffix", "left").fillna({"suffix_rate": self.rate})
+        # no hints: the tables grow with the hosts; what is small is broadcast by its size
+        return df.join(self.suffix, "suffix", "left").fillna({"suffix_rate": self.rate}) \
+            .join(self.site, "site", "left").withColumn("site_rate", F.coalesce("site_rate", "suffix_rate"))
 
     def block_probability(self, urls: DataFrame) -> DataFrame:
         """Adds p_block; without a model the share of blocked labels."""

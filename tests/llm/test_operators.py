@@ -427,3 +427,16 @@ def test_urls(spark):
     assert all(r.verdict == said[r.rule] if r.rule else r.verdict in ("allow", "block") for r in url_filter.judge(frame).collect())
     assert url_filter.judge(frame.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.judge(frame.where("url is null")).collect()} == {"allow"}
+
+
+def test_url_suffix_rates_cover_all_labels(spark):
+    rows = [(i, f"http://h{i}.{'bad.org' if i % 3 == 0 else 'good.org'}/x{i}") for i in range(60)] + [(99, "http://a.rare/x")] * 4
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    rules = (("bad.org/", "block"), ("good.org/", "allow"), ("rare/", "block"))
+    ruled = url_filter.with_rules(url_filter.split_urls(frame, "page_id", "url"), rules)
+    got = url_filter.Judge(ruled, max_train=1)
+    base = 24 / 64
+    rates = {r.suffix: r.suffix_rate for r in got.suffix.collect()}
+    assert rates == pytest.approx({"org": (20 + 5 * base) / 65, "rare": (4 + 5 * base) / 9})
+    site = {r.site: r.site_rate for r in got.site.collect()}
+    assert site == pytest.approx({"bad.org": (20 + 5 * rates["org"]) / 25, "good.org": 5 * rates["org"] / 45, "a.rare": (4 + 5 * rates["rare"]) / 9})
