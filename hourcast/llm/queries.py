@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hourcast.llm import (chat, common, decontam, fertility, jaccard, packing, repair, secret_scan, token_counts,
+from hourcast.llm import (byte_bpe, chat, common, decontam, fertility, jaccard, packing, repair, secret_scan, token_counts,
                           toxicity, url_filter, wordcache)
 
 WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +87,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(common.table(spark, sf_dir, "pages"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = wordcache.tokenizer_path(BYTE_RANKS)
+    encoded = byte_bpe.encode_documents(common.table(spark, sf_dir, "documents"), path)
+    return byte_bpe.digest(byte_bpe.decode_documents(encoded, path))
+
+
 QUERIES = {
     "op1_secret_scan": op1, "op2_chat_format": op2, "op3_ngram_jaccard": op3, "op4_decontamination": op4,
     "op5_token_counts": op5, "op6_repair_output": op6, "op7_toxicity": op7, "op8_quality_fertility": op8,
-    "op9_packing": op9, "op10_url_filter": op10,
+    "op9_packing": op9, "op10_url_filter": op10, "op11_byte_bpe": op11,
 }
 ORACLE = {"op2_chat_format": OP2_SQL}
