@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hourcast.llm import (byte_bpe, chat, common, decontam, fertility, jaccard, packing, repair, secret_scan, token_counts,
+from hourcast.llm import (byte_bpe, chat, collocations, common, decontam, fertility, jaccard, packing, repair, secret_scan, token_counts,
                           toxicity, url_filter, wordcache)
 
 WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -93,9 +93,50 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.decode_documents(encoded, path))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(common.table(spark, sf_dir, "documents"), min_count=10, max_words=3, limit=2000)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (
+  SELECT lang, id, unnest(w) AS w, generate_subscripts(w, 1) AS i
+  FROM (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces)),
+runs AS (SELECT lang, w, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY id ORDER BY i)),
+occurrences AS (
+  SELECT lang, 1 AS size, w AS phrase FROM runs
+  UNION ALL SELECT lang, 2, w || ' ' || w2 FROM runs WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM runs WHERE w3 IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS n FROM occurrences GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand)),
+firsts AS MATERIALIZED (SELECT c.*, f.n AS l FROM cuts c JOIN f ON f.lang = c.lang AND f.phrase = c.x),
+scored AS (
+  SELECT c.*, f.n AS r, (1000000 * a::HUGEINT * a) // (l::HUGEINT * f.n) AS score
+  FROM firsts c JOIN f ON f.lang = c.lang AND f.phrase = c.y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+above AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, a, w[1] || ' ' || w[2] AS phrase FROM cand WHERE size = 3
+    UNION ALL SELECT lang, a, w[2] || ' ' || w[3] FROM cand WHERE size = 3) GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN above u ON u.lang = b.lang AND u.phrase = b.phrase WHERE u.a IS NULL OR 100 * u.a < 50 * b.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY k.score DESC, k.a DESC, k.phrase) AS rank,
+  k.phrase, k.a, k.l, k.r, t.n, k.score::BIGINT AS score
+FROM kept k JOIN total t ON t.lang = k.lang QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_secret_scan": op1, "op2_chat_format": op2, "op3_ngram_jaccard": op3, "op4_decontamination": op4,
     "op5_token_counts": op5, "op6_repair_output": op6, "op7_toxicity": op7, "op8_quality_fertility": op8,
     "op9_packing": op9, "op10_url_filter": op10, "op11_byte_bpe": op11,
+    "op12_collocations": op12,
 }
-ORACLE = {"op2_chat_format": OP2_SQL}
+ORACLE = {"op2_chat_format": OP2_SQL, "op12_collocations": OP12_SQL}
