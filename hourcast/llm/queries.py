@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hourcast.llm import (byte_bpe, chat, collocations, common, decontam, fertility, jaccard, packing, repair, secret_scan, token_counts,
+from hourcast.llm import (byte_bpe, chat, collocations, common, decontam, fertility, jaccard, packing, repair, secret_scan, spelling, token_counts,
                           toxicity, url_filter, wordcache)
+from hourcast.session import cut_lineage
 
 WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -133,10 +134,14 @@ FROM kept k JOIN total t ON t.lang = k.lang QUALIFY rank <= 2000
 """
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(cut_lineage(spelling.word_counts(common.table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_secret_scan": op1, "op2_chat_format": op2, "op3_ngram_jaccard": op3, "op4_decontamination": op4,
     "op5_token_counts": op5, "op6_repair_output": op6, "op7_toxicity": op7, "op8_quality_fertility": op8,
     "op9_packing": op9, "op10_url_filter": op10, "op11_byte_bpe": op11,
-    "op12_collocations": op12,
+    "op12_collocations": op12, "op13_spelling": op13,
 }
 ORACLE = {"op2_chat_format": OP2_SQL, "op12_collocations": OP12_SQL}
