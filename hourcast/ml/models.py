@@ -7,8 +7,12 @@ model. Scaling is a pair of Spark ML stages, so a fitted model is one
 the (small) list of fits, a few of which run at the same time, and one metric
 row of each.
 
-Parameter mapping to the reference's scikit-learn objectives (Spark's
-``LinearRegression`` scales the label by its std internally):
+Linear models are solved from moments (``gram``): one pass over the rows
+for every penalty, and for every fold of a cross-validation. Tree models of
+one shape and several sizes are one fit, read by its prefixes (``staged``).
+
+Parameter mapping of the single estimators to the scikit-learn objectives
+(Spark's ``LinearRegression`` scales the label by its std internally):
 
 * ridge(alpha):        regParam = alpha * sd(y) / n, elasticNetParam = 0; the
                        direct solver (up to 4,096 features) divides by the
@@ -22,6 +26,7 @@ with ``standardization=False`` (the features are scaled beforehand) and
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 from typing import Callable, Sequence
@@ -35,6 +40,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hourcast.ml import gram, staged
 from hourcast.operators import metrics as mx
 from hourcast.operators import scale as scl
 from hourcast.operators import split as sp
@@ -103,11 +109,9 @@ def xgboost_style(n_estimators: int = 500, max_depth: int = 6, learning_rate: fl
 
 
 def lightgbm_style(n_estimators: int = 500, max_depth: int = 6, learning_rate: float = 0.05, seed: int = 42,
-                   validation_col: str | None = None, memory_mb: int = 256, **_) -> Estimator:
-    """Early stopping on a validation slice (``validationIndicatorCol``)."""
-    early = {"validationIndicatorCol": validation_col, "validationTol": 0.01} if validation_col else {}
-    return GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, seed=seed,
-                        maxMemoryInMB=memory_mb, **early)
+                   memory_mb: int = 256, **_) -> Estimator:
+    """``fit`` stops it early on a held-back slice (``staged``)."""
+    return GBTRegressor(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, seed=seed, maxMemoryInMB=memory_mb)
 
 
 FACTORY: dict[str, Callable[..., Estimator]] = {
@@ -193,17 +197,46 @@ def at_once(tasks: Sequence[Callable], parallelism: int) -> list:
         return pool.map(lambda t: t(), [own(t) for t in tasks])
 
 
+#: bytes of features that a partition of a cached training frame holds; a
+#: fit runs several small jobs a tree, which cost per task, not per row
+PARTITION_BYTES = 32 << 20
+
+
+def packed(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """The frame in no more partitions than its size asks for."""
+    return df.coalesce(max(1, math.ceil(rows * width * 8 / PARTITION_BYTES)))
+
+
 def fit(name: str, train: DataFrame, stages: Sequence[Transformer], stats: LabelStats, params: dict | None = None,
-        scaled: bool = True) -> PipelineModel:
+        scaled: bool = True, moments: gram.Moments | None = None) -> PipelineModel:
     """Scaler stages and the fitted model as one pipeline. A
-    ``held_back`` column marks the slice for early stopping (M12)."""
+    ``held_back`` column marks the slice for early stopping (M12). Linear
+    models are solved from ``moments`` of ``FEATURES`` and the label, found
+    here if not given."""
     params = dict(params or {})
-    if name == "lightgbm" and HELD_BACK in train.columns:
-        params.setdefault("validation_col", HELD_BACK)
+    if name in LINEAR and scaled:
+        m = moments or label_moments(train)
+        got = gram.fit(name, m, params)
+        return PipelineModel([*stages, gram.as_model(got.w, got.intercept, FEATURES, PRED)])
+    patience = params.pop("patience", staged.PATIENCE)
     est = get_estimator(name, stats, **params)
-    if not scaled:
-        return PipelineModel([est.setFeaturesCol(RAW).fit(train)])
-    return PipelineModel([*stages, est.fit(train)])
+    col = FEATURES if scaled else RAW
+    est = est.setFeaturesCol(col)
+    if name == "lightgbm" and HELD_BACK in train.columns:
+        model = staged.boost_with_patience(est, train, HELD_BACK, patience)
+    else:
+        model = est.fit(train)
+    return PipelineModel([*stages, model] if scaled else [model])
+
+
+def label_moments(train: DataFrame, features: str = FEATURES) -> gram.Moments:
+    """Moments of all rows of a frame."""
+    return gram.moments(train.withColumn("_all", F.lit(0)), features, LABEL, "_all")[0]
+
+
+def tree_count(model) -> int | None:
+    """Trees of an ensemble; None for other models."""
+    return int(model.getNumTrees) if hasattr(model, "getNumTrees") else None
 
 
 def vector_split(vec: DataFrame, label: str, test_size: float = 0.2, held_back: float = 0.1) -> tuple[DataFrame, DataFrame]:
@@ -231,25 +264,26 @@ def train_grid(df: DataFrame, features: Sequence[str], labels: dict, names: Sequ
 
     def prepared(tag, label):
         tr, te = vector_split(vec, label)
-        stages, _ = scaler(tr, features)
-        tr = PipelineModel(stages).transform(tr).drop("_varying").persist()
         stats = label_stats(tr)
         if stats.n < MIN_VALID:
             raise InsufficientData(f"{stats.n} complete rows for {label}")
-        return tag, tr, te, stages, stats
+        stages, _ = scaler(tr, features)
+        tr = packed(PipelineModel(stages).transform(tr).drop("_varying"), stats.n, len(features)).persist()
+        return tag, tr, te, stages, stats, label_moments(tr) if LINEAR & set(names) else None
 
-    def run(tag, name, tr, te, stages, stats):
-        m = fit(name, tr, stages, stats, (params or {}).get(name))
+    def run(tag, name, tr, te, stages, stats, moments):
+        m = fit(name, tr, stages, stats, (params or {}).get(name), moments=moments)
         ev = mx.evaluate(m.transform(te).select(F.col(LABEL).alias("y"), F.col(PRED).alias("yhat")), []) \
             .select(F.lit(tag).alias("horizon"), F.lit(name).alias("model"), "*",
-                    F.lit(nonzero_count(m.stages[-1])).alias("n_nonzero"))
+                    F.lit(nonzero_count(m.stages[-1])).alias("n_nonzero"),
+                    F.lit(tree_count(m.stages[-1])).cast("int").alias("n_trees"))
         return m, ev.first(), ev.schema
 
     frames = at_once([lambda t=t, l=l: prepared(t, l) for t, l in labels.items()], parallelism)
-    for tag, tr, te, stages, stats in frames:
+    for tag, *frame in frames:
         for n in names:
             names_.append((tag, n))
-            tasks.append(lambda a=(tag, n, tr, te, stages, stats): run(*a))
+            tasks.append(lambda a=(tag, n, *frame): run(*a))
     got = at_once(tasks, parallelism)
     for _, tr, *_ in frames:
         tr.unpersist()
@@ -331,32 +365,58 @@ def cv_runs(df: DataFrame, features: Sequence[str], label: str, runs: Sequence[t
             parallelism: int = 4) -> DataFrame:
     """Cross-validation of runs (tag, model name, parameters); one row per tag
     with the mean and population std of its fold metrics. Folds expand over
-    time, or are ``contiguous`` (train on all the others). Each fold is split
-    and scaled (on its train part, for linear models) once, whatever the
-    number of runs."""
+    time, or are ``contiguous`` (train on all the others). Linear runs share
+    one pass for their moments and one for their predictions, whatever the
+    folds and penalties; tree runs that differ in size alone share one fit a
+    fold."""
     vec = vectors(df, features, [label])
     d = vec.where(F.col(label).isNotNull()).withColumn(LABEL, F.col(label))
     folded = cut_lineage(sp.contiguous_folds(d, n_splits) if contiguous else sp.ts_folds(d, n_splits))
     fold = F.col("test_fold")
+    linear = [r for r in runs if r[1] in LINEAR and scale_linear]
+    shapes: dict = {}
+    for tag, name, params in runs:
+        if not (name in LINEAR and scale_linear):
+            shape = (name, tuple(sorted((k, v) for k, v in params.items() if k != "n_estimators")))
+            shapes.setdefault(shape, []).append((params.get("n_estimators"), tag))
 
     def prepared(k):
         tr = folded.where(fold != k if contiguous else fold < k)
-        stages, _ = scaler(tr, features)
-        both = PipelineModel(stages)
-        tr = both.transform(tr).drop("_varying").persist()
-        return k, tr, folded.where(fold == k), stages, label_stats(tr)
-
-    def run(tag, name, params, k, tr, te, stages, stats):
-        m = fit(name, tr, stages, stats, params, scaled=name in LINEAR and scale_linear)
-        ev = mx.evaluate(m.transform(te).select(F.col(LABEL).alias("y"), F.col(PRED).alias("yhat")), []) \
-            .select(F.lit(tag).alias("model"), F.lit(k).alias("fold"), "*")
-        return ev.first(), ev.schema
-
-    frames = at_once([lambda k=k: prepared(k) for k in range(n_splits)], parallelism)
-    got = at_once([lambda a=(*r, *f): run(*a) for f in frames for r in runs], parallelism)
-    for _, tr, *_ in frames:
-        tr.unpersist()
-    return df.sparkSession.createDataFrame([r for r, _ in got], got[0][1]).groupBy("model").agg(
+        stats = label_stats(tr)
+        return k, packed(tr, stats.n, len(features)).persist(), folded.where(fold == k), stats
+
+    def run(shape, sizes, k, tr, te, stats):
+        name, params = shape[0], dict(shape[1])
+        largest = max((n for n, _ in sizes if n), default=None)
+        if any(n is None for n, _ in sizes) and largest:
+            raise ValueError(f"{name}: sizes with and without a number of trees")
+        m = fit(name, tr, [], stats, params | ({"n_estimators": largest} if largest else {}), scaled=False).stages[-1]
+        out = None
+        for n, tag in sizes:
+            p = (m if n in (None, largest) else staged.prefix(m, n)).transform(te) \
+                .select(F.lit(tag).alias("model"), F.lit(k).alias("test_fold"), F.col(LABEL).alias("y"), F.col(PRED).alias("yhat"))
+            out = p if out is None else out.unionByName(p)
+        return mx.evaluate(out, ["model", "test_fold"]).collect()  # one row per size
+
+    rows = []
+    if linear:
+        per_fold = gram.moments(folded, RAW, LABEL, "test_fold")
+
+        def trained(k):
+            held = [m for f, m in per_fold.items() if (f != k if contiguous else f < k)]
+            return sum(held[1:], held[0])
+        models = {k: [(tag, gram.fit(name, trained(k), params)) for tag, name, params in linear] for k in range(n_splits)}
+        ev = mx.evaluate(gram.predictions(folded, RAW, LABEL, "test_fold", models).withColumnRenamed("tag", "model"),
+                         ["model", "test_fold"])
+        rows = ev.collect()  # one row per run and fold
+    if shapes:
+        frames = at_once([lambda k=k: prepared(k) for k in range(n_splits)], parallelism)
+        got = at_once([lambda a=(s, n, *f): run(*a) for f in frames for s, n in shapes.items()], parallelism)
+        for _, tr, *_ in frames:
+            tr.unpersist()
+        rows += [r for g in got for r in g]
+    schema = "model string, test_fold int, n long, rmse double, mae double, r2 double, mape double"
+    return df.sparkSession.createDataFrame(rows, schema).groupBy("model").agg(
         F.count(F.lit(1)).alias("folds"),
         F.avg("rmse").alias("rmse_mean"), F.stddev_pop("rmse").alias("rmse_std"),
         F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"),
@@ -396,8 +456,8 @@ def stack(df: DataFrame, features: Sequence[str], label: str, base_models: Seque
     def prepared(k):
         tr, te = sp.fold_frame(folded, k)
         stages, _ = scaler(tr, features)
-        tr = PipelineModel(stages).transform(tr).drop("_varying").persist()
-        return tr, te, stages, label_stats(tr)
+        stats = label_stats(tr)
+        return packed(PipelineModel(stages).transform(tr).drop("_varying"), stats.n, len(features)).persist(), te, stages, stats
 
     frames = at_once([lambda k=k: prepared(k) for k in range(n_splits)], parallelism)
     fitted = at_once([lambda a=(n, f[0], f[2], f[3]): fit(*a, (params or {}).get(a[0]), scaled=a[0] in LINEAR)

@@ -20,6 +20,7 @@ from hourcast.plans import sqlgen as sg
 from hourcast.plans.q_features import preset_a
 from hourcast.session import checkpoint_dir, cut_lineage
 from hourcast.sources import views
+from hourcast.sources.store import files_state
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -40,13 +41,14 @@ _FRAMES: dict = {}
 
 
 def feature_frame(spark, sf):
-    """The feature frame and its feature names: checkpointed once per
-    session and directory, shared by every model query."""
+    """The feature frame and its feature names: checkpointed once per session
+    and state of the input files, shared by every model query."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _FRAMES:
+    state = files_state(spark, f"{sf}/events.parquet")
+    if key not in _FRAMES or _FRAMES[key][0] != state:
         f, feats = _feature_frame(spark, sf)
-        _FRAMES[key] = (cut_lineage(f), feats)
-    return _FRAMES[key]
+        _FRAMES[key] = (state, cut_lineage(f), feats)
+    return _FRAMES[key][1:]
 
 
 def _feature_frame(spark, sf):
@@ -204,12 +206,16 @@ b AS (SELECT *, n * ((n + 1) * c1 - n * r * c2) / ((n + 1) * (n + 1) - n * r * n
   n * ((n + 1) * c2 - n * r * c1) / ((n + 1) * (n + 1) - n * r * n * r) / s2 AS w2 FROM m)"""
 
 
-def _two(spark, sf):
+def _few(spark, sf, names):
     o = views.obs(spark, sf)
-    f = o.select(*KEY, *TWO, *fx.lead_columns(fx.Series().window(), "pm2_5", [24]))
-    vec = ml.vectors(f, TWO, [LABEL])
+    f = o.select(*KEY, *names, *fx.lead_columns(fx.Series().window(), "pm2_5", [24]))
+    vec = ml.vectors(f, names, [LABEL])
     d = vec.where(F.col(LABEL).isNotNull()).withColumn(ml.LABEL, F.col(LABEL))
-    return o, vec, _ridge_on(d, TWO)
+    return o, vec, _ridge_on(d, names)
+
+
+def _two(spark, sf):
+    return _few(spark, sf, TWO)
 
 
 @q("ridge_closed_form", f"""WITH {_TWO_SQL}
@@ -223,6 +229,33 @@ def ridge_closed_form(spark, sf):
     return p.select(*KEY, F.round(ml.PRED, 4).alias("predicted"))
 
 
+# The same on three features: the normal equations of the scaled features by
+# Cramer's rule, and lasso's optimality checked on every feature
+THREE = ["pm2_5", "temp", "humidity"]
+_D = "(1 + 1.0 / n)"
+_DET = f"({_D} * ({_D} * {_D} - r23 * r23) - r12 * (r12 * {_D} - r23 * r13) + r13 * (r12 * r23 - {_D} * r13))"
+_THREE_SQL = f"""{sg.obs_cte()},
+f AS (SELECT city, timestamp, pm2_5, temp, humidity, LEAD(pm2_5, 24) OVER (PARTITION BY city ORDER BY timestamp) AS y FROM obs),
+t AS (SELECT * FROM f WHERE y IS NOT NULL AND pm2_5 IS NOT NULL AND temp IS NOT NULL AND humidity IS NOT NULL),
+m AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n, AVG(y) AS my, AVG(pm2_5) AS m1, AVG(temp) AS m2, AVG(humidity) AS m3,
+  stddev_pop(pm2_5) AS s1, stddev_pop(temp) AS s2, stddev_pop(humidity) AS s3,
+  corr(pm2_5, temp) AS r12, corr(pm2_5, humidity) AS r13, corr(temp, humidity) AS r23,
+  covar_pop(pm2_5, y) / stddev_pop(pm2_5) AS c1, covar_pop(temp, y) / stddev_pop(temp) AS c2,
+  covar_pop(humidity, y) / stddev_pop(humidity) AS c3 FROM t),
+b AS (SELECT *,
+  (c1 * ({_D} * {_D} - r23 * r23) - r12 * (c2 * {_D} - r23 * c3) + r13 * (c2 * r23 - {_D} * c3)) / {_DET} / s1 AS w1,
+  ({_D} * (c2 * {_D} - r23 * c3) - c1 * (r12 * {_D} - r23 * r13) + r13 * (r12 * c3 - c2 * r13)) / {_DET} / s2 AS w2,
+  ({_D} * ({_D} * c3 - c2 * r23) - r12 * (r12 * c3 - c2 * r13) + c1 * (r12 * r23 - {_D} * r13)) / {_DET} / s3 AS w3 FROM m)"""
+
+
+@q("ridge_three_features", f"""WITH {_THREE_SQL}
+SELECT city, timestamp, ROUND(my + w1 * (pm2_5 - m1) + w2 * (temp - m2) + w3 * (humidity - m3), 4) AS predicted FROM obs, b""")
+def ridge_three_features(spark, sf):
+    """M5 on three features, from moments, as a pipeline over all observations."""
+    o, _, model = _few(spark, sf, THREE)
+    return ml.whole(THREE, model).transform(o.select(*KEY, *THREE)).select(*KEY, F.round(ml.PRED, 4).alias("predicted"))
+
+
 @q("shap_closed_form", f"""WITH {_TWO_SQL}
 SELECT feature, ROUND(v, 6) AS mean_abs_shap FROM (
   SELECT 'pm2_5' AS feature, AVG(ABS(w1 * (pm2_5 - o1))) AS v FROM obs, b, (SELECT AVG(pm2_5) AS o1 FROM obs) GROUP BY 1

@@ -38,6 +38,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def files_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(files, bytes, newest modification time) under a path: changes when its
+    data does."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    n = size = newest = 0
+    while files.hasNext():
+        f = files.next()
+        n, size, newest = n + 1, size + f.getLen(), max(newest, f.getModificationTime())
+    return n, size, newest
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     """Remove a staging folder that this module wrote."""
     jvm = spark.sparkContext._jvm
