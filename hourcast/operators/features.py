@@ -37,24 +37,36 @@ class Series:
     order: tuple = ("timestamp",)
 
     def window(self) -> WindowSpec:
-        w = Window.orderBy(*self.order)
-        return Window.partitionBy(*self.keys).orderBy(*self.order) if self.keys else w
+        w = Window.partitionBy(*self.keys).orderBy(*self.order) if self.keys else Window.orderBy(*self.order)
+        # the same as text: a preset has some 190 window columns, and a column
+        # written as one SQL expression is one call to the JVM instead of a dozen
+        quote = lambda cs: ", ".join(f"`{c}`" for c in cs)
+        w.sql = (f"PARTITION BY {quote(self.keys)} " if self.keys else "") + f"ORDER BY {quote(self.order)}"
+        return w
 
 
 def _frame(w: WindowSpec, size: int) -> WindowSpec:
     return w.rowsBetween(-(size - 1), 0)
 
 
+def _named(sql: str, name: str) -> Column:
+    return F.expr(f"{sql} AS `{name}`")
+
+
+def _lag(w: WindowSpec, sql: str, k: int) -> str:
+    return f"lag({sql}, {k}) OVER ({w.sql})"
+
+
 # W1 -------------------------------------------------------------------------
 def lag_columns(w: WindowSpec, cols: Iterable[str], lags: Iterable[int],
                 name: str = "{col}_lag_{k}h") -> list[Column]:
-    return [F.lag(c, k).over(w).alias(name.format(col=c, k=k)) for c in cols for k in lags]
+    return [_named(_lag(w, f"`{c}`", k), name.format(col=c, k=k)) for c in cols for k in lags]
 
 
 # W8 -------------------------------------------------------------------------
 def lead_columns(w: WindowSpec, col: str, horizons: Iterable[int],
                  name: str = "target_{h}h") -> list[Column]:
-    return [F.lead(col, h).over(w).alias(name.format(col=col, h=h)) for h in horizons]
+    return [_named(f"lead(`{col}`, {h}) OVER ({w.sql})", name.format(col=col, h=h)) for h in horizons]
 
 
 # W2-W5 ----------------------------------------------------------------------
@@ -95,7 +107,7 @@ def stage1_names(cols: Iterable[str]) -> list[str]:
 # least/greatest skip NULLs like min/max; lags before the partition start are
 # NULL, which truncates the frame exactly as ROWS n PRECEDING does.
 MM_ = "__{op}{s}_{col}"
-_MM_FN = {"min": F.least, "max": F.greatest}
+_MM_SQL = {"min": "least", "max": "greatest"}
 
 
 def _levels(top: int) -> list[int]:
@@ -116,18 +128,17 @@ def minmax_stages(w: WindowSpec, cols: Iterable[str], windows: Iterable[int],
     lv = _levels(max(windows, default=1))
     stages = []
     for prev, s in zip(lv, lv[1:]):
-        stages.append([_MM_FN[o](F.col(_level_col(o, prev, c)),
-                                 *[F.lag(_level_col(o, prev, c), j * prev).over(w) for j in (1, 2, 3)])
-                       .alias(_level_col(o, s, c)) for c in cols for o in ops])
+        stages.append([_named(f"{_MM_SQL[o]}({', '.join([q, *[_lag(w, q, j * prev) for j in (1, 2, 3)]])})", _level_col(o, s, c))
+                       for c in cols for o in ops for q in [f"`{_level_col(o, prev, c)}`"]])
     return stages
 
 
-def _minmax(w: WindowSpec, col: str, size: int, op: str) -> Column:
+def _minmax(w: WindowSpec, col: str, size: int, op: str) -> str:
     s = _levels(size)[-1]
-    src = _level_col(op, s, col)
+    src = f"`{_level_col(op, s, col)}`"
     offs = sorted({j * s for j in range(-(-size // s) - 1)} | {size - s})
-    terms = [F.col(src) if o == 0 else F.lag(src, o).over(w) for o in offs]
-    return terms[0] if len(terms) == 1 else _MM_FN[op](*terms)
+    terms = [src if o == 0 else _lag(w, src, o) for o in offs]
+    return terms[0] if len(terms) == 1 else f"{_MM_SQL[op]}({', '.join(terms)})"
 
 
 def rolling_prep(df: DataFrame, w: WindowSpec, cols: Sequence[str], windows: Sequence[int],
@@ -145,38 +156,32 @@ def rolling_prep(df: DataFrame, w: WindowSpec, cols: Sequence[str], windows: Seq
     return out
 
 
-def _windowed(w: WindowSpec, run_col: str, size: int) -> Column:
-    r = F.col(run_col)
-    return r - F.coalesce(F.lag(r, size).over(w), F.lit(0))
+def _windowed(w: WindowSpec, run_col: str, size: int) -> str:
+    return f"(`{run_col}` - coalesce({_lag(w, f'`{run_col}`', size)}, 0))"
 
 
-def rolling_stat(w: WindowSpec, col: str, size: int, stat: str,
-                 min_periods: int = 1, decimals: int | None = None) -> Column:
-    f = _frame(w, size)
-    x = F.col(col)
-    if decimals is not None and stat in ("min", "max"):
+def _exact_stat(w: WindowSpec, col: str, size: int, stat: str, min_periods: int, decimals: int) -> str:
+    """The fixed-point path: differences of running sums, as SQL."""
+    n = _windowed(w, N_.format(col=col), size)
+    scale = float(10 ** decimals)
+    if stat in ("min", "max"):
         val = _minmax(w, col, size, stat)
-        n = _windowed(w, N_.format(col=col), size)
-    elif decimals is None:
-        agg = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}[stat]
-        val = agg(x).over(f)
-        n = F.count(x).over(f)
+    elif stat == "mean":
+        val = f"CASE WHEN {n} > 0 THEN CAST({_windowed(w, S_.format(col=col), size)} AS DOUBLE) / ({scale!r}D * {n}) END"
     else:
-        scale = float(10 ** decimals)
-        n = _windowed(w, N_.format(col=col), size)
-        s = _windowed(w, S_.format(col=col), size)
-        if stat == "mean":
-            val = F.when(n > 0, s.cast("double") / (F.lit(scale) * n))
-        else:
-            ss = _windowed(w, Q_.format(col=col), size)
-            nd, sd = n.cast(DEC), s.cast(DEC)
-            val = F.when(n > 1, F.sqrt((nd * ss - sd * sd).cast("double")
-                                       / (F.lit(scale * scale) * n * (n - F.lit(1)))))
-    if min_periods > 1:
-        if decimals is not None:
-            n = _windowed(w, N_.format(col=col), size)
-        val = F.when(n >= min_periods, val)
-    return val
+        nd, sd = (f"CAST({x} AS {DEC})" for x in (n, _windowed(w, S_.format(col=col), size)))
+        val = (f"CASE WHEN {n} > 1 THEN sqrt(CAST({nd} * {_windowed(w, Q_.format(col=col), size)} - {sd} * {sd} AS DOUBLE) "
+               f"/ ({scale * scale!r}D * {n} * ({n} - 1))) END")
+    return f"CASE WHEN {n} >= {min_periods} THEN {val} END" if min_periods > 1 else val
+
+
+def rolling_stat(w: WindowSpec, col: str, size: int, stat: str,
+                 min_periods: int = 1, decimals: int | None = None) -> Column:
+    if decimals is not None:
+        return F.expr(_exact_stat(w, col, size, stat, min_periods, decimals))
+    f, x = _frame(w, size), F.col(col)
+    val = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}[stat](x).over(f)
+    return F.when(F.count(x).over(f) >= min_periods, val) if min_periods > 1 else val
 
 
 def rolling_columns(w: WindowSpec, cols: Iterable[str], windows: Iterable[int],
@@ -208,7 +213,7 @@ def with_rolling(df: DataFrame, series: "Series", cols: Sequence[str], windows:
 # W6 / W9 ----------------------------------------------------------------------
 def diff_columns(w: WindowSpec, cols: Iterable[str], periods: Iterable[int],
                  name: str = "{col}_diff_{p}h") -> list[Column]:
-    return [(F.col(c) - F.lag(c, p).over(w)).alias(name.format(col=c, p=p)) for c in cols for p in periods]
+    return [_named(f"(`{c}` - {_lag(w, f'`{c}`', p)})", name.format(col=c, p=p)) for c in cols for p in periods]
 
 
 # W7 -------------------------------------------------------------------------
@@ -240,9 +245,9 @@ def pct_change_columns(w: WindowSpec, cols: Iterable[str], periods: Iterable[int
     gives NULL (no infinities or NaN ever enter the frame)."""
     out = []
     for c in cols:
-        pad = F.col(PAD.format(col=c))
+        pad = f"`{PAD.format(col=c)}`"
         for p in periods:
-            out.append((F.try_divide(pad, F.lag(pad, p).over(w)) - F.lit(1.0)).alias(name.format(col=c, p=p)))
+            out.append(_named(f"(try_divide({pad}, {_lag(w, pad, p)}) - 1.0D)", name.format(col=c, p=p)))
     return out
 
 

@@ -4,9 +4,9 @@ Every per-column statistic is an aggregate expression, so one ``agg`` over
 the frame yields all of them (partial aggregation on the executors, one row
 to the driver); ``stack`` then turns the wide result into long form.
 
-Exact quantiles come from counts per value in range partitions
-(:func:`quantiles`): no task holds a column's values. ``exact=False`` uses
-the ``percentile_approx`` sketch instead.
+Exact quantiles come from radix selection over histograms of fixed size
+(:func:`order_statistics`): no task holds a column's values and none are
+shuffled. ``exact=False`` uses the ``percentile_approx`` sketch instead.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourcast.operators.features import Series
+from hourcast.operators.features import NUMERIC, Series
 from hourcast.operators.halo import skew_safe
 from hourcast.session import cut_lineage
 
@@ -54,37 +55,73 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return _stack(wide, cols, ["nulls", "pct"])
 
 
+#: bits that a selection pass fixes
+DIGIT = 16
+
+
+def _image(v: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned integers of the same order."""
+    u = v.view(np.uint64)
+    return np.where(u >> np.uint64(63) == 1, ~u, u | np.uint64(1 << 63))
+
+
+def _double(image: int) -> float:
+    u = image ^ (1 << 63) if image >> 63 else ~image & (1 << 64) - 1
+    return float(np.array([u], np.uint64).view(np.float64)[0])
+
+
+def _digit_counts(known: dict[int, list[int]], shift: int):
+    """Counts of the next digit of the values under each known prefix, per
+    column: at most 2^DIGIT rows of a task per prefix, however many values."""
+    def run(batches):
+        import pyarrow as pa
+        held = {(c, p): np.zeros(1 << DIGIT, np.int64) for c, ps in known.items() for p in ps}
+        for b in batches:
+            for c, ps in known.items():
+                image = _image(b.column(c).drop_null().to_numpy(zero_copy_only=False))
+                top = image >> np.uint64(shift + DIGIT) if shift + DIGIT < 64 else np.zeros(len(image), np.uint64)
+                for p in ps:
+                    digit = image[top == np.uint64(p)] >> np.uint64(shift) & np.uint64((1 << DIGIT) - 1)
+                    held[c, p] += np.bincount(digit.astype(np.int64), minlength=1 << DIGIT)
+        for (c, p), n in held.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c), pa.int32()), pa.array(np.full(len(at), p), pa.int64()),
+                                              pa.array(at, pa.int32()), pa.array(n[at])], names=["c", "p", "d", "n"])
+    return run
+
+
+def order_statistics(df: DataFrame, ranks: dict[int, Sequence[int]]) -> dict[tuple[int, int], float]:
+    """Exact values by (column number, 0-based rank) of a frame of doubles,
+    NULLs left out, by radix selection: doubles as integers of the same order
+    are narrowed down 16 bits a pass, for all columns and ranks at once. Four
+    passes over the rows, whatever the values; what is shuffled is counts of
+    digits, and the driver gets one row per rank and pass."""
+    state = {(c, r): (0, r) for c, rs in ranks.items() for r in rs}  # -> (prefix, rank under it)
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        known = {c: sorted({p for (k, _), (p, _) in state.items() if k == c}) for c in ranks if ranks[c]}
+        counts = df.mapInArrow(_digit_counts(known, shift), "c int, p long, d int, n long") \
+            .groupBy("c", "p", "d").agg(F.sum("n").alias("n"))
+        hits = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(p).cast("long").alias("p"), F.lit(k).cast("long").alias("k"))
+                         for c, p, k in sorted({(c, p, k) for (c, _), (p, k) in state.items()})])
+        end = F.sum("n").over(Window.partitionBy("c", "p").orderBy("d").rowsBetween(Window.unboundedPreceding, 0))
+        found = counts.withColumn("e", end).select("d", (F.col("e") - F.col("n")).alias("s"), F.explode(F.filter(
+            hits, lambda h: (h["c"] == F.col("c")) & (h["p"] == F.col("p")) & (h["k"] >= F.col("e") - F.col("n"))
+            & (h["k"] < F.col("e")))).alias("h")).select("d", "s", "h.*").collect()     # one per rank
+        step = {(r["c"], r["p"], r["k"]): (r["p"] << DIGIT | r["d"], r["k"] - r["s"]) for r in found}
+        state = {(c, r): step[c, p, k] for (c, r), (p, k) in state.items()}
+        if shift:  # the next pass's prefixes travel as signed numbers of under 64 bits
+            assert all(p < 1 << 63 for p, _ in state.values())
+    return {key: _double(image) for key, (image, _) in state.items()}
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75)) -> dict[str, list]:
     """Exact, linearly interpolated quantiles of the non-NULL values of each
-    column (doubles; None where there are none).
-
-    Counts per (column, value), map-side combined, are range-partitioned in
-    order and checkpointed; one total per partition and column tells which
-    partition holds each wanted order statistic, and only there a running sum
-    finds it. No task holds a column's values; the driver sees the totals and
-    two values per quantile."""
+    column (doubles; None where there are none), by ``order_statistics``."""
     cols = list(cols)
-    item = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]))
-    u = df.select(item.alias("_u")).select("_u.c", "_u.v").where(F.col("v").isNotNull())
-    per = cut_lineage(u.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).orderBy("c", "v")
-                      .withColumn("_mid", F.monotonically_increasing_id()))
-    per = per.withColumn("p", F.shiftright(F.col("_mid"), 33))
-    totals = sorted((r["c"], r["p"], r["t"]) for r in per.groupBy("c", "p").agg(F.sum("n").alias("t")).collect())
-    size = {c: sum(t for k, _, t in totals if k == c) for c in range(len(cols))}
+    u = cut_lineage(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
+    size = dict(enumerate(u.agg(*[F.count(f"c{i}") for i in range(len(cols))]).first()))
     ranks = {c: sorted({r for q in probs for r in (math.floor((n - 1) * q), math.ceil((n - 1) * q))}) for c, n in size.items() if n}
-    wanted, at = [], dict.fromkeys(size, 0)
-    for c, p, t in totals:
-        wanted += [(c, p, r - at[c], r) for r in ranks[c] if at[c] <= r < at[c] + t]
-        at[c] += t
-    if not wanted:
-        return {c: [None] * len(probs) for c in cols}
-    hits = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(p).cast("long").alias("p"), F.lit(k).cast("long").alias("k"),
-                              F.lit(r).cast("long").alias("r")) for c, p, k, r in wanted])
-    end = F.sum("n").over(Window.partitionBy("p", "c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    held = per.where(F.col("p").isin(sorted({p for _, p, _, _ in wanted}))).withColumn("e", end)
-    held = held.select("c", "v", F.explode(F.filter(hits, lambda h: (h["c"] == F.col("c")) & (h["p"] == F.col("p"))
-                                                    & (h["k"] >= F.col("e") - F.col("n")) & (h["k"] < F.col("e")))).alias("h"))
-    value = {(r["c"], r["r"]): r["v"] for r in held.select("c", "v", "h.r").collect()}       # two per quantile
+    value = order_statistics(u, ranks) if ranks else {}
     out = {}
     for i, c in enumerate(cols):
         out[c] = [None] * len(probs)
@@ -190,13 +227,43 @@ def corr_with(df: DataFrame, target: str, features: Sequence[str] | None = None,
     return _stack(wide, feats, ["corr"], "feature")
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    """Every pair (a, b) of columns, pairwise-complete."""
-    pairs = [(a, b) for a in cols for b in cols]
-    wide = df.agg(*[F.round(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), digits)
-                    .alias(f"{a}|{b}__corr") for a, b in pairs])
-    long = _stack(wide, [f"{a}|{b}" for a, b in pairs], ["corr"], "pair")
-    return long.select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "corr")
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, j, n, s, q, xy): for every ordered pair of columns the rows where
+    both are present, and over those the sum of column i, of its squares, and
+    of the products. One pass: a task turns its rows into matrix products,
+    and one row per pair of it is shuffled. Columns are shifted by a value of
+    their own, which keeps large offsets from eating the digits."""
+    src = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    one = src.agg(*[F.any_value(f"c{i}", F.lit(True)) for i in range(len(cols))]).first()
+    shift = np.array([0.0 if v is None else v for v in one])
+
+    def run(batches):
+        import pyarrow as pa
+        total = np.zeros((4, len(shift), len(shift)))
+        for b in batches:
+            ok = np.column_stack([np.asarray(x.is_valid()) for x in b.columns]).astype(np.float64)
+            v = (np.column_stack([x.fill_null(0.0).to_numpy(zero_copy_only=False) for x in b.columns]) - shift) * ok
+            total += [ok.T @ ok, v.T @ ok, (v * v).T @ ok, v.T @ v]
+        i, j = (x.ravel() for x in np.indices(total.shape[1:]))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(t.ravel()) for t in total]],
+                                         names=["i", "j", "n", "s", "q", "xy"])
+
+    return src.mapInArrow(run, "i int, j int, n double, s double, q double, xy double") \
+        .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "xy")])
+
+
+def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
+    """Every pair (a, b) of the numeric columns (all by default),
+    pairwise-complete, from one pass of moments; NULL where a column does not
+    vary over the pair's rows, or no row has both."""
+    cols = list(cols or [c for c, t in df.dtypes if t in NUMERIC or t.startswith("decimal")])
+    m = cut_lineage(pair_moments(df, cols))  # a row per pair
+    t = m.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("s").alias("s2"), F.col("q").alias("q2"))
+    name = F.array(*[F.lit(c) for c in cols])
+    vx, vy = F.col("n") * F.col("q") - F.col("s") * F.col("s"), F.col("n") * F.col("q2") - F.col("s2") * F.col("s2")
+    flat = (vx <= F.lit(1e-12) * F.col("n") * F.col("q")) | (vy <= F.lit(1e-12) * F.col("n") * F.col("q2"))
+    corr = F.when(flat, None).otherwise((F.col("n") * F.col("xy") - F.col("s") * F.col("s2")) / (F.sqrt(vx) * F.sqrt(vy)))
+    return m.join(t, ["i", "j"]).select(name[F.col("i")].alias("a"), name[F.col("j")].alias("b"), F.round(corr, digits).alias("corr"))
 
 
 def boxplot(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:

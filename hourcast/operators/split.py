@@ -141,19 +141,25 @@ def dense_ids(df: DataFrame, order: Sequence[str], col: str = "row_id") -> DataF
     """``col`` = 0..n-1 in ``order`` (a unique key), without a window
     over the whole frame.
 
-    A range-partitioned sort spreads the rows (a hot timestamp included, as the
-    order is unique) over all partitions; ``monotonically_increasing_id`` right
-    after the sort is (partition << 33) + position in partition. Per-partition
-    counts (one row per partition, so bounded by the partition count) give each
-    partition's offset. The sorted frame is checkpointed so that its sampled
-    range bounds, and therefore the ids, survive recomputation after a lost
-    executor.
+    The frame is written once, so that a wide plan runs and is planned once,
+    and only its key columns are sorted. A range-partitioned sort spreads the
+    keys (a hot timestamp included, as the order is unique) over all
+    partitions; ``monotonically_increasing_id`` right after the sort is
+    (partition << 33) + position in partition. Per-partition counts (one row
+    per partition, so bounded by the partition count) give each partition's
+    offset. The sorted keys are checkpointed so that their sampled range
+    bounds, and therefore the ids, survive recomputation after a lost
+    executor. The ids come back to the rows by a join on the key.
     """
-    s = cut_lineage(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    df = cut_lineage(df)
+    names = [f"_o{i}" for i in range(len(order))]
+    keys = df.select(*[F.col(o).alias(n) for o, n in zip(order, names)])
+    s = cut_lineage(keys.orderBy(*names).withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("_mid"), 33)
     counts = s.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     run = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
     offs = counts.select("_pid", (F.sum("_n").over(run) - F.col("_n")).alias("_off"))
-    j = s.join(F.broadcast(offs), pid == F.col("_pid"))
     rid = F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid"), 33)
-    return j.select(*[F.col(c) for c in df.columns], rid.alias(col))
+    ids = s.join(F.broadcast(offs), pid == F.col("_pid")).select(*names, rid.alias(col))
+    same = reduce(lambda x, y: x & y, [F.col(o).eqNullSafe(F.col(n)) for o, n in zip(order, names)])
+    return df.join(ids, same).select(*[F.col(c) for c in df.columns], col)

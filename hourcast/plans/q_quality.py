@@ -110,22 +110,24 @@ def corr_target(spark, sf):
     return qa.corr_with(views.obs(spark, sf), "pm2_5", _CORR_F)
 
 
-_CM = ["pm2_5", "pm10", "temp", "humidity"]
+_CM = ["unix_time", "n", "pm2_5", "pm10", "temp", "humidity", "wind_speed", "wind_deg", "pressure", "clouds", "visibility", "aqi"]
 
 
 @q("corr_matrix", f"WITH {sg.obs_cte()} " + _union(
     f"SELECT '{a}' AS a, '{b}' AS b, ROUND(CORR({a}, {b}), 6) AS corr FROM obs" for a in _CM for b in _CM))
 def corr_matrix(spark, sf):
-    return qa.corr_matrix(views.obs(spark, sf), _CM)
+    """Every numeric column of the frame."""
+    return qa.corr_matrix(views.obs(spark, sf))
 
 
 # A29 / A30 -------------------------------------------------------------------------
 def _box_sql(c):
+    v = f"CAST({c} AS DOUBLE)"
     return f"""SELECT '{c}' AS column, ROUND(q1, 6) AS q1, ROUND(med, 6) AS median, ROUND(q3, 6) AS q3,
-  ROUND((SELECT MIN({c}) FROM obs WHERE {c} >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_lo,
-  ROUND((SELECT MAX({c}) FROM obs WHERE {c} <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_hi,
+  ROUND((SELECT MIN({v}) FROM obs WHERE {c} >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_lo,
+  ROUND((SELECT MAX({v}) FROM obs WHERE {c} <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_hi,
   (SELECT COUNT(*) FROM obs WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outliers
-FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS med, quantile_cont({c}, 0.75) AS q3 FROM obs)"""
+FROM (SELECT quantile_cont({v}, 0.25) AS q1, quantile_cont({v}, 0.5) AS med, quantile_cont({v}, 0.75) AS q3 FROM obs)"""
 
 
 @q("boxplot", f"WITH {sg.obs_cte()} " + _union(_box_sql(c) for c in _CM))
