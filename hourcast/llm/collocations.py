@@ -2,19 +2,20 @@
 
 1. A share of the rows is counted. Its phrases that reach a lowered threshold
    are the sample's proposal.
-2. One pass over all rows counts, exactly, the proposal and its negative
-   border: every word, and every phrase both of whose parts one word shorter
-   (all but the last word, all but the first) are in the proposal.
+2. All rows are counted for the proposal and its negative border: every
+   word, and every phrase both of whose parts one word shorter (all but the
+   last word, all but the first) are in the proposal. Sums by a 64-bit hash
+   come first: they are never below a phrase's own count, so they rule out
+   what cannot be frequent; what is left is counted by the phrases themselves.
 3. A border phrase that turns out frequent is a failure: it joins the
    proposal, and a further pass counts what its joining opens, and only that.
    Passes go on until none fails; then the frequent phrases are complete, as a
    phrase is never more frequent than its parts.
 
-The proposal reaches the tasks as one bitmap per phrase length, of bounded size
+The proposal reaches the tasks as a bitmap of hashes, of bounded size
 (``MAX_BITS``). Two phrases may share a bit; that opens more for counting and
 drops nothing, since whether a phrase is counted in a pass depends on the
-phrase alone and every count is over all rows. Counts are grouped by the
-phrases themselves, not by hashes.
+phrase alone and every count is over all rows.
 
 Each slice of text is counted in arrays before Spark sums the rows, so a hot
 phrase is one row of a slice. Joins with a hot part are salted, and the first
@@ -133,47 +134,57 @@ class Slice:
 
     def counted(self, size: int, at: np.ndarray) -> pa.RecordBatch:
         """The distinct phrases of ``size`` words at words ``at``, counted."""
-        code = self.code[at]
+        code, _ = pd.factorize(self.code[at])
         for j in range(1, size):
             code, _ = pd.factorize(code * np.int64(len(self.first)) + self.code[at + j])
         return self.rows(at[_first(code)], np.bincount(code) if len(code) else code, size)
 
 
-def count_slice(lang: pa.Array, text: pa.Array, max_words: int, open_: list | None, before: list | None):
-    """Record batches (lang, size, phrase, n) of one slice.
+def count_slice(lang: pa.Array, text: pa.Array, max_words: int, open_: np.ndarray | None, before: np.ndarray | None = None,
+                possible: np.ndarray | None = None, keys: bool = False):
+    """Record batches of one slice: (lang, size, phrase, n), or with ``keys``
+    (key, n) by the phrases' hashes.
 
-    open_[k - 1]: the bitmap of proposed phrases of k words (None: everything
-    is counted); before: the bitmaps of the pass before, whose phrases are
-    left out. The first pass also counts the words of each language (size 0).
+    open_: the bitmap of the proposal (None: everything is counted); before:
+    that of the pass before, whose phrases are left out; possible: a bitmap of
+    hashes without which nothing is counted. The pass without ``before``
+    counts words, and the words of each language (size 0).
     """
     s = Slice(lang, text)
     if not len(s.start):
         return
-    if before is None:
+    valid, hash_ = np.ones(len(s.start), bool), s.a
+    take = valid if before is None else ~valid
+    if before is None and not keys:
         total = np.bincount(s.lang)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [s.langs.take(pa.array(used)).cast(pa.string()), pa.array(np.zeros(len(used)), pa.int32()),
              pa.array([""] * len(used), pa.string()), pa.array(total[used], pa.int64())], names=["lang", "size", "phrase", "n"])
-        yield s.counted(1, np.arange(len(s.start)))
-    valid, hash_ = np.ones(len(s.start), bool), s.a
-    for size in range(2, max_words + 1):
-        # parts of size - 1 words at each word, and at the next
-        inside = valid & (_in(open_[size - 2], hash_) if open_ else True)
-        old = valid & _in(before[size - 2], hash_) if before else None
-        longer = np.zeros(len(valid), bool)
-        longer[:-1] = s.follows[:-1] & valid[1:] & valid[:-1]
-        take = longer.copy()
-        take[:-1] &= inside[:-1] & inside[1:]
-        if before:
-            take[:-1] &= ~(old[:-1] & old[1:])
-        at = np.flatnonzero(take)
-        if len(at):
-            yield s.counted(size, at)
-        if size < max_words:
+    for size in range(1, max_words + 1):
+        if size > 1:
+            # parts of size - 1 words at each word, and at the next
+            inside = valid & _in(open_, hash_) if open_ is not None else valid
+            longer = np.zeros(len(valid), bool)
+            longer[:-1] = s.follows[:-1] & valid[1:] & valid[:-1]
+            take = longer.copy()
+            take[:-1] &= inside[:-1] & inside[1:]
+            if before is not None:
+                old = valid & _in(before, hash_)
+                take[:-1] &= ~(old[:-1] & old[1:])
             word = np.zeros(len(valid), np.uint64)
             word[:len(valid) - size + 1] = s.a[size - 1:]
             hash_, valid = _longer(hash_, word), longer
+        at = np.flatnonzero(take)
+        if possible is not None:
+            at = at[_in(possible, hash_[at])]
+        if not len(at):
+            continue
+        if keys:
+            code, of = pd.factorize(hash_[at])
+            yield pa.RecordBatch.from_arrays([pa.array(of.view(np.int64)), pa.array(np.bincount(code), pa.int64())], names=["key", "n"])
+        else:
+            yield s.counted(size, at)
 
 
 def _in(bits: np.ndarray, hash_: np.ndarray) -> np.ndarray:
@@ -198,12 +209,20 @@ def _bits_for(n: int) -> int:
     return min(MAX_BITS, max(MIN_BITS, 1 << (BITS_EACH * max(n, 1) - 1).bit_length()))
 
 
-def _marked(phrases: DataFrame, max_words: int, sizes: dict[int, int], have) -> list[np.ndarray] | None:
-    """Bitmaps of the phrases by number of words, on top of ``have`` (a
-    broadcast of bitmaps or None). None if all were in there already. The
-    driver gets at most one row per 64 bits of a bitmap."""
-    spark = phrases.sparkSession
+def _marked(keys: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits of the column ``key``. The driver gets at most
+    one row per 64 bits."""
+    cell = F.col("key").bitwiseAND(F.lit(size - 1))
+    words = keys.select(F.shiftright(cell, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63L AS int))").alias("bit")) \
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out.view(np.uint8)
+
 
+def _failures(phrases: DataFrame, max_words: int, open_) -> DataFrame:
+    """(key): hashes of the frequent phrases that could open longer ones but
+    are not in the proposal."""
     def run(batches):
         from hourcast.llm import collocations as m
         for b in batches:
@@ -211,37 +230,30 @@ def _marked(phrases: DataFrame, max_words: int, sizes: dict[int, int], have) ->
             for k in np.unique(size).tolist():
                 of = pa.array(np.flatnonzero(size == k))
                 h = m.phrase_hashes(lang.take(of), phrase.take(of), k)
-                if have is not None:
-                    h = h[~m._in(have.value[k - 1], h)]
-                cell = h & np.uint64(sizes[k] - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), k), pa.int32()), pa.array((cell >> np.uint64(6)).astype(np.int64)),
-                     pa.array((np.uint64(1) << (cell & np.uint64(63))).view(np.int64))], names=["size", "word", "bits"])
-
-    words = phrases.where(F.col("size").between(1, max_words - 1)).select("lang", "size", "phrase") \
-        .mapInArrow(run, "size int, word long, bits long").groupBy("size", "word").agg(F.bit_or("bits").alias("bits"))
-    got = words.toArrow()
-    if have is not None and not got.num_rows:
-        return None
-    size, word, bits = (got.column(i).to_numpy() for i in range(3))
-    out = []
-    for k in range(1, max_words):
-        m = np.zeros(sizes[k] // 64, np.int64)
-        m[word[size == k]] = bits[size == k]
-        m = m.view(np.uint8)
-        out.append(m | have.value[k - 1] if have is not None else m)
-    return out
+                h = h[~m._in(open_.value, h)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["key"])
+
+    return phrases.where(F.col("size").between(1, max_words - 1)).select("lang", "size", "phrase").mapInArrow(run, "key long")
 
 
-def count_phrases(src: DataFrame, max_words: int, open_=None, before=None) -> DataFrame:
-    """(lang, size, phrase, n) over all rows of (lang, text); open_, before:
-    broadcasts of bitmaps, see ``count_slice``."""
+def _count(src: DataFrame, fields: str, *args, **kwargs) -> DataFrame:
     def run(batches):
         from hourcast.llm import collocations as m, common as c
         for b in c.slices(batches, "text", m.SLICE_BYTES):
-            yield from m.count_slice(b.column(0), b.column(1), max_words, open_ and open_.value, before and before.value)
+            yield from m.count_slice(b.column(0), b.column(1), args[0], *[a and a.value for a in args[1:]], **kwargs)
+
+    return src.select("lang", "text").mapInArrow(run, fields)
+
+
+def count_keys(src: DataFrame, max_words: int, open_=None) -> DataFrame:
+    """(key, n): sums by the phrases' hashes over all rows of (lang, text)."""
+    return _count(src, "key long, n long", max_words, open_, None, None, keys=True).groupBy("key").agg(F.sum("n").alias("n"))
+
 
-    return src.select("lang", "text").mapInArrow(run, "lang string, size int, phrase string, n long") \
+def count_phrases(src: DataFrame, max_words: int, open_=None, before=None, possible=None) -> DataFrame:
+    """(lang, size, phrase, n) over all rows of (lang, text); open_, before,
+    possible: broadcasts of bitmaps, see ``count_slice``."""
+    return _count(src, "lang string, size int, phrase string, n long", max_words, open_, before, possible) \
         .groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
@@ -250,7 +262,7 @@ class Mined:
     #: (lang, size, phrase, n): every frequent phrase with its exact count, and
     #: the number of all words of a language under size 0
     frequent: DataFrame
-    #: passes over all rows, and the border failures found by each
+    #: rounds of counting, and the border failures found by each but the last
     passes: int
     failures: list[int]
 
@@ -266,20 +278,25 @@ def frequent_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, s
                       F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
                       F.xxhash64(docs[key_col or text_col]).alias("key"))
     lowered = max(2, int(0.8 * min_count / share))
+    send = spark.sparkContext.broadcast
     sample = src.where(F.pmod(F.col("key"), F.lit(share)) == 0)
-    proposed = cut_lineage(count_phrases(sample, max_words - 1).where((F.col("size") > 0) & (F.col("n") >= lowered)))
-    held = dict(proposed.groupBy("size").count().collect())
-    sizes = {k: _bits_for(held.get(k, 0)) for k in range(1, max_words)}
-    open_ = spark.sparkContext.broadcast(_marked(proposed, max_words, sizes, None))
+    proposed = cut_lineage(count_keys(sample, max_words - 1).where(F.col("n") >= lowered))
+    size = _bits_for(proposed.count())
+    open_ = send(_marked(proposed, size))
+    able = cut_lineage(count_keys(src, max_words, open_).where(F.col("n") >= min_count))
+    possible = send(_marked(able, _bits_for(4 * able.count())))
     enough = (F.col("size") == 0) | (F.col("n") >= min_count)
-    new = cut_lineage(count_phrases(src, max_words, open_).where(enough))
+    new = cut_lineage(count_phrases(src, max_words, open_, None, possible).where(enough))
     found, failures = new, []
-    while (marks := _marked(new, max_words, sizes, open_)) is not None:
-        failures.append(sum(int(np.unpackbits(m ^ o).sum()) for m, o in zip(marks, open_.value)))
-        before, open_ = open_, spark.sparkContext.broadcast(marks)
+    while True:
+        missed = cut_lineage(_failures(new, max_words, open_))
+        n = missed.count()
+        if not n:
+            return Mined(found, len(failures) + 1, failures)
+        failures.append(n)
+        before, open_ = open_, send(open_.value | _marked(missed, size))
         new = cut_lineage(count_phrases(src, max_words, open_, before).where(enough))
         found = found.unionByName(new)
-    return Mined(found, len(failures) + 1, failures)
 
 
 # scores -----------------------------------------------------------------------------
