@@ -1,4 +1,4 @@
-"""Streaming queries (R1-R7): each drains a file-source stream over the
+"""Streaming queries (R1-R8): each drains a file-source stream over the
 driver's events table to completion (availableNow) and returns the sink
 table as a DataFrame."""
 
@@ -10,7 +10,8 @@ from hourcast.operators import features as fx
 from hourcast.plans import sqlgen as sg
 from hourcast.plans.q_features import _full_b_sql
 from hourcast.plans.q_metrics import _LOG_SQL
-from hourcast.streaming import jobs
+from hourcast.sources import views
+from hourcast.streaming import jobs, trailing
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -75,3 +76,24 @@ def stream_accuracy(spark, sf):
         return h.select("city", F.date_format("target_date", "yyyy-MM-dd").alias("target_date"),
                         "model_used", "predicted", "actual")
     return jobs.with_scratch(spark, go)
+
+
+_T = trailing.Trailing()
+_W = "PARTITION BY city ORDER BY timestamp"
+_TRAIL = [f"LAG(pm2_5, {k}) OVER ({_W}) AS pm2_5_lag_{k}h" for k in _T.lags] + [
+    f"CASE WHEN COUNT(pm2_5) OVER ({_W} ROWS {w - 1} PRECEDING) >= {w} THEN ROUND({f}(pm2_5) OVER ({_W} ROWS {w - 1} PRECEDING), 6) END "
+    f"AS pm2_5_rolling_{s}_{w}h" for w in _T.windows for s, f in (("mean", "AVG"), ("min", "MIN"), ("max", "MAX"))]
+
+
+@q("stream_trailing", f"""WITH {sg.obs_cte()}, f AS (SELECT city, timestamp, pm2_5, {', '.join(_TRAIL)} FROM obs)
+SELECT * FROM f WHERE timestamp <= (SELECT MAX(timestamp) FROM obs) - INTERVAL 6 HOUR""")
+def stream_trailing(spark, sf):
+    """Features from per-city state, for every hour that the watermark has passed."""
+    def go(d):
+        hours = views.obs(spark, sf).select("city", "timestamp", "pm2_5")
+        hours.write.parquet(f"{d}/hours")
+        stream = spark.readStream.schema(hours.schema).parquet(f"{d}/hours")
+        jobs.run_to_table(trailing.trailing_features(stream, "pm2_5", _T, "6 hours"), f"{d}/out")
+        out = spark.read.parquet(f"{d}/out").drop("buffered")
+        return out.select(*[F.round(c, 6).alias(c) if "rolling" in c else F.col(c) for c in out.columns])
+    return jobs.with_scratch(spark, go)

@@ -52,36 +52,50 @@ def event_k(props: Column | None = None) -> Column:
     return F.get_json_object(F.col("props") if props is None else props, "$.k").cast("int")
 
 
-def hourly_from_events(ev: DataFrame) -> DataFrame:
-    """Hourly observation frame from an events-shaped frame (see module doc)."""
-    ts_h = hour_bucket(F.col("ts"))
+PARTIAL_KEYS = ("city", "timestamp")
+
+
+def hourly_partials(ev: DataFrame) -> DataFrame:
+    """Per (city, hour) the mergeable aggregates of an events-shaped frame:
+    counts, sums of whole numbers, extremes. Those of two frames merge into
+    those of their union (``merge_partials``)."""
     k = event_k()
-    g = (ev.select(F.col("event_type").alias("city"), ts_h.alias("timestamp"),
-                   cents(F.col("value")).alias("_c"), F.col("value"), k.alias("_k"))
-         .groupBy("city", "timestamp")
-         .agg(F.count(F.lit(1)).alias("n"),
-              F.sum("_c").alias("_sc"),
-              F.max("value").alias("pm10"),
-              F.min("value").alias("temp"),
-              F.sum("_k").alias("_sk"),
-              F.max("_k").alias("_mk"),
-              F.min("_k").alias("_nk")))
+    return ev.select(F.col("event_type").alias("city"), hour_bucket(F.col("ts")).alias("timestamp"),
+                     cents(F.col("value")).alias("_c"), F.col("value"), k.alias("_k")) \
+        .groupBy(*PARTIAL_KEYS).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("_c").alias("sum_c"), F.max("value").alias("max_v"), F.min("value").alias("min_v"),
+            F.sum("_k").alias("sum_k"), F.max("_k").alias("max_k"), F.min("_k").alias("min_k"))
+
+
+def merge_partials(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*PARTIAL_KEYS).agg(
+        *[F.sum(c).alias(c) for c in ("n", "sum_c")], F.max("max_v").alias("max_v"), F.min("min_v").alias("min_v"),
+        F.sum("sum_k").alias("sum_k"), F.max("max_k").alias("max_k"), F.min("min_k").alias("min_k"))
+
+
+def hourly_from_partials(g: DataFrame) -> DataFrame:
+    """Hourly observation frame from one row of aggregates per (city, hour)."""
     return g.select(
         "city", "timestamp",
         epoch_seconds(F.col("timestamp")).alias("unix_time"),
         "n",
-        (F.expr("_sc div n").cast("double") / F.lit(100.0)).alias("pm2_5"),
-        "pm10", "temp",
-        F.expr("_sk div n").cast("double").alias("humidity"),
+        (F.expr("sum_c div n").cast("double") / F.lit(100.0)).alias("pm2_5"),
+        F.col("max_v").alias("pm10"), F.col("min_v").alias("temp"),
+        F.expr("sum_k div n").cast("double").alias("humidity"),
         F.col("n").cast("double").alias("wind_speed"),
-        (F.col("_mk").cast("double") * F.lit(3.6)).alias("wind_deg"),
-        (F.lit(1000.0) + F.col("_nk").cast("double")).alias("pressure"),
-        F.col("_mk").cast("double").alias("clouds"),
-        (F.lit(100.0) * (F.lit(100) - F.col("_mk")).cast("double")).alias("visibility"),
-        F.ceil(F.col("pm10")).cast("long").alias("aqi"),
+        (F.col("max_k").cast("double") * F.lit(3.6)).alias("wind_deg"),
+        (F.lit(1000.0) + F.col("min_k").cast("double")).alias("pressure"),
+        F.col("max_k").cast("double").alias("clouds"),
+        (F.lit(100.0) * (F.lit(100) - F.col("max_k")).cast("double")).alias("visibility"),
+        F.ceil(F.col("max_v")).cast("long").alias("aqi"),
     )
 
 
+def hourly_from_events(ev: DataFrame) -> DataFrame:
+    """Hourly observation frame from an events-shaped frame (see module doc)."""
+    return hourly_from_partials(hourly_partials(ev))
+
+
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly_from_events(table(spark, sf_dir, "events"))
 

@@ -1,16 +1,24 @@
-"""Structured Streaming jobs.
+"""Structured Streaming jobs.
 
 * R5 ``hourly_window_stream``: event-time hourly aggregates per city with a
   watermark (append mode: a window is emitted once the watermark passes it,
   later arrivals for it are dropped by Spark).
 * R1/R3/R4/R7 ``FeatureStreamJob``: file-source micro-batches handled by
-  ``foreachBatch``: land the raw batch (append), re-aggregate only the
-  (city, hour) cells the batch touched from the landed table (so hours split
-  across batches and late events are folded in correctly), union each city's
-  trailing history from the feature store (row-based lags need >= 72 rows;
-  window functions are not allowed on streams), compute features, keep the
-  touched rows and upsert them (last write wins -> replays are idempotent),
-  and append hazard alerts.
+  ``foreachBatch``. A batch is reduced to mergeable aggregates per (city,
+  hour), kept under its batch id; the hours it touched are the merged
+  aggregates of all batches, so hours split across batches and late events are
+  folded in and a replay, which overwrites its own aggregates, changes
+  nothing. No raw event is read twice: what a batch reads grows with the hours
+  it touches, not with the events of the day. Each city's trailing history
+  comes from the feature store (row-based lags need >= 72 rows; window
+  functions are not allowed on streams), features are computed, and the
+  touched rows upserted (last write wins). Alerts are one row per city and
+  day, from the stored hours of that day.
+* R8 ``trailing_features`` (:mod:`hourcast.streaming.trailing`): the same lags
+  and rolling statistics from per-city state instead of the store.
+
+Events of one batch that share an id count once; the file source delivers a
+file once, so ids are not compared across batches.
 
 Progress is owned by the stream checkpoint (exactly-once file source +
 idempotent sink), which replaces the reference's per-city JSON checkpoint
@@ -27,7 +35,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourcast.functions.scalars import alert_level
-from hourcast.functions.time import hour_bucket
 from hourcast.operators import features as fx
 from hourcast.operators import metrics as mx
 from hourcast.session import checkpoint_dir, cut_lineage
@@ -67,7 +74,7 @@ def run_to_table(df: DataFrame, out: str, mode: str = "append", ckpt: str | None
 
 
 class FeatureStreamJob:
-    """Landed events -> hourly observations -> preset-B features ->
+    """Events -> mergeable aggregates -> hourly observations -> preset-B features ->
     feature store (upsert) + alerts, one micro-batch at a time."""
 
     def __init__(self, spark: SparkSession, root: str, preset: fx.PresetB | None = None,
@@ -81,21 +88,23 @@ class FeatureStreamJob:
         self.history_hours = history_hours
         self.alert_col = alert_col
         self.store = FeatureStore(spark, f"{self.root}/store")
-        self.landed = f"{self.root}/landed"
-        self.alerts = f"{self.root}/alerts"
+        self.partials = f"{self.root}/partials"
+        self.alert_store = FeatureStore(spark, self.root, keys=("city", "day"), ts="day")
+        self.alerts = self.alert_store.path("alerts")
 
     def process(self, batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        raw = batch.withColumn("date", F.to_date("ts"))
-        # land: a replayed epoch overwrites what it wrote before
-        raw.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("date", "epoch").parquet(self.landed)
-        touched = raw.select(F.col("event_type").alias("city"), hour_bucket(F.col("ts")).alias("timestamp")) \
-            .distinct()
-        dates = [r[0] for r in raw.select("date").distinct().collect()]              # few per batch
-        landed = spark.read.parquet(self.landed).where(F.col("date").isin(dates)).drop("date", "epoch") \
-            .dropDuplicates(["event_id"])
-        hours = views.hourly_from_events(landed).join(touched, ["city", "timestamp"], "left_semi")
+        part = views.hourly_partials(batch.dropDuplicates(["event_id"]))
+        # a replayed batch overwrites what it wrote before; the aggregates of
+        # other batches for the same hours are other partitions
+        part.withColumn("date", F.to_date("timestamp")).withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy("date", "epoch").parquet(self.partials)
+        kept = spark.read.parquet(self.partials)
+        mine = kept.where(F.col("epoch") == epoch_id)
+        dates = [r[0] for r in mine.select("date").distinct().collect()]              # few per batch
+        touched = mine.select("city", "timestamp").distinct()
+        cells = kept.where(F.col("date").isin(dates)).drop("date", "epoch").join(touched, ["city", "timestamp"], "left_semi")
+        hours = views.hourly_from_partials(views.merge_partials(cells))
         if hours.isEmpty():
             return
         frame = self.refresh_frame(hours, touched)
@@ -107,14 +116,19 @@ class FeatureStreamJob:
         hours = cut_lineage(hours)
         self.store.upsert(hours, "obs")                                               # R3 idempotent
         self.store.upsert(new, "features")
-        a = new.join(touched, ["city", "timestamp"], "left_semi") \
-            .groupBy("city", F.to_date("timestamp").alias("day")).agg(F.max(self.alert_col).alias("max_value")) \
-            .withColumn("level", alert_level("max_value")).where(F.col("level") != "OK")
-        a.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("epoch").parquet(self.alerts)                                # R7
+        self.update_alerts(touched, dates)                                            # R7
         if self.monitor_models:
             self.track_accuracy(dates)                                                # R6
 
+    def update_alerts(self, touched: DataFrame, dates) -> None:
+        """One row per city and day above the normal level, from all stored
+        hours of the touched days; a later batch of the day replaces it."""
+        days = touched.select("city", F.to_date("timestamp").alias("day")).distinct()
+        top = self.spark.read.parquet(self.store.path("obs")).where(F.col("date").isin(dates)) \
+            .groupBy("city", F.col("date").alias("day")).agg(F.max(self.alert_col).alias("max_value")) \
+            .join(days, ["city", "day"], "left_semi").withColumn("level", alert_level("max_value"))
+        self.alert_store.upsert(cut_lineage(top.where(F.col("level") != "OK")), "alerts")
+
     def bounds(self) -> tuple[int, int]:
         """Rows a feature looks back (lags, rolling, changes) and ahead (targets)."""
         p = self.preset

@@ -64,6 +64,30 @@ def test_replayed_batch_changes_nothing(spark, tmpdir_path):
     state = []
     for _ in range(2):
         job.process(ev, 0)
-        state.append((spark.read.parquet(job.landed).count(), spark.read.parquet(job.alerts).count(),
+        state.append((spark.read.parquet(job.partials).count(), spark.read.parquet(job.alerts).count(),
                       _rows(job.store.read("obs").select("city", "timestamp", "n"))))
     assert state[0] == state[1]
+
+
+def test_alerts_are_one_row_a_day_over_all_batches(spark, tmpdir_path):
+    """A day that arrives in several batches has one alert, of the day's maximum."""
+    job, obs = _run(spark, tmpdir_path)
+    cut = obs.groupBy("city", F.to_date("timestamp").alias("day")).agg(F.max("pm10").alias("m")).where("m > 150")
+    want = sorted((r.city, r.day, r.m, "ALERT" if r.m > 200 else "WARNING") for r in cut.collect())
+    got = job.alert_store.read("alerts").select("city", "day", "max_value", "level")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_batches_of_one_hour_merge_without_reading_events_again(spark, tmpdir_path):
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    job = jobs.FeatureStreamJob(spark, os.path.join(tmpdir_path, "job"))
+    size = []
+    for i in range(3):
+        job.process(ev.where(F.col("event_id") % 3 == i), i)
+        size.append(spark.read.parquet(job.partials).count())
+    assert _rows(job.store.read("obs")) == _rows(views.hourly_from_events(ev).select(*job.store.read("obs").columns))
+    hours = views.hourly_from_events(ev).count()
+    assert size[-1] <= 3 * hours  # rows of hours, whatever the events in them
+    before = _rows(job.store.read("features"))
+    job.process(ev.where(F.col("event_id") % 3 == 1), 1)  # a replay
+    assert _rows(job.store.read("features")) == before and spark.read.parquet(job.partials).count() == size[-1]
