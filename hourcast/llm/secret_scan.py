@@ -18,7 +18,6 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +53,9 @@ MAGIC = (b"\x1f\x8b\x08", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd
 WINDOW = 4_000_000
 OVERLAP = 65_536
 
+#: the shortest secret, in bytes
+LEAST = 12
+
 #: RE2 forms for whole columns: a text that matches none has no finding
 ROUGH = (r"(?i)passw|secret|token|api_?key|AKIA|%[0-9a-f]{2}|\\[ux]|&#[0-9x]|[A-Za-z0-9+/_-]{16}")
 
@@ -165,11 +167,11 @@ def _decompressor(raw: bytes):
     return None
 
 
-def _unpack(raw: bytes):
-    """Windows of a compressed payload's content; none if it is not one.
-    Streams that follow one another (gzip members and the like) are one
-    content."""
-    tail, data, d = b"", raw, _decompressor(raw)
+def _unpack(raw: bytes, d=None):
+    """Windows of a compressed payload's content, one at a time; none if it
+    is not one. Streams that follow one another (gzip members and the like)
+    are one content."""
+    tail, data, d = b"", raw, d or _decompressor(raw)
     while d is not None:
         try:
             if hasattr(d, "decompress"):
@@ -193,6 +195,22 @@ def _unpack(raw: bytes):
             return
 
 
+def _deflated(raw: bytes) -> bool:
+    """Whether the bytes are a whole deflate stream without a header."""
+    if raw[0] & 6 == 6:
+        return False
+    d, data, n = zlib.decompressobj(-15), raw, 0
+    try:
+        while not d.eof:
+            got = d.decompress(data, WINDOW)
+            data, n = d.unconsumed_tail, n + len(got)
+            if not got and not data:
+                return False  # it breaks off
+    except zlib.error:
+        return False
+    return not d.unused_data and n >= LEAST
+
+
 def _texts(raw: bytes):
     """What a payload says: unpacked windows, or the bytes themselves."""
     found = False
@@ -200,6 +218,9 @@ def _texts(raw: bytes):
         for w in _unpack(raw):
             found = True
             yield from _read(w)
+    elif not _plain(raw) and _deflated(raw):
+        for w in _unpack(raw, zlib.decompressobj(-15)):
+            yield from _read(w)
     if not found:
         yield from _read(raw)
 
@@ -250,7 +271,15 @@ def _unwrapped(layer: Layer):
         runs |= {r for m in WRAPPED.finditer(t) for r in _blocks(t, m.start(), m.end())}
     read = -1  # a run inside one that could be read is not another
     for s, e in sorted(runs, key=lambda r: (r[0], -r[1])):
-        raw = _base64(_BREAK.sub("", t[s:e])) if e > read else None
+        body = _BREAK.sub("", t[s:e]) if e > read else ""
+        raw = _base64(body) if body else None
+        if raw and not (_plain(raw) or raw.startswith(MAGIC)):
+            # characters in front that belong to something else
+            for skip in (1, 2, 3):
+                late = _base64(body[skip:])
+                if late and len(late) >= LEAST and (_plain(late) or late.startswith(MAGIC)):
+                    for text in _texts(late):
+                        yield Layer(text, depth=layer.depth + 1, whole=layer.span(s, e))
         if raw:
             # lines that only look like a block may still be runs of their own
             if "\n" not in t[s:e] and (_plain(raw) or raw.startswith(MAGIC)):
@@ -286,21 +315,30 @@ def _blocks(t: str, start: int, end: int):
 
 def scan(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, kind, depth) of all findings, by start and kind; depth 0
-    are the plain ones, and a span found at several depths has the least."""
+    are the plain ones, and a span found at several depths has the least.
+
+    The worklist is a stack of the layers' children, which are made one at a
+    time: it holds one window of each payload that is open, however much the
+    payloads unpack to.
+    """
     found: dict[tuple[int, int, int], int] = {}
-    work, seen = deque([Layer(text)]), set()
+    work, seen = [iter((Layer(text),))], {}
     while work:
-        layer = work.popleft()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         mark = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.whole,
                 None if layer.lo is None else (int(layer.lo[0]), int(layer.hi[-1])) if len(layer.lo) else ())
-        if mark in seen:
+        if seen.get(mark, layer.depth + 1) <= layer.depth:
             continue
-        seen.add(mark)
+        seen[mark] = layer.depth
         for s, e, k in base_spans(layer.text):
             # what holds no decoded character was found in the layer above
             if layer.fresh is None or layer.fresh[s:e].any():
-                found.setdefault((*layer.span(s, e), k), layer.depth)
-        work.extend(_unwrapped(layer))
+                span = (*layer.span(s, e), k)
+                found[span] = min(found.get(span, layer.depth), layer.depth)
+        work.append(_unwrapped(layer))
     return sorted(((s, e, k, d) for (s, e, k), d in found.items()), key=lambda x: (x[0], x[2], x[1]))
 
 
