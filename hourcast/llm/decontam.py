@@ -8,9 +8,9 @@ differs in at most RADIUS // BLOCKS bits, so looking up every block's small
 Hamming ball finds all fingerprints within the radius. Candidates are then
 verified by exact weighted Jaccard similarity of the shingles.
 
-A window that holds too few of an item's shingles to reach the similarity at
-all is not fingerprinted: with s = MIN_SIM it needs at least s times the
-item's shingles. That bound is exact and leaves out nothing.
+Every window that holds a shingle of any item of its length is fingerprinted;
+one without has similarity zero to all of them. Which item a window may be is
+for the blocks to say.
 
 The benchmark is the query set: it is dealt into blocks of bounded size, and
 each block is run against all documents in one pass without a shuffle.
@@ -18,12 +18,14 @@ each block is run against all documents in one pass without a shuffle.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from hourcast.llm import common
+from hourcast.llm import common, wordcache
 
 U64 = np.uint64
 K = 5
@@ -164,36 +166,26 @@ def search(col, ix: ItemIndex, num: int, den: int):
         slot = np.arange(end[-1]) + np.repeat(ix.first[at] - (end - n), n)
         item, pos = ix.item[slot], np.repeat(near, n)
         fits = np.minimum(ix.words[item], K) == k
-        item, pos, slot = item[fits], pos[fits], slot[fits]
-        order = np.lexsort((pos, item, row[pos]))
-        item, pos, slot = item[order], pos[order], slot[order]
-        key = row[pos] * len(ix.words) + item
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
-        todo: dict[int, list] = {}
-        for a, b in zip(cut, np.append(cut[1:], len(key))):
-            i, r = int(item[a]), int(row[pos[a]])
-            need = -(-num * int(ix.m[i]) // den)
-            if ix.times[slot[a:b]].sum() < need:  # occurrences in the item bound the minima
-                continue
-            lo, hi = int(w.bounds[r]), int(w.bounds[r + 1])
-            size = min(int(ix.words[i]), hi - lo)
-            p = first[pos[a:b]]  # words at which the item's shingles begin
-            span = size - k + 1  # shingles per window
-            s = np.arange(max(lo, int(p[0]) - span + 1), min(int(p[-1]), hi - size) + 1)
-            held = np.searchsorted(p, s + span) - np.searchsorted(p, s)
-            s = s[held >= need]
-            if len(s):
-                todo.setdefault(int(ix.words[i]), []).append((r, s, size, span))
+        item, pos = item[fits], pos[fits]
         base = np.zeros(len(w.n) + 1, np.int64)
         np.cumsum(np.bincount(row, minlength=len(w.n)), out=base[1:])
-        for words, many in todo.items():
-            # the same window may be due for several items of its length
-            rows = np.concatenate([np.full(len(s), r) for r, s, _, _ in many])
-            start = np.concatenate([s for _, s, _, _ in many])
-            size = np.concatenate([np.full(len(s), z) for _, s, z, _ in many])
-            span = np.concatenate([np.full(len(s), z) for _, s, _, z in many])
-            _, once = np.unique(start, return_index=True)
-            rows, start, size, span = rows[once], start[once], size[once], span[once]
+        length = ix.words[item]
+        for words in np.unique(length).tolist():
+            # windows of this length around the hits of its items, each once
+            hit = np.unique(pos[length == words])
+            r = row[hit]
+            lo, hi = w.bounds[r], w.bounds[r + 1]
+            size = np.minimum(words, hi - lo)
+            span = size - k + 1  # shingles per window
+            p = first[hit]
+            a, b = np.maximum(lo, p - span + 1), np.minimum(p, hi - size) + 1
+            mark = np.zeros(len(w.start) + 1, np.int64)
+            np.add.at(mark, a, 1)
+            np.add.at(mark, b, -1)
+            start = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+            rows = w.row[start]
+            size = np.minimum(words, w.n[rows])
+            span = size - k + 1
             shingle = base[rows] + start - w.bounds[rows]
             for lo in range(0, len(start), WINDOWS):
                 c = slice(lo, lo + WINDOWS)
@@ -239,17 +231,21 @@ def _blocks(benchmark: DataFrame, item_col: str) -> list:
     out = []
     for part in range(passes):
         block = items.where(F.pmod(F.xxhash64("text", "item"), F.lit(passes)) == part).orderBy("item", "text").toArrow()
-        out.append(benchmark.sparkSession.sparkContext.broadcast((block.column("item"), block.column("text").to_pylist())))
+        out.append(benchmark.sparkSession.sparkContext.broadcast((block.column("item"), block.column("text").to_pylist(), uuid.uuid4().hex)))
     return out
 
 
+def index_of(shared) -> ItemIndex:
+    """The index of a broadcast block of items, made once per worker."""
+    _, texts, mark = shared.value
+    return wordcache.live(("items", mark), lambda: ItemIndex(texts))
+
+
 def _run(shared, num, den):
     def run(batches):
         from hourcast.llm import common as c, decontam as d
-        ids, texts = shared.value
-        if not any(texts):
-            return
-        ix = d.ItemIndex(texts)
+        ids = shared.value[0]
+        ix = d.index_of(shared)
         if not ix.sizes:
             return
         for b in c.slices(batches, "text"):
@@ -278,10 +274,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, num: int = MIN_SIM[0],
 def _clean(shared, num, den, text_col, place):
     def run(batches):
         from hourcast.llm import common as c, decontam as d
-        _, texts = shared.value
-        ix = d.ItemIndex(texts) if any(texts) else None
+        ix = d.index_of(shared)
         for b in c.slices(batches, text_col):
-            if ix and ix.sizes:
+            if ix.sizes:
                 bad = {r for r, *_ in d.search(pc.fill_null(b.column(place), ""), ix, num, den)}
                 if bad:
                     b = b.filter(pa.array([i not in bad for i in range(b.num_rows)]))
