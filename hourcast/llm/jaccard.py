@@ -46,8 +46,10 @@ CELL_BITS = 25
 CELL_BLOCK = 1 << 16
 #: bits of the filter that picks family members on the second read
 FILTER_BITS = 1 << 24
-#: set elements per block of a family
+#: set elements and members per block of a family
 BLOCK_TOKENS = 2_000_000
+BLOCK_MEMBERS = 4_000
+SALTS = 8
 
 
 def cell_of(h: np.ndarray) -> np.ndarray:
@@ -250,7 +252,7 @@ def _verify(num, den, count):
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
-                       text_col: str = "text", count_links: bool = True) -> DataFrame:
+                       text_col: str = "text", count_links: bool = True, keepers: bool = False) -> DataFrame:
     """(id, n_shingles, component_id, n_links) per row; component_id is the
     smallest id reachable over links num/den <= J, n_links the number of other
     rows that the row itself links with. Without ``count_links`` the column
@@ -259,10 +261,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     Null, empty or wordless text: size 0, linked with nothing. Repeated rows
     are documents of their own (equal sets link). Null ids take part; a
     component's smallest id ignores them. Other columns are not read.
+
+    ``keepers`` gives (id, text_key, kept) instead: the hash of the row's text,
+    and whether the row, or one that equals it in id and text, is the first of
+    its component (by id, null ids last, then by text_key).
     """
     spark = docs.sparkSession
     common.ship(spark)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    src = src.withColumn("text_key", F.xxhash64("text"))
     kind = src.schema["id"].dataType.simpleString()
     table = spark.sparkContext.broadcast(frequency_classes(src.select("text"), k))
 
@@ -274,11 +281,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
             p = j.prefix_length(n, num, den)
             at = np.arange(p.sum()) + np.repeat(off[:-1] - (np.cumsum(p) - p), p)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2),
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2),
                  c.list_array(tok[at].view(np.int64), np.concatenate([[0], np.cumsum(p)]), pa.int64())],
-                names=["id", "n", "f1", "f2", "prefix"])
+                names=["id", "text_key", "n", "f1", "f2", "prefix"])
 
-    base = cut_lineage(src.mapInArrow(sets, f"id {kind}, n long, f1 long, f2 long, prefix array<long>")) \
+    base = cut_lineage(src.mapInArrow(sets, f"id {kind}, text_key long, n long, f1 long, f2 long, prefix array<long>")) \
         .withColumn("rid", F.monotonically_increasing_id())  # fixed: the rows are on disk
     classes = base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("rid"), F.min_by("id", "rid").alias("id"), F.count("*").alias("size"))
     rows = base.join(classes.select("rid"), "rid").select(F.explode("prefix").alias("tok"), "n", "rid")
@@ -313,7 +320,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
                 names=["id", "n", "f1", "f2", "tokens"])
 
     whole = src.select("id", "text", (bit - 1).alias("p")).mapInArrow(again, f"id {kind}, n long, f1 long, f2 long, tokens array<long>")
-    cut = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)).alias("blocks"))
+    cut = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS)),
+                                                   F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS))).alias("blocks"))
     sized = members.join(cut, "family").withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("blocks")))
     full = whole.alias("w").join(sized.alias("s"), F.expr("w.id <=> s.id and w.n = s.n and w.f1 = s.f1 and w.f2 = s.f2")) \
         .select("family", "blocks", "blk", "rid", "tokens", "size")
@@ -324,7 +332,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     found = cut_lineage(found) if count_links else found
     links = components(found.where("b is not null").select("a", "b"))
 
-    keyed = base.select("id", "n", "f1", "f2", "rid") \
+    keyed = base.select("id", "text_key", "n", "f1", "f2", "rid") \
         .join(classes.select("n", "f1", "f2", F.col("rid").alias("rep"), "size"), ["n", "f1", "f2"], "left") \
         .join(links.withColumnRenamed("node", "rep"), "rep", "left")
     extra = []
@@ -332,21 +340,36 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         rows = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
         keyed = keyed.join(rows, "rep", "left")
         extra = [(F.coalesce(F.col("size") - 1, F.lit(0)) + F.coalesce("linked", F.lit(0))).alias("n_links")]  # copies link too
-    keyed = keyed.select("id", "n", F.coalesce("component", "rep", "rid").alias("component"), *extra)
-    least = keyed.groupBy("component").agg(F.min("id").alias("component_id"))
-    return keyed.join(least, "component").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-                                                  *["n_links"] * count_links)
+    # components of one row are their own; the others' first row comes back
+    # salted, as a component may hold a large part of all rows
+    keyed = keyed.select("id", "text_key", "n", F.coalesce("component", "rep", "rid").alias("component"),
+                         F.pmod("rid", F.lit(SALTS)).alias("salt"), *extra)
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("first")
+    least = keyed.groupBy("component").agg(first, F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = keyed.join(least, ["component", "salt"], "left")
+    if keepers:
+        alone = F.col("first").isNull()
+        same = F.col("id").eqNullSafe(F.col("first.id")) & F.col("text_key").eqNullSafe(F.col("first.text_key"))
+        return keyed.select(F.col("id").alias(id_col), "text_key", (alone | same).alias("kept"))
+    return keyed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                        F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
+                        *["n_links"] * count_links)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their near copies: of each component the row
-    with the smallest id stays. Rows that repeat an id with the same text
-    fold into one; documents without words and rows with a null id stay."""
-    found = cut_lineage(jaccard_components(docs, k, num, den, id_col, text_col, count_links=False))
-    drop = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(drop, id_col, "left_anti").select(docs.columns)
-    again = found.groupBy(id_col).count().where(f"count > 1 and {id_col} is not null").select(id_col)
+    with the smallest id stays (null ids last; rows that share it: the one
+    whose text has the smaller hash). A row is known by id and text, so another
+    text under the id of a copy stays. Rows that repeat an id with the same
+    text fold into one; documents without words stay."""
+    found = cut_lineage(jaccard_components(docs, k, num, den, id_col, text_col, count_links=False, keepers=True))
+    row = [F.col(id_col).alias("_id"), F.col("text_key").alias("_key")]
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text_col).cast("string")))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    kept = keyed.join(found.where("not kept").select(*row).distinct(), same, "left_anti")
+    again = found.where("kept").groupBy(*row).count().where("count > 1").select("_id", "_key")
     if again.isEmpty():
-        return kept
-    return kept.join(again, id_col, "left_anti").select(docs.columns).union(
-        kept.join(again, id_col).select(docs.columns).dropDuplicates([id_col, text_col]))
+        return kept.select(docs.columns)
+    return kept.join(again, same, "left_anti").select(docs.columns).union(
+        kept.join(again, same, "left_semi").select(docs.columns).dropDuplicates([id_col, text_col]))
