@@ -44,7 +44,10 @@ AWKWARD = _WS + _WS + "|" + _WS + r"\z|<\|"
 
 
 def compress(ids: np.ndarray, doc_tokens: np.ndarray, vocab: int, min_count: int = MIN_COUNT) -> dict:
-    """Grammar of one shard; ids < vocab <= 65536."""
+    """Grammar of one shard; ids < vocab <= 65536, as symbols take 16 bits
+    (anything else raises)."""
+    if vocab > 1 << 16 or (len(ids) and int(ids.max()) >= vocab):
+        raise ValueError(f"ids up to {int(ids.max()) if len(ids) else 0} of {vocab} do not fit symbols of 16 bits")
     sym = ids.astype(np.uint32)
     last = np.zeros(len(sym), bool)  # a document's last symbol starts no pair
     ends = np.cumsum(doc_tokens)
