@@ -29,11 +29,9 @@ from hourcast.session import checkpoint_dir, cut_lineage
 #: rejected. "*" is for every other language and for measures that a language
 #: leaves out.
 #: entropy_ratio: token entropy over the most that so many tokens can reach,
-#: so that short texts are not punished; symbol_share: symbols per word
-#: character, a count that needs no vocabulary (``symbols=False`` leaves it
-#: out).
+#: so that short texts are not punished.
 BANDS = {
-    "*": {"chars_per_token": (1.2, 6.0), "fallback_share": (0.0, 0.2), "entropy_ratio": (0.4, 1.0), "symbol_share": (0.0, 0.03)},
+    "*": {"chars_per_token": (1.2, 6.0), "fallback_share": (0.0, 0.2), "entropy_ratio": (0.4, 1.0)},
     "en": {"chars_per_token": (1.4, 6.0), "fallback_share": (0.0, 0.1)},
     "fr": {"chars_per_token": (1.4, 6.0), "fallback_share": (0.0, 0.1)},
     "de": {"chars_per_token": (1.25, 6.0), "fallback_share": (0.0, 0.1)},
@@ -45,6 +43,8 @@ MAX_REPEAT_PERCENT = 20
 #: texts with fewer tokens are not judged by the bands: the measures of a few
 #: tokens say nothing
 MIN_TOKENS = 20
+#: rows of the table of centres up to which it is broadcast
+MAX_BROADCAST = 50_000
 #: the second vocabulary
 SECOND = "word_bpe_49k.json"
 #: measures with a fence: (name, its number of tokens, scaled, least spread).
@@ -162,16 +162,15 @@ def fertility(col: pa.Array, path: str, second: str, word_chars: np.ndarray) ->
             "entropy_ratio_2": _entropy(ids, n2, size2)[1]}
 
 
-def judge(lang: list, got: dict, bands: dict, min_tokens: int, fences: dict, symbols: bool) -> np.ndarray:
+def judge(lang: list, got: dict, bands: dict, min_tokens: int, fences: dict) -> np.ndarray:
     """True where every measure lies within the language's limits and fences."""
     ok = np.ones(len(lang), bool)
     keys = np.array([x if x in bands else "*" for x in lang], object)
     for k in set(keys.tolist()):
         rows = keys == k
         for name, (lo, hi) in {**bands["*"], **bands[k]}.items():
-            if name != "symbol_share" or symbols:
-                v = got[name][rows]
-                ok[rows] &= (v >= lo) & (v <= hi)
+            v = got[name][rows]
+            ok[rows] &= (v >= lo) & (v <= hi)
     for name, tokens, scaled, *_ in FENCED:
         n = np.maximum(got[tokens], 1)
         cell = np.zeros(len(lang), np.int64) if scaled else _cell(n)
@@ -207,8 +206,9 @@ def fences_of(measured: DataFrame) -> dict:
     key = ["name", "lang", "cell"]
     centres = long.groupBy(key).agg((F.percentile(step(F.col("v")), 0.5) / STEPS).alias("centre"), F.count("*").alias("n")) \
         .where(f"n >= {MIN_DOCS}").drop("n")
-    # centres: a row per measure, language and length class
-    spreads = long.join(F.broadcast(centres), key).groupBy(*key, "centre").agg(
+    # a row per measure, language and length class: few, but languages are free text
+    centres = cut_lineage(centres)
+    spreads = long.join(F.broadcast(centres) if centres.count() <= MAX_BROADCAST else centres, key).groupBy(*key, "centre").agg(
         (F.percentile(step(F.abs(F.col("v") - F.col("centre")) * F.col("w")), 0.5) / STEPS).alias("off"))
     least = {x[0]: x[3:] for x in FENCED}
     out = {}
@@ -252,7 +252,7 @@ def _measured(docs: DataFrame, names: list[str], path: str, second: str, text_co
     return src.mapInArrow(run, ", ".join([*kinds, "lang string", MEASURED]))
 
 
-def _judged(measured: DataFrame, bands: dict, symbols: bool) -> DataFrame:
+def _judged(measured: DataFrame, bands: dict) -> DataFrame:
     """The measured rows with the verdict."""
     fences = measured.sparkSession.sparkContext.broadcast(fences_of(measured))
 
@@ -260,36 +260,34 @@ def _judged(measured: DataFrame, bands: dict, symbols: bool) -> DataFrame:
         from hourcast.llm import fertility as f
         for b in batches:
             got = {n: b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in (x.split()[0] for x in f.MEASURED.split(", "))}
-            got["symbol_share"] = got["n_symbols"] / np.maximum(got["word_chars"], 1)
             lang = b.column(b.schema.get_field_index("lang")).to_pylist()
-            kept = ~got["base_failed"].astype(bool) & f.judge(lang, got, bands, f.MIN_TOKENS, fences.value, symbols)
+            kept = ~got["base_failed"].astype(bool) & f.judge(lang, got, bands, f.MIN_TOKENS, fences.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kept, pa.bool_())], names=[*b.schema.names, "kept"])
 
     return measured.mapInArrow(run, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in measured.schema) + ", kept boolean")
 
 
 def rate(docs: DataFrame, path: str, bands: dict | None = None, id_col: str = "doc_id", text_col: str = "text",
-         lang_col: str = "lang", keep: list[str] | None = None, second: str | None = None, symbols: bool = True) -> DataFrame:
+         lang_col: str = "lang", keep: list[str] | None = None, second: str | None = None) -> DataFrame:
     """One row per document: base counts, measures and the verdict.
 
     Null text counts as empty: no words, base_failed. Null language, and one
     with too few texts: the fences of all languages. Repeated rows are rated
     each. ``keep`` names input columns to carry along under the same names as
-    prefix columns; ``second`` is the second vocabulary's file; without
-    ``symbols`` the measures of the vocabularies alone decide.
+    prefix columns; ``second`` is the second vocabulary's file.
     """
     names = keep or [id_col]
     measured = cut_lineage(_measured(docs, names, path, second or wordcache.tokenizer_path(SECOND), text_col, lang_col))
-    out = _judged(measured, bands or BANDS, symbols)
+    out = _judged(measured, bands or BANDS)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], *[x.split()[0] for x in COLUMNS.split(", ")])
 
 
 def keep_good(docs: DataFrame, path: str, bands: dict | None = None, text_col: str = "text", lang_col: str = "lang",
-              second: str | None = None, symbols: bool = True) -> DataFrame:
+              second: str | None = None) -> DataFrame:
     """The rows, all columns unchanged, that ``rate`` would keep. The rows
     are written once with their measures (compressed) and read again."""
     spark, names = docs.sparkSession, docs.columns
     where = f"{checkpoint_dir(spark)}/measured-{uuid.uuid4().hex}"
     _measured(docs, names, path, second or wordcache.tokenizer_path(SECOND), text_col, lang_col).write.parquet(where)
-    out = _judged(spark.read.parquet(where), bands or BANDS, symbols).where("kept")
+    out = _judged(spark.read.parquet(where), bands or BANDS).where("kept")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])
