@@ -84,6 +84,54 @@ def test_secret_layers():
     assert secret_scan.scan(b64(b64(b64(b"nothing to see in here").encode()).encode())) == []
 
 
+def test_secret_runs_with_something_in_front():
+    s = b'token = "abcdef123456" and more'
+    for skip in range(4):
+        enc = "x" * skip + base64.b64encode(s).decode()
+        assert secret_scan.scan("- " + enc + " -") == [(2, 2 + len(enc), 0, 1)]
+
+
+def test_secret_deflate_without_header():
+    c = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = c.compress(b"some words, then token = abcdef123456 and words " * 20) + c.flush()
+    enc = base64.b64encode(raw).decode()
+    assert secret_scan.scan(enc) == [(0, len(enc), 0, 1)]
+    cut = base64.b64encode(raw[:-4]).decode()
+    assert secret_scan.scan(cut) == []  # it does not end: no deflate stream
+
+
+def test_secret_depth_is_the_least():
+    inner = base64.b64encode(b"token=abcdefgh and").decode()
+    text = base64.b64encode((inner + " " + inner).encode()).decode()
+    assert [d for *_, d in secret_scan.scan(text)] == [2]
+    assert [d for *_, d in secret_scan.scan(inner + " " + text)] == [1, 2]
+
+
+def test_secret_memory_is_a_window(tmp_path):
+    """500 MB in one payload: windows are made and dropped one at a time."""
+    code = """
+import base64, gzip, resource, sys
+from hourcast.llm import secret_scan as x
+block, parts = b" " * 10_000_000, []
+import zlib
+c = zlib.compressobj(1, zlib.DEFLATED, 31)
+for _ in range(50):
+    parts.append(c.compress(block))
+text = base64.b64encode(b"".join(parts) + c.compress(b" token=abcdefgh") + c.flush()).decode()
+assert len(text) > 1_000_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert x.scan(text) == [(0, len(text), 0, 1)]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": root}, timeout=600)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 100
+
+
 def test_secret_layers_on_weak_signs():
     s = b'token = "abcdef123456"'
     b64 = lambda raw: base64.b64encode(raw).decode()
@@ -206,7 +254,25 @@ def test_jaccard_empty_and_one_of_each(spark, none, edges):
     kept = jaccard.one_of_each(edges)
     assert kept.columns == edges.columns
     ids = Counter(r.doc_id for r in kept.collect())
-    assert ids == Counter([1, 2, 3, 4, 6, None, 8, 9])  # 5 = 4, 7 ~ 6, the repeated row once
+    assert ids == Counter([1, 2, 3, 4, 6, 8, 9])  # 5 = 4 = the row without an id, 7 ~ 6, the repeated row once
+
+
+def test_one_of_each_knows_rows_by_id_and_text(spark):
+    """Another text under the id of a near copy is not lost."""
+    x, y, z = ("".join(f"{c}{i} " for i in range(60)) for c in "xyz")
+    rows = [(1, x), (4, x + "end"), (4, y), (None, y + "end"), (None, z), (None, z), (6, None), (6, None), (6, ""), (7, y)]
+    frame = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, component string")
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(frame).collect()), key=repr)
+    assert kept == sorted([(1, x), (4, y), (None, z), (6, None), (6, "")], key=repr)
+
+
+def test_components_of_a_large_group(spark):
+    """A group that holds most rows has one component and right link counts."""
+    frame = spark.createDataFrame([(i, f"same words all over again number {i % 3}" if i % 4 else f"alone {i} " * 9) for i in range(400)], "doc_id long, text string")
+    got = {r.doc_id: r for r in jaccard.jaccard_components(frame, 3, 50, 100).collect()}
+    big = [i for i in range(400) if i % 4]
+    assert {got[i].component_id for i in big} == {1} and {got[i].n_links for i in big} == {len(big) - 1}
+    assert all(got[i].component_id == i and got[i].n_links == 0 for i in range(0, 400, 4))
 
 
 def test_components(spark):
@@ -259,6 +325,51 @@ def test_leaks_brute(spark, docs, edges):
     assert decontam.leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_leaks_come_from_the_fingerprints(spark, monkeypatch):
+    """Recall of the index: windows at and just above the similarity, against
+    brute force over every window; and nothing is found without the blocks."""
+    r = np.random.default_rng(8)
+    item = [f"w{i}" for i in r.integers(0, 10_000, 60)]
+    rows, want = [], 0
+    for i in range(150):
+        w = list(item)
+        for at in sorted(r.choice(60, int(r.integers(0, 3)), replace=False).tolist()):
+            w[at] = f"changed{i}"
+        text = [f"n{j}" for j in r.integers(0, 10_000, 40)] + w + [f"n{j}" for j in r.integers(0, 10_000, 40)]
+        rows.append((i, " ".join(text)))
+        a, best = Counter(zip(*[item[k:] for k in range(5)])), (0, 1)
+        for s in range(len(text) - 59):
+            b = Counter(zip(*[text[s:s + 60][k:] for k in range(5)]))
+            both = sum((a & b).values())
+            best = max(best, (both, sum((a | b).values())), key=lambda x: x[0] / x[1])
+        want += best[0] * 100 >= 80 * best[1]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontam.leaks(docs_, bench).count()
+    assert want >= 100 and found >= 0.95 * want
+    ix = decontam.ItemIndex([" ".join(item)])
+    col = __import__("pyarrow").array([t for _, t in rows])
+    assert len(decontam.search(col, ix, 80, 100)) == found
+    monkeypatch.setattr(decontam.SizeIndex, "within", lambda self, bits, balls: (np.zeros(0, int),) * 3)
+    assert decontam.search(col, ix, 80, 100) == []
+
+
+def test_without_leaks_edges(spark, edges, none):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, None), (3, "")], "item_id long, text string")
+    kept = decontam.without_leaks(edges, bench)
+    assert kept.columns == edges.columns and kept.count() == edges.count() - 1
+    assert decontam.without_leaks(none, bench).count() == 0
+    assert decontam.without_leaks(edges, bench.limit(0)).count() == edges.count()
+
+
+def test_redaction_edges(spark, edges, none):
+    rows = [(1, "token=abcdefgh"), (1, "token=abcdefgh"), (None, None), (2, "")]
+    frame = spark.createDataFrame([(i, t, 0, "s") for i, t in rows], "doc_id long, text string, n_chars long, spans string")
+    got = secret_scan.redact_documents(frame, length_col="n_chars").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, "[SECRET]", 8, "s")] * 2 + [(None, None, 0, "s"), (2, "", 0, "s")], key=repr)
+    assert secret_scan.redact_documents(edges).count() == len(EDGES) and secret_scan.redact_documents(none).count() == 0
+
+
 def test_hamming_blocks_find_all_within_radius():
     rng = np.random.default_rng(1)
     items = rng.integers(0, 2, (50, decontam.BITS)).astype(np.uint8)
@@ -304,6 +415,13 @@ def test_token_files(spark, docs, edges, none):
     assert repair.read(spark, where).count() == 0
 
 
+def test_repair_refuses_what_16_bits_cannot_hold():
+    with pytest.raises(ValueError):
+        repair.compress(np.array([1, 2, 3]), np.array([3]), 70_000)
+    with pytest.raises(ValueError):
+        repair.compress(np.array([1, 2, 300]), np.array([3]), 300)
+
+
 def test_repair_grammar():
     rng = np.random.default_rng(5)
     for ids in (np.tile([1, 2, 1, 2, 3], 400), np.full(999, 7), rng.integers(0, 6, 3000), np.array([5])):
@@ -397,7 +515,7 @@ def test_fertility_keeps_clean_drops_junk(spark):
 def test_fertility_measures_alone_drop_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    got = fertility.rate(docs, path(queries.PIECE_BPE), symbols=False).join(labels, "doc_id").where("not base_failed") \
+    got = fertility.rate(docs, path(queries.PIECE_BPE)).join(labels, "doc_id").where("not base_failed") \
         .groupBy("quality").agg({"*": "count", "kept": "count_if"}).collect()
     share = {r.quality: r["count_if(kept)"] / r["count(1)"] for r in got}
     print(got)

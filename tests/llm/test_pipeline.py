@@ -32,7 +32,26 @@ def test_stages(spark):
     assert max(Counter((r.doc_id, r.piece) for r in packed).values()) == 1
 
 
+def test_stages_on_edge_rows(spark, tmp_path):
+    """Null, empty, repeated and very long rows pass every stage; ids that
+    carry two texts lose neither."""
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(6).collect()]
+    rows = [(1, good[0], "en"), (1, good[0], "en"), (1, good[1], "en"), (None, good[2], None), (3, None, "en"), (4, "", "en"), (5, good[3] * 60, "xx")]
+    docs = spark.createDataFrame([(i, t, g, "s", len(t or "")) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for frame in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            frame.write.mode("overwrite").parquet(str(tmp_path / "in"))
+            frame = spark.createDataFrame(spark.read.parquet(str(tmp_path / "in")).collect(), docs.schema)
+            frame = stage(spark, frame, str(tmp_path))
+            assert frame.columns == docs.columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).collect()
+        assert len(packed) == 0 or max(r.length for r in packed) <= 2048
+    alone = corpus_pipeline.ngram_jaccard(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in alone if r.text) == sorted([(1, good[0]), (1, good[1]), (0, good[2]), (5, good[3] * 60)])
+
+
 def test_entry_lists_all():
     import __spark_entry__ as e
     names = e.queries()
-    assert {f"op{i}_" for i in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{i}_" for i in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")} and "pipeline" in names
