@@ -6,6 +6,7 @@ windows over the key's series (forward fill) or a generated hourly grid.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,36 +92,93 @@ def repair_visibility(df: DataFrame) -> DataFrame:
     return df.withColumn("visibility", F.coalesce(F.col("visibility"), est.cast("double")))
 
 
-def forward_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("city",),
-                 order: Sequence[str] = ("timestamp",)) -> DataFrame:
-    """Last non-NULL value so far within the key's series."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
-
-
-def linear_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("city",),
-                order: str = "timestamp", pos: str = "unix_time") -> DataFrame:
+# P23 on blocks: a series is cut by time (``bucket``), a row per block says
+# what the blocks before it end with and those behind it begin with, and each
+# block is filled from its own rows and these two. Only the block table has a
+# window over a whole key.
+_BUCKET, _PAIR, _BEFORE, _AFTER = "_bucket", "_pair_{col}", "_before_{col}", "_after_{col}"
+
+
+def _carried(df: DataFrame, cols: Sequence[str], keys: Sequence[str], order: Column) -> DataFrame:
+    """Rows of a frame with ``_bucket`` and the pairs of ``cols``, joined with
+    the last pair before their block and the first one behind it."""
+    pairs = [_PAIR.format(col=c) for c in cols]
+    ends = df.groupBy(*keys, _BUCKET).agg(
+        *[F.max_by(p, F.when(F.col(p).isNotNull(), order)).alias(f"_last{p}") for p in pairs],
+        *[F.min_by(p, F.when(F.col(p).isNotNull(), order)).alias(f"_first{p}") for p in pairs])
+    past = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy(*keys).orderBy(F.col(_BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_k{i}" for i in range(len(keys) + 1)]
+    edges = ends.select(*[F.col(k).alias(n) for k, n in zip([*keys, _BUCKET], names)],
+                        *[F.last(f"_last{p}", ignorenulls=True).over(past).alias(_BEFORE.format(col=c)) for p, c in zip(pairs, cols)],
+                        *[F.last(f"_first{p}", ignorenulls=True).over(rest).alias(_AFTER.format(col=c)) for p, c in zip(pairs, cols)])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip([*keys, _BUCKET], names)])
+    return df.join(edges, same).drop(*names)
+
+
+def _with_pairs(df: DataFrame, cols: Sequence[str], pos: Column, bucket: Column) -> DataFrame:
+    return df.select("*", bucket.alias(_BUCKET), *[
+        F.when(F.col(c).isNotNull(), F.struct(pos.alias("p"), F.col(c).alias("v"))).alias(_PAIR.format(col=c)) for c in cols])
+
+
+def _is_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: bool | None) -> bool:
+    if blocks is None:
+        from hourcast.operators.features import Series
+        from hourcast.operators.halo import is_hot
+        blocks = is_hot(df, Series(tuple(keys), tuple(order)), 0)[0]
+    return blocks
+
+
+def forward_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("city",), order: Sequence[str] = ("timestamp",),
+                 bucket: Column | None = None, blocks: bool | None = None) -> DataFrame:
+    """Last non-NULL value so far within the key's series. A key larger
+    than a task's fair share is filled in blocks (``blocks`` says so instead of
+    the counts); ``bucket`` orders like the first order column and is a day of
+    it by default."""
+    cols = [c for c in df.columns if c in cols]
+    split = _is_split(df, keys, order, blocks)
+    src, by = df, list(keys)
+    if split:
+        bucket = F.date_trunc("day", F.col(order[0])) if bucket is None else bucket
+        src = _carried(_with_pairs(df, cols, F.lit(0), bucket), cols, keys, F.struct(*[F.col(o) for o in order]))
+        by = [*keys, _BUCKET]
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def filled(c):
+        v = F.last(c, ignorenulls=True).over(w)
+        return (F.coalesce(v, F.col(_BEFORE.format(col=c))["v"]) if split else v).alias(c)
+    return src.select(*[filled(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def linear_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("city",), order: str = "timestamp",
+                pos: str = "unix_time", bucket: Column | None = None, blocks: bool | None = None) -> DataFrame:
     """P23 linear: interpolate between the previous and next non-NULL values,
-    weighted by ``pos`` (e.g. epoch seconds); ends stay NULL."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    weighted by ``pos`` (e.g. epoch seconds); ends stay NULL. Blocks as in
+    ``forward_fill``, with what lies on both sides of them."""
+    cols = [c for c in df.columns if c in cols]
+    split = _is_split(df, keys, [order], blocks)
+    bucket = F.date_trunc("day", F.col(order)) if bucket is None else bucket
+    src, by = _with_pairs(df, cols, F.col(pos), bucket), list(keys)
+    if split:
+        src, by = _carried(src, cols, keys, F.col(order)), [*keys, _BUCKET]
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     # "next non-NULL" as a running frame over the reversed order: Spark
     # evaluates running frames incrementally, while a frame ending at
     # UNBOUNDED FOLLOWING is recomputed for every row (quadratic per key).
-    after = Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*by).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = []
     for c in df.columns:
         if c not in cols:
             out.append(F.col(c))
             continue
-        pv = F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(c).alias("v"))),
-                    ignorenulls=True).over(before)
-        nx = F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(c).alias("v"))),
-                    ignorenulls=True).over(after)
+        pair = _PAIR.format(col=c)
+        pv, nx = F.last(pair, ignorenulls=True).over(before), F.last(pair, ignorenulls=True).over(after)
+        if split:
+            pv, nx = F.coalesce(pv, F.col(_BEFORE.format(col=c))), F.coalesce(nx, F.col(_AFTER.format(col=c)))
         span = (nx["p"] - pv["p"]).cast("double")
         interp = pv["v"] + (nx["v"] - pv["v"]) * F.try_divide((F.col(pos) - pv["p"]).cast("double"), span)
         out.append(F.coalesce(F.col(c), interp).alias(c))
-    return df.select(*out)
+    return src.select(*out)
 
 
 def hourly_grid(df: DataFrame, keys: Sequence[str] = ("city",), ts: str = "timestamp") -> DataFrame:

@@ -161,15 +161,21 @@ def skew_safe(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], se
     ``MAX_BLOCK_ROWS``): one window per key is then balanced. A key above it (a hot key, or a few keys holding
     everything) takes the blocked path. The decision reads only the
     per-(key, bucket) counts."""
-    # per-key counts only: the scan reads just the key columns and the
-    # aggregate combines map-side to one row per key and partition
+    hot, rows = is_hot(df, series, back + fwd, block_rows, floor)
+    if not hot:
+        return build(df.withColumn("_core", F.lit(True)), series).drop("_core")
+    return blocked(df, build, series, back, fwd, buckets, pad_cols, rows)
+
+
+def is_hot(df: DataFrame, series: Series, halo: int, block_rows: int | None = None, floor: int = MIN_HOT_ROWS) -> tuple[bool, int]:
+    """(whether a key is larger than a fair task share, the rows of a block).
+    Per-key counts only: the scan reads just the key columns and the aggregate
+    combines map-side to one row per key and partition."""
     st = df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("n")) \
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("r"), F.coalesce(F.max("n"), F.lit(0)).alias("m")).first()
     rows, max_key = int(st["r"]), int(st["m"])
     par = df.sparkSession.sparkContext.defaultParallelism
     if block_rows is None:
-        block_rows = block_rows_for(max_key, back + fwd, par)
+        block_rows = block_rows_for(max_key, halo, par)
     fair = math.ceil(rows / max(1, par))
-    if max_key <= min(MAX_BLOCK_ROWS, max(block_rows, fair, floor)):
-        return build(df.withColumn("_core", F.lit(True)), series).drop("_core")
-    return blocked(df, build, series, back, fwd, buckets, pad_cols, block_rows)
+    return max_key > min(MAX_BLOCK_ROWS, max(block_rows, fair, floor)), block_rows

@@ -57,7 +57,7 @@ def stream_alerts(spark, sf):
     def go(d):
         job = jobs.FeatureStreamJob(spark, d)
         job.run(jobs.file_stream(spark, sf, "events.parquet"))
-        return spark.read.parquet(job.alerts).select("city", F.date_format("day", "yyyy-MM-dd").alias("day"),
+        return job.alert_store.read("alerts").select("city", F.date_format("day", "yyyy-MM-dd").alias("day"),
                                                      "max_value", "level")
     return jobs.with_scratch(spark, go)
 

@@ -1,15 +1,20 @@
 """Parquet feature store, prediction log and model registry.
 
-Layout: ``<root>/<group>/date=YYYY-MM-DD/*.parquet``. Reads with a time range
-prune date partitions and push the timestamp filter into the scan. An upsert
-touches only the date partitions present in the update: the affected
-partitions are merged (last write wins on the key), staged under the shared
-checkpoint directory, and swapped in with dynamic partition overwrite.
+Layout of a group: ``data/version=<id>/date=YYYY-MM-DD/*.parquet``, which never
+change once written, and ``_current/<n>.json``, which says for every date
+which version holds it. An upsert writes the merged dates once, as a new
+version, and then puts the next pointer in place by a rename; readers take the
+newest pointer, so they see the group before or after an update and never in
+between, and two writers cannot both take the same number. Reads with a time
+range open only the dates they need and push the timestamp filter into the
+scan.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.errors import AnalysisException
@@ -51,13 +56,33 @@ def files_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    """Remove a staging folder that this module wrote."""
+    """Remove a file or folder that this module wrote."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@dataclass(frozen=True)
+class Pointer:
+    """State ``n`` of a group: the version of each date, and the schema."""
+    n: int
+    dates: dict
+    schema: T.StructType
+
+    def text(self) -> str:
+        return json.dumps({"dates": self.dates, "schema": json.loads(self.schema.json())})
+
+
+class Overtaken(RuntimeError):
+    """Another writer put its pointer in place first."""
+
+
+NO_DATE = "__HIVE_DEFAULT_PARTITION__"
+
+
 class FeatureStore:
+    RETRIES = 5
+
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str] = ("timestamp", "city"),
                  ts: str = "timestamp"):
         self.spark, self.root, self.keys, self.ts = spark, root.rstrip("/"), list(keys), ts
@@ -66,49 +91,132 @@ class FeatureStore:
         return f"{self.root}/{group}"
 
     def exists(self, group: str) -> bool:
-        return _exists(self.spark, self.path(group))
+        return self.pointer(group) is not None
+
+    # pointers
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _numbers(self, group: str) -> list[int]:
+        fs, p = self._fs(f"{self.path(group)}/_current")
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit())
+
+    def pointer(self, group: str, n: int | None = None) -> Pointer | None:
+        """The newest state of a group, or state ``n``; None if there is none."""
+        numbers = self._numbers(group)
+        if not numbers:
+            return None
+        n = numbers[-1] if n is None else n
+        fs, p = self._fs(f"{self.path(group)}/_current/{n:012d}.json")
+        stream = fs.open(p)
+        try:
+            d = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return Pointer(n, d["dates"], T.StructType.fromJson(d["schema"]))
+
+    def _swap(self, group: str, new: Pointer) -> None:
+        where = f"{self.path(group)}/_current"
+        fs, tmp = self._fs(f"{where}/.{uuid.uuid4().hex}")
+        out = fs.create(tmp)
+        out.write(bytearray(new.text().encode()))
+        out.close()
+        _, to = self._fs(f"{where}/{new.n:012d}.json")
+        if fs.exists(to) or not fs.rename(tmp, to):
+            fs.delete(tmp, False)
+            raise Overtaken(f"{group}: state {new.n} is there already")
+
+    def _put(self, df: DataFrame, group: str) -> dict:
+        """Write a frame with ``date`` as a new version; its dates."""
+        version = uuid.uuid4().hex
+        where = f"{self.path(group)}/data/version={version}"
+        df.write.partitionBy("date").parquet(where)
+        fs, p = self._fs(where)
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        return {x[5:]: version for x in names if x.startswith("date=")}
+
+    # frames
+    def _open(self, group: str, at: Pointer, dates: Sequence[str]) -> DataFrame:
+        """The rows of the given dates with their ``date``."""
+        whole = T.StructType([*at.schema.fields, T.StructField("date", T.DateType())])
+        paths = [f"{self.path(group)}/data/version={at.dates[d]}/date={d}" for d in dates]
+        if not paths:
+            return self.spark.createDataFrame([], whole)
+        full = T.StructType([*whole.fields, T.StructField("version", T.StringType())])
+        return self.spark.read.schema(full).option("basePath", f"{self.path(group)}/data").parquet(*paths).drop("version")
+
+    def frame(self, group: str, n: int | None = None) -> DataFrame:
+        """All rows with their ``date``, of the newest state or state ``n``."""
+        at = self.pointer(group, n)
+        if at is None:
+            raise FileNotFoundError(self.path(group))
+        return self._open(group, at, sorted(at.dates))
 
     def read(self, group: str, start=None, end=None, schema: T.StructType | None = None) -> DataFrame:
         """Inclusive time range; a missing group reads as empty."""
-        p = self.path(group)
-        if not _exists(self.spark, p):
-            if schema is None:
-                return self.spark.createDataFrame([], T.StructType([]))
-            return self.spark.createDataFrame([], schema)
-        df = self.spark.read.parquet(p)
+        at = self.pointer(group)
+        if at is None:
+            return self.spark.createDataFrame([], schema or T.StructType([]))
+        lo, hi = (None if x is None else str(x)[:10] for x in (start, end))
+        dates = [d for d in sorted(at.dates) if (lo is None and hi is None) or (
+            d != NO_DATE and (lo is None or d >= lo) and (hi is None or d <= hi))]
+        df = self._open(group, at, dates)
         if start is not None:
-            df = df.where((F.col("date") >= F.to_date(F.lit(str(start)))) & (F.col(self.ts) >= F.lit(start)))
+            df = df.where(F.col(self.ts) >= F.lit(start))
         if end is not None:
-            df = df.where((F.col("date") <= F.to_date(F.lit(str(end)))) & (F.col(self.ts) <= F.lit(end)))
+            df = df.where(F.col(self.ts) <= F.lit(end))
         return df.drop("date")
 
     def write(self, df: DataFrame, group: str) -> None:
         """Overwrite the whole group."""
-        df.withColumn("date", F.to_date(self.ts)).write.mode("overwrite").partitionBy("date").parquet(self.path(group))
+        at = self.pointer(group)
+        dates = self._put(df.withColumn("date", F.to_date(self.ts)), group)
+        self._swap(group, Pointer(at.n + 1 if at else 0, dates, df.schema))
 
     def upsert(self, updates: DataFrame, group: str, keys: Sequence[str] | None = None,
                arrival: str | None = None) -> None:
         """Last write wins on ``keys`` (default (timestamp, city)), also
         among the rows of one update: by the ``arrival`` column, or else in
-        the order of the frame's rows."""
+        the order of the frame's rows. One write; a writer that was overtaken
+        merges again with what the other one left."""
         keys = list(keys or self.keys)
-        p = self.path(group)
         came = F.col(arrival).cast("long") if arrival else F.monotonically_increasing_id()
         upd = updates.withColumn("_came", came)
-        upd = keep_one(upd, keys, ["_came"], "last").select(*updates.columns) \
-            .withColumn("date", F.to_date(self.ts)).withColumn("_version", F.lit(1))
-        if not _exists(self.spark, p):
-            upd.drop("_version").write.mode("overwrite").partitionBy("date").parquet(p)
-            return
-        # dates touched by the update: one small driver-side list
-        dates = [r[0] for r in upd.select("date").distinct().collect()]
-        old = self.spark.read.parquet(p).where(F.col("date").isin(dates)).withColumn("_version", F.lit(0))
-        merged = keep_one(old.unionByName(upd, allowMissingColumns=True), keys, ["_version"], "last").drop("_version")
-        stage = f"{checkpoint_dir(self.spark)}/stage-{uuid.uuid4().hex}"
-        merged.write.mode("overwrite").partitionBy("date").parquet(stage)
-        (self.spark.read.parquet(stage).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(p))
-        _delete(self.spark, stage)
+        upd = keep_one(upd, keys, ["_came"], "last").select(*updates.columns).withColumn("date", F.to_date(self.ts))
+        for _ in range(self.RETRIES):
+            at = self.pointer(group)
+            merged = upd
+            if at and at.dates:
+                # dates touched by the update: one small driver-side list
+                touched = {NO_DATE if r[0] is None else str(r[0]) for r in upd.select("date").distinct().collect()}
+                old = self._open(group, at, sorted(touched & set(at.dates))).withColumn("_version", F.lit(0))
+                merged = keep_one(old.unionByName(upd.withColumn("_version", F.lit(1)), allowMissingColumns=True),
+                                  keys, ["_version"], "last").drop("_version")
+            dates = self._put(merged, group)
+            fields = [f for f in merged.schema.fields if f.name != "date"]
+            try:
+                self._swap(group, Pointer(at.n + 1 if at else 0, {**(at.dates if at else {}), **dates}, T.StructType(fields)))
+                return
+            except Overtaken:
+                continue
+        raise Overtaken(f"{group}: overtaken {self.RETRIES} times")
+
+    def vacuum(self, group: str, keep: int = 2) -> int:
+        """Drop the pointers before the newest ``keep`` and the versions that no
+        kept pointer names; the number of versions dropped. A reader of an
+        older state must be done."""
+        numbers = self._numbers(group)
+        used = {v for n in numbers[-keep:] for v in self.pointer(group, n).dates.values()}
+        for n in numbers[:-keep]:
+            _delete(self.spark, f"{self.path(group)}/_current/{n:012d}.json")
+        fs, p = self._fs(f"{self.path(group)}/data")
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        old = [x for x in names if x.startswith("version=") and x[8:] not in used]
+        for x in old:
+            _delete(self.spark, f"{self.path(group)}/data/{x}")
+        return len(old)
 
     def upsert_time_only(self, updates: DataFrame, group: str) -> None:
         """The local-store variant deduping on the timestamp alone."""

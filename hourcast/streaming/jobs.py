@@ -90,7 +90,6 @@ class FeatureStreamJob:
         self.store = FeatureStore(spark, f"{self.root}/store")
         self.partials = f"{self.root}/partials"
         self.alert_store = FeatureStore(spark, self.root, keys=("city", "day"), ts="day")
-        self.alerts = self.alert_store.path("alerts")
 
     def process(self, batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
@@ -124,7 +123,7 @@ class FeatureStreamJob:
         """One row per city and day above the normal level, from all stored
         hours of the touched days; a later batch of the day replaces it."""
         days = touched.select("city", F.to_date("timestamp").alias("day")).distinct()
-        top = self.spark.read.parquet(self.store.path("obs")).where(F.col("date").isin(dates)) \
+        top = self.store.frame("obs").where(F.col("date").isin(dates)) \
             .groupBy("city", F.col("date").alias("day")).agg(F.max(self.alert_col).alias("max_value")) \
             .join(days, ["city", "day"], "left_semi").withColumn("level", alert_level("max_value"))
         self.alert_store.upsert(cut_lineage(top.where(F.col("level") != "OK")), "alerts")
@@ -148,7 +147,7 @@ class FeatureStreamJob:
             return new
         rng = touched.groupBy("city").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
         lo, hi = rng.agg(F.min("_first"), F.max("_last")).first()
-        stored = self.spark.read.parquet(self.store.path("obs")).join(rng.select("city"), "city", "left_semi")
+        stored = self.store.frame("obs").join(rng.select("city"), "city", "left_semi")
         smin, smax = stored.agg(F.min("date"), F.max("date")).first()
         days = max(1, self.history_hours // 24)
         while True:
@@ -190,7 +189,7 @@ class FeatureStreamJob:
         import datetime as dt
         day = dt.timedelta(days=1)
         targets = sorted(set(dates) | {d + day for d in dates})
-        obs = (self.spark.read.parquet(self.store.path("obs"))
+        obs = (self.store.frame("obs")
                .where(F.col("date").between(F.lit(min(dates) - day), F.lit(max(dates) + day))).drop("date"))
         in_t = F.col("target_date").isin(targets)
         pdl = mx.daily_predictions(mx.next_day_log(obs, self.monitor_models)).where(in_t)

@@ -66,29 +66,41 @@ class _Buffer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.done = handle.getListState("done", _ROW)  # the newest final hours, in order
-        self.waiting = handle.getMapState("waiting", "t long", "v double")
+        self.waiting = handle.getListState("waiting", _ROW)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() // 1000
+        held = {t: v for t, v in self.waiting.get()}
+        new = {}
         for part in rows:
-            for t, v in zip(part["ets"].astype("datetime64[s]").astype("int64"), part[self.col]):
+            for t, v in zip(part["ets"].astype("datetime64[s]").astype("int64").tolist(), part[self.col].tolist()):
                 if t > mark or mark <= 0:
-                    self.waiting.updateValue((int(t),), (None if pd.isna(v) else float(v),))
-                    self.handle.registerTimer(int(t) * 1000)
+                    new[t] = None if pd.isna(v) else float(v)
+        if new:
+            self.waiting.put(sorted((held | new).items()))
+            self.handle.registerTimer(min(new) * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        t = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        if not self.waiting.containsKey((t,)):
+        """All hours that the watermark has passed, in one go; the timer of the
+        earliest one that it has not passed stands for the others."""
+        mark = timerValues.getCurrentWatermarkInMs() // 1000
+        held = list(self.waiting.get())
+        now, later = [x for x in held if x[0] <= mark], [x for x in held if x[0] > mark]
+        if not now:
             return
-        (v,) = self.waiting.getValue((t,))
-        self.waiting.removeKey((t,))
+        self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self.handle.registerTimer(later[0][0] * 1000)
         past = list(self.done.get())
-        row = self.spec.rows([p[1] for p in past], [v])[0]
-        keep = [*past, (t, v)][-self.spec.back:]
-        self.done.put(keep)
-        data = [key[0], pd.Timestamp(t, unit="s"), v, *[None if np.isnan(x) else float(x) for x in row], len(keep)]
-        yield pd.DataFrame([data], columns=["city", "timestamp", self.col, *self.spec.names(self.col), "buffered"])
+        got = self.spec.rows([v for _, v in past], [v for _, v in now])
+        self.done.put([*past, *now][-self.spec.back:])
+        out = pd.DataFrame(got, columns=self.spec.names(self.col))
+        out.insert(0, "city", key[0])
+        out.insert(1, "timestamp", pd.to_datetime([t for t, _ in now], unit="s"))
+        out.insert(2, self.col, np.array([np.nan if v is None else v for _, v in now]))
+        out["buffered"] = np.minimum(len(past) + 1 + np.arange(len(now)), self.spec.back).astype(np.int32)
+        yield out.astype(object).where(out.notna(), None)
 
     def close(self) -> None:
         pass

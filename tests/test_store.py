@@ -73,3 +73,60 @@ def test_first_nonempty_keeps_real_errors(spark, tmpdir_path):
     assert st.first_nonempty([lambda: spark.read.parquet(tmpdir_path + "/none"), lambda: ok]).count() == 1
     with pytest.raises(ZeroDivisionError):
         st.first_nonempty([lambda: 1 / 0, lambda: ok])
+
+
+def test_a_reader_sees_old_or_new_and_never_half(spark, tmpdir_path, monkeypatch):
+    fs = st.FeatureStore(spark, tmpdir_path)
+    fs.upsert(_rows(spark, [(0, 1.0), (1, 1.0)]), "g")
+    before = fs.read("g")
+    seen = []
+    real = fs._swap
+    # the new version is written in full, but its pointer is not in place yet
+    monkeypatch.setattr(fs, "_swap", lambda g, p: seen.append(sorted(r["aqi"] for r in fs.read(g).collect())) or real(g, p))
+    fs.upsert(_rows(spark, [(0, 2.0), (2, 2.0)]), "g")
+    assert seen == [[1.0, 1.0]]
+    assert sorted(r["aqi"] for r in before.collect()) == [1.0, 1.0]  # an open reader keeps its state
+    assert sorted(r["aqi"] for r in fs.read("g").collect()) == [1.0, 2.0, 2.0]
+    assert sorted(r["aqi"] for r in fs.frame("g", 0).collect()) == [1.0, 1.0]
+
+
+def test_an_overtaken_writer_merges_again(spark, tmpdir_path, monkeypatch):
+    fs, other = st.FeatureStore(spark, tmpdir_path), st.FeatureStore(spark, tmpdir_path)
+    fs.upsert(_rows(spark, [(0, 1.0)]), "g")
+    real, first = fs._put, []
+
+    def put(df, group):
+        out = real(df, group)
+        if not first:
+            first.append(1)
+            other.upsert(_rows(spark, [(5, 5.0)]), "g")
+        return out
+    monkeypatch.setattr(fs, "_put", put)
+    fs.upsert(_rows(spark, [(1, 2.0)]), "g")
+    assert sorted(r["aqi"] for r in fs.read("g").collect()) == [1.0, 2.0, 5.0]
+
+
+def test_one_write_per_upsert_and_vacuum(spark, tmpdir_path):
+    import os
+    fs = st.FeatureStore(spark, tmpdir_path)
+    day2 = _rows(spark, [(3, 3.0)]).withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 DAY"))
+    for i, df in enumerate([_rows(spark, [(0, 1.0)]), day2, _rows(spark, [(1, 2.0)]), _rows(spark, [(0, 4.0)])]):
+        fs.upsert(df, "g")
+        assert len(os.listdir(f"{tmpdir_path}/g/data")) == i + 1
+    assert fs.vacuum("g", keep=1) == 2  # the first day's two older versions
+    assert sorted(r["aqi"] for r in fs.read("g").collect()) == [2.0, 3.0, 4.0]
+    assert fs.read("g", start=dt.datetime(2024, 1, 2)).count() == 1
+    fs.write(_rows(spark, [(7, 7.0)]), "g")
+    assert [r["aqi"] for r in fs.read("g").collect()] == [7.0]
+
+
+def test_empty_updates_new_columns_and_rows_without_a_time(spark, tmpdir_path):
+    fs = st.FeatureStore(spark, tmpdir_path)
+    fs.upsert(_rows(spark, []), "g")
+    assert fs.exists("g") and fs.read("g").columns == ["timestamp", "city", "aqi"] and fs.read("g").count() == 0
+    fs.upsert(spark.createDataFrame([(None, "c", 1.0)], "timestamp timestamp_ntz, city string, aqi double"), "g")
+    fs.upsert(_rows(spark, [(0, 2.0)]).withColumn("extra", F.lit("x")), "g")
+    fs.upsert(_rows(spark, []), "g")
+    got = sorted(((r["aqi"], r["timestamp"] is None) for r in fs.read("g").collect()))
+    assert got == [(1.0, True), (2.0, False)]
+    assert fs.read("g", end=dt.datetime(2024, 1, 2)).count() == 1
