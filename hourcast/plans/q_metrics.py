@@ -102,6 +102,17 @@ def baseline_metrics(spark, sf):
     return baseline_metrics_df(spark, sf)
 
 
+@q("epsilon_mape", _baseline_sql_frame() + """
+SELECT horizon, model, COUNT(*) AS n, ROUND(AVG(ABS((y - yhat) / (y + 1e-8))) * 100.0, 4) AS mape
+FROM lp WHERE y IS NOT NULL AND yhat IS NOT NULL GROUP BY horizon, model""")
+def epsilon_mape(spark, sf):
+    """Percentage error with a small constant in the denominator, where
+    zeros count too."""
+    f = sp.chrono_split(baseline_frame(spark, sf))
+    lp = mx.long_predictions(f.where(F.col("split") == "test"), {h: f"target_{h}h" for h in HORIZONS}, MODELS)
+    return mx.evaluate(lp, ["horizon", "model"], mape="epsilon").select("horizon", "model", "n", F.round("mape", 4).alias("mape"))
+
+
 @q("best_per_horizon", _baseline_sql_frame() + """,
 r AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY mae, model) AS k FROM m)
 SELECT horizon, model AS best_model, mae FROM r WHERE k = 1""")

@@ -1,11 +1,12 @@
 """Payload-parsing queries.
 
 The driver tables hold no API payloads, so each query first lands them:
-events are folded into API-shaped JSON documents (one pollution document per
+events are folded into API-shaped JSON documents (pollution documents per
 city and hour, one current-weather document per event, one weather-history
 document per city and day of hourly observations), then parsed back by the
-source operators. Documents are bounded by construction (an hour of events
-or 24 hourly rows), like the API responses they stand for.
+source operators. Documents are bounded by construction (a reading, at most
+about 1,000 of them, or 24 hourly rows), like the API responses they stand
+for.
 """
 
 from __future__ import annotations
@@ -30,16 +31,33 @@ def q(name, sql=None):
     return deco
 
 
-def pollution_documents(spark, sf):
-    ev = views.table(spark, sf, "events")
+#: readings of one history document, as many as a response holds
+PER_DOCUMENT = 1_000
+
+
+def _readings(spark, sf):
     k = views.event_k()
     item = F.struct(
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("dt"),
         F.struct(F.when(k % 9 != 0, k % 5 + 1).alias("aqi")).alias("main"),
         F.struct(F.col("value").alias("pm2_5"), (F.col("value") * F.lit(2.0)).alias("pm10"),
                  k.cast("double").alias("no2")).alias("components"))
-    return (ev.groupBy(F.col("event_type").alias("city"), hour_bucket(F.col("ts")).alias("hour"))
-            .agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("list"))).alias("payload")))
+    return views.table(spark, sf, "events").select(
+        F.col("event_type").alias("city"), hour_bucket(F.col("ts")).alias("hour"), item.alias("item"), "event_id")
+
+
+def pollution_documents(spark, sf):
+    """History documents of about PER_DOCUMENT readings: a (city, hour) with
+    more is dealt out to several, so no row grows with a hot hour."""
+    r = _readings(spark, sf)
+    pages = r.groupBy("city", "hour").agg(F.ceil(F.count(F.lit(1)) / F.lit(PER_DOCUMENT)).alias("pages"))
+    dealt = r.join(pages, ["city", "hour"]).withColumn("page", F.pmod(F.xxhash64("event_id"), F.col("pages")))
+    return dealt.groupBy("city", "hour", "page").agg(F.to_json(F.struct(F.sort_array(F.collect_list("item")).alias("list"))).alias("payload"))
+
+
+def current_documents(spark, sf):
+    """Current documents hold one reading, the first of their (city, hour)."""
+    return _readings(spark, sf).groupBy("city", "hour").agg(F.to_json(F.struct(F.array(F.min("item")).alias("list"))).alias("payload"))
 
 
 _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -64,7 +82,7 @@ def parse_history(spark, sf):
 SELECT {_POLL_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY city, hour
   ORDER BY unix_time, raw_idx NULLS FIRST, pm2_5, pm10, no2) AS rn FROM r) WHERE rn = 1""")
 def parse_current(spark, sf):
-    return pl.parse_pollution_current(pollution_documents(spark, sf))
+    return pl.parse_pollution_current(current_documents(spark, sf))
 
 
 @q("parse_forecast", f"WITH {_POLL_ROWS} SELECT city, unix_time, timestamp, aqi, pm2_5, pm10 FROM r")

@@ -97,6 +97,63 @@ def leaderboard(spark, sf):
     return reg.join(acc, "model_name", "left").select("model_name", "version", "mae", "accuracy")
 
 
+@q("registry_documents", f"""WITH {_REG_SQL}
+SELECT model_name, version, ROUND(mae, 6) AS mae, ROUND(rmse, 6) AS rmse FROM reg WHERE mae IS NOT NULL""")
+def registry_documents(spark, sf):
+    """A document per model and version is written and scanned."""
+    where = _folder(spark, "registry")
+    st.write_registry(registry_df(spark, sf).where(F.col("metrics")["mae"].isNotNull()), where)
+    got = st.read_registry(spark, f"{where}/models/*/*/*.json")
+    return got.select("model_name", "version", F.round(F.col("metrics")["mae"], 6).alias("mae"),
+                      F.round(F.col("metrics")["rmse"], 6).alias("rmse"))
+
+
+@q("compare_models", f"""WITH {_REG_SQL},
+acc AS (SELECT model_used AS model_name,
+  GREATEST(0.0, 100.0 - 100.0 * AVG(CASE WHEN actual > 0 THEN ABS(predicted - actual) / actual END)) AS accuracy
+  FROM h GROUP BY model_used HAVING COUNT(CASE WHEN actual > 0 THEN 1 END) > 0),
+newest AS (SELECT city, model_used, MAX(target_date) AS target_date FROM pd GROUP BY city, model_used),
+fc AS (SELECT city, model_used, target_date, predicted FROM pd JOIN newest USING (city, model_used, target_date))
+SELECT fc.city, fc.model_used AS model_name, strftime(fc.target_date, '%Y-%m-%d') AS target_date, ROUND(fc.predicted, 6) AS forecast,
+  p.version, ROUND(p.mae, 6) AS mae, ROUND(acc.accuracy, 6) AS accuracy
+FROM fc LEFT JOIN latest p ON p.model_name = fc.model_used LEFT JOIN acc ON acc.model_name = fc.model_used""")
+def compare_models(spark, sf):
+    """Every city's newest forecast of each model, beside the model's
+    newest scored version and its accuracy so far."""
+    h = history_df(spark, sf)
+    fc = h.groupBy("city", F.col("model_used").alias("model_name")).agg(F.max(F.struct("target_date", "predicted")).alias("f"))
+    fc = fc.select("city", "model_name", F.date_format("f.target_date", "yyyy-MM-dd").alias("target_date"),
+                   F.round("f.predicted", 6).alias("forecast"))
+    reg = registry_latest(spark, sf).select("model_name", "version", "mae")
+    acc = mx.accuracy_score(h, by=["model_used"]).select(F.col("model_used").alias("model_name"), F.round("accuracy", 6).alias("accuracy"))
+    return fc.join(reg, "model_name", "left").join(acc, "model_name", "left") \
+        .select("city", "model_name", "target_date", "forecast", "version", "mae", "accuracy")
+
+
+@q("days_of_texts", f"""WITH {sg.obs_cte()}
+SELECT city, strftime(CAST(timestamp AS DATE), '%Y-%m-%d') AS day, COUNT(*) AS records FROM obs GROUP BY 1, 2""")
+def days_of_texts(spark, sf):
+    """Timestamps as ISO texts, grouped by the day in the text."""
+    from hourcast.functions.time import day_key, iso_text
+    o = views.obs(spark, sf).select("city", day_key(iso_text(F.col("timestamp"))).alias("day"))
+    return o.groupBy("city", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@q("finite_ratios", f"""WITH {sg.obs_cte()}
+SELECT city, timestamp, ROUND(CASE WHEN clouds <> 0 THEN pm2_5 / clouds END, 9) AS per_cloud,
+  ROUND(CASE WHEN temp > 0 THEN ln(temp) END, 9) AS log_temp FROM obs""")
+def finite_ratios(spark, sf):
+    """What floating division and logarithms leave as infinite or not a
+    number becomes NULL."""
+    o = views.obs(spark, sf)
+    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
+    raw = o.select("city", "timestamp", F.when(F.col("clouds") != 0, F.col("pm2_5") / F.col("clouds")).otherwise(
+        F.when(F.col("pm2_5") == 0, nan).otherwise(inf)).alias("per_cloud"),
+        F.when(F.col("temp") > 0, F.ln("temp")).otherwise(F.when(F.col("temp") == 0, -inf).otherwise(nan)).alias("log_temp"))
+    return raw.select("city", "timestamp", cl.finite("per_cloud"), cl.finite("log_temp")) \
+        .select("city", "timestamp", *[F.round(c, 9).alias(c) for c in ("per_cloud", "log_temp")])
+
+
 # J5 / A26 -------------------------------------------------------------------------
 _DAYS_SQL = f"""{sg.obs_cte()},
 span AS (SELECT MIN(CAST(timestamp AS DATE)) AS lo, MAX(CAST(timestamp AS DATE)) + 1 AS hi FROM obs),

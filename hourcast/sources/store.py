@@ -269,9 +269,15 @@ def registry_upsert(existing: DataFrame | None, new: DataFrame) -> DataFrame:
                     ["model_name", "version"], ["_v"], "last").drop("_v")
 
 
+def write_registry(df: DataFrame, root: str) -> None:
+    """One metadata document per model and version, in a folder of its own."""
+    df.withColumn("model", F.col("model_name")).withColumn("v", F.col("version")) \
+        .repartition("model", "v").write.mode("append").partitionBy("model", "v").json(f"{root}/models")
+
+
 def read_registry(spark: SparkSession, pattern: str) -> DataFrame:
-    """Metadata documents (``models/*/*/metadata.json``)."""
-    return spark.read.schema(REGISTRY).option("multiLine", True).json(pattern)
+    """Metadata documents (``models/*/*/*.json``), one or several to a file."""
+    return spark.read.schema(REGISTRY).json(pattern)
 
 
 def latest_versions(registry: DataFrame) -> DataFrame:
@@ -322,8 +328,8 @@ def feature_group_rows(df: DataFrame, order: Sequence[str] = ("timestamp", "city
     ``event_time`` copies ``time_col`` and booleans become 0/1 integers. The
     city column is kept: with several cities it is part of the row's identity.
     """
+    from hourcast.operators.clean import bools_to_int, drop_incomplete
     from hourcast.operators.split import dense_ids
-    clean = df.na.drop(how="any")
-    clean = clean.select(*[F.col(c).cast("int").alias(c) if t == "boolean" else F.col(c) for c, t in clean.dtypes])
+    clean = bools_to_int(drop_incomplete(df))
     ided = dense_ids(clean, list(order), id_col)
     return ided.select(id_col, F.col(time_col).alias("event_time"), *clean.columns)
