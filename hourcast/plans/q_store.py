@@ -187,6 +187,23 @@ def progress(spark, sf):
                     F.date_format("last_date", "yyyy-MM-dd").alias("last_date"))
 
 
+@q("progress_reset", f"""WITH {_DAYS_SQL}
+SELECT city, SUM(records) AS total_records, COUNT(DISTINCT day) AS days_completed, strftime(MAX(day), '%Y-%m-%d') AS last_date
+FROM done WHERE city <> (SELECT MIN(city) FROM done) GROUP BY city""")
+def progress_reset(spark, sf):
+    """R2: progress is recorded twice (a resumed job), and one city reset."""
+    log = st.ProgressLog(spark, _folder(spark, "progress"))
+    done = _done_days(spark, sf)
+    log.record(done)
+    log.record(done)
+    first = done.agg(F.min("city")).first()[0]
+    if first is not None:
+        log.reset(first)
+    p = al.progress(log.done())
+    return p.select("city", F.col("total_records").cast("long").alias("total_records"), "days_completed",
+                    F.date_format("last_date", "yyyy-MM-dd").alias("last_date"))
+
+
 # S19 / S20 / T5 --------------------------------------------------------------------
 def _fg_sql():
     from hourcast.plans.q_features import ORACLE as FO
@@ -234,6 +251,21 @@ def feature_select_top50(spark, sf):
     return qa.top_by_corr(fg, "target_24h", _selectable(), 50)
 
 
+_LABELS = [f"target_{h}h" for h in (1, 6, 12, 24, 48, 72)]
+
+
+@q("feature_view_split", f"""WITH {_fg_sql()}
+SELECT city, timestamp, {', '.join(_selectable())}, {', '.join(_LABELS)},
+  CASE WHEN row_number() OVER (ORDER BY timestamp, city) <= CAST(FLOOR(COUNT(*) OVER () * 0.8) AS BIGINT) THEN 'train' ELSE 'test' END AS split
+FROM fg""")
+def feature_view_split(spark, sf):
+    """The view of all features and labels, and its train and test parts."""
+    from hourcast.plans.q_features import features_full_a
+    view = st.feature_view(cl.drop_incomplete(features_full_a(spark, sf)), _selectable(), _LABELS)
+    train, test = st.train_test(view)
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
 # P18 / P26 -------------------------------------------------------------------------
 @q("lookback_7d", f"""WITH {sg.obs_cte()},
 m AS (SELECT city, MAX(timestamp) AS newest FROM obs GROUP BY city)

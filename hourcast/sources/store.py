@@ -223,6 +223,60 @@ class FeatureStore:
         self.upsert(updates, group, keys=[self.ts])
 
 
+class ProgressLog:
+    """Which (city, day) cells a backfill has done, as an append-only
+    table. A reset is a row too: a city's progress is what was recorded after
+    its last reset, so a restarted job resumes and a reset city starts anew."""
+
+    SCHEMA = "city string, day date, records long, seq long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _log(self) -> DataFrame:
+        if not _exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def _append(self, rows: DataFrame) -> None:
+        newest = self._log().agg(F.max("seq")).first()[0]
+        rows.select("city", "day", F.col("records").cast("long").alias("records"),
+                    F.lit(0 if newest is None else newest + 1).cast("long").alias("seq")).write.mode("append").parquet(self.path)
+
+    def record(self, done: DataFrame) -> None:
+        """Append completed (city, day, records)."""
+        self._append(done)
+
+    def reset(self, *cities: str) -> None:
+        self._append(self.spark.createDataFrame([(c, None, None) for c in cities], "city string, day date, records long"))
+
+    def done(self) -> DataFrame:
+        """(city, day, records) since each city's last reset; a day that was
+        recorded again counts once, as recorded last."""
+        log = self._log()
+        last = log.where("day is null").groupBy("city").agg(F.max("seq").alias("reset"))
+        live = log.where("day is not null").join(last, "city", "left").where("reset is null or seq > reset")
+        return live.groupBy("city", "day").agg(F.max_by("records", "seq").alias("records"))
+
+
+def feature_view(df: DataFrame, features: Sequence[str], labels: Sequence[str], keys: Sequence[str] = ("city", "timestamp")) -> DataFrame:
+    """Keys, features and labels of a feature group; a column that is
+    both, or neither, is an error and not a silent choice."""
+    both = sorted(set(features) & set(labels))
+    missing = sorted(({*features, *labels, *keys}) - set(df.columns))
+    if both or missing:
+        raise ValueError(f"features that are labels: {both}; missing columns: {missing}")
+    return df.select(*keys, *features, *labels)
+
+
+def train_test(view: DataFrame, test_size: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """The view's earlier and later rows (Q15: split by time, not at random)."""
+    from hourcast.operators.split import chrono_split
+    from hourcast.session import cut_lineage
+    parts = chrono_split(cut_lineage(view), test_size)
+    return tuple(parts.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+
+
 def append_predictions(df: DataFrame, path: str) -> None:
     """Append-only prediction log partitioned by target date."""
     df.select(*[F.col(f.name).cast(f.dataType) for f in PREDICTION_LOG.fields]) \

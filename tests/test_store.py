@@ -130,3 +130,37 @@ def test_empty_updates_new_columns_and_rows_without_a_time(spark, tmpdir_path):
     got = sorted(((r["aqi"], r["timestamp"] is None) for r in fs.read("g").collect()))
     assert got == [(1.0, True), (2.0, False)]
     assert fs.read("g", end=dt.datetime(2024, 1, 2)).count() == 1
+
+
+def test_progress_resumes_and_one_city_starts_anew(spark, tmpdir_path):
+    log = st.ProgressLog(spark, tmpdir_path + "/progress")
+    assert log.done().count() == 0
+    d = lambda rows: spark.createDataFrame([(c, dt.date(2024, 1, n), r) for c, n, r in rows], "city string, day date, records long")
+    log.record(d([("a", 1, 24), ("b", 1, 24)]))
+    log.record(d([("a", 1, 20), ("a", 2, 24)]))
+    now = lambda: sorted((r.city, r.day.day, r.records) for r in log.done().collect())
+    assert now() == [("a", 1, 20), ("a", 2, 24), ("b", 1, 24)]
+    log.reset("a", "unknown")
+    assert now() == [("b", 1, 24)]
+    log.record(d([("a", 1, 5)]))
+    assert now() == [("a", 1, 5), ("b", 1, 24)]
+
+
+def test_feature_view_refuses_leaking_labels(spark):
+    import pytest
+    df = spark.createDataFrame([("c", dt.datetime(2024, 1, 1, h), 1.0 * h, 2.0 * h) for h in range(10)],
+                               "city string, timestamp timestamp_ntz, x double, target_1h double")
+    train, test = st.train_test(st.feature_view(df, ["x"], ["target_1h"]))
+    assert train.count() == 8 and sorted(r.x for r in test.collect()) == [8.0, 9.0]
+    for bad in (["x", "target_1h"], ["y"]):
+        with pytest.raises(ValueError):
+            st.feature_view(df, bad, ["target_1h"])
+
+
+def test_registry_documents(spark, tmpdir_path):
+    reg = spark.createDataFrame([("ridge", "20260101_000000", None, {"rmse": 2.0}, {"alpha": "1"}, ["x"]),
+                                 ("ridge", "20260102_000000", None, {"rmse": 1.0}, None, None)], st.REGISTRY)
+    st.write_registry(reg, tmpdir_path)
+    got = st.read_registry(spark, f"{tmpdir_path}/models/*/*/*.json")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, reg.collect()), key=repr)
+    assert st.latest_versions(got).first()["version"] == "20260102_000000"
