@@ -86,29 +86,42 @@ def lexical(urls: DataFrame) -> DataFrame:
     return out.withColumns({k: v.cast("double") for k, v in cols.items()})
 
 
+#: rows of a table of suffixes up to which it is broadcast
+MAX_BROADCAST = 100_000
+
+
 class Judge:
     """Suffix rates and trees fitted on rule-labelled URLs."""
 
     def __init__(self, ruled: DataFrame, max_train: int = MAX_TRAIN, seed: int = 7):
         pool = ruled.where("ruled is not null").select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
-        # smoothed block rates per suffix over all labelled rows
-        counts = cut_lineage(suffixed(pool).groupBy("suffix", "site").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")))
-        rows, blocked = counts.agg(F.sum("n"), F.sum("blocked")).first()
+        # labels per suffix and site over all labelled rows
+        site = suffixed(pool).groupBy("suffix", "site").agg(F.count("*").alias("site_n"), F.sum("label").alias("site_blocked"))
+        self.site = cut_lineage(site)
+        suffix = self.site.groupBy("suffix").agg(F.sum("site_n").alias("suffix_n"), F.sum("site_blocked").alias("suffix_blocked"))
+        self.suffix = cut_lineage(suffix)
+        self.few = self.site.count() <= MAX_BROADCAST
+        rows, blocked = self.suffix.agg(F.sum("suffix_n"), F.sum("suffix_blocked")).first()
         rows = rows or 0
         self.model, self.rate = None, (blocked or 0.0) / max(rows, 1)
-        self.suffix = cut_lineage(counts.groupBy("suffix").agg(((F.sum("blocked") + 5 * self.rate) / (F.sum("n") + 5)).alias("suffix_rate")))
-        self.site = cut_lineage(counts.join(self.suffix, "suffix").select(
-            "site", ((F.col("blocked") + 5 * F.col("suffix_rate")) / (F.col("n") + 5)).alias("site_rate")))
-        sample = cut_lineage(lexical(pool.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(max_train)))
+        own = pool.groupBy("url", "host", "path").agg(F.count("*").alias("own_n"), F.sum("label").alias("own_blocked"), F.max("label").alias("label"))
+        sample = cut_lineage(lexical(own.orderBy(F.xxhash64("url"), "url").limit(max_train)))
         self.assembler = VectorAssembler(inputCols=list(NUMBERS), outputCol="features")
         if rows and 0 < blocked < rows:  # else there is nothing to tell apart
             self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, labelCol="label").fit(
                 self.assembler.transform(self._rated(sample)).select("features", "label"))
 
     def _rated(self, df: DataFrame) -> DataFrame:
-        # no hints: the tables grow with the hosts; what is small is broadcast by its size
-        return df.join(self.suffix, "suffix", "left").fillna({"suffix_rate": self.rate}) \
-            .join(self.site, "site", "left").withColumn("site_rate", F.coalesce("site_rate", "suffix_rate"))
+        """Adds the block rates of suffix and site, each drawn towards the one
+        above it. A training row's own labels (``own_n``, ``own_blocked``) are
+        taken out, so that trees cannot read a label off its own rate."""
+        small = F.broadcast if self.few else (lambda t: t)
+        n, blocked = (F.col("own_n"), F.col("own_blocked")) if "own_n" in df.columns else (F.lit(0), F.lit(0.0))
+        rate = lambda kind, above: F.coalesce(
+            (F.col(f"{kind}_blocked") - blocked + 5 * above) / (F.col(f"{kind}_n") - n + 5), above)
+        out = df.join(small(self.suffix), "suffix", "left").join(small(self.site.drop("suffix")), "site", "left")
+        out = out.withColumn("suffix_rate", rate("suffix", F.lit(self.rate)))
+        return out.withColumn("site_rate", rate("site", F.col("suffix_rate")))
 
     def block_probability(self, urls: DataFrame) -> DataFrame:
         """Adds p_block; without a model the share of blocked labels."""
@@ -118,6 +131,20 @@ class Judge:
         return self.model.transform(self.assembler.transform(rated)).withColumn("p_block", vector_to_array("probability")[1])
 
 
+def held_out_auc(pages: DataFrame, rules=RULES, max_train: int = MAX_TRAIN, folds: int = 5, url_col: str = "url", id_col: str = "page_id") -> float | None:
+    """Area under the curve on labelled URLs of sites that the trees and rates
+    never saw: a fold of the sites keeps its labels to itself. None if the
+    fold holds labels of one kind only."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    ruled = with_rules(split_urls(pages, id_col, url_col), rules).where("ruled is not null")
+    away = F.pmod(F.xxhash64(F.substring_index("host", ".", -2)), F.lit(folds)) == 0
+    got = cut_lineage(Judge(ruled.where(~away), max_train).block_probability(ruled.where(away))
+                      .select((F.col("ruled") == "block").cast("double").alias("label"), "p_block"))
+    if got.select("label").distinct().count() < 2:
+        return None
+    return BinaryClassificationEvaluator(rawPredictionCol="p_block").evaluate(got)
+
+
 def judge(pages: DataFrame, rules=RULES, max_train: int = MAX_TRAIN, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, p_block) per row.
 

@@ -554,7 +554,26 @@ def test_url_suffix_rates_cover_all_labels(spark):
     ruled = url_filter.with_rules(url_filter.split_urls(frame, "page_id", "url"), rules)
     got = url_filter.Judge(ruled, max_train=1)
     base = 24 / 64
-    rates = {r.suffix: r.suffix_rate for r in got.suffix.collect()}
-    assert rates == pytest.approx({"org": (20 + 5 * base) / 65, "rare": (4 + 5 * base) / 9})
-    site = {r.site: r.site_rate for r in got.site.collect()}
-    assert site == pytest.approx({"bad.org": (20 + 5 * rates["org"]) / 25, "good.org": 5 * rates["org"] / 45, "a.rare": (4 + 5 * rates["rare"]) / 9})
+    probe = spark.createDataFrame([("org", "bad.org"), ("org", "good.org"), ("rare", "a.rare"), ("zz", "q.zz")], "suffix string, site string")
+    r = {x.site: (x.suffix_rate, x.site_rate) for x in got._rated(probe).collect()}
+    org, rare = (20 + 5 * base) / 65, (4 + 5 * base) / 9
+    assert r["bad.org"] == pytest.approx((org, (20 + 5 * org) / 25)) and r["good.org"] == pytest.approx((org, 5 * org / 45))
+    assert r["a.rare"] == pytest.approx((rare, (4 + 5 * rare) / 9)) and r["q.zz"] == pytest.approx((base, base))
+    # a training row without its own labels
+    own = spark.createDataFrame([("rare", "a.rare", 4, 4.0), ("org", "bad.org", 1, 1.0)], "suffix string, site string, own_n long, own_blocked double")
+    r = {x.site: (x.suffix_rate, x.site_rate) for x in got._rated(own).collect()}
+    org = (19 + 5 * base) / 64
+    assert r["a.rare"] == pytest.approx((base, base)) and r["bad.org"] == pytest.approx((org, (19 + 5 * org) / 24))
+
+
+def test_url_trees_on_sites_they_never_saw(spark):
+    """Held-out: block and allow differ by suffix and by lexical form; the trees
+    tell URLs of unseen sites apart, and cannot where nothing differs."""
+    rows = [(i, f"http://s{i % 40}.{'xx' if (i % 40) % 2 else 'yy'}/{'q' * (i % 7)}?a={i}&b=2" if (i % 40) % 2 else f"https://s{i % 40}.yy/page/{i}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    assert url_filter.held_out_auc(frame, (("xx/", "block"), ("yy/", "allow"))) == pytest.approx(1.0)
+    even = [(i, f"http://s{i % 24:02d}.zz/{'abcdefgh'[i % 8]}{i:03d}") for i in range(300)]
+    rules = tuple((f"s{i:02d}.zz/", "block" if (i * 7 >> 1) % 2 else "allow") for i in range(24))
+    auc = url_filter.held_out_auc(spark.createDataFrame(even, "page_id long, url string"), rules)
+    assert auc is None or auc < 0.9  # nothing but the site tells them apart
+    assert url_filter.held_out_auc(frame.limit(0)) is None
