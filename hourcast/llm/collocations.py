@@ -45,8 +45,9 @@ from hourcast.session import cut_lineage
 MIN_BITS, MAX_BITS, BITS_EACH = 1 << 20, 1 << 28, 16
 #: one row in SHARE is in the sample
 SHARE = 4
-SALTS = 16
-SLICE_BYTES = 4_000_000
+#: copies of a phrase's parts in the score joins, and salts of the top rows
+SALTS, TOP_SALTS = 4, 64
+SLICE_BYTES = 3_000_000
 
 # bytes: 0 in a word, 1 between words, 2 between pieces (fixed values)
 _KIND = np.zeros(256, np.uint8)
@@ -332,7 +333,7 @@ def top(scored: DataFrame, frequent: DataFrame, limit: int = 2000) -> DataFrame:
     """Each language's first ``limit``, with rank and its number of words.
     The best of each salt first, so that no task holds a whole language."""
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    some = scored.withColumn("salt", F.pmod(F.hash("phrase", "lang"), F.lit(SALTS * 4))) \
+    some = scored.withColumn("salt", F.pmod(F.hash("phrase", "lang"), F.lit(TOP_SALTS))) \
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= limit)
     out = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")) \
         .where(F.col("rank") <= limit)
