@@ -381,9 +381,12 @@ def feature_group_rows(df: DataFrame, order: Sequence[str] = ("timestamp", "city
     id is 0..n-1 in ``order`` (exact, no whole-frame window: ``dense_ids``),
     ``event_time`` copies ``time_col`` and booleans become 0/1 integers. The
     city column is kept: with several cities it is part of the row's identity.
+    The frame is written before the filter, whose constraints the optimizer
+    would else carry through every alias of a wide plan.
     """
     from hourcast.operators.clean import bools_to_int, drop_incomplete
     from hourcast.operators.split import dense_ids
-    clean = bools_to_int(drop_incomplete(df))
+    from hourcast.session import cut_lineage
+    clean = bools_to_int(drop_incomplete(cut_lineage(df)))
     ided = dense_ids(clean, list(order), id_col)
     return ided.select(id_col, F.col(time_col).alias("event_time"), *clean.columns)

@@ -94,3 +94,36 @@ def test_city_coordinates_case_insensitive_left_join(spark):
     dim = spark.createDataFrame([("lahore", 31.5, 74.3), ("Karachi", 24.9, 67.0)], "city string, lat double, lon double")
     got = {r["city"]: (r["lat"], r["lon"]) for r in al.city_coordinates(obs, dim).collect()}
     assert got == {"Lahore": (31.5, 74.3), "KARACHI": (24.9, 67.0), "Quetta": (None, None)}
+
+
+class Stop(Exception):
+    pass
+
+
+def _stop_at_filter(monkeypatch):
+    from hourcast.operators import clean as cl
+    seen = []
+
+    def spy(df, *args):
+        seen.append(df)
+        raise Stop
+    monkeypatch.setattr(cl, "drop_incomplete", spy)
+    return seen
+
+
+def _windowed(spark):
+    from hourcast.operators import features as fx
+    df = _rows(spark, 30, ["a", "b"])
+    return df.select("*", *fx.lag_columns(fx.Series().window(), ["v"], (1, 2)))
+
+
+def _is_written(df):
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRDD"
+
+
+def test_feature_group_rows_filters_a_written_frame(spark, monkeypatch):
+    """A filter on the windows' aliases took the driver's memory to plan."""
+    seen = _stop_at_filter(monkeypatch)
+    with pytest.raises(Stop):
+        st.feature_group_rows(_windowed(spark))
+    assert _is_written(seen[0])
