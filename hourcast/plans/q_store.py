@@ -13,7 +13,7 @@ from hourcast.operators import clean as cl
 from hourcast.operators import metrics as mx
 from hourcast.plans import sqlgen as sg
 from hourcast.plans.q_metrics import _LOG_SQL, history_df
-from hourcast.session import checkpoint_dir
+from hourcast.session import checkpoint_dir, cut_lineage
 from hourcast.sources import store as st
 from hourcast.sources import views
 
@@ -225,6 +225,13 @@ def feature_group_df(spark, sf):
     return st.feature_group_rows(features_full_a(spark, sf))
 
 
+def _complete_rows(spark, sf):
+    """The complete rows of preset A. The wide frame is written before its
+    filter: the optimizer rewrites a filter on 190 aliases once per set of them."""
+    from hourcast.plans.q_features import features_full_a
+    return cl.drop_incomplete(cut_lineage(features_full_a(spark, sf)))
+
+
 _SEASONS = ["season_winter", "season_spring", "season_summer", "season_fall"]
 
 
@@ -246,9 +253,7 @@ def feature_select_top50(spark, sf):
     """S20 view of the feature group with ``target_24h`` as label; T5 keeps
     the 50 features most correlated with it."""
     from hourcast.operators import quality as qa
-    from hourcast.plans.q_features import features_full_a
-    fg = features_full_a(spark, sf).na.drop(how="any")
-    return qa.top_by_corr(fg, "target_24h", _selectable(), 50)
+    return qa.top_by_corr(_complete_rows(spark, sf), "target_24h", _selectable(), 50)
 
 
 _LABELS = [f"target_{h}h" for h in (1, 6, 12, 24, 48, 72)]
@@ -260,8 +265,7 @@ SELECT city, timestamp, {', '.join(_selectable())}, {', '.join(_LABELS)},
 FROM fg""")
 def feature_view_split(spark, sf):
     """The view of all features and labels, and its train and test parts."""
-    from hourcast.plans.q_features import features_full_a
-    view = st.feature_view(cl.drop_incomplete(features_full_a(spark, sf)), _selectable(), _LABELS)
+    view = st.feature_view(_complete_rows(spark, sf), _selectable(), _LABELS)
     train, test = st.train_test(view)
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 

@@ -127,3 +127,13 @@ def test_feature_group_rows_filters_a_written_frame(spark, monkeypatch):
     with pytest.raises(Stop):
         st.feature_group_rows(_windowed(spark))
     assert _is_written(seen[0])
+
+
+def test_feature_view_filters_a_written_frame(spark, monkeypatch):
+    from hourcast.plans import q_features, q_store
+    seen = _stop_at_filter(monkeypatch)
+    monkeypatch.setattr(q_features, "features_full_a", lambda spark, sf: _windowed(spark))
+    for query in ("feature_view_split", "feature_select_top50"):
+        with pytest.raises(Stop):
+            q_store.QUERIES[query](spark, None)
+    assert len(seen) == 2 and all(map(_is_written, seen))
