@@ -218,12 +218,21 @@ def gaps(df: DataFrame, unix: str = "unix_time", keys: Sequence[str] = ("city",)
         (F.avg(big) / F.lit(3600.0)).alias("mean_gap_h"))
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation aggregate over the rows with both values; NaN where one does
+    not vary over them (there ``F.corr`` divides by zero, an error under ANSI)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+    flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+    return F.when(flat, F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def corr_with(df: DataFrame, target: str, features: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
     """Pearson correlation of each feature with the target
-    (pairwise-complete), long form."""
+    (pairwise-complete), long form; NaN where one of the two does not vary
+    over the pairs, NULL without any pair."""
     feats = [c for c in (features or CORR_FEATURES) if c in df.columns and c != target]
-    wide = df.agg(*[F.round(F.corr(F.col(c).cast("double"), F.col(target).cast("double")), digits)
-                    .alias(f"{c}__corr") for c in feats])
+    wide = df.agg(*[F.round(pearson(c, target), digits).alias(f"{c}__corr") for c in feats])
     return _stack(wide, feats, ["corr"], "feature")
 
 
@@ -299,7 +308,7 @@ def shape_stats(df: DataFrame, col: str, keys: Sequence[str] = ("city",), order:
     n = F.count("_x")
     g1 = F.skewness("_x")
     adj = g1 * F.sqrt(n * (n - F.lit(1))) / (n - F.lit(2))
-    return x.groupBy(*keys).agg(F.round(F.corr("_x", "_l"), digits).alias("autocorr_lag1"),
+    return x.groupBy(*keys).agg(F.round(pearson("_x", "_l"), digits).alias("autocorr_lag1"),
                                 F.round(F.when(n > 2, adj), digits).alias("skew"))
 
 

@@ -2,6 +2,7 @@
 model listing allow-list (P26) and training guards (P25, A27)."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import Window
@@ -137,3 +138,15 @@ def test_feature_view_filters_a_written_frame(spark, monkeypatch):
         with pytest.raises(Stop):
             q_store.QUERIES[query](spark, None)
     assert len(seen) == 2 and all(map(_is_written, seen))
+
+
+def test_corr_with_a_constant_column(spark):
+    """NaN, as in the SQL, and no division by zero under ANSI."""
+    rows = [(float(i), 0.1, float(3 * i), None if i else 1.0, None) for i in range(7)]
+    df = spark.createDataFrame(rows, "y double, const double, near double, once double, never double").repartition(3)
+    got = {r["feature"]: r["corr"] for r in qa.corr_with(df, "y", ["const", "near", "once", "never"]).collect()}
+    assert math.isnan(got["const"]) and math.isnan(got["once"]) and got["near"] == 1.0 and got["never"] is None
+    assert math.isnan(qa.corr_with(df, "const", ["y"]).first()["corr"])
+    hours = spark.createDataFrame([("a", i, 0.1, ) for i in range(9)], "city string, h int, x double") \
+        .withColumn("timestamp", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, h)"))
+    assert math.isnan(qa.shape_stats(hours.select("city", "timestamp", "x"), "x").first()["autocorr_lag1"])
