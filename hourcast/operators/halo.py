@@ -134,8 +134,8 @@ def blocked(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], seri
             buckets: Sequence[Column], pad_cols: Sequence[str] = (), block_rows: int | None = None,
             lay: Layout | None = None) -> DataFrame:
     """Run ``build(frame, series)`` per (key, block) with halos and return the
-    core rows only. ``build`` must keep the ``_core`` column of its input;
-    the keys of the series it receives are the original keys plus ``_block``.
+    core rows only. ``build`` must keep the ``_core`` column of its input, or
+    itself return just the rows where it is true; the keys of the series it receives are the original keys plus ``_block``.
     ``back`` >= every lag / diff period / rolling size - 1, ``fwd`` >= every
     lead."""
     keys = list(series.keys)
@@ -150,7 +150,9 @@ def blocked(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], seri
             .select(*h.columns, *[CARRY.format(col=c) for c in pad_cols])
     out = build(h, Series(keys=(*keys, "_block"), order=series.order))
     drop = [*HELPERS, *[CARRY.format(col=c) for c in pad_cols]]
-    return out.where("_core").drop(*[c for c in drop if c in out.columns])
+    if "_core" in out.columns:
+        out = out.where("_core")
+    return out.drop(*[c for c in drop if c in out.columns])
 
 
 def skew_safe(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], series: Series, back: int,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourcast.operators import features as fx
+from hourcast.operators import rowstats as rs
 from hourcast.plans import sqlgen as sg
 from hourcast.sources import views
 
@@ -267,9 +268,8 @@ def _long_buckets():
 # (key, block) so one hot key is spread over many tasks. Blocks are sized from
 # the data (largest key / cores), so at test scale every key spans several.
 def _long_build(frame, s):
-    return fx.with_rolling(frame, s, _LONG_COLS, A.rolling_windows, fx.STATS, 1, 2,
-                           keep=["series", "l_orderkey", "l_linenumber", "l_partkey", "_core"],
-                           extra=fx.lag_columns(s.window(), _LONG_COLS, A.lag_hours))
+    return rs.lags_and_rolling(frame, s, _LONG_COLS, A.lag_hours, A.rolling_windows, fx.STATS, 1, 2,
+                               keep=["series", "l_orderkey", "l_linenumber", "l_partkey"], only="_core")
 
 
 @q("long_series_blocked", ORACLE["long_series_features"])
