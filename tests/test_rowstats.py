@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourcast.operators import features as fx
+from hourcast.operators import halo
 from hourcast.operators import rowstats as rs
 
 LAGS, WINDOWS = (1, 3, 40), (1, 2, 6, 25)
@@ -52,3 +53,13 @@ def test_long_series_return_no_helper_columns(spark, tmp_path):
     assert plain.columns == blocked.columns and plain.count() == 900 and _rows(plain) == _rows(blocked)
     for df in (plain, blocked):
         assert df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "MapInArrow"
+
+
+def test_positions_by_key_and_by_bucket(spark):
+    df, s = _frame(spark).where("key IS NOT NULL"), fx.Series(("key",), ("t", "id"))
+    lay = halo.layout(df, s, [F.col("t")])
+    by_key = halo.positions(df, s, [F.col("t")], lay)
+    by_bucket = halo.positions(df, s, [F.col("t")], lay, floor=1)
+    text = [d._jdf.queryExecution().optimizedPlan().toString() for d in (by_key, by_bucket)]
+    assert "Join" not in text[0] and "Join" in text[1]
+    assert _rows(by_key) == _rows(by_bucket)
