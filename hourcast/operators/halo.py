@@ -82,14 +82,15 @@ def fair_share(rows: int, parallelism: int, floor: int = MIN_HOT_ROWS) -> int:
 
 def positions(df: DataFrame, series: Series, buckets: Sequence[Column], lay: Layout,
               pos: str = "_pos", floor: int = MIN_HOT_ROWS) -> DataFrame:
-    """Dense 0-based row position within each key, in series order. While
-    every key fits a fair task share it is a rank per key; the counts per
-    bucket may be almost as many as the rows."""
+    """Dense 0-based row position within each key, in series order; rows with
+    a NULL key or bucket have none and are left out. While every key fits a
+    fair task share it is a rank per key; the counts per bucket may be almost
+    as many as the rows."""
     keys = list(series.keys)
+    d, names = _bucketed(df, buckets)
     if lay.max_key_rows <= fair_share(lay.rows, df.sparkSession.sparkContext.defaultParallelism, floor):
         rank = F.row_number().over(series.window()) - F.lit(1)
-        return df.select("*", rank.cast("long").alias(pos))
-    d, names = _bucketed(df, buckets)
+        return d.select("*", rank.cast("long").alias(pos)).dropna(subset=[*keys, *names]).select(*df.columns, pos)
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     starts = lay.counts.select(*keys, *names,
                                F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
