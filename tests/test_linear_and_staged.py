@@ -178,3 +178,23 @@ def test_sizes_of_one_shape_share_a_fit(spark, monkeypatch):
                                         "random_forest": [{"n_estimators": n} for n in (2, 3)], "ridge": [{"alpha": 1.0}, {"alpha": 9.0}]}, 2)
     assert got.count() == 8 and {r["rank"] for r in got.where("model = 'gradient_boosting'").collect()} == {1, 2, 3, 4}
     assert sorted((n, p["n_estimators"]) for n, p in fits) == sorted([("gradient_boosting", 5)] * 4 + [("random_forest", 3)] * 2)
+
+
+def test_at_once_starts_the_costly_fits_first(spark):
+    """In order of cost and one by one, not in runs of neighbours; results in the order given."""
+    from hourcast.ml import models as ml
+    begun = []
+    got = ml.at_once([lambda i=i: begun.append(i) or i for i in range(9)], 1, [0, 3, 0, 9, 0, 1, 9, 0, 2])
+    assert got == list(range(9)) and begun == [3, 6, 1, 8, 5, 0, 2, 4, 7]
+    names = ["ridge", "random_forest", "gradient_boosting", "xgboost"]
+    assert [ml.cost(n) for n in names] == [0, 1000, 500, 3000]
+    assert ml.cost("lightgbm", {"n_estimators": 10, "max_depth": 2, "patience": 3, "memory_mb": 32}) == 20
+
+
+def test_packed_frames_are_written(spark):
+    """Fits read files from any executor, not the one that cached a partition."""
+    from hourcast.ml import models as ml
+    df = spark.range(50).selectExpr("id", "id * 2.0d as x").repartition(5)
+    got = ml.packed(df, 50, 2)
+    assert got.rdd.getNumPartitions() == 1 and sorted(got.collect()) == sorted(df.collect())
+    assert got._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRDD"
