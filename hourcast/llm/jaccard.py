@@ -1,11 +1,11 @@
 """N-gram Jaccard join by multiple global orders (operator 3).
 
 A document's tokens are its distinct k-word shingles. Two sets with
-J >= t share a token among the first n - ceil(t n) + 1 of each under *every*
-global order of the tokens. Three orders are used: A and B put rare tokens
-first (by a frequency class, ties by two different hashes), C is a plain
-hash order. Candidates must share prefix tokens under all three before their
-exact overlap is counted.
+J >= t share l tokens among the first n - ceil(t n) + l of each under *every*
+global order of the tokens, for every l up to ceil(t n). Three orders are used:
+A and B put rare tokens first (by a frequency class, ties by two different
+hashes), C is a plain hash order. Candidates must share up to three prefix
+tokens under A, and one under B and C, before their exact overlap is counted.
 
 Steps, each linear in its input:
 
@@ -15,8 +15,11 @@ Steps, each linear in its input:
    classes. The cells are a table of fixed size; collisions change the order
    for all documents alike, so they cost speed and no result.
 3. Order A as a shuffle: members that share a prefix token and fit in size
-   are hung onto one of them (no pairs). The components of these stars are
-   families; linked documents are always in one family.
+   are a run. A short run gives its pairs, and of these go on those that meet
+   in as many runs as links must (in a large corpus rare tokens are not told from
+   others by the table, so unlike documents meet in one by chance, but hardly in
+   three). The members of a long run are hung onto one of them (no pairs). The
+   components of both are families; linked documents are always in one family.
 4. The members of families are read again, with their whole sets, and each
    family is cut into blocks of bounded size; each pair of blocks is one
    group. Inside it candidates pass orders A, B and C and the size bound,
@@ -44,6 +47,11 @@ U64 = np.uint64
 #: families; the result does not depend on it
 CELL_BITS = 25
 CELL_BLOCK = 1 << 16
+#: prefix tokens that must be common, where the sizes allow it
+SHARED = 3
+#: members of a run whose pairs are listed: twice what a cell holds on average
+#: (a token of a prefix is hardly more frequent), within these bounds
+RUN_MEMBERS = (16, 256)
 #: bits of the filter that picks family members on the second read
 FILTER_BITS = 1 << 24
 #: set elements and members per block of a family
@@ -123,28 +131,80 @@ def prefix_length(n, num: int, den: int):
     return np.where(n > 0, n - -(-num * n // den) + 1, 0)
 
 
-def _hubs(num, den):
-    """Rows (tok, n, rid) sorted by tok, n: edges (rid, first of its run); a
-    run ends where the token changes or sizes no longer fit."""
+def shared_tokens(n, num: int, den: int):
+    """Tokens that the prefixes below have in common, if the smaller of two
+    linked sets has n: up to SHARED, and one more than may differ at most."""
+    least = -(-num * n // den)
+    return np.minimum(np.minimum(SHARED, 1 + n - least), np.maximum(least, 1))
+
+
+def shared_prefix(n, num: int, den: int):
+    """Tokens that must hold ``shared_tokens`` common ones (none if empty)."""
+    return np.where(n > 0, prefix_length(n, num, den) + shared_tokens(n, num, den) - 1, 0)
+
+
+def run_members(table: bytes) -> int:
+    """Members of a run whose pairs are listed, from the frequency classes."""
+    count = sum(np.bincount(np.frombuffer(table, np.uint8, CELL_BLOCK, at), minlength=256)  # in parts: it widens what it counts
+                for at in range(0, len(table), CELL_BLOCK))
+    low, high = RUN_MEMBERS
+    return int(np.clip(2 * (count @ 2 ** (np.arange(256) / 4)) / len(table), low, high))
+
+
+def _meetings(num, den, most):
+    """Rows (tok, n, rid) sorted by tok, n: (a, b, need) for the pairs of each
+    run that fit in size, to be linked if they come ``need`` times, and need 0
+    for (rid, first of its run) of runs of over ``most`` rows. A run ends where
+    the token changes or sizes no longer fit."""
 
     def run(batches):
-        tok0 = n0 = hub0 = None
-        for b in batches:
-            if not b.num_rows:
+        from hourcast.llm import jaccard as j
+        held, hub = None, None  # rows of the run that goes on; its first row, if it is a long one
+        for b in j._and_end(batches):
+            new = [np.zeros(0, np.int64)] * 3 if b is None else [b.column(i).to_numpy() for i in range(3)]
+            tok, n, rid = new if held is None else (np.concatenate(x) for x in zip(held, new))
+            if not len(tok):
                 continue
-            tok, n, rid = (b.column(i).to_numpy() for i in range(3))
-            go = np.empty(len(tok), bool)
+            go = np.zeros(len(tok), bool)
             go[1:] = (tok[1:] == tok[:-1]) & (den * n[:-1] >= num * n[1:])
-            go[0] = tok0 is not None and tok[0] == tok0 and den * n0 >= num * n[0]
-            at = np.maximum.accumulate(np.where(go, -1, np.arange(len(tok))))
-            hub = np.where(at < 0, hub0 if hub0 is not None else 0, rid[np.maximum(at, 0)])
-            tok0, n0, hub0 = tok[-1], n[-1], hub[-1]
-            if go.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rid[go]), pa.array(hub[go])], names=["a", "b"])
+            start = np.flatnonzero(~go)
+            size = np.diff(np.append(start, len(tok)))
+            which = np.cumsum(~go) - 1
+            long = size > most
+            first = rid[start]
+            if hub is not None:
+                long[0], first[0] = True, hub
+            end, hub = len(tok), None
+            if b is not None:  # the last run may go on
+                if long[-1]:
+                    held, hub = (tok[-1:], n[-1:], rid[-1:]), first[-1]
+                else:
+                    end = start[-1]
+                    held = tok[end:], n[end:], rid[end:]
+            hung = np.flatnonzero(go & long[which])
+            out = [(rid[hung], first[which[hung]], np.zeros(len(hung), np.int64))]
+            x, gap = np.flatnonzero(~long[which[:end]]), 0
+            while True:
+                gap += 1
+                x = x[x + gap < end]
+                x = x[which[x + gap] == which[x]]
+                if not len(x):
+                    break
+                fit = x[den * n[x] >= num * n[x + gap]]
+                p, q = rid[fit], rid[fit + gap]
+                out.append((np.maximum(p, q), np.minimum(p, q), j.shared_tokens(n[fit], num, den)))
+            a, b_, need = (np.concatenate(c) for c in zip(*out))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b_), pa.array(need.astype(np.int8))], names=["a", "b", "need"])
 
     return run
 
 
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
 def linked(rid: np.ndarray, block: np.ndarray, sets: list[np.ndarray], num: int, den: int, cross: bool,
            size: np.ndarray | None = None):
     """Links that connect a group's members; sets ascend in order A. cross:
@@ -278,7 +338,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         classes = np.frombuffer(table.value, np.uint8)
         for b in c.slices(batches, "text"):
             n, off, tok, f1, f2 = j.token_sets(b.column(1), k, classes)
-            p = j.prefix_length(n, num, den)
+            p = j.shared_prefix(n, num, den)
             at = np.arange(p.sum()) + np.repeat(off[:-1] - (np.cumsum(p) - p), p)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2),
@@ -289,8 +349,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         .withColumn("rid", F.monotonically_increasing_id())  # fixed: the rows are on disk
     classes = base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("rid"), F.min_by("id", "rid").alias("id"), F.count("*").alias("size"))
     rows = base.join(classes.select("rid"), "rid").select(F.explode("prefix").alias("tok"), "n", "rid")
-    stars = rows.repartition("tok").sortWithinPartitions("tok", "n", "rid").mapInArrow(_hubs(num, den), "a long, b long")
-    family = components(stars).withColumnRenamed("node", "rid").withColumnRenamed("component", "family")
+    met = rows.repartition("tok").sortWithinPartitions("tok", "n", "rid") \
+        .mapInArrow(_meetings(num, den, run_members(table.value)), "a long, b long, need byte")
+    met = met.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("need").alias("need")).where("times >= need")
+    family = components(met.select("a", "b")).withColumnRenamed("node", "rid").withColumnRenamed("component", "family")
     members = cut_lineage(family.join(classes, "rid"))
 
     # whole sets of the members: a bitmap of fixed size picks the rows to hash

@@ -266,6 +266,51 @@ def test_one_of_each_knows_rows_by_id_and_text(spark):
     assert kept == sorted([(1, x), (4, y), (None, z), (6, None), (6, "")], key=repr)
 
 
+def test_jaccard_families_need_more_than_chance(spark, monkeypatch):
+    """Where the table tells no token from another, documents that meet in one
+    common phrase by chance do not become a family."""
+    rng = np.random.default_rng(9)
+    phrases = [f"p{i} q{i} r{i}" for i in range(900)]
+    texts = [" ".join(phrases[x] + f" own{i}x{x}" for x in rng.choice(900, 10, replace=False)) for i in range(400)]
+    frame = spark.createDataFrame([*enumerate(texts), (400, texts[7] + " end")], "doc_id long, text string")
+    first = []
+    whole = jaccard.components
+    monkeypatch.setattr(jaccard, "frequency_classes", lambda texts, k: bytes(1 << jaccard.CELL_BITS))
+    monkeypatch.setattr(jaccard, "components", lambda e: first.append(e.distinct().count()) or whole(e))
+    got = {r.doc_id: r for r in jaccard.jaccard_components(frame, 3, 90, 100).collect()}
+    assert first[0] < 20
+    assert {d for d, r in got.items() if r.n_links} == {7, 400} and got[400].component_id == 7
+
+
+@pytest.mark.parametrize("most", [2, 5, 1000])
+def test_jaccard_meetings_connect_links(most):
+    """Whatever the batches and the longest listed run, linked sets are connected."""
+    import pyarrow as pa
+    rng = np.random.default_rng(most)
+    bases, sets = [rng.choice(300, n, replace=False) for n in (1, 2, 3, 9, 12, 25, 60) for _ in range(3)], []
+    for b in bases:
+        for _ in range(int(rng.integers(2, 9))):
+            s = b.copy()
+            s[rng.integers(0, len(s), len(s) // 12)] = rng.integers(0, 300, len(s) // 12)
+            sets.append(np.unique(s))
+    n = np.array([len(s) for s in sets])
+    p = jaccard.shared_prefix(n, 80, 100)
+    rows = np.array(sorted((t, n[i], i) for i, s in enumerate(sets) for t in s[:p[i]]))
+    cuts = np.unique([0, len(rows), *rng.integers(0, len(rows), 40)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows[a:b, c]) for c in range(3)], names=["tok", "n", "rid"]) for a, b in zip(cuts, cuts[1:])]
+    times, need = Counter(), {}
+    for b in jaccard._meetings(80, 100, most)(iter(batches)):
+        for x, y, k in zip(*(b.column(c).to_pylist() for c in range(3))):
+            times[x, y] += 1
+            need[x, y] = min(k, need.get((x, y), 9))
+    root = list(range(len(sets)))
+    for x, y in [e for e, c in times.items() if c >= need[e]]:
+        rx, ry = root[x], root[y]
+        root = [rx if r == ry else r for r in root]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (b := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (n[i] + n[j] - b)]
+    assert len(linked) > 30 and all(root[i] == root[j] for i, j in linked)
+
+
 def test_components_of_a_large_group(spark):
     """A group that holds most rows has one component and right link counts."""
     frame = spark.createDataFrame([(i, f"same words all over again number {i % 3}" if i % 4 else f"alone {i} " * 9) for i in range(400)], "doc_id long, text string")
