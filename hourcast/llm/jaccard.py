@@ -311,6 +311,20 @@ def _verify(num, den, count):
     return run
 
 
+def _may_be_in(df: DataFrame, key: list, keys: DataFrame, of: list) -> DataFrame:
+    """The frame with ``_hit``: whether a row's key may be in the keys (always
+    if it is). A bitmap of fixed size tells, so the other rows need no shuffle,
+    whatever they carry; how full it gets decides how many rows that spares."""
+    at = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS)) + 1
+    bits = keys.select(at(of).alias("_p")).groupBy(F.expr("bitmap_bucket_number(_p)").alias("_bucket")) \
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_p))").alias("_bits"))
+    byte = "cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return df.withColumn("_p", at(key)).withColumn("_bucket", F.expr("bitmap_bucket_number(_p)")) \
+        .join(F.broadcast(bits), "_bucket", "left") \
+        .withColumn("_hit", F.expr(f"coalesce(getbit({byte}, cast(bitmap_bit_position(_p) % 8 as int)) = 1, false)")) \
+        .drop("_p", "_bucket", "_bits")
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
                        text_col: str = "text", count_links: bool = True, keepers: bool = False) -> DataFrame:
     """(id, n_shingles, component_id, n_links) per row; component_id is the
@@ -348,7 +362,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     base = cut_lineage(src.mapInArrow(sets, f"id {kind}, text_key long, n long, f1 long, f2 long, prefix array<long>")) \
         .withColumn("rid", F.monotonically_increasing_id())  # fixed: the rows are on disk
     classes = base.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("rid"), F.min_by("id", "rid").alias("id"), F.count("*").alias("size"))
-    rows = base.join(classes.select("rid"), "rid").select(F.explode("prefix").alias("tok"), "n", "rid")
+    # a class of one row is known without a shuffle of the prefixes
+    finger = ["n", "f1", "f2"]
+    hit = _may_be_in(base.where("n > 0").select(*finger, "rid", "prefix"), finger, classes.where("size > 1"), finger)
+    one = ["n", "rid", "prefix"]
+    rows = hit.where("not _hit").select(*one).union(hit.where("_hit").join(classes.select("rid"), "rid", "left_semi").select(*one)) \
+        .select(F.explode("prefix").alias("tok"), "n", "rid")
     met = rows.repartition("tok").sortWithinPartitions("tok", "n", "rid") \
         .mapInArrow(_meetings(num, den, run_members(table.value)), "a long, b long, need byte")
     met = met.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("need").alias("need")).where("times >= need")
@@ -427,11 +446,16 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_c
     text fold into one; documents without words stay."""
     found = cut_lineage(jaccard_components(docs, k, num, den, id_col, text_col, count_links=False, keepers=True))
     row = [F.col(id_col).alias("_id"), F.col("text_key").alias("_key")]
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text_col).cast("string")))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    kept = keyed.join(found.where("not kept").select(*row).distinct(), same, "left_anti")
+    gone = found.where("not kept").select(*row).distinct()
     again = found.where("kept").groupBy(*row).count().where("count > 1").select("_id", "_key")
-    if again.isEmpty():
-        return kept.select(docs.columns)
-    return kept.join(again, same, "left_anti").select(docs.columns).union(
+    some = not again.isEmpty()
+    # rows that neither go nor repeat are passed on where they are
+    keyed = _may_be_in(docs.withColumn("_text_key", F.xxhash64(F.col(text_col).cast("string"))), [F.col(id_col), F.col("_text_key")],
+                       gone.union(again) if some else gone, [F.col("_id"), F.col("_key")])
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    alone = keyed.where("not _hit").select(docs.columns)
+    kept = keyed.where("_hit").join(gone, same, "left_anti")
+    if not some:
+        return alone.union(kept.select(docs.columns))
+    return alone.union(kept.join(again, same, "left_anti").select(docs.columns)).union(
         kept.join(again, same, "left_semi").select(docs.columns).dropDuplicates([id_col, text_col]))

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hourcast.llm import (chat, components, decontam, fertility, jaccard, packing, queries, repair, secret_scan,
                           token_counts, toxicity, url_filter, wordcache)
@@ -257,6 +258,38 @@ def test_jaccard_empty_and_one_of_each(spark, none, edges):
     assert ids == Counter([1, 2, 3, 4, 6, 8, 9])  # 5 = 4 = the row without an id, 7 ~ 6, the repeated row once
 
 
+def test_one_of_each_moves_only_what_goes(spark, request):
+    """Rows that stay reach the result without a shuffle of their text."""
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        request.addfinalizer(lambda name=name, was=spark.conf.get(name, None): spark.conf.set(name, was) if was else spark.conf.unset(name))
+        spark.conf.set(name, "-1")
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 60))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(5)] + [(2000, rows[9][1]), rows[20], rows[20]]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+    plan = kept._jdf.queryExecution().executedPlan()
+    moved = []
+
+    def walk(p):
+        p = p.finalPhysicalPlan() if "AdaptiveSparkPlan" in p.nodeName() else p.plan() if "QueryStage" in p.nodeName() else p
+        if p.nodeName() == "Exchange" and "text#" in p.output().mkString(","):
+            moved.append(p.metrics().apply("shuffleRecordsWritten").value())
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(plan)
+    assert sum(moved) <= 40, moved
+
+
+def test_may_be_in_finds_all(spark):
+    keys = spark.range(0, 4000, 4).select(F.when(F.col("id") > 0, F.col("id")).alias("a"), (F.col("id") % 3).alias("b"))
+    rows = spark.range(4000).select(F.when(F.col("id") > 0, F.col("id")).alias("x"), (F.col("id") % 3).alias("y"), F.lit("t").alias("_other"))
+    got = {r.x or 0: r._hit for r in jaccard._may_be_in(rows, [F.col("x"), F.col("y")], keys, [F.col("a"), F.col("b")]).collect()}
+    assert len(got) == 4000 and all(got[i] for i in range(0, 4000, 4)) and sum(got.values()) < 1100
+    assert rows.count() == jaccard._may_be_in(rows, [F.col("x")], keys.limit(0), [F.col("a")]).where("not _hit").count()
+
+
 def test_one_of_each_knows_rows_by_id_and_text(spark):
     """Another text under the id of a near copy is not lost."""
     x, y, z = ("".join(f"{c}{i} " for i in range(60)) for c in "xyz")
